@@ -28,7 +28,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if have is None or len(have[0]) < n:
         n = 1 << max(20, (n - 1).bit_length())
         inverse = pow(base, -1, 1 << 64)
-        have = _powers[base] = tuple(np.cumprod(np.concatenate([[1], np.full(n - 1, b, U)]).astype(U), dtype=U) for b in (base, inverse))
+        tables = [np.full(n, b, U) for b in (base, inverse)]
+        for x in tables:
+            x[0] = 1
+            np.cumprod(x, out=x)
+        have = _powers[base] = tuple(tables)
     return have
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,16 +89,19 @@ def canonical(text: Column) -> Column:
 
 
 def digest(text: Column) -> Column:
-    """SHA-256 of the canonical text; null where nothing is left of it."""
-    x = canonical(text)
-    return F.when(x != "", F.sha2(x, 256))
+    """SHA-256 of the canonical text; that of the empty text where nothing is left of it."""
+    return F.sha2(canonical(text), 256)
+
+
+#: The digest of nothing, which matches no licence.
+EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def known_digests(spark, known=None) -> DataFrame:
     """(license_id, digest) of the known texts; one row for each digest."""
     known = KNOWN if known is None else known
     rows = spark.createDataFrame(list(known), "license_id string, text string")
-    return rows.select("license_id", digest(F.col("text")).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return rows.select("license_id", digest(F.col("text")).alias("digest")).where(F.col("digest") != EMPTY).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def license_matches(docs: DataFrame, known: DataFrame, most_known: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,11 +111,11 @@ def license_matches(docs: DataFrame, known: DataFrame, most_known: int = 100_000
     match each by itself; other columns are not read. The known table is broadcast while it has at most ``most_known``
     rows (a digest and a name each) and shuffled beyond that.
     """
-    lines = F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(i.cast("int").alias("line_no"), x.alias("unit")))
-    whole = F.array(F.struct(F.lit(-1).alias("line_no"), F.col("text").alias("unit")))
-    several = F.when(F.instr("text", "\n") > 0, F.concat(whole, lines)).otherwise(F.concat(whole, F.array(F.struct(F.lit(0).alias("line_no"), F.col("text").alias("unit")))))
-    units = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").select("id", F.explode(several).alias("x"))
-    units = units.select("id", "x.line_no", digest(F.col("x.unit")).alias("digest")).where("digest is not null")
+    # digests are made inside the array, before it is exploded, so that each is computed once
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(i.cast("int").alias("line_no"), digest(x).alias("digest")))
+    whole = F.array(F.struct(F.lit(-1).alias("line_no"), digest(F.col("text")).alias("digest")))
+    units = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    units = units.select("id", F.explode(F.concat(whole, lines)).alias("x")).select("id", "x.*")
     if known.limit(most_known + 1).count() <= most_known:
         known = F.broadcast(known)
     found = units.join(known, "digest")

@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from .licences import op7_license_digests
 from .licences import sql as licence_sql
+from .lz_dedup import op6_lempel_ziv_dedup
 from .packing import op1_best_fit_packing
 from .sharding import op4_stratified_interleave
+from .suffix_dedup import op9_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_stratified_interleave, op7_license_digests)}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing,
+    op4_stratified_interleave,
+    op6_lempel_ziv_dedup,
+    op7_license_digests,
+    op9_suffix_array_dedup,
+)}
 SQL = {"op7_license_digests": licence_sql()}
