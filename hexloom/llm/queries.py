@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op8_bayesian_jaccard_join
 from .licences import op7_license_digests
 from .licences import sql as licence_sql
 from .lz_dedup import op6_lempel_ziv_dedup
 from .packing import op1_best_fit_packing
 from .sharding import op4_stratified_interleave
 from .suffix_dedup import op9_suffix_array_dedup
+from .vector_dedup import op3_inverted_multi_index
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing,
+    op3_inverted_multi_index,
     op4_stratified_interleave,
     op6_lempel_ziv_dedup,
     op7_license_digests,
+    op8_bayesian_jaccard_join,
     op9_suffix_array_dedup,
 )}
 SQL = {"op7_license_digests": licence_sql()}
