@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .archives import op2_archive_index
+from .decontamination import op5_containment_search
 from .jaccard_join import op8_bayesian_jaccard_join
+from .language import op10_crf_language
 from .licences import op7_license_digests
 from .licences import sql as licence_sql
 from .lz_dedup import op6_lempel_ziv_dedup
@@ -13,11 +16,14 @@ from .vector_dedup import op3_inverted_multi_index
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing,
+    op2_archive_index,
     op3_inverted_multi_index,
     op4_stratified_interleave,
+    op5_containment_search,
     op6_lempel_ziv_dedup,
     op7_license_digests,
     op8_bayesian_jaccard_join,
     op9_suffix_array_dedup,
+    op10_crf_language,
 )}
 SQL = {"op7_license_digests": licence_sql()}
