@@ -34,7 +34,7 @@ U = np.uint64
 PLACE = (1 << 28) - 1
 CENSUS = "h long, c long, doc long, at long, ref long"
 SPANS = "doc long, lo int, hi int, ref long, ref_lo long"
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
