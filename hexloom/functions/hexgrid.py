@@ -123,13 +123,18 @@ class HexGrid:
         return F.array(*[F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in [*ring, ring[0]]])
 
     def parent_stages(self, cell: str, res: int, to: int) -> Stages:
-        """One level at a time from res up to ``to``; ends with hx_p<to>. At or above res the cell itself."""
+        """One level at a time from res up to ``to``: whole lattice coordinates, packed into hx_p<level> for each level.
+
+        At or above res the cell itself.
+        """
         if to >= res:
             return [{f"hx_p{to}": cell}]
-        out, below = [], cell
+        out = [{f"hx_i{res}": i_of(cell), f"hx_j{res}": j_of(cell)}]
         for r in range(res, to, -1):
-            out.append({f"hx_p{r - 1}": parent_once(below, r)})
-            below = f"hx_p{r - 1}"
+            i, j = f"hx_i{r}", f"hx_j{r}"
+            a, b = (f"3 * {i} - {j}", f"{i} + 2 * {j}") if r % 2 else (f"2 * {i} + {j}", f"3 * {j} - {i}")
+            out.append({f"hx_i{r - 1}": f"cast(floor((2 * ({a}) + 7) / 14e0) as bigint)", f"hx_j{r - 1}": f"cast(floor((2 * ({b}) + 7) / 14e0) as bigint)"})
+        out.append({f"hx_p{r}": pack(r, f"hx_i{r}", f"hx_j{r}") for r in range(res - 1, to - 1, -1)})
         return out
 
     def with_parent(self, df: DataFrame, res: int, to: int, cell: str = "cell", name: str = "parent") -> DataFrame:

@@ -29,7 +29,8 @@ def _front(features: Sequence[str]) -> list:
 
 
 def boosted_classifier(features: Sequence[str] = FEATURES, trees: int = 80, depth: int = 4, rate: float = 0.08, seed: int = 42) -> Pipeline:
-    last = GBTClassifier(featuresCol="hx_features", labelCol=CLASS, predictionCol="hx_class", probabilityCol="hx_probability", rawPredictionCol="hx_raw_class", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
+    last = GBTClassifier(featuresCol="hx_features", labelCol=CLASS, predictionCol="hx_class", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
+    last = last.setProbabilityCol("hx_probability").setRawPredictionCol("hx_raw_class")
     return Pipeline(stages=[*_front(features), last])
 
 

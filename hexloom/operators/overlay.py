@@ -56,7 +56,8 @@ def window_cells(df: DataFrame, west: Column, south: Column, east: Column, north
 
 
 def ring_box(rings: Column) -> tuple[Column, Column, Column, Column]:
-    xs, ys = (F.flatten(F.transform(rings, lambda r, k=k: F.transform(r, lambda p, k=k: p[k]))) for k in ("x", "y"))
+    xs = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["x"])))
+    ys = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["y"])))
     return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
 
 

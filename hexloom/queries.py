@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import h3bits, scalars
 from .functions.hexgrid import GRID, M_PER_LAT, M_PER_LON, children_of, disk_offsets, i_of, j_of, pack, parent_once, res_of
 from .functions.stages import num, to_sql
+from .functions.storage import cut
 from .operators import adaptive, control, folds, hotspot, metrics, models, nearest, overlay, points, quality, raster, rollup
 from .plans import assemble
 from .schema import CLASS, FEATURE_RANGES, FEATURES, RISK
@@ -397,10 +398,10 @@ def adaptive_comparison(read):
     return adaptive.adaptive_run(_scored(read), 9, 11, "value", "p", 0.8, 0.9, 1)[1]
 
 
-@query(f"select c.child as cell, {r('coalesce(m.value, 0)', 'value')} from {_children_sql(f'(select cell, cell as child from (select cell from {MEANS} union all select cell + 268435456 * 1000 from {MEANS}))', 9, 10)} c left join {MEANS} m on {parent_once('c.child', 10)} = m.cell")
+@query(f"select c.child as cell, {r('coalesce(m.value, 0)', 'value')} from {_children_sql(f'(select cell, cell as child from (select cell from {MEANS} union all select cell + 268435456000 from {MEANS}))', 9, 10)} c left join {MEANS} m on {parent_once('c.child', 10)} = m.cell")
 def parent_inherit(read):
     cells = event_cells(read)
-    wide = cells.select("cell").union(cells.select(F.col("cell") + 268435456 * 1000))
+    wide = cells.select("cell").union(cells.select(F.col("cell") + 268435456000))
     fine = GRID.children(wide, 9, 10).select(F.col("child").alias("cell"))
     return adaptive.inherit_parent(fine, cells, "value", 10, 9)
 
@@ -424,7 +425,7 @@ def negative_control(read):
 
 # ---- scores ---------------------------------------------------------------------------------------------------------
 
-_SEED = "(list_sum(list_transform(string_split(c_name, ''), x -> ascii(x)))::bigint % 2147483647)"
+_SEED = "(list_sum(list_transform(string_split(c_name, ''), lambda x: ascii(x)))::bigint % 2147483647)"
 _U = lambda k: f"(((seed * 1103515245 + {k}) % 2147483647) / 2147483647e0)"
 _HF = f"""(select c_custkey, 5e0 + 80e0 * {_U(1)} + 20e0 * ((seed % 1000) / 1000e0) as elevation_m, 5e-1 + 12e0 * {_U(2)} as slope_deg,
  -2e0 * ln(1e0 - least(greatest({_U(3)}, 1e-9), 1e0 - 1e-9)) as flow_accum_proxy, least(1e0, 1e-1 + 7e-1 * {_U(4)}) as impervious_frac, least(1e0, 1e-1 + 7e-1 * {_U(4)}) * (50e0 + 200e0 * {_U(5)}) as building_density,
@@ -738,7 +739,7 @@ def training_cells(read):
     x = event_cells(read).withColumn("hx_name", F.lower(F.hex("cell")))
     x = scalars.hash_features(x, "hx_name").drop("hx_name")
     x = x.withColumn("rainfall_mm_h", F.pmod("cell", F.lit(76)).cast("double") + 25)
-    return assemble.synthetic_labels(x, 0.5)
+    return cut(assemble.synthetic_labels(x, 0.5))
 
 
 def _small_fit(part):
@@ -747,7 +748,8 @@ def _small_fit(part):
 
 @query()
 def train_score(read):
-    return _small_fit(training_cells(read)).predict(training_cells(read)).select("cell", "predicted_risk", "flood_probability", "predicted_class")
+    cells = training_cells(read)
+    return _small_fit(cells).predict(cells).select("cell", "predicted_risk", "flood_probability", "predicted_class")
 
 
 @query()
@@ -795,7 +797,7 @@ def label_scale(read):
 @query()
 def study_comparison(read):
     spine = study_spine(read)
-    cells = assemble.cell_table(spine, assemble.Layers(dem=pixels(read), mode="demo"), 9)
+    cells = cut(assemble.cell_table(spine, assemble.Layers(dem=pixels(read), mode="demo"), 9))
     fitted = _small_fit(cells)
     return adaptive.adaptive_run(fitted.predict(cells), 9, 11, "predicted_risk", "flood_probability")[1]
 
