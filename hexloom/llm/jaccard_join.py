@@ -237,7 +237,8 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, tolerance: float
     blocks = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("total") / 1_000_000))
     member = member.join(sizes.select("component", blocks.alias("blocks")), "component")
     member = member.select("doc", "component", "weight", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"))
-    payload = map_arrow(member.join(texts, "doc"), _payload, "component long, first long, second long, doc long, weight long, block long, sets binary")
+    # candidates grow with the corpus, so they are merged with the texts at every size and never broadcast
+    payload = map_arrow(member.hint("merge").join(texts, "doc"), _payload, "component long, first long, second long, doc long, weight long, block long, sets binary")
     dealt = payload.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second", "doc")
     found = materialise(map_arrow(dealt, _verify(threshold, tolerance), "a long, b long, links long"), "links")
 
