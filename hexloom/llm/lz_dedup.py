@@ -46,7 +46,7 @@ def parse(block: Block, carried: dict | None, s: Stretch):
         keep = np.union1d(np.arange(len(a) - n), keep)
     index = {"h": block.h[-1], "a": a[keep], "b": b[keep], "doc": doc[keep], "place": place[keep]}
     tail = slice(len(a) - n, None)
-    return np.where(ref_doc < doc, ref_doc, -1)[tail], ref_place[tail], index
+    return (ref_doc < doc)[tail], ref_doc[tail], ref_place[tail], index
 
 
 def _remove(span_index: int, text_index: int):

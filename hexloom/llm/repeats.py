@@ -186,7 +186,7 @@ def _contexts(s: Stretch) -> Callable:
             doc, marks = batch.column(0).to_numpy(), batch.column(2)
             offsets = np.asarray(marks.offsets)
             inner = marks.values
-            h, at = inner.field(0).to_numpy(), inner.field(1).to_numpy()
+            h, at = inner.field("h").to_numpy(), inner.field("at").to_numpy()
             for a, b in pieces(batch.column(1), 1 << 22):
                 units, edge = s.units(batch.column(1).slice(a, b - a))
                 i = np.arange(offsets[a], offsets[b])
@@ -229,9 +229,9 @@ def _block(rows: list[tuple], s: Stretch) -> Block:
     return Block(np.array(h, np.int64), np.array(doc, np.int64), units, place - left[context] + edge[context], context, place)
 
 
-def spans_of(block: Block, ref_doc: np.ndarray, ref_place: np.ndarray, s: Stretch) -> pa.RecordBatch:
-    """Stretches that occurred before (ref_doc >= 0) as maximal runs in which place and reference advance together."""
-    i = np.flatnonzero(ref_doc >= 0)
+def spans_of(block: Block, before: np.ndarray, ref_doc: np.ndarray, ref_place: np.ndarray, s: Stretch) -> pa.RecordBatch:
+    """Stretches that occurred before as maximal runs in which place and reference advance together."""
+    i = np.flatnonzero(before)
     ctx, place, rd, rp = block.context[i], block.place[i], ref_doc[i], ref_place[i]
     new = np.ones(len(i), bool)
     new[1:] = (ctx[1:] != ctx[:-1]) | (place[1:] != place[:-1] + 1) | (rd[1:] != rd[:-1]) | (rp[1:] != rp[:-1] + 1)
@@ -250,8 +250,8 @@ def _match(s: Stretch, matcher: Callable) -> Callable:
         def finish():
             nonlocal carried
             block = _block(rows, s)
-            ref_doc, ref_place, carried = matcher(block, carried, s)
-            return spans_of(block, ref_doc, ref_place, s)
+            before, ref_doc, ref_place, carried = matcher(block, carried, s)
+            return spans_of(block, before, ref_doc, ref_place, s)
 
         for batch in batches:
             h, doc, at = (batch.column(i).to_numpy() for i in range(3))

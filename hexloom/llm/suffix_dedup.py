@@ -153,7 +153,7 @@ def earlier(block: Block, carried: dict | None, s: Stretch):
         order = np.argsort(merged["window"], kind="stable")
         kept = {"h": kept["h"]} | {k: v[order] for k, v in merged.items()}
     before = (ref_doc < doc) | ((ref_doc == doc) & (ref_place < block.place))
-    return np.where(before, ref_doc, -1), ref_place, kept
+    return before, ref_doc, ref_place, kept
 
 
 def _remove(span_index: int, text_index: int):
