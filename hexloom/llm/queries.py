@@ -9,6 +9,7 @@ from .language import op10_crf_language
 from .licences import op7_license_digests
 from .licences import sql as licence_sql
 from .lz_dedup import op6_lempel_ziv_dedup
+from .oracles import ARCHIVES, CONTAINMENT, JACCARD, VECTORS, WORD_REPEATS
 from .packing import op1_best_fit_packing
 from .sharding import op4_stratified_interleave
 from .suffix_dedup import op9_suffix_array_dedup
@@ -26,4 +27,11 @@ QUERIES = {f.__name__: f for f in (
     op9_suffix_array_dedup,
     op10_crf_language,
 )}
-SQL = {"op7_license_digests": licence_sql()}
+SQL = {
+    "op2_archive_index": ARCHIVES,
+    "op3_inverted_multi_index": VECTORS,
+    "op5_containment_search": CONTAINMENT,
+    "op6_lempel_ziv_dedup": WORD_REPEATS,
+    "op7_license_digests": licence_sql(),
+    "op8_bayesian_jaccard_join": JACCARD,
+}
