@@ -135,6 +135,12 @@ def scenarios(models: RiskModels, cells: DataFrame, rates: Sequence[tuple[str, f
     return models.predict(x).withColumn("PFI_h", F.col("predicted_risk"))
 
 
+def joined_scores(observed: DataFrame, oof: DataFrame, scored: DataFrame, scenario: str) -> DataFrame:
+    """cell, observed risk, out-of-fold probability and the scenario's PFI_h, where all three are there."""
+    x = observed.select("cell", F.col(RISK).alias("observed_risk")).join(oof.select("cell", "flood_probability"), "cell")
+    return x.join(scored.where(F.col("scenario") == scenario).select("cell", "PFI_h"), "cell").dropna()
+
+
 def scenario_range(scored: DataFrame) -> DataFrame:
     """Greatest less least PFI_h of each cell over its scenarios: 0 everywhere if training rain never varied."""
     return scored.groupBy("cell").agg((F.max("PFI_h") - F.min("PFI_h")).alias("pfi_range"))

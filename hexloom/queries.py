@@ -771,6 +771,15 @@ def scenarios_pfi(read):
     return scored.select("cell", "scenario", "rainfall_mm_h", "PFI_h", "flood_probability")
 
 
+@query(f"select e.cell, {r('e.value', 'observed_risk')}, {r('(e.cell % 1009 + 1009) % 1009 / 1008e0', 'flood_probability')}, {r('e.n / 100e0', 'PFI_h')} from {MEANS} e where e.n > 1 and e.value > 5")
+def score_join(read):
+    x = event_cells(read)
+    oof = x.where("value > 5").select("cell", (F.pmod("cell", F.lit(1009)) / 1008.0).alias("flood_probability"))
+    n = points.point_count(event_points(read)).where("point_count > 1")
+    scored = n.select("cell", F.lit("heavy").alias("scenario"), (F.col("point_count") / 100.0).alias("PFI_h"))
+    return models.joined_scores(x.withColumnRenamed("value", RISK), oof, scored, "heavy")
+
+
 def study_layers(read) -> assemble.Layers:
     return assemble.Layers(dem=pixels(read), buildings=event_points(read).select("lon", "lat"), streams=supplier_segments(read), flood_points=event_points(read).where("event_type = 'error'").select("lon", "lat"), coastal=supplier_boxes(read), mode="opendata")
 
@@ -806,11 +815,11 @@ def study_comparison(read):
 
 
 def _stream(read):
+    """Error events as a stream: of the files of a folder, or of the one file of that name."""
     table = read("events")
-    spark = table.sparkSession
-    path = table.inputFiles()[0].rsplit("/", 1)
-    folder = path[0] if path[0].endswith(".parquet") else "/".join(path)
-    stream = spark.readStream.schema(table.schema).parquet(folder)
+    folder, _, file = table.inputFiles()[0].rpartition("/")
+    reader = table.sparkSession.readStream.schema(table.schema)
+    stream = reader.parquet(folder) if folder.endswith(".parquet") else reader.option("pathGlobFilter", file).parquet(folder)
     return located(stream.where("event_type = 'error'"), "event_id")
 
 
@@ -828,14 +837,14 @@ _WIN = f"select time_bucket(interval 1 hour, ts) as window_start, cell, count(*)
 @query(_WIN)
 def incident_windows(read):
     counts = incidents.windowed_counts(_stream(read), "1 hour", late="3650 days")
-    return incidents.run_available(counts, _stream_path(read("events").sparkSession))
+    return incidents.run_available(counts, _stream_path(read("events").sparkSession)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(_WIN)
 def incident_windows_once(read):
     """The batch form, with repeated incidents counted once."""
     x = located(read("events").where("event_type = 'error'"), "event_id")
-    return incidents.windowed_counts(x.union(x), "1 hour", once="event_id")
+    return incidents.windowed_counts(x.union(x), "1 hour", once="event_id").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query()

@@ -14,7 +14,7 @@ def windowed_counts(incidents: DataFrame, size: str = "1 hour", slide: str | Non
 
     The same for a stream and for a table. A stream drops rows that come later than ``late``.
     """
-    x = incidents.withWatermark("ts", late)
+    x = incidents.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     if once is not None:
         x = x.dropDuplicatesWithinWatermark([once]) if incidents.isStreaming else x.dropDuplicates([once])
     x = grid.with_cell(x, res=res).where("cell is not null and ts is not null")

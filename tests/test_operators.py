@@ -27,7 +27,7 @@ def test_published_set_formulas(spark):
 
 
 def test_published_adaptive_counts(spark):
-    near = GRID.disk(spark.createDataFrame([(-74.0, 40.7)], "lon double, lat double").transform(lambda d: GRID.with_cell(d)).select("cell"), 6).select(F.col("near").alias("cell")).limit(141)
+    near = GRID.disk(spark.createDataFrame([(-74.0, 40.7)], "lon double, lat double").transform(lambda d: GRID.with_cell(d)).select("cell"), 7).select(F.col("near").alias("cell")).limit(141)
     x = near.orderBy("cell").withColumn("score", F.row_number().over(__import__("pyspark").sql.Window.orderBy("cell")).cast("double"))
     refined = x.orderBy("cell").limit(79).select("cell")
     assert adaptive.mixed_cells(x, refined, 9, 11).count() == 79 * 49 + 62
