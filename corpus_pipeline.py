@@ -12,8 +12,9 @@ from hexloom.llm.language import UNKNOWN, identify, train
 from hexloom.llm.packing import pack
 from hexloom.llm.suffix_dedup import remove_repeated_bytes
 
-#: A document whose words lean to no language by half on average is rejected.
-LEAST_SCORE = 0.5
+#: A document whose words lean to no language is rejected: its best one has less than this mean chance. Documents that
+#: switch between two languages have about a half and stay.
+LEAST_SCORE = 0.35
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
