@@ -171,8 +171,10 @@ def held_out(id_col: str):
 def train(docs: DataFrame, sample_rows: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ChainCRF:
     """Fit on the ``sample_rows`` labelled documents, at most, with the least hashed ids that aren't held out."""
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    order = F.xxhash64(F.lit(29), F.col(id_col))
-    sample = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), order.alias("at"), F.col(id_col).alias("id"))
+    # only about as many rows as are wanted reach the sort: those under a cut of the hash that the count gives
+    order = F.pmod(F.xxhash64(F.lit(29), F.col(id_col)), F.lit(1 << 40))
+    share = min(1.0, 1.3 * sample_rows / max(1, labelled.count()))
+    sample = labelled.where(order <= int(share * (1 << 40))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), order.alias("at"), F.col(id_col).alias("id"))
     sample = sample.orderBy("at", "id", "text").limit(sample_rows).toArrow().combine_chunks()
     langs = np.array(sample.column("lang").to_pylist(), object)
     labels = sorted(set(langs))
