@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hexgrid import GRID, HexGrid
 from ..functions.order import quantile
 from ..functions.scalars import clean
+from ..functions.storage import cut
 from .rollup import pyramid
 
 
@@ -53,12 +54,12 @@ def resolution_ladder(cells: DataFrame, value: str, res: int, levels: list[int]
     levels come from one pass over the ancestors; thresholds are a few rows that are joined back.
     """
     levels = [r for r in (range(max(0, res - 3), res) if levels is None else sorted(set(levels))) if r < res]
-    v = cells.select("cell", clean(F.col(value).cast("double")).alias("v"))
+    v = cut(cells.select("cell", clean(F.col(value).cast("double")).alias("v")))  # it is read several times for each quantile
     cuts = None
     for q in quantiles:
         one = quantile(v, "v", q, "fine_hotspot_threshold").withColumn("hotspot_quantile", F.lit(float(q)))
         cuts = one if cuts is None else cuts.union(one)
-    n_fine = cells.agg(F.count(F.lit(1)).alias("n_fine"))
+    n_fine = v.agg(F.count(F.lit(1)).alias("n_fine"))
     hot = [F.max((F.col("v") >= F.col(f"hx_t{k}")).cast("int")).alias(f"hx_hot{k}") for k in range(len(quantiles))]
     cut_map = cuts.groupBy().agg(*[F.max(F.when(F.col("hotspot_quantile") == q, F.col("fine_hotspot_threshold"))).alias(f"hx_t{k}") for k, q in enumerate(quantiles)])
     x = grid.with_ancestors(v.crossJoin(F.broadcast(cut_map)), res, levels)
