@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import components, local_components, map_arrow, materialise, with_group
 
 CHUNKS = 1 << 20
+#: How finely the reach of real pairs is told.
+NEED_BINS = 4096
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -91,22 +93,51 @@ class Grid:
         return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(cells or [np.zeros(0, np.int64)])
 
 
-def traversal_limit(grid: Grid, sample: np.ndarray, threshold: float, target_recall: float, seed: int = 11) -> float:
-    """How far visits must go to meet pairs right at the threshold, the hardest, with the target recall.
+def lossless_limit(threshold: float) -> float:
+    """No two vectors of that cosine lie further apart than this (squared), whatever their directions."""
+    return 2 * (1 - threshold) + 1e-9
 
-    Each sampled vector gets a partner in a random direction at exactly that cosine; a pair is met if either visits the
-    other's cell.
+
+def _needs(grid: Grid, ids: np.ndarray, x: np.ndarray, threshold: float):
+    """Counts of real pairs (query, row) by how far a visit must go to meet them, in bins up to the lossless limit."""
+    q_near, q_bounds = grid.reach(x)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(NEED_BINS, np.int64)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                rows, row_ids = unit_rows(batch.column(1)), batch.column(0).to_numpy()
+                q, m = np.nonzero(x @ rows.T >= threshold)
+                other = ids[q] != row_ids[m]
+                q, m = q[other], m[other]
+                if not len(q):
+                    continue
+                near, bounds = grid.reach(rows)
+                forth = q_bounds[0][q, near[0][m]] + q_bounds[1][q, near[1][m]]
+                back = bounds[0][m, q_near[0][q]] + bounds[1][m, q_near[1][q]]
+                need = np.minimum(forth, back) * (NEED_BINS / lossless_limit(threshold))
+                seen += np.bincount(np.minimum(need.astype(np.int64), NEED_BINS - 1), minlength=NEED_BINS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bin", "n"])
+
+    return run
+
+
+def traversal_limit(needs: dict[int, int], threshold: float, target_recall: float) -> float:
+    """How far visits must go to meet the counted pairs; half of what the target lets them miss is left for chance.
+
+    Where too few pairs were seen to tell, it is the lossless limit.
     """
-    rng = np.random.default_rng(seed)
-    noise = rng.normal(size=sample.shape)
-    noise -= (noise * sample).sum(1, keepdims=True) * sample
-    noise /= np.maximum(np.sqrt((noise * noise).sum(1, keepdims=True)), 1e-300)
-    other = threshold * sample + np.sqrt(1 - threshold**2) * noise
-    (near_a, bound_a), (near_b, bound_b) = grid.reach(sample), grid.reach(other)
-    i = np.arange(len(sample))
-    forth = bound_a[0][i, near_b[0]] + bound_a[1][i, near_b[1]]
-    back = bound_b[0][i, near_a[0]] + bound_b[1][i, near_a[1]]
-    return float(min(np.quantile(np.minimum(forth, back), target_recall) * 1.1 + 1e-9, 2 * (1 - threshold)))
+    most, total, left = lossless_limit(threshold), sum(needs.values()), 1 - target_recall
+    if total * left < 2:
+        return most
+    met = 0
+    for k in sorted(needs):
+        met += needs[k]
+        if met >= total * (1 - left / 2):
+            break
+    return most * (k + 1) / NEED_BINS
 
 
 def _cells(grid: Grid):
@@ -121,10 +152,12 @@ def _cells(grid: Grid):
 def _dealt(grid: Grid, limit: float, chunks: dict[int, int]):
     """Each vector as a member of its cell, and as a visitor of every chunk of every cell in its reach."""
 
+    step = max(16, min(1000, 2_000_000 // (len(grid.books[0]) * grid.width)))
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
+            for k in range(0, whole.num_rows, step):
+                batch = whole.slice(k, step)
                 x, ids = unit_rows(batch.column(2)), batch.column(0).to_numpy()
                 own = grid.cells(x)
                 member = own * CHUNKS + np.array([i % chunks.get(c, 1) for i, c in zip(ids.tolist(), own.tolist(), strict=True)], np.int64)
@@ -132,10 +165,12 @@ def _dealt(grid: Grid, limit: float, chunks: dict[int, int]):
                 n = np.array([chunks.get(c, 1) for c in cell.tolist()], np.int64)
                 row, cell = np.repeat(row, n), np.repeat(cell, n)
                 part = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)
-                take = pa.array(np.concatenate([np.arange(len(x)), row]))
+                take = np.concatenate([np.arange(len(x)), row])
                 group = np.concatenate([member, cell * CHUNKS + part])
                 visitor = np.concatenate([np.zeros(len(x), bool), np.ones(len(row), bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(visitor), *(batch.column(i).take(take) for i in range(3))], ["group", "visitor", "id", "weight", "v"])
+                for a in range(0, len(take), 10_000):
+                    some, rows = slice(a, a + 10_000), pa.array(take[a : a + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(group[some]), pa.array(visitor[some]), *(batch.column(i).take(rows) for i in range(3))], ["group", "visitor", "id", "weight", "v"])
 
     return run
 
@@ -194,12 +229,16 @@ def near_vectors(
     most_centroids: int = 256,
     target_recall: float = 0.999,
     chunk_rows: int = 4096,
+    query_rows: int = 2048,
 ) -> DataFrame:
     """A row for each row of vectors: id, n_links, component_id, kept.
 
     Vectors link at cosine >= threshold in double precision. Equal vectors stand for one with a weight. Codebooks of
     both halves are fitted on ``sample_rows`` vectors at most (those with the least hashed ids); every vector is
-    indexed under its product cell and visits the cells within the calibrated reach. Cells are cut into chunks of about
+    indexed under its product cell and visits the cells within the calibrated reach: that of the real pairs which
+    ``query_rows`` of the sampled vectors form with all rows, compared by brute force in tasks, or the lossless one where
+    those pairs are too few to tell. If so many cells are in reach that the grid saves little, all vectors are one cell,
+    and every pair is compared. Cells are cut into chunks of about
     ``chunk_rows`` members, so a cell that a third of all vectors fall into is many tasks, and a task keeps one chunk
     while visitors stream by. Tasks return counts and spanning edges, never pairs.
 
@@ -221,10 +260,16 @@ def near_vectors(
         # about sample_rows vectors lie under a cut of the hash; no more reach the sort
         order, share = F.pmod(F.xxhash64("id"), F.lit(1 << 40)), min(1.0, 1.3 * sample_rows / n)
         few = reps.where(order <= int(share * (1 << 40))).orderBy(order, "id").limit(sample_rows)
-        sample = unit_rows(few.select("v").toArrow().column(0).combine_chunks())
+        few = few.select("id", "v").toArrow().combine_chunks()
+        sample_ids, sample = few.column(0).to_numpy(), unit_rows(few.column(1).combine_chunks())
         k = int(min(most_centroids, max(1, round((n / per_cell) ** 0.5))))
         grid = Grid(tuple(kmeans(np.ascontiguousarray(h), k) for h in halves(sample)))
-        limit = traversal_limit(grid, sample[:4096], threshold, target_recall)
+        needs = map_arrow(reps.select("id", "v"), _needs(grid, sample_ids[:query_rows], sample[:query_rows], threshold), "bin long, n long")
+        needs = {r[0]: r[1] for r in needs.groupBy("bin").agg(F.sum("n")).collect()}  # at most NEED_BINS
+        limit = traversal_limit(needs, threshold, target_recall)
+        reached = len(grid.visits(sample[:256], limit)[0]) / len(sample[:256])
+        if reached > max(4 * n / chunk_rows, len(grid.books[0]) * grid.width / 8):
+            grid = Grid(tuple(h.mean(axis=0, keepdims=True) for h in halves(sample)))
         counts = map_arrow(reps.select("v"), _cells(grid), "cell long").groupBy("cell").count().where(F.col("count") > chunk_rows).collect()
         chunks = {r[0]: -(-r[1] // chunk_rows) for r in counts}  # at most most_centroids squared
         kind = dict(reps.dtypes)["v"]

@@ -51,6 +51,18 @@ def test_vectors(spark, chunk_rows):
     assert near_vectors(table.limit(0)).count() == 0 and near_vectors(table.where("vec_id >= 503 and vec_id <= 508")).count() == 6
 
 
+def test_vectors_near_a_subspace(spark):
+    from hexloom.llm.vector_dedup import near_vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 4)) @ rng.normal(size=(4, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((x @ x.T >= 0.95).sum()) - len(x)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = near_vectors(table, per_cell=20).agg(F.sum("n_links")).first()[0]
+    assert 0.998 * want <= got <= want
+
+
 def test_loser_tree():
     from hexloom.llm.archives import LoserTree
 
