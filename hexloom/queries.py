@@ -742,32 +742,28 @@ def training_cells(read):
     return cut(assemble.synthetic_labels(x, 0.5))
 
 
-def _small_fit(part):
-    return models.fit_models(part, classifier=models.boosted_classifier(trees=10), regressor=models.boosted_regressor(trees=10))
-
-
 @query()
 def train_score(read):
     cells = training_cells(read)
-    return _small_fit(cells).predict(cells).select("cell", "predicted_risk", "flood_probability", "predicted_class")
+    return models.fit_models(cells).predict(cells).select("cell", "predicted_risk", "flood_probability", "predicted_class")
 
 
 @query()
 def cv_oof(read):
-    x = folds.with_folds(folds.with_block(training_cells(read), 9, 3), 3)
-    return models.cross_validate(x, _small_fit).select("cell", "block", "fold_id", CLASS, "flood_probability", "predicted_class", "predicted_risk")
+    x = folds.with_folds(folds.with_block(training_cells(read), 9, 3))
+    return models.cross_validate(x).select("cell", "block", "fold_id", CLASS, "flood_probability", "predicted_class", "predicted_risk")
 
 
 @query()
 def baselines_cv(read):
-    x = folds.with_folds(folds.with_block(training_cells(read), 9, 3), 3)
+    x = folds.with_folds(folds.with_block(training_cells(read), 9, 3))
     return models.baseline_table(x)
 
 
 @query()
 def scenarios_pfi(read):
     cells = training_cells(read)
-    scored = models.scenarios(_small_fit(cells), cells.drop(RISK, CLASS), RATES)
+    scored = models.scenarios(models.fit_models(cells), cells.drop(RISK, CLASS), RATES)
     return scored.select("cell", "scenario", "rainfall_mm_h", "PFI_h", "flood_probability")
 
 
@@ -807,7 +803,7 @@ def label_scale(read):
 def study_comparison(read):
     spine = study_spine(read)
     cells = cut(assemble.cell_table(spine, assemble.Layers(dem=pixels(read), mode="demo"), 9))
-    fitted = _small_fit(cells)
+    fitted = models.fit_models(cells)
     return adaptive.adaptive_run(fitted.predict(cells), 9, 11, "predicted_risk", "flood_probability")[1]
 
 
@@ -850,7 +846,7 @@ def incident_windows_once(read):
 @query()
 def live_risk(read):
     cells = training_cells(read)
-    fitted = _small_fit(cells)
+    fitted = models.fit_models(cells)
     readings = _stream(read).select("event_id", "ts", "lon", "lat", (F.col("value") + 20).alias("rainfall_mm_h"))
     scored = incidents.live_risk(readings, cells.drop(RISK, CLASS, "value"), fitted).select("event_id", "cell", "rainfall_mm_h", "PFI_h")
     return incidents.run_available(scored, _stream_path(cells.sparkSession), "append")

@@ -63,6 +63,37 @@ def test_queries_match_their_sql(spark, name):
     assert text(got) == text(want)
 
 
+def test_registered_models_are_whole(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    trees, n_folds = [], []
+
+    def watch(make):
+        def made(*args, **more):
+            trees.append(make(*args, **more).getStages()[-1].getMaxIter())
+            raise Stop
+
+        return made
+
+    monkeypatch.setattr(models, "boosted_classifier", watch(models.boosted_classifier))
+    for name in ("train_score", "scenarios_pfi", "study_comparison", "live_risk", "cv_oof"):
+        with pytest.raises(Stop):
+            queries.QUERIES[name](spark, SF)
+    assert len(trees) >= 5 and set(trees) == {80}
+
+    def count(cells, *rest):
+        n_folds.append(cells.select("fold_id").distinct().count())
+        raise Stop
+
+    monkeypatch.setattr(models, "cross_validate", count)
+    monkeypatch.setattr(models, "baseline_table", count)
+    for name in ("cv_oof", "baselines_cv"):
+        with pytest.raises(Stop):
+            queries.QUERIES[name](spark, SF)
+    assert n_folds == [5, 5]
+
+
 def test_entry(spark):
     import __spark_entry__
 
