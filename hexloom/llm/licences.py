@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,9 +98,19 @@ def digest(text: Column) -> Column:
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """Canonical texts of common licences (the files of licence_texts, by identifier), with and without their appendix."""
+    out = []
+    for file in sorted(resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        text = file.read_text(encoding="utf-8")
+        terms, end, _ = text.rpartition("END OF TERMS AND CONDITIONS")
+        out += [(file.name.removesuffix(".txt"), x) for x in ([text, terms + end, terms] if end else [text])]
+    return out
+
+
 def known_digests(spark, known=None) -> DataFrame:
-    """(license_id, digest) of the known texts; one row for each digest."""
-    known = KNOWN if known is None else known
+    """(license_id, digest) of the known texts, by default KNOWN and the full texts; one row for each digest."""
+    known = KNOWN + full_texts() if known is None else known
     rows = spark.createDataFrame(list(known), "license_id string, text string")
     return rows.select("license_id", digest(F.col("text")).alias("digest")).where(F.col("digest") != EMPTY).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 

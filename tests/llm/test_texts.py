@@ -240,6 +240,19 @@ def test_written_shards(spark, table, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 3
 
 
+def test_full_licence_texts(spark):
+    from hexloom.llm.licences import full_texts, known_digests, license_matches
+
+    ids = {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "BSL-1.0", "CC0-1.0"}
+    texts = dict(reversed(full_texts()))
+    assert ids <= set(texts)
+    order = sorted(texts)
+    rows = [(k, "\n\n  " + " ".join(texts[i].upper().split(" ")) + "\n") for k, i in enumerate(order)]
+    rows += [(100, texts["Apache-2.0"].split("APPENDIX")[0]), (101, texts["MPL-2.0"] + " more")]
+    got = license_matches(spark.createDataFrame(rows, "doc_id long, text string"), known_digests(spark)).where("scope = 'document'").collect()
+    assert {(r.doc_id, r.license_id) for r in got} == {*enumerate(order), (100, "Apache-2.0")}
+
+
 def test_licences(spark):
     from hexloom.llm.licences import KNOWN, known_digests, license_matches
 
