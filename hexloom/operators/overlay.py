@@ -128,7 +128,20 @@ def clip_segments(segments: DataFrame, box: Box, pad: float = 0.002) -> DataFram
     return x.withColumns(ends).drop("hx_a", "hx_b", "hx_miss")
 
 
-def profile_filter(points: DataFrame, profiles: DataFrame) -> DataFrame:
-    """A row for each point and each named extent (name, west, south, east, north) that holds it; extents are few."""
+def profile_filter(points: DataFrame, profiles: DataFrame, few: int = 1000, res: int = 9, most_steps: int = 16, grid: HexGrid = GRID) -> DataFrame:
+    """A row for each point and each named extent (name, west, south, east, north) that holds it.
+
+    Up to ``few`` extents are broadcast. More are listed under the cells that they can touch, and points meet them by
+    their cell; those wider than ``most_steps`` cells, or off the globe, are compared with all points.
+    """
     inside_box = (F.col("lon").between(F.col("west"), F.col("east"))) & (F.col("lat").between(F.col("south"), F.col("north")))
-    return points.join(F.broadcast(profiles.limit(1000)), inside_box).drop("west", "south", "east", "north")
+    if profiles.limit(few + 1).count() <= few:
+        return points.join(F.broadcast(profiles), inside_box).drop("west", "south", "east", "north")
+    step = most_steps * grid.spacing(res)
+    narrow = ((F.col("east") - F.col("west")) * grid.kx <= step) & ((F.col("north") - F.col("south")) * M_PER_LAT <= step)
+    on_globe = (F.col("west") >= -360) & (F.col("east") <= 360) & (F.col("south") >= -90) & (F.col("north") <= 90)
+    x = profiles.where("west <= east and south <= north").withColumn("hx_narrow", narrow & on_globe)
+    near = window_cells(x.where("hx_narrow").drop("hx_narrow"), *[F.col(c) for c in ("west", "south", "east", "north")], res, grid, "hx_at")
+    by_cell = grid.with_cell(points, res=res, name="hx_at").join(near, "hx_at").where(inside_box).drop("hx_at")
+    whole = points.join(x.where("not hx_narrow").drop("hx_narrow"), inside_box)
+    return by_cell.unionByName(whole).drop("west", "south", "east", "north")

@@ -82,6 +82,18 @@ def cells_around(spark, k=3):
     return cells.select("cell", F.expr(lon).alias("lon"), F.expr(lat).alias("lat"))
 
 
+def test_no_extent_is_dropped(spark):
+    pts = spark.createDataFrame([(k, -74.0 + k * 1e-3, 40.7 + k * 7e-4) for k in range(40)], "id int, lon double, lat double")
+    boxes = [(f"b{k}", -74.01 + k * 4e-5, 40.69 + k * 3e-5, -74.008 + k * 4e-5, 40.693 + k * 3e-5) for k in range(1200)]
+    boxes += [("wide", -180.0, -90.0, 180.0, 90.0), ("endless", float("-inf"), -90.0, float("inf"), 90.0), ("turned", -73.0, 40.0, -75.0, 41.0), ("none", None, 40.0, -73.0, 41.0)]
+    boxes += [("dot", -74.0, 40.7, -74.0, 40.7)]
+    extents = spark.createDataFrame(boxes, "name string, west double, south double, east double, north double")
+    want = sorted((r.id, b[0]) for r in pts.collect() for b in boxes if b[1] is not None and b[1] <= r.lon <= b[3] and b[2] <= r.lat <= b[4])
+    got = overlay.profile_filter(pts, extents)
+    assert got.columns == ["id", "lon", "lat", "name"] and sorted((r.id, r.name) for r in got.collect()) == want
+    assert {"wide", "endless", "dot"} < {n for _, n in want} and len(want) > 100
+
+
 def test_overlapping_polygons_count_once_and_holes_not(spark):
     cells = cells_around(spark)
     box = spark.createDataFrame([(-75.0, 40.0, -73.0, 41.0)] * 2, "w double, s double, e double, n double")
