@@ -787,7 +787,7 @@ def study_spine(read) -> DataFrame:
 
 @query()
 def cell_table(read):
-    x = assemble.cell_table(study_spine(read), study_layers(read), 9, depth=2)
+    x = assemble.cell_table(study_spine(read), study_layers(read), 9)
     return x.withColumn("observed_feature_cols", F.array_join("observed_feature_cols", ","))
 
 
