@@ -75,6 +75,7 @@ def pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 
 #: Bytes that part words: the six ASCII blanks, or all ASCII that is neither letter nor digit.
+#: All other characters count as letters, so a text without ASCII blanks, as in Chinese or Thai, is one or a few words.
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 NOT_WORD = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
