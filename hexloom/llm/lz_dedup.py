@@ -3,50 +3,68 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .kernels import BYTE_BASE, WORD_BASE, Rolling
-from .repeats import Block, Stretch, repeated_spans, row_spans, with_spans
+from .repeats import MANY, Stretch, base_table, row_spans, settled_spans, with_spans
 
 GRAM = 13
+MADE = ["n_words", "n_removed", "kept_sha256", "hx_kept"]
+
+
+class Reference:
+    """A block of earlier texts, indexed by every run of ``span`` words in it: its first document and place there."""
+
+    def __init__(self, span: int):
+        self.span = span
+        self.index: dict[bytes, tuple[int, list[bytes], int]] = {}
+
+    def factors(self, doc: int, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Parse the words greedily into factors of ``span`` words at least that the block has of other documents; add the rest to it.
+
+        Where the next ``span`` words are in the block, the factor grows word by word while the block's text goes on
+        alike. It ends at the first word that differs, and the next factor is looked for from the first run on that
+        reaches over this boundary, so no run that begins inside a factor and ends beyond it is missed. Texts must come
+        in the order of their documents.
+        """
+        span, text = self.span, b" ".join(words)
+        edge = [0, *accumulate(len(w) + 1 for w in words)]
+        at, last = 0, len(words) - span
+        while at <= last:
+            run = text[edge[at] : edge[at + span] - 1]
+            ref_doc, ref, place = self.index.setdefault(run, (doc, words, at))
+            if ref_doc == doc:
+                at += 1
+                continue
+            n, most = span, min(len(words) - at, len(ref) - place)
+            while n < most and words[at + n] == ref[place + n]:
+                n += 1
+            yield at, at + n
+            at += n - span + 1
+
+
+def _parse(s: Stretch):
+    """The texts of one gram make one reference block, which is dropped at the next gram."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        key, block = None, Reference(s.span)
+        for batch in batches:
+            done, waits = settled_spans(batch)
+            yield done
+            out: list[list[int]] = [[], [], []]
+            for k, doc, lo, text in zip(*(waits.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                if k != key:
+                    key, block = k, Reference(s.span)
+                for a, b in block.factors(doc, text.split()):
+                    for column, value in zip(out, (doc, lo + a, lo + b), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["doc", "lo", "hi"])
 
-
-def parse(block: Block, carried: dict | None, s: Stretch):
-    """Matcher of a reference block: factors each context against the block's index of ``span``-word stretches.
-
-    The index holds the first place of every distinct stretch (two hashes, 128 bits). A factor begins where a stretch
-    is found in the index and grows greedily while the next stretch is found at the next place of the same reference;
-    where it ends, the stretches over the boundary are looked up anew, so that none that begins inside a factor and
-    ends beyond it is missed. References lie in documents with smaller ids. Stretches of one gram may continue from the
-    block before, whose index is searched as well.
-    """
-    end = block.starts + s.span
-    a = Rolling(block.units, WORD_BASE).of(block.starts, end)
-    b = Rolling(block.units, BYTE_BASE).of(block.starts, end)
-    doc, n = block.doc[block.context], len(block.starts)
-    place = block.place
-    from_before = carried is not None and carried["h"] == block.h[0]
-    if from_before:
-        a, b = np.concatenate([carried["a"], a]), np.concatenate([carried["b"], b])
-        doc, place = np.concatenate([carried["doc"], doc]), np.concatenate([carried["place"], place])
-    order = np.lexsort((np.arange(len(a)), b, a))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    heads = np.flatnonzero(new)
-    first_of = np.empty(len(a), np.int64)
-    first_of[order] = np.repeat(order[heads], np.diff(np.append(heads, len(a))))
-    ref_doc, ref_place = doc[first_of], place[first_of]
-    keep = np.unique(first_of[len(a) - n :][block.h[block.context] == block.h[-1]])
-    if from_before and carried["h"] == block.h[-1]:
-        keep = np.union1d(np.arange(len(a) - n), keep)
-    index = {"h": block.h[-1], "a": a[keep], "b": b[keep], "doc": doc[keep], "place": place[keep]}
-    tail = slice(len(a) - n, None)
-    return (ref_doc < doc)[tail], ref_doc[tail], ref_place[tail], index
+    return run
 
 
 def _remove(span_index: int, text_index: int):
@@ -56,35 +74,34 @@ def _remove(span_index: int, text_index: int):
             for text, spans in zip(batch.column(text_index), row_spans(batch.column(span_index)), strict=True):
                 # bytes.split() parts at exactly the six ASCII blanks
                 words = (text.as_py() or "").encode().split()
-                n, removed = len(words), 0
+                n, kept = len(words), words
                 if spans is not None:
-                    lo, hi = spans
-                    removed = int((hi - lo).sum())
+                    lo, hi = (x.clip(0, n) for x in spans)
                     edges = zip([0, *hi.tolist()], [*lo.tolist(), n], strict=True)
-                    words = [w for x, y in edges for w in words[x:y]]
-                kept = b" ".join(words)
-                for column, value in zip(out, (n, removed, hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
+                    kept = [w for x, y in edges for w in words[x:y]]
+                raw = b" ".join(kept)
+                for column, value in zip(out, (n, n - len(kept), hashlib.sha256(raw).hexdigest(), raw.decode()), strict=True):
                     column.append(value)
             added = [pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             rest = [i for i in range(batch.num_columns) if i not in (span_index, text_index)]
-            names = [batch.schema.names[i] for i in rest] + ["n_words", "n_removed", "kept_sha256", "hx_kept"]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + added, names)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + added, [batch.schema.names[i] for i in rest] + MADE)
 
     return run
 
 
-def remove_repeated_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_words(
+    docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), many: int = MANY
+) -> DataFrame:
     """doc_id, the columns of ``carry``, n_words, n_removed, kept_sha256 and hx_kept (kept words joined by one space).
 
     A word goes if a window of ``window`` consecutive words that covers it also starts in a document with a smaller id.
-    Windows are judged on the input. A null text has no words; a text of fewer words keeps all; rows that repeat a
-    document (same id) get the same answer; a row without an id keeps all and takes nothing from others; an empty table
-    gives an empty result.
+    Windows are judged on the input, and found by comparing words. A null text has no words; a text of fewer words keeps
+    all; rows that repeat a document (same id) get the same answer; a row without an id keeps all and takes nothing from
+    others; an empty table gives an empty result; other columns are not read, and a carried one may not be named as one
+    of the result. Grams at more than ``many`` places are spread over all tasks.
     """
     s = Stretch(window, min(GRAM, window), words=True)
-    spans = repeated_spans(docs, s, parse, id_col, text_col).where("ref < doc")
-    x = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("hx_text"), *[F.col(f"`{c}`") for c in carry])
-    x = with_spans(x, spans, "doc_id")
+    x = with_spans(base_table(docs, id_col, text_col, carry, MADE), s, _parse(s), many)
     names = x.columns
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema if f.name not in ("hx_spans", "hx_text"))
     return map_arrow(x, _remove(names.index("hx_spans"), names.index("hx_text")), f"{rest}, n_words long, n_removed long, kept_sha256 string, hx_kept string")

@@ -1,40 +1,40 @@
-"""Finding repeated stretches of a fixed span (words or bytes) in a corpus without comparing documents pairwise.
+"""Bringing together the places where texts repeat a stretch of a fixed span (words or bytes), without comparing documents pairwise.
 
 Every stretch of ``span`` units holds grams of ``gram`` units; the gram with the least hash owns the stretch. Equal
-stretches have equal owners at equal places, so they meet under the owner's hash. An owner's context, the units that any
-stretch it owns can cover, is hashed as well:
-
-1. ``census``: each document gives a row (gram hash, context hash, document, place) for each owner. Sorted by those
-   columns, all but the first row of one context are copies: the stretches they own are repeats, and no text was moved.
-2. A gram with one context only needs nothing more. Where contexts of one gram differ (the text was edited, or a passage
-   ends there), the first row of each context is ``mixed``, and only those contexts are shipped as text.
-3. ``match``: mixed contexts are dealt by gram hash, sorted by gram, document and place, and read in blocks of bounded
-   size; the operator's own matcher (suffix array or Lempel-Ziv parse) finds in each block which stretches occurred before.
-
-Sorting spills to disk and the readers keep a block and a few carried rows, so one frequent gram costs time, not memory.
-Copies within one Arrow batch are resolved before the shuffle, which takes most rows off a passage that many documents
-share.
+stretches have equal owners at equal places, so they meet under the owner's hash. Hashes only bring strings together:
+
+1. ``census``: each document gives the hashes of its owners. A gram that one document alone holds (one place alone, for
+   bytes) can repeat nothing. Documents are told which of their grams are held elsewhere.
+2. ``contexts``: of each such gram the text that the stretches owned by it cover is shipped, dealt by the gram and sorted by
+   document and place.
+3. The operator's own matcher (Lempel-Ziv parse, suffix array) reads those strings and alone decides what is repeated, by
+   comparing words or bytes.
+
+A gram with more than ``many`` places is hot, as at the edge of a passage that a third of all documents share. Its
+stretches are shipped one by one, dealt by a hash of each, so its work is spread over all tasks; equal ones of one Arrow
+batch are told apart from their first before the shuffle, so a stretch sends one row for each batch.
+Texts are shuffled by document once: both joins with them read the same exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
-from .kernels import BLANK, BYTE_BASE, WORD_BASE, Rolling, byte_view, mix, pieces, word_hashes
+from .common import map_arrow
+from .kernels import BLANK, BYTE_BASE, WORD_BASE, Rolling, byte_view, mix, pieces, words
 
 U = np.uint64
-PLACE = (1 << 28) - 1
-CENSUS = "h long, c long, doc long, at long, ref long"
-SPANS = "doc long, lo int, hi int, ref long, ref_lo long"
-BLOCK = 1 << 20
+#: Places in one piece of text; Arrow strings hold no more.
+PLACE = (1 << 31) - 1
+CONTEXTS = "key long, doc long, lo int, hi int, text binary"
+SPANS = "doc long, lo int, hi int"
+MANY = 2000
 
 
 @dataclass(frozen=True)
@@ -45,19 +45,39 @@ class Stretch:
     gram: int
     words: bool
 
+    def __post_init__(self):
+        if not 1 <= self.gram <= self.span:
+            raise ValueError(f"a stretch has one unit at least, and its gram no more than it: {self}")
+
     @property
     def margin(self) -> int:
         return self.span - self.gram
 
-    def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        raw, at = byte_view(texts)
-        return word_hashes(raw, at, BLANK) if self.words else (raw, at)
-
     @property
     def base(self) -> int:
         return WORD_BASE if self.words else BYTE_BASE
 
 
+@dataclass
+class Units:
+    """The units of a piece of a text column: a number for each, where its bytes begin and end, and each text's first unit."""
+
+    raw: np.ndarray
+    number: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def read(cls, texts: pa.Array, s: Stretch) -> Units:
+        raw, at = byte_view(texts)
+        if s.words:
+            begin, end, at = words(raw, at, BLANK)
+            return cls(raw, Rolling(raw, BYTE_BASE).of(begin, end), begin, end, at)
+        place = np.arange(len(raw) + 1)
+        return cls(raw, raw, place[:-1], place[1:], at)
+
+
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` neighbours."""
     n, size = len(x) - width + 1, 1
@@ -67,225 +87,151 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - size : width - size + n])
 
 
-def owners(units: np.ndarray, at: np.ndarray, s: Stretch) -> dict[str, np.ndarray]:
-    """For each gram that owns stretches: hash, context hash, document (its row), place, first and last start owned."""
-    roll = Rolling(units, s.base)
-    grams = roll.grams(s.gram)
+def owners(x: Units, s: Stretch) -> dict[str, np.ndarray]:
+    """For each gram that owns stretches: its hash (even), its text's row, and the first and last stretch owned, as places of the piece."""
+    grams = Rolling(x.number, s.base).grams(s.gram)
     width = s.margin + 1
     if len(grams) < width:
-        return {k: np.zeros(0, np.int64) for k in ("h", "c", "row", "pos", "lo", "hi")}
+        return {k: np.zeros(0, np.int64) for k in ("h", "row", "first", "last")}
     key = (grams & ~U(PLACE)) | np.arange(len(grams), dtype=U)
     owner = (sliding_least(key, width) & U(PLACE)).astype(np.int64)
     valid = np.ones(len(owner), bool)
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+    for a, b in zip(x.at[:-1].tolist(), x.at[1:].tolist(), strict=True):
         valid[max(a, b - s.span + 1) : b] = False
     start = np.flatnonzero(valid)
     own = owner[start]
     new = np.ones(len(own), bool)
     new[1:] = own[1:] != own[:-1]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(own))[: len(first)] - 1
-    pos = own[first]
-    row = np.searchsorted(at, pos, "right") - 1
-    left, right = np.maximum(at[row], pos - s.margin), np.minimum(at[row + 1], pos + s.span)
-    shape = ((pos - left) * 4096 + (right - left)).astype(U)
-    context = mix(roll.of(left, right) ^ mix(shape + U(1)))
-    return {"h": grams[pos].view(np.int64), "c": context.view(np.int64), "row": row, "pos": pos - at[row], "lo": start[first] - at[row], "hi": start[last] - at[row]}
-
-
-def pack_place(pos, lo, hi):
-    """Place, and how far before it the first and last stretch begin that it owns; sorts by place."""
-    return (pos << 16) | ((pos - lo) << 8) | (pos - hi)
-
-
-def unpack_place(at):
-    pos = at >> 16
-    return pos, pos - ((at >> 8) & 255), pos - (at & 255)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(own))[: len(head)] - 1
+    h = (grams[own[head]] & ~U(1)).view(np.int64)
+    return {"h": h, "row": np.searchsorted(x.at, start[head], "right") - 1, "first": start[head], "last": start[tail]}
 
 
 def _census(s: Stretch) -> Callable:
+    """A row for each gram of an Arrow batch: its hash and the documents that it owns stretches in, one entry a place for bytes."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = batch.column(0).to_numpy(), []
             for a, b in pieces(batch.column(1)):
-                x = owners(*s.units(batch.column(1).slice(a, b - a)), s)
-                found.append((x["h"], x["c"], ids[x["row"] + a], pack_place(x["pos"], x["lo"], x["hi"])))
+                x = owners(Units.read(batch.column(1).slice(a, b - a), s), s)
+                found.append((x["h"], ids[x["row"] + a]))
             if not found:
                 continue
-            h, c, doc, at = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
-            order = np.lexsort((at, doc, c, h))
-            h, c, doc, at = h[order], c[order], doc[order], at[order]
+            h, doc = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
             new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            copy = (doc > doc[first]) | ((doc == doc[first]) & (at > at[first]) & (not s.words))
-            ref = doc[first]
-            # copies need no partner any more: they are dealt by document
-            h = np.where(copy, mix(doc.view(U) + U(1)).view(np.int64), h)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.where(copy, 0, c)), pa.array(doc), pa.array(at), pa.array(ref, mask=~copy)], ["h", "c", "doc", "at", "ref"])
+            new[1:] = h[1:] != h[:-1]
+            if s.words:
+                other = new.copy()
+                other[1:] |= doc[1:] != doc[:-1]
+                h, doc, new = h[other], doc[other], new[other]
+            head = np.flatnonzero(new)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(h)).astype(np.int32)), pa.array(doc))
+            yield pa.RecordBatch.from_arrays([pa.array(h[head]), lists], ["h", "docs"])
 
     return run
 
 
-def _resolve(s: Stretch, batches) -> Iterator[pa.RecordBatch]:
-    """Sorted census rows: copies get the document of their context's first row; first rows of mixed grams get none.
+def _marked(marks: pa.Array, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which owners have a mark of their row, and whether the mark says that the gram is hot."""
+    offsets = np.asarray(marks.offsets)
+    value = marks.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    row = np.repeat(np.arange(len(marks)), np.diff(offsets))
+    h = value & ~1
+    together = lambda r, v: mix(v.view(U) ^ mix(r.astype(U) + U(1)))
+    have = together(row, h)
+    order = np.argsort(have)
+    have, row, h, value = have[order], row[order], h[order], value[order]
+    if not len(have):
+        return np.zeros(len(x["h"]), bool), np.zeros(len(x["h"]), bool)
+    at = np.minimum(np.searchsorted(have, together(x["row"], x["h"])), len(have) - 1)
+    known = (row[at] == x["row"]) & (h[at] == x["h"])
+    return known, known & ((value[at] & 1) == 1)
+
+
+def _contexts(s: Stretch, doc_at: int, text_at: int, marks_at: int) -> Callable:
+    def rows(key, doc, lo, hi, text) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((key, doc, lo, hi, text), kinds, strict=True)], ["key", "doc", "lo", "hi", "text"])
+
+    def hot_rows(parts: list) -> Iterator[pa.RecordBatch]:
+        """Stretches of hot grams: those that the batch has of an earlier document (or place, for bytes) are settled."""
+        key, doc, lo = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:3])
+        text = [t for part in parts for t in part[3]]
+        first: dict[bytes, int] = {}
+        out: list[list] = [[], [], [], [], []]
+        for i in np.lexsort((lo, doc)).tolist():
+            t = b" ".join(text[i].split()) if s.words else text[i]
+            d, p = int(doc[i]), int(lo[i])
+            seen = first.setdefault(t, i)
+            settled = doc[seen] < d or (not s.words and seen != i and (doc[seen], lo[seen]) < (d, p))
+            spread = int(mix(np.array([d], np.int64).view(U) + U(p))[0].view(np.int64)) if settled else int(key[i])
+            for column, value in zip(out, (spread, d, p, p + s.span, None if settled else text[i]), strict=True):
+                column.append(value)
+        yield rows(*out)
 
-    Words repeat only what another document holds, so all rows of the first document count as first rows there.
-    """
-    carry = None
-    names = ["h", "doc", "at", "ref"]
-
-    def out(h, doc, at, ref, known=True):
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(ref, pa.int64()) if known else pa.nulls(len(h), pa.int64())], names)
-
-    for batch in batches:
-        done = np.asarray(batch.column(4).is_valid())
-        h, c, doc, at = (batch.column(i).to_numpy() for i in range(4))
-        if done.any():
-            yield out(h[done], doc[done], at[done], batch.column(4).drop_null().to_numpy())
-            h, c, doc, at = h[~done], c[~done], doc[~done], at[~done]
-        if not len(h):
-            continue
-        new_h, new_c = np.ones(len(h), bool), np.ones(len(h), bool)
-        new_h[1:] = h[1:] != h[:-1]
-        new_c[1:] = new_h[1:] | (c[1:] != c[:-1])
-        if carry:
-            new_h[0] = carry["h"] != h[0]
-            new_c[0] = new_h[0] or carry["c"] != c[0]
-        first = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), -1))
-        first_doc = np.where(first >= 0, doc[first], carry["doc"] if carry else 0)
-        first_at = np.where(first >= 0, at[first], carry["at"] if carry else 0)
-        again = ~new_c & (doc == first_doc) & (at > first_at)
-        copy = ~new_c & (doc > first_doc) | again & (not s.words)
-        if copy.any():
-            yield out(h[copy], doc[copy], at[copy], first_doc[copy])
-        group = np.cumsum(new_h)
-        contexts = np.bincount(group[new_c], minlength=group[-1] + 1)
-        heads = np.flatnonzero(new_c | again & s.words)
-        waiting = []
-        if carry:
-            contexts[0] += carry["n"]
-            if contexts[0] == 1:
-                waiting = carry["waiting"]
-            elif carry["waiting"]:
-                yield out([carry["h"]] * len(carry["waiting"]), *zip(*carry["waiting"], strict=True), None, False)
-        mixed = heads[contexts[group[heads]] > 1]
-        if len(mixed):
-            yield out(h[mixed], doc[mixed], at[mixed], None, False)
-        if contexts[group[-1]] == 1:  # first rows that wait for a second context
-            lone = heads[group[heads] == group[-1]]
-            waiting = (waiting if group[-1] == 0 else []) + list(zip(doc[lone].tolist(), at[lone].tolist(), strict=True))
-        else:
-            waiting = []
-        carry = {"h": h[-1], "c": c[-1], "doc": first_doc[-1], "at": first_at[-1], "n": contexts[group[-1]], "waiting": waiting}
-
-
-def _contexts(s: Stretch) -> Callable:
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, marks = batch.column(0).to_numpy(), batch.column(2)
-            offsets = np.asarray(marks.offsets)
-            inner = marks.values
-            h, at = inner.field("h").to_numpy(), inner.field("at").to_numpy()
-            for a, b in pieces(batch.column(1), 1 << 22):
-                units, edge = s.units(batch.column(1).slice(a, b - a))
-                i = np.arange(offsets[a], offsets[b])
-                row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
-                pos = at[i] >> 16
-                left = np.maximum(0, pos - s.margin)
-                begin, end = edge[row] + left, np.minimum(edge[row + 1], edge[row] + pos + s.span)
-                size = units.itemsize
-                raw = units.tobytes()
+        for whole in batches:
+            batch, hot = whole.filter(whole.column(marks_at).is_valid()), []
+            ids = batch.column(doc_at).to_numpy()
+            for a, b in pieces(batch.column(text_at)):
+                units = Units.read(batch.column(text_at).slice(a, b - a), s)
+                x = owners(units, s)
+                known, many = _marked(batch.column(marks_at).slice(a, b - a), x)
+                raw = units.raw.tobytes()
+
+                def cut(first, last, row, key, raw=raw, units=units, a=a):
+                    begin, end = units.begin[first].tolist(), units.end[last + s.span - 1].tolist()
+                    lo = first - units.at[row]
+                    return key, ids[a + row], lo, lo + (last - first) + s.span, [raw[i:j] for i, j in zip(begin, end, strict=True)]
+
+                i = np.flatnonzero(known & ~many)
                 for k in range(0, len(i), 20_000):
-                    ctx = [raw[x * size : y * size] for x, y in zip(begin[k : k + 20_000].tolist(), end[k : k + 20_000].tolist(), strict=True)]
-                    j = slice(k, k + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[i[j]]), pa.array(doc[a + row[j]]), pa.array(at[i[j]]), pa.array(ctx, pa.binary())], ["h", "doc", "at", "ctx"])
+                    j = i[k : k + 20_000]
+                    yield rows(*cut(x["first"][j], x["last"][j], x["row"][j], x["h"][j]))
+                i = np.flatnonzero(many)
+                if len(i):
+                    n = x["last"][i] - x["first"][i] + 1
+                    first = np.repeat(x["first"][i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    key = Rolling(units.number, s.base).of(first, first + s.span).view(np.int64)
+                    key, doc, lo, _, text = cut(first, first, np.repeat(x["row"][i], n), key)
+                    hot.append((key, doc, lo, text))
+            if hot:
+                yield from hot_rows(hot)
 
     return run
 
 
-@dataclass
-class Block:
-    """Contexts of one block, in the order of gram, document and place."""
-
-    h: np.ndarray
-    doc: np.ndarray
-    units: np.ndarray
-    starts: np.ndarray  # stretches owned: their places in units
-    context: np.ndarray  # the context of each
-    place: np.ndarray  # where each starts in its document
-
-
-def _block(rows: list[tuple], s: Stretch) -> Block:
-    h, doc, at, ctx = (list(x) for x in zip(*rows, strict=True))
-    at = np.array(at, np.int64)
-    units = np.frombuffer(b"".join(ctx), U if s.words else np.uint8)
-    edge = np.concatenate([[0], np.cumsum([len(x) for x in ctx])]) // units.itemsize
-    pos, lo, hi = unpack_place(at)
-    left = np.maximum(0, pos - s.margin)
-    n = hi - lo + 1
-    context = np.repeat(np.arange(len(at)), n)
-    place = np.repeat(lo, n) + np.arange(len(context)) - np.repeat(np.cumsum(n) - n, n)
-    return Block(np.array(h, np.int64), np.array(doc, np.int64), units, place - left[context] + edge[context], context, place)
-
-
-def spans_of(block: Block, before: np.ndarray, ref_doc: np.ndarray, ref_place: np.ndarray, s: Stretch) -> pa.RecordBatch:
-    """Stretches that occurred before as maximal runs in which place and reference advance together."""
-    i = np.flatnonzero(before)
-    ctx, place, rd, rp = block.context[i], block.place[i], ref_doc[i], ref_place[i]
-    new = np.ones(len(i), bool)
-    new[1:] = (ctx[1:] != ctx[:-1]) | (place[1:] != place[:-1] + 1) | (rd[1:] != rd[:-1]) | (rp[1:] != rp[:-1] + 1)
-    a = np.flatnonzero(new)
-    b = np.append(a[1:], len(i))[: len(a)] - 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array(block.doc[ctx[a]]), pa.array(place[a].astype(np.int32)), pa.array((place[b] + s.span).astype(np.int32)), pa.array(rd[a]), pa.array(rp[a])],
-        ["doc", "lo", "hi", "ref", "ref_lo"],
-    )
-
-
-def _match(s: Stretch, matcher: Callable) -> Callable:
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        rows, size, carried = [], 0, None
-
-        def finish():
-            nonlocal carried
-            block = _block(rows, s)
-            before, ref_doc, ref_place, carried = matcher(block, carried, s)
-            return spans_of(block, before, ref_doc, ref_place, s)
-
-        for batch in batches:
-            h, doc, at = (batch.column(i).to_numpy() for i in range(3))
-            for row in zip(h.tolist(), doc.tolist(), at.tolist(), batch.column(3).to_pylist(), strict=True):
-                rows.append(row)
-                size += len(row[3])
-                if size >= BLOCK:
-                    yield finish()
-                    rows, size = [], 0
-        if rows:
-            yield finish()
+def settled_spans(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Rows of contexts that came as spans already, and those whose text is still to be matched."""
+    waits = batch.column(4).is_valid()
+    done = batch.filter(pa.compute.invert(waits))
+    return pa.RecordBatch.from_arrays([done.column(i) for i in (1, 2, 3)], ["doc", "lo", "hi"]), batch.filter(waits)
 
-    return run
 
+def with_spans(base: DataFrame, s: Stretch, matcher: Callable, many: int = MANY) -> DataFrame:
+    """base (doc_id, hx_text, and more) with hx_spans: (lo, hi) of the units that its matched stretches cover, null for none.
 
-def repeated_spans(docs: DataFrame, s: Stretch, matcher: Callable, id_col: str, text_col: str) -> DataFrame:
-    """(doc, lo, hi, ref, ref_lo): units lo to hi of doc are covered by stretches that start earlier in document ref."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    census = map_arrow(texts, _census(s), CENSUS)
-    dealt = census.repartition("h").sortWithinPartitions("h", "c", "doc", "at")
-    found = materialise(map_arrow(dealt, partial(_resolve, s), "h long, doc long, at long, ref long"), "census")
-    pos = F.shiftright("at", 16)
-    copies = found.where("ref is not null").select(
-        "doc",
-        (pos - F.shiftright("at", 8).bitwiseAND(255)).cast("int").alias("lo"),
-        (pos - F.col("at").bitwiseAND(255) + s.span).cast("int").alias("hi"),
-        "ref",
-        F.lit(-1).cast("long").alias("ref_lo"),
-    )
-    marks = found.where("ref is null").groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
-    one_text = texts.join(marks, "doc").select("doc", "text", "marks")
-    contexts = map_arrow(one_text, _contexts(s), "h long, doc long, at long, ctx binary")
-    dealt = contexts.repartition("h").sortWithinPartitions("h", "doc", "at")
-    return copies.unionByName(map_arrow(dealt, _match(s, matcher), SPANS))
+    Rows that repeat an id each get its spans. Where rows of one id differ in text, each is given the spans of both.
+    """
+    texts = base.select(F.col("doc_id").alias("doc"), F.col("hx_text").alias("text")).where("doc is not null and text is not null")
+    census = map_arrow(texts, _census(s), "h long, docs array<long>").repartition("h")
+    all_of = Window.partitionBy("h")
+    held = {"n": F.sum(F.size("docs")).over(all_of), "a": F.min(F.array_min("docs")).over(all_of), "b": F.max(F.array_max("docs")).over(all_of)}
+    census = census.withColumns(held).where("a < b" if s.words else "n > 1")
+    shared = census.select(F.explode("docs").alias("hx_doc"), F.col("h").bitwiseOR((F.col("n") > many).cast("long")).alias("mark"))
+    marks = shared.groupBy("hx_doc").agg(F.collect_set("mark").alias("hx_marks"))
+    # both joins merge the same exchange of texts; neither side is bounded, so neither is broadcast
+    marked = base.hint("merge").join(marks, F.col("doc_id") == F.col("hx_doc"), "left").drop("hx_doc")
+    names = marked.columns
+    contexts = map_arrow(marked, _contexts(s, names.index("doc_id"), names.index("hx_text"), names.index("hx_marks")), CONTEXTS)
+    dealt = contexts.repartition("key").sortWithinPartitions("key", "doc", "lo")
+    spans = map_arrow(dealt, matcher, SPANS)
+    by_doc = spans.groupBy(F.col("doc").alias("hx_doc")).agg(F.collect_set(F.struct("lo", "hi")).alias("hx_spans"))
+    return base.hint("merge").join(by_doc, F.col("doc_id") == F.col("hx_doc"), "left").drop("hx_doc")
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,12 +244,6 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], hi[np.append(first[1:], len(lo)) - 1]
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
-    """docs with the column hx_spans: the spans of each, null for none. Repeated rows each keep theirs."""
-    by_doc = spans.groupBy(F.col("doc").alias("hx_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("hx_spans"))
-    return docs.join(by_doc, F.col(f"`{id_col}`").cast("long") == F.col("hx_doc"), "left").drop("hx_doc")
-
-
 def row_spans(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
     """The merged spans of each row of hx_spans."""
     offsets, values = np.asarray(column.offsets), column.values
@@ -312,3 +252,10 @@ def row_spans(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None
     for i in range(len(column)):
         a, b = offsets[i], offsets[i + 1]
         yield merged(lo[a:b], hi[a:b]) if valid[i] and b > a else None
+
+
+def base_table(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...], made: list[str]) -> DataFrame:
+    """doc_id, hx_text and the carried columns; a carried column may not be named as one that the operator makes."""
+    if clash := {"doc_id", *made} & set(carry):
+        raise ValueError(f"columns that the operator makes can't be carried as well: {sorted(clash)}")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("hx_text"), *[F.col(f"`{c}`") for c in carry])

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .repeats import Block, Stretch, repeated_spans, row_spans, with_spans
+from .repeats import MANY, Stretch, base_table, row_spans, settled_spans, with_spans
 
 U = np.uint64
 GRAM = 20
+#: Bytes of distinct text that one suffix array holds, about.
+SHARD = 1 << 20
+MADE = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "hx_kept"]
 
 
 def first_bytes(text: np.ndarray, room: int) -> np.ndarray:
@@ -31,7 +35,8 @@ def suffix_array(text: np.ndarray, key: np.ndarray | None = None) -> np.ndarray:
     """All suffixes in order, by Larsson-Sadakane refinement.
 
     Suffixes are sorted by eight bytes; then each group of equal ones is sorted by the group numbers of the suffixes h
-    places on, h doubling each round. Groups of one are sorted and are not visited again.
+    places on, h doubling each round. Groups of one are sorted and are not visited again. Past the end of the text the
+    suffix that ends first comes first, so texts may end in zero bytes.
     """
     n = len(text)
     key = first_bytes(text, 0) if key is None else key[:n]
@@ -41,7 +46,7 @@ def suffix_array(text: np.ndarray, key: np.ndarray | None = None) -> np.ndarray:
     head[1:] = ordered[1:] != ordered[:-1]
     index = np.arange(n)
     group = np.maximum.accumulate(np.where(head, index, 0))
-    rank = np.full(n + 1, -1, np.int64)
+    rank = np.empty(n, np.int64)
     rank[sa] = group
     h = 8
     while True:
@@ -51,7 +56,9 @@ def suffix_array(text: np.ndarray, key: np.ndarray | None = None) -> np.ndarray:
         if not len(todo):
             break
         place = sa[todo]
-        both = (group[todo] << 32) | (rank[np.minimum(place + h, n)] + 1)
+        after = place + h
+        after = np.where(after < n, rank[np.minimum(after, n - 1)], n - 1 - after) + (h + 1)
+        both = (group[todo] << 32) | after
         order = np.argsort(both)
         sa[todo], both = place[order], both[order]
         new = np.ones(len(todo), bool)
@@ -107,53 +114,124 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, key: np.ndarray)
     return lcp
 
 
-def earlier(block: Block, carried: dict | None, s: Stretch):
-    """Matcher of a shard: where each stretch owned in the block started before, from the shard's suffix array.
+@dataclass
+class Carried:
+    """The distinct strings of the gram that goes on over a shard's edge, sorted, and where each starts first."""
 
-    Stretches of one gram may continue from the shard before: its distinct stretches are carried, sorted, and this
-    shard's are looked up among them by binary search.
-    """
-    key = first_bytes(block.units, s.span + 16)
-    sa = suffix_array(block.units, key)
-    lcp = common_prefixes(block.units, sa, s.span, key)
-    owned = np.full(len(block.units), -1, np.int64)
-    owned[block.starts] = np.arange(len(block.starts))
-    number = np.cumsum(lcp < s.span)
-    here = owned[sa] >= 0
-    index, group = owned[sa[here]], number[here]
-    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    first = np.minimum.reduceat(index, heads) if len(heads) else index
-    first_of = np.empty(len(block.starts), np.int64)
-    first_of[index] = np.repeat(first, np.diff(np.append(heads, len(index))))
-
-    doc = block.doc[block.context]
-    ref_doc, ref_place = doc[first_of], block.place[first_of]
-    # the windows of one hash that reaches over the shard's edges, each once, in sorted order
-    windows = np.lib.stride_tricks.sliding_window_view(block.units, s.span) if len(block.units) >= s.span else None
-
-    def strings(which: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(windows[block.starts[which]]).view(f"S{s.span}").ravel()
-
-    if carried is not None and block.h[0] == carried["h"]:
-        which = np.flatnonzero(block.h[block.context] == carried["h"])
-        heads_here = np.unique(first_of[which])
-        wanted = strings(heads_here)
-        at = np.minimum(np.searchsorted(carried["window"], wanted), len(carried["window"]) - 1)
-        hit = carried["window"][at] == wanted
-        to_doc, to_place = ref_doc.copy(), ref_place.copy()
-        to_doc[heads_here[hit]], to_place[heads_here[hit]] = carried["doc"][at[hit]], carried["place"][at[hit]]
-        ref_doc[which], ref_place[which] = to_doc[first_of[which]], to_place[first_of[which]]
-    last = np.unique(first_of[block.h[block.context] == block.h[-1]])
-    window = strings(last)
-    order = np.argsort(window)
-    kept = {"h": block.h[-1], "window": window[order], "doc": ref_doc[last][order], "place": ref_place[last][order]}
-    if carried is not None and carried["h"] == kept["h"]:
-        new = ~np.isin(kept["window"], carried["window"])
-        merged = {k: np.concatenate([carried[k], kept[k][new]]) for k in ("window", "doc", "place")}
-        order = np.argsort(merged["window"], kind="stable")
-        kept = {"h": kept["h"]} | {k: v[order] for k, v in merged.items()}
-    before = (ref_doc < doc) | ((ref_doc == doc) & (ref_place < block.place))
-    return before, ref_doc, ref_place, kept
+    key: int
+    string: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
+
+
+class Shard:
+    """Rows in the order of gram, document and place; a text that several rows have stands once, for the first of them."""
+
+    def __init__(self, span: int):
+        self.span = span
+        self.key: list[int] = []
+        self.doc: list[int] = []
+        self.lo: list[int] = []
+        self.number: list[int] = []  # of each row's text
+        self.texts: dict[bytes, int] = {}
+        self.first: list[int] = []  # the first row of each text
+        self.size = 0
+
+    def add(self, key: int, doc: int, lo: int, text: bytes) -> None:
+        n = self.texts.setdefault(text, len(self.texts))
+        if n == len(self.first):
+            self.first.append(len(self.key))
+            self.size += len(text)
+        self.key.append(key)
+        self.doc.append(doc)
+        self.lo.append(lo)
+        self.number.append(n)
+
+    def match(self, before: Carried | None) -> tuple[pa.RecordBatch, Carried]:
+        """Spans (doc, lo, hi) of the strings that start earlier in the shard, or in the shards before, and what the next shard needs.
+
+        Strings whose suffixes share ``span`` bytes or more with their neighbours in the suffix array are equal; the
+        first of each group is where it starts first. Strings of a gram that began in the shard before are looked up
+        among that one's by binary search.
+        """
+        span = self.span
+        units = np.frombuffer(b"".join(self.texts), np.uint8)
+        length = np.array([len(t) for t in self.texts], np.int64)
+        edge = np.cumsum(length) - length
+        n = length - span + 1
+        text = np.repeat(np.arange(len(n)), n)  # of each string that counts
+        inner = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        start = edge[text] + inner
+
+        head_bytes = first_bytes(units, span + 16)
+        sa = suffix_array(units, head_bytes)
+        lcp = common_prefixes(units, sa, span, head_bytes)
+        owned = np.full(len(units), -1, np.int64)
+        owned[start] = np.arange(len(start))
+        group = np.cumsum(lcp < span)
+        here = owned[sa] >= 0
+        index, group = owned[sa[here]], group[here]
+        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        first_of = np.empty(len(start), np.int64)
+        first_of[index] = np.repeat(np.minimum.reduceat(index, heads), np.diff(np.append(heads, len(index))))
+
+        key, doc, lo = (np.array(x, np.int64) for x in (self.key, self.doc, self.lo))
+        number, first = np.array(self.number), np.array(self.first)
+        own_doc, own_place = doc[first][text], lo[first][text] + inner
+        ref_doc, ref_place = own_doc[first_of], own_place[first_of]
+        windows = np.lib.stride_tricks.sliding_window_view(units, span)
+        strings = lambda which: np.ascontiguousarray(windows[start[which]]).view(f"S{span}").ravel()
+        of_key = lambda k: np.flatnonzero(key[first][text] == k)
+        if before is not None and before.key == key[0]:
+            which = of_key(before.key)
+            leads = np.unique(first_of[which])
+            wanted = strings(leads)
+            at = np.minimum(np.searchsorted(before.string, wanted), len(before.string) - 1)
+            hit = before.string[at] == wanted
+            to_doc, to_place = ref_doc.copy(), ref_place.copy()
+            to_doc[leads[hit]], to_place[leads[hit]] = before.doc[at[hit]], before.place[at[hit]]
+            ref_doc[which], ref_place[which] = to_doc[first_of[which]], to_place[first_of[which]]
+        last = np.unique(first_of[of_key(key[-1])])
+        kept = [strings(last), ref_doc[last], ref_place[last]]
+        if before is not None and before.key == key[-1]:
+            new = ~np.isin(kept[0], before.string)
+            kept = [np.concatenate([a, b[new]]) for a, b in zip((before.string, before.doc, before.place), kept, strict=True)]
+        order = np.argsort(kept[0], kind="stable")
+        carried = Carried(int(key[-1]), *(x[order] for x in kept))
+
+        # the row that a text stands for: runs of its strings that start earlier
+        early = (ref_doc < own_doc) | ((ref_doc == own_doc) & (ref_place < own_place))
+        i = np.flatnonzero(early)
+        new = np.ones(len(i), bool)
+        new[1:] = (text[i][1:] != text[i][:-1]) | (inner[i][1:] != inner[i][:-1] + 1)
+        a = i[np.flatnonzero(new)]
+        b = i[np.append(np.flatnonzero(new)[1:], len(i))[: len(a)] - 1] if len(i) else a
+        out = [(own_doc[a], own_place[a], own_place[b] + span)]
+        # the rows after it with the same text, at another place: all their strings start in that one
+        base = first[number]
+        copy = (doc[base] < doc) | ((doc[base] == doc) & (lo[base] < lo))
+        out.append((doc[copy], lo[copy], lo[copy] + length[number[copy]]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        kinds = (pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)], ["doc", "lo", "hi"]), carried
+
+
+def _shards(s: Stretch, shard_bytes: int) -> Callable:
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        shard, carried = Shard(s.span), None
+        for batch in batches:
+            done, waits = settled_spans(batch)
+            yield done
+            for row in zip(*(waits.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                shard.add(*row)
+                if shard.size >= shard_bytes or len(shard.key) * 64 >= 16 * shard_bytes:
+                    out, carried = shard.match(carried)
+                    yield out
+                    shard = Shard(s.span)
+        if shard.key:
+            yield shard.match(carried)[0]
+
+    return run
 
 
 def _remove(span_index: int, text_index: int):
@@ -170,7 +248,8 @@ def _remove(span_index: int, text_index: int):
                 if spans is None:
                     row = (len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw.decode())
                 else:
-                    lo, hi = spans
+                    lo, hi = (x.clip(0, len(raw)) for x in spans)
+                    lo, hi = lo[hi > lo], hi[hi > lo]
                     keep = zip([0, *hi.tolist()], [*lo.tolist(), len(raw)], strict=True)
                     kept = b"".join(raw[a:b] for a, b in keep)
                     data = np.frombuffer(raw, np.uint8)
@@ -184,24 +263,24 @@ def _remove(span_index: int, text_index: int):
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             added = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
             rest = [i for i in range(batch.num_columns) if i not in (span_index, text_index)]
-            names = [batch.schema.names[i] for i in rest] + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "hx_kept"]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + added, names)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + added, [batch.schema.names[i] for i in rest] + MADE)
 
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_bytes(
+    docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), many: int = MANY, shard_bytes: int = SHARD
+) -> DataFrame:
     """doc_id, the columns of ``carry``, n_bytes, n_removed, n_spans, kept_sha256 and hx_kept (the remaining text).
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a document with a smaller id, or
     before in the same one. Strings are judged on the input. A null text is empty; a text shorter than ``length`` keeps
     all; rows that repeat a document (same id) are one document and get the same answer; a row without an id keeps all
-    and takes nothing from others; an empty table gives an empty result.
+    and takes nothing from others; an empty table gives an empty result; other columns are not read, and a carried one
+    may not be named as one of the result. Grams at more than ``many`` places are spread over all tasks.
     """
     s = Stretch(length, min(GRAM, length), words=False)
-    spans = repeated_spans(docs, s, earlier, id_col, text_col)
-    x = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("hx_text"), *[F.col(f"`{c}`") for c in carry])
-    x = with_spans(x, spans, "doc_id")
+    x = with_spans(base_table(docs, id_col, text_col, carry, MADE), s, _shards(s, shard_bytes), many)
     names = x.columns
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema if f.name not in ("hx_spans", "hx_text"))
     schema = f"{rest}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, hx_kept string"

@@ -67,34 +67,50 @@ def test_suffix_arrays(table, docs, monkeypatch):
     assert remove_repeated_bytes(table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("words", [True, False])
-def test_blocks_of_any_size_agree(docs, words):
-    """Contexts cut into tiny blocks give what one block gives: the merge over blocks loses nothing."""
-    import pyarrow as pa
-
-    from hexloom.llm import lz_dedup, repeats, suffix_dedup
-
-    s = repeats.Stretch(12, 4, words) if words else repeats.Stretch(40, 8, words)
-    ids, texts = zip(*sorted((k, t) for k, t in docs.items() if t), strict=True)
-    rows = [b for b in repeats._census(s)(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["doc", "text"])]))]
-    firsts = pa.Table.from_batches(rows).to_pandas()
-    firsts = firsts[firsts.ref.isna()].sort_values(["h", "doc", "at"])
-    where = dict(zip(ids, texts, strict=True))
-    listed = pa.RecordBatch.from_arrays([pa.array(firsts.doc), pa.array([where[d] for d in firsts.doc]), pa.array([[{"h": h, "at": a}] for h, a in zip(firsts.h, firsts["at"], strict=True)])], ["doc", "text", "marks"])
-    contexts = pa.Table.from_batches(repeats._contexts(s)(iter([listed]))).sort_by([("h", "ascending"), ("doc", "ascending"), ("at", "ascending")])
-    found = []
-    for size in (1 << 30, 2000):
-        old, repeats.BLOCK = repeats.BLOCK, size
-        try:
-            out = pa.Table.from_batches(repeats._match(s, lz_dedup.parse if words else suffix_dedup.earlier)(iter(contexts.to_batches())))
-        finally:
-            repeats.BLOCK = old
-        covered = set()
-        for d, lo, hi, ref in zip(*(out.column(i).to_pylist() for i in range(4)), strict=True):
-            if ref < d or not words:
-                covered |= {(d, i) for i in range(lo, hi - s.span + 1)}
-        found.append(covered)
-    assert found[0] == found[1] and found[0]
+def test_hot_grams_and_small_shards_agree(table, docs):
+    """Grams that count as hot, and shards that cut a gram's strings anywhere, give what one shard of all gives."""
+    from hexloom.llm.lz_dedup import remove_repeated_words
+    from hexloom.llm.suffix_dedup import remove_repeated_bytes
+
+    want = brute.removed_words(docs, 12)
+    for many in (0, 3):
+        got = remove_repeated_words(table, 12, many=many).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+    want = brute.removed_bytes(docs, 40)
+    for many, size in ((0, 300), (3, 1500), (2000, 300)):
+        got = remove_repeated_bytes(table, 40, many=many, shard_bytes=size).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_long_windows_zero_bytes_and_clashing_names(spark):
+    from hexloom.llm.lz_dedup import remove_repeated_words
+    from hexloom.llm.suffix_dedup import remove_repeated_bytes
+
+    rng = random.Random(12)
+    passage = prose(rng, 700)
+    texts = {1: passage, 2: f"{prose(rng, 40)} {passage} {prose(rng, 30)}", 3: "\0" * 150 + "tail", 4: "x" * 120 + "\0\0", 5: "x" * 120 + "\0\0", 6: passage[:400] + "\0\0"}
+    rows = spark.createDataFrame([(k, t, "kept") for k, t in texts.items()], "doc_id long, text string, n_removed string")
+    for window in (50, 300, 600):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeated_words(rows, window).collect()}
+        assert got == brute.removed_words(texts, window) and got[2][1] == 700
+    for length in (100, 300, 900):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeated_bytes(rows, length).collect()}
+        assert got == brute.removed_bytes(texts, length) and got[2][1] >= len(passage.encode())
+    with pytest.raises(ValueError):
+        remove_repeated_bytes(rows, carry=("n_removed",))
+    with pytest.raises(ValueError):
+        remove_repeated_words(rows, 0)
+
+
+def test_factors_of_a_parse():
+    from hexloom.llm.lz_dedup import Reference
+
+    block = Reference(3)
+    assert list(block.factors(1, b"a b c d e f g".split())) == []
+    assert list(block.factors(1, b"a b c d".split())) == []  # of the same document
+    assert list(block.factors(2, b"x a b c d y c d e f".split())) == [(1, 5), (6, 10)]
+    block.factors(3, b"b c d y c".split())
+    assert list(block.factors(4, b"b c d y c d e z".split())) == [(0, 3), (1, 7)]  # over a boundary between two references
 
 
 def test_suffix_array_and_common_prefixes():
@@ -106,6 +122,7 @@ def test_suffix_array_and_common_prefixes():
     for n in (1, 2, 9, 200, 1500):
         text = rng.integers(97, 99, n).astype(np.uint8)
         text[n // 2 :] = text[: n - n // 2]
+        text[-3:] = 0
         key = first_bytes(text, 116)
         sa, raw = suffix_array(text, key), text.tobytes()
         assert [raw[i:] for i in sa] == sorted(raw[i:] for i in range(n))
