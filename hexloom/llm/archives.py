@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,23 +16,26 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialise, shared_path, with_group
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
+#: Page ids are taken as seconds after START, in rounds of this many, so that any of them has a date.
+ROUND = 1 << 32
 ARCHIVE_BYTES = 16 << 20
 ENTRY = "urlkey string, ts string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, archive string, offset long, length long"
 _FIELDS = [x.split()[0] for x in ENTRY.split(", ")]
 
 
 def url_key(url: Column) -> Column:
-    """Host labels from the top down, then the path and query, in lower case: com,example,www)/a?b=1."""
+    """Host labels from the top down, the port if there is one, then the path and query, in lower case: com,example,www:8080)/a?b=1."""
     rest = F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://", "")
-    host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
+    host = F.regexp_extract(rest, r"^([^/?#]*?)(:[0-9]*)?(?:[/?#]|$)", 1)
+    port = F.regexp_extract(rest, r"^([^/?#]*?)(:[0-9]*)?(?:[/?#]|$)", 2)
     path = F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1)
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(path == "", "/").otherwise(path))
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), port, F.lit(")"), F.when(path == "", "/").otherwise(path))
 
 
 def _record(page_id: int | None, url: str | None, html: str | None, refers: int | None, digest: str) -> bytes:
     payload = (html or "").encode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    when = START + timedelta(seconds=page_id or 0)
+    when = START + timedelta(seconds=(page_id or 0) % ROUND)
     block = http if refers is not None else http + payload
     name = "" if page_id is None else str(page_id)
     head = [
@@ -82,48 +87,65 @@ def _writer(folder: str) -> Callable:
     return run
 
 
-def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each gzip member of an archive."""
-    at = 0
-    while at < len(data):
-        unpack = zlib.decompressobj(wbits=31)
-        raw = unpack.decompress(memoryview(data)[at:])
-        length = len(data) - at - len(unpack.unused_data)
+#: Compressed bytes that are read, or unpacked, at a time.
+WINDOW = 1 << 16
+
+
+def members(file) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member of an archive, read in windows; each byte is unpacked once."""
+    at, unpack, parts, window = 0, zlib.decompressobj(wbits=31), [], b""
+    read = 0  # bytes of this member so far
+    while True:
+        if not window:
+            window = file.read(WINDOW)
+            if not window:
+                break
+        parts.append(unpack.decompress(window))
+        read += len(window) - len(unpack.unused_data)
+        window = unpack.unused_data
+        if unpack.eof:
+            yield at, read, b"".join(parts)
+            at, read, unpack, parts = at + read, 0, zlib.decompressobj(wbits=31), []
+
+
+def records(file) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, headers, block) of each record of an archive."""
+    for at, length, raw in members(file):
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
         yield at, length, fields, rest[: int(fields["Content-Length"])]
-        at += length
 
 
-def _indexer(folder: str) -> Callable:
-    """Reads archives back; the entries of each, digests computed from the payloads themselves."""
-    import hashlib
+def _entries(name: str, file) -> Iterator[tuple]:
+    """The entries of an archive, digests computed from the payloads themselves."""
 
     def number(urn: str) -> int | None:
         text = urn.removeprefix("<urn:page:").rstrip(">")
         return int(text) if text else None
 
+    for offset, length, head, block in records(file):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        kind = head["WARC-Type"]
+        digest = hashlib.sha256(payload).hexdigest() if kind == "response" else head["WARC-Payload-Digest"].removeprefix("sha256:")
+        size = len(payload) if kind == "response" else int(http.rpartition(b"Content-Length: ")[2])
+        refers = number(head["WARC-Refers-To"]) if kind == "revisit" else None
+        ts = "".join(c for c in head["WARC-Date"] if c.isdigit())
+        yield None, ts, number(head["WARC-Record-ID"]), kind, size, digest, refers, head["WARC-Target-URI"], name, offset, length
+
+
+def _indexer(folder: str) -> Callable:
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(folder)
+        kinds = [pa.string() if x.endswith(" string") else pa.int64() for x in ENTRY.split(", ")]
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with store.open_input_stream(f"{path}/{name}", compression=None) as file:
-                    data = file.read()
-                rows = []
-                for offset, length, head, block in records(data):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    kind = head["WARC-Type"]
-                    digest = hashlib.sha256(payload).hexdigest() if kind == "response" else head["WARC-Payload-Digest"].removeprefix("sha256:")
-                    size = len(payload) if kind == "response" else int(http.rpartition(b"Content-Length: ")[2])
-                    refers = number(head["WARC-Refers-To"]) if kind == "revisit" else None
-                    ts = "".join(c for c in head["WARC-Date"] if c.isdigit())
-                    rows.append((None, ts, number(head["WARC-Record-ID"]), kind, size, digest, refers, head["WARC-Target-URI"], name, offset, length))
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.string() if x.endswith(" string") else pa.int64() for x in ENTRY.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _FIELDS)
+                    found = _entries(name, file)
+                    while rows := list(islice(found, 10_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _FIELDS)
 
     return run
 
@@ -208,10 +230,11 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 100) -> D
     """
     x = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"))
     large = (F.coalesce(F.octet_length("html"), F.lit(0)) >= least_revisit) & F.col("page_id").isNotNull()
-    x = x.withColumn("same", F.when(large, F.col("digest")))
-    x = with_group(x, ["same"], "page_id")
-    x = x.select("page_id", "url", "html", F.when(F.col("same").isNotNull() & (F.col("group_id") < F.col("page_id")), F.col("group_id")).alias("refers"), "digest")
-    return materialise(map_arrow(x, _writer(folder), "archive string"), "archives")
+    # ids alone are grouped; the pages are joined with those that revisit another, and with nothing but their ids
+    several = with_group(x.where(large).select("page_id", "digest").distinct(), ["digest"], "page_id").where("group_id < page_id")
+    refers = several.select("page_id", "digest", F.col("group_id").alias("refers"))
+    found = x.join(refers, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers", "digest")
+    return materialise(map_arrow(found, _writer(folder), "archive string"), "archives")
 
 
 def capture_history(folder: str, archives: DataFrame, range_rows: int = 50_000) -> DataFrame:
@@ -221,7 +244,9 @@ def capture_history(folder: str, archives: DataFrame, range_rows: int = 50_000)
     (sampled by Spark), so a URL that a third of all captures share is cut too; a task holds one range of at most about
     ``range_rows`` entries and merges the runs' pieces of it by a loser tree. Ranks come from the few counts of ranges.
     """
-    entries = map_arrow(archives.repartition("archive"), _indexer(folder), ENTRY).withColumn("urlkey", url_key(F.col("url")))
+    # an archive is a name here and megabytes there, so each gets a task of its own, or one of a few
+    tasks = min(10_000, max(1, archives.count()))
+    entries = map_arrow(archives.repartition(tasks, "archive"), _indexer(folder), ENTRY).withColumn("urlkey", url_key(F.col("url")))
     runs = materialise(entries.sortWithinPartitions("archive", "urlkey", "ts", "page_id", "offset"), "runs")
     ranges = max(4, -(-runs.count() // range_rows))
     cut = runs.repartitionByRange(ranges, "urlkey", "ts", "page_id").sortWithinPartitions("archive", "urlkey", "ts", "page_id", "offset")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -43,17 +44,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    A temporary folder is used only where the setting is absent, as in local tests.
+    A temporary folder is used only in local mode, and only where the setting is absent.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='hexloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders that shared_path gave out and that were not deleted since, in order.
+_given: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/hexloom/{label}-{uuid.uuid4().hex}"
+    _given.append(f"{shared_dir(spark)}/hexloom/{label}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders given out inside are deleted at the end, but for that of the table handed to the function that this yields."""
+    start, kept = len(_given), []
+    try:
+        yield kept.append
+    finally:
+        for path in _given[start:]:
+            if not any(path.rpartition("/")[2] in file for table in kept for file in table.inputFiles()[:1]):
+                delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _given:
+        _given.remove(path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -67,8 +94,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        name = file.rpartition("/")[0].rpartition("/")[2]
+        for path in [p for p in _given if p.endswith(f"/{name}")]:
+            delete(spark, path)
 
 
 def text_key(column: str) -> list:
@@ -124,28 +152,40 @@ def _forest(batches):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(root[keep])], ["u", "v"])
 
 
+def _with_least(rows: DataFrame, most: int | None) -> DataFrame:
+    """(u, v, m) of rows (u, v): m is the least v of u. Nodes of more than ``most`` rows, if there may be any, are broadcast."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    if most is None:
+        return rows.join(least.drop("n"), "u")
+    hubs = F.broadcast(least.where(F.col("n") > most).drop("n"))
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= most).drop("n"), "u")
+    return rows.join(hubs, "u").unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node that edges lead to.
 
     Alternating large-star and small-star rounds over a table in the shared folder; both steps take minima by
-    aggregates that are combined before the shuffle. Edges of one Arrow batch are first reduced to a forest. The number
-    of rounds grows with the logarithm of the longest path.
+    aggregates that are combined before the shuffle. Edges of one Arrow batch are first reduced to a forest. A node with
+    over a thousandth of all edges is a hub: its minimum is broadcast (there are at most 2,000 hubs), so its edges are
+    not brought to one task. The number of rounds grows with the logarithm of the longest path.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     e = materialise(map_arrow(e, _forest, "u long, v long").distinct(), "edges")
     before = None
     while True:
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if not state[0] or state == before:
+        degree = e.union(e.select("v", "u")).groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s"))
+        n, total, largest = degree.agg(F.sum("n"), F.sum("s"), F.max("n")).first()
+        if not n or (n, total) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
-        before = state
+        before = (n, total)
+        most = max(1000, n // 2000)
+        most = most if largest > most else None
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = _with_least(both, most).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = (
-            large.join(small_least, "u")
+            _with_least(large, most)
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.*")
             .where("u != v")

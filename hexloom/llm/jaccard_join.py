@@ -41,16 +41,12 @@ def signatures(value: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    parts = signature.reshape(len(signature), BANDS, ROWS).astype(U)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), (len(signature), BANDS)).copy()
-    for r in range(ROWS):
-        key = mix(key ^ parts[:, :, r]) + U(r)
-    return key.view(np.int64)
+def set_sums(value: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """128 bits that stand for each text's shingle set; texts must have shingles."""
+    return [np.add.reduceat(mix(value ^ U(seed)), at[:-1]).view(np.int64) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
 
 
 def _sketch(batches) -> Iterator[pa.RecordBatch]:
-    """For each text with a word: two hashes of its shingle set, the set's size, and its band keys."""
     for batch in batches:
         for a, b in pieces(batch.column(1)):
             value, at = text_shingles(batch.column(1).slice(a, b - a))
@@ -58,11 +54,11 @@ def _sketch(batches) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(n)
             if not len(some):
                 continue
-            keys = band_keys(signatures(value, at)[some])
-            sums = [np.add.reduceat(mix(value ^ U(seed)), at[some]).view(np.int64) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+            raw = np.ascontiguousarray(signatures(value, at)[some]).tobytes()
+            sig = pa.array([raw[k : k + 4 * BANDS * ROWS] for k in range(0, len(raw), 4 * BANDS * ROWS)], pa.binary())
             doc = batch.column(0).slice(a, b - a).take(pa.array(some))
-            yield pa.RecordBatch.from_arrays([doc, *(pa.array(x) for x in sums), pa.array(n[some]), bands], ["doc", "key_a", "key_b", "n", "bands"])
+            sums = set_sums(value, np.append(at[some], at[-1]))
+            yield pa.RecordBatch.from_arrays([doc, *(pa.array(x) for x in sums), pa.array(n[some]), sig], ["doc", "key_a", "key_b", "n", "sig"])
 
 
 def least_matches(threshold: float, tolerance: float, step: int = 16) -> list[tuple[int, int]]:
@@ -100,6 +96,60 @@ def candidates(left: np.ndarray, right: np.ndarray, needed: list[tuple[int, int]
     return i, j
 
 
+def spanning(signature: np.ndarray, needed: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that no step of the comparison prunes, as far as they join what others did not join before.
+
+    A row is compared with the rows after it that it isn't joined with, so a group of copies costs one comparison a row.
+    """
+    label, a, b = np.arange(len(signature)), [], []
+    for r in range(len(signature) - 1):
+        other = r + 1 + np.flatnonzero(label[r + 1 :] != label[r])
+        if not len(other):
+            continue
+        matches, done = np.zeros(len(other), np.int64), 0
+        for n, least in needed:
+            matches += (signature[other, done:n] == signature[r, done:n]).sum(axis=1)
+            live = matches >= least
+            other, matches, done = other[live], matches[live], n
+            if not len(other):
+                break
+        if len(other):
+            joined, first = np.unique(label[other], return_index=True)
+            a.append(np.full(len(first), r))
+            b.append(other[first])
+            label[np.isin(label, joined)] = label[r]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _prune(threshold: float, tolerance: float):
+    """Rows (band, doc, sig) sorted by band: edges between the documents of one band that may be similar enough."""
+    needed = least_matches(threshold, tolerance)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        band, docs, sigs = None, [], []
+
+        def finish():
+            i, j = spanning(np.frombuffer(b"".join(sigs), np.uint32).reshape(len(docs), -1), needed)
+            doc = np.array(docs, np.int64)
+            return doc[i], doc[j]
+
+        for batch in batches:
+            found = []
+            for k, doc, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != band:
+                    if len(docs) > 1:
+                        found.append(finish())
+                    band, docs, sigs = k, [], []
+                docs.append(doc)
+                sigs.append(sig)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+        if len(docs) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in finish()], ["a", "b"])
+
+    return run
+
+
 def overlaps(values: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact numbers of shingles that the sets i and j share."""
     if len(i) < 64:
@@ -128,10 +178,15 @@ def _payload(batches) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(batch.column(text), 1 << 21):
             part = batch.slice(a, b - a)
             value, at = text_shingles(part.column(text))
-            group, blocks, block = (part.column(i).to_numpy() for i in (1, 3, 4))
+            group, blocks, block, key_a, key_b = (part.column(i).to_numpy() for i in (1, 3, 4, 5, 6))
+            some = np.flatnonzero(np.diff(at))
+            same = np.zeros(part.num_rows, bool)
+            if len(some):
+                sums = set_sums(value, np.append(at[some], at[-1]))
+                same[some] = (sums[0] == key_a[some]) & (sums[1] == key_b[some])
             raw = value.tobytes()
             rows, first, second = [], [], []
-            for r, (n, own) in enumerate(zip(blocks.tolist(), block.tolist(), strict=True)):
+            for r, n, own in zip(np.flatnonzero(same).tolist(), blocks[same].tolist(), block[same].tolist(), strict=True):
                 for other in range(n):
                     rows.append(r)
                     first.append(min(own, other))
@@ -205,38 +260,51 @@ def _verify(threshold: float, tolerance: float):
     return run
 
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 256) -> DataFrame:
+def similar_documents(
+    docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 256, band_rows: int = 4096
+) -> DataFrame:
     """A row for each row of docs: id, rep_id (least document with the same shingle set), class_id, n_links, kept.
 
     Documents link if their sets of five-word shingles (lower case, letters and digits) have a Jaccard similarity of
     ``threshold`` or more; class_id is the least id that links lead to and n_links counts other documents linked
-    directly, copies included. Documents with one shingle set stand for one with a weight. MinHash bands bring
-    candidates together (at 0.8, 24 bands of 4 miss 3 pairs in a million); candidates that share bands, directly or
-    through others, form a group, and a group is cut into blocks of about ``block_rows`` documents whose pairs are
-    separate tasks. In a task, pairs that share a band are compared 16 MinHash values at a time and dropped once the
-    posterior chance of reaching the threshold is below ``tolerance``; the rest are verified on their shingles.
-    Tasks return counts and spanning edges, never pairs.
+    directly, copies included. Documents with one shingle set stand for one with a weight.
+
+    1. MinHash bands bring documents together (at 0.8, 24 bands of 4 miss 3 pairs in a million). Bands that hold the same
+       documents are one.
+    2. Within a band signatures alone are compared, 16 MinHash values at a time, and a pair is dropped once the posterior
+       chance of reaching the threshold is below ``tolerance``. What is left joins documents into groups. A band of more
+       than ``band_rows`` documents is joined whole.
+    3. Texts are read for the members of groups only. A group is cut into blocks of about ``block_rows`` documents whose
+       pairs are separate tasks; a task prunes once more and verifies what is left on the shingles. Tasks return counts
+       and spanning edges, never pairs.
 
     A null text, and one without a word, links with nothing; a text of under five words is one shingle; rows with one
-    id are one document; a row without an id links with nothing. An empty table gives an empty result. Other columns
-    are not read.
+    id are one document, that of the least shingle set by its hash; a row without an id links with nothing. An empty
+    table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     texts = rows.where("doc is not null and text is not null")
-    sketch = map_arrow(texts, _sketch, "doc long, key_a long, key_b long, n long, bands array<long>")
-    sketch = sketch.groupBy("doc").agg(F.min(F.struct("key_a", "key_b", "n", "bands")).alias("x")).select("doc", "x.*")
-    sketch = materialise(with_group(sketch, ["key_a", "key_b", "n"], "doc").drop("key_a", "key_b"), "sketch")
+    sketch = map_arrow(texts, _sketch, "doc long, key_a long, key_b long, n long, sig binary")
+    sketch = sketch.groupBy("doc").agg(F.min(F.struct("key_a", "key_b", "n", "sig")).alias("x")).select("doc", "x.*")
+    sketch = materialise(with_group(sketch, ["key_a", "key_b", "n"], "doc"), "sketch")
     reps = sketch.where("doc = group_id")
 
-    bands = reps.select("doc", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("band", "least")
-    near = bands.join(shared, "band").where("doc != least").select(F.col("doc").alias("a"), F.col("least").alias("b"))
-    together = components(near).withColumnRenamed("node", "doc")
-    member = materialise(reps.select("doc", "n", F.col("group_size").alias("weight")).join(together, "doc"), "candidates")
+    keys = [F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)]
+    bands = reps.select("doc", F.explode(F.array(*keys)).alias("band"))
+    same_docs = [F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "doc")).alias("y")]
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("least"), *same_docs).where("m > 1")
+    shared = shared.groupBy("m", "x", "y", "least").agg(F.min("band").alias("band")).select("band", "m", "least")
+    held = bands.join(shared, "band")
+    whole = held.where((F.col("m") > band_rows) & (F.col("doc") != F.col("least"))).select(F.col("doc").alias("a"), F.col("least").alias("b"))
+    few = held.where(F.col("m") <= band_rows).select("band", "doc").hint("merge").join(reps.select("doc", "sig"), "doc")
+    few = few.select("band", "doc", "sig").repartition("band").sortWithinPartitions("band")
+    together = components(whole.union(map_arrow(few, _prune(threshold, tolerance), "a long, b long"))).withColumnRenamed("node", "doc")
+
+    member = materialise(reps.select("doc", "n", "key_a", "key_b", F.col("group_size").alias("weight")).join(together, "doc"), "candidates")
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("total") / 1_000_000))
     member = member.join(sizes.select("component", blocks.alias("blocks")), "component")
-    member = member.select("doc", "component", "weight", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"))
+    member = member.select("doc", "component", "weight", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), "key_a", "key_b")
     # candidates grow with the corpus, so they are merged with the texts at every size and never broadcast
     payload = map_arrow(member.hint("merge").join(texts, "doc"), _payload, "component long, first long, second long, doc long, weight long, block long, sets binary")
     dealt = payload.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second", "doc")

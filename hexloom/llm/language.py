@@ -16,8 +16,10 @@ from .kernels import BYTE_BASE, Rolling, byte_view, mix, pieces, words
 
 U = np.uint64
 BITS = 17
-CHAIN = 64
+#: Words of a chain that are worked on side by side with other chains'; the steps between them are exact.
+CHUNK = 64
 UNKNOWN = "und"
+SPANS = "array<struct<lang:string,first_word:int,n_words:int>>"
 #: Bytes that part words here: all ASCII but letters.
 NOT_LETTER = np.array([i < 128 and not chr(i).isalpha() for i in range(256)])
 
@@ -62,20 +64,60 @@ class Text:
         word, feature = features(raw, start[first], end[first])
         return cls(word, feature, len(first), kind, offsets)
 
-    def chains(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers (chain, place), -1 past a chain's end; the text of each chain. Chains have CHAIN words at most."""
+    def chunks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers (chunk, place), -1 past a text's end, and the text of each chunk. A text is one chain of chunks."""
         n = np.diff(self.at)
-        count = -(-n // CHAIN)
+        count = -(-n // CHUNK)
         text = np.repeat(np.arange(len(n)), count)
-        begin = self.at[text] + CHAIN * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
-        grid = begin[:, None] + np.arange(CHAIN)[None, :]
-        return np.where(grid < self.at[text + 1][:, None], grid, -1), begin, text
+        begin = self.at[text] + CHUNK * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
+        grid = begin[:, None] + np.arange(CHUNK)[None, :]
+        return np.where(grid < self.at[text + 1][:, None], grid, -1), text
+
+    def stitched(self, label: np.ndarray, rng: np.random.Generator) -> tuple[Text, np.ndarray]:
+        """These texts, and half as many made of stretches of 5 to 40 words of two texts in turn; the label of each word.
+
+        Texts that switch between languages are rare among labelled ones; these teach how often neighbours differ.
+        """
+        n = np.diff(self.at)
+        order, size = [np.arange(len(self.kind))], n.tolist()
+        labels = [np.repeat(label, n)]
+        some = np.flatnonzero(n >= 5)
+        for _ in range(len(n) // 2 if len(np.unique(label[some])) > 1 else 0):
+            one = rng.choice(some)
+            two = rng.choice(some[label[some] != label[one]])
+            parts, at = [], {one: 0, two: 0}
+            for k in range(8):
+                t = (one, two)[k % 2]
+                part = np.arange(at[t], min(at[t] + rng.integers(5, 41), n[t]))
+                at[t] += len(part)
+                parts.append(self.at[t] + part)
+                labels.append(np.full(len(part), label[t]))
+            order.extend(parts)
+            size.append(sum(map(len, parts)))
+        at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        return Text(self.word, self.feature, self.kinds, self.kind[np.concatenate(order)], at), np.concatenate(labels)
+
+
+@dataclass
+class Chances:
+    """What forward-backward gives: chances (chunk, place, label), and what the expected moves need."""
+
+    p: np.ndarray
+    grid: np.ndarray
+    text: np.ndarray
+    live: np.ndarray
+    forth: np.ndarray
+    back: np.ndarray
+    into: np.ndarray
+    opens: np.ndarray
+    e: np.ndarray
+    move: np.ndarray
 
 
 class ChainCRF:
     """Weights of hashed word features for each label, and of transitions between the labels of neighbours."""
 
-    def __init__(self, labels: list[str], seed: int = 3):
+    def __init__(self, labels: list[str]):
         self.labels = labels
         self.weights = np.zeros((1 << BITS, len(labels)), np.float32)
         self.moves = np.zeros((len(labels), len(labels)))
@@ -87,9 +129,14 @@ class ChainCRF:
             out[:, k] = np.bincount(x.word, self.weights[x.feature, k], x.kinds)
         return out
 
-    def marginals(self, x: Text) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """Chances of each label at each word by forward-backward, and expected moves."""
-        grid, _, text = x.chains()
+    def marginals(self, x: Text) -> Chances:
+        """Chances of each label at each word by forward-backward over each whole text.
+
+        A chunk's steps are multiplied into one matrix, so the messages that enter it from both sides come from one short
+        pass over the chunks of each text; then all chunks are worked through side by side.
+        """
+        k = len(self.labels)
+        grid, text = x.chunks()
         per_kind = self.emissions(x)
         per_kind -= per_kind.max(axis=1, keepdims=True, initial=-np.inf)
         score = np.exp(np.maximum(per_kind, -30))
@@ -97,70 +144,114 @@ class ChainCRF:
         e = np.where(live[:, :, None], score[x.kind[np.maximum(grid, 0)]] if len(x.kind) else 0.0, 1.0)
         move = np.exp(self.moves - self.moves.max(initial=0))
         n, length = grid.shape
-        forth, back = np.empty((length, n, len(self.labels))), np.ones((length, n, len(self.labels)))
-        a = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
-        forth[0] = a
+        opens, closes = np.ones(n, bool), np.ones(n, bool)
+        opens[1:] = text[1:] != text[:-1]
+        closes[:-1] = opens[1:]
+
+        into, after = np.ones((n, k)), np.ones((n, k))
+        part = np.flatnonzero(~(opens & closes))  # chunks of texts of more than one
+        if len(part):
+            whole = np.where(opens[part, None, None], np.eye(k), move) * e[part, 0][:, None, :]
+            for t in range(1, length):
+                step = (whole.reshape(-1, k) @ move).reshape(-1, k, k) * e[part, t][:, None, :]
+                whole = np.where(live[part, t][:, None, None], step, whole)
+                if t % 8 == 0:
+                    whole /= whole.max(axis=(1, 2), keepdims=True)
+            place = np.arange(len(part)) - np.maximum.accumulate(np.where(opens[part], np.arange(len(part)), 0))
+            by_place = np.argsort(place, kind="stable")
+            cuts = np.searchsorted(place[by_place], np.arange(place.max() + 2))
+            for c in range(place.max()):
+                i = by_place[cuts[c] : cuts[c + 1]]
+                i = i[~closes[part[i]]]
+                a = (into[part[i]][:, None, :] @ whole[i])[:, 0]
+                into[part[i] + 1] = a / a.sum(axis=1, keepdims=True)
+            for c in range(place.max(), 0, -1):
+                i = by_place[cuts[c] : cuts[c + 1]]
+                b = (whole[i] @ after[part[i]][:, :, None])[:, :, 0]
+                after[part[i] - 1] = b / b.sum(axis=1, keepdims=True)
+
+        forth, back = np.empty((length, n, k)), np.empty((length, n, k))
+        a = np.where(opens[:, None], 1.0, into @ move) * e[:, 0]
+        forth[0] = a = a / a.sum(axis=1, keepdims=True)
         for t in range(1, length):
             a = (a @ move) * e[:, t]
             a = a / a.sum(axis=1, keepdims=True)
             forth[t] = a = np.where(live[:, t, None], a, forth[t - 1])
-        b = np.ones((n, len(self.labels)))
+        back[length - 1] = b = after
         for t in range(length - 2, -1, -1):
             b = (b * e[:, t + 1]) @ move.T
             b = b / b.sum(axis=1, keepdims=True)
-            back[t] = b = np.where(live[:, t + 1, None], b, 1.0)
+            back[t] = b = np.where(live[:, t + 1, None], b, after)
         p = forth * back
         p /= p.sum(axis=2, keepdims=True)
-        return p.transpose(1, 0, 2), grid, (forth, back, e, move, live, text)
+        return Chances(p.transpose(1, 0, 2), grid, text, live, forth, back, into, opens, e, move)
+
+    def gradient(self, x: Text, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean log-likelihood of the words' labels: by score of each kind of word, and by transition."""
+        c = self.marginals(x)
+        k, of, truth = len(self.labels), x.kind[c.grid[c.live]], label[c.grid[c.live]]
+        total = len(of)
+        slope = np.stack([np.bincount(of, (truth == j) - c.p[c.live][:, j], x.kinds) for j in range(k)], axis=1) / total
+        first = np.zeros(len(x.kind), bool)
+        first[x.at[:-1][np.diff(x.at) > 0]] = True
+        later = np.flatnonzero(~first)
+        moves = np.bincount(label[later - 1] * k + label[later], minlength=k * k).reshape(k, k).astype(float)
+        for t in range(c.grid.shape[1]):
+            on = c.live[:, t] & (~c.opens if t == 0 else True)
+            before = c.into[on] if t == 0 else c.forth[t - 1][on]
+            joint = before[:, :, None] * c.move[None] * (c.e[on, t] * c.back[t][on])[:, None, :]
+            moves -= (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        return slope, moves / total
 
-    def fit(self, texts: pa.Array, label: np.ndarray, rounds: int = 4, batch: int = 64, rate: float = 0.5, decay: float = 1e-4) -> ChainCRF:
-        """Maximum likelihood of the labels of all words, each word being labelled with its text's language."""
+    def fit(self, texts: pa.Array, label: np.ndarray, rounds: int = 4, batch: int = 64, rate: float = 0.5, decay: float = 1e-4, seed: int = 3) -> ChainCRF:
+        """Maximum likelihood of the labels of all words: those of their texts, and of stretches of two texts in turn."""
         if len(self.labels) < 2:
             return self
+        rng = np.random.default_rng(seed)
         grown, grown_moves = np.full(self.weights.shape, 1e-6, np.float32), np.full(self.moves.shape, 1e-6)
-        parts = [(Text.read(texts.slice(k, batch)), label[k : k + batch]) for k in range(0, len(texts), batch)]
-        gold_moves = np.eye(len(self.labels))
+        read = [(Text.read(texts.slice(k, batch)), label[k : k + batch]) for k in range(0, len(texts), batch)]
+        parts = [x.stitched(y, rng) for x, y in read if len(x.kind)]
         for _ in range(rounds):
             for x, y in parts:
-                if not len(x.kind):
-                    continue
-                p, grid, (forth, back, e, move, live, text) = self.marginals(x)
-                of = x.kind[grid[live]]
-                truth = y[np.broadcast_to(text[:, None], grid.shape)[live]]
-                total = len(of)
-                slope = np.zeros((x.kinds, len(self.labels)))
-                for k in range(len(self.labels)):
-                    slope[:, k] = np.bincount(of, (truth == k) - p[live][:, k], x.kinds) / total
+                slope, step = self.gradient(x, y)
+                grown_moves += step**2
+                self.moves += 0.2 * rate * step / np.sqrt(grown_moves)
                 used, place = np.unique(x.feature, return_inverse=True)
                 for k in range(len(self.labels)):
                     step = np.bincount(place, slope[x.word, k], len(used)) - decay * self.weights[used, k] / len(parts)
                     grown[used, k] += step**2
                     self.weights[used, k] += rate * step / np.sqrt(grown[used, k])
-                pair = np.zeros(self.moves.shape)
-                seen = np.zeros(len(self.labels))
-                for t in range(1, grid.shape[1]):
-                    on = live[:, t]
-                    joint = forth[t - 1][on][:, :, None] * move[None] * (e[on, t] * back[t][on])[:, None, :]
-                    pair += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-                    seen += np.bincount(y[text[on]], minlength=len(self.labels))
-                # moves are held near even, so that a text's words can still change language
-                step = (gold_moves * seen[:, None] - pair) / total - 0.02 * self.moves
-                grown_moves += step**2
-                self.moves += 0.1 * rate * step / np.sqrt(grown_moves)
         return self
 
-    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the label with the greatest mean chance over its words, and that mean; -1 without words."""
+    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """For each text the label with the greatest mean chance over its words, that mean, and its runs of words of one label.
+
+        The label is -1, and there are no runs, without words.
+        """
         x = Text.read(texts)
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
+        label = np.zeros(0, np.int64)
         if len(x.kind) and self.labels:
-            p, grid, (*_, live, text) = self.marginals(x)
-            p = np.where(live[:, :, None], p, 0).sum(axis=1)
-            mean = np.stack([np.bincount(text, p[:, k], len(texts)) for k in range(len(self.labels))], axis=1)
+            c = self.marginals(x)
+            label = c.p[c.live].argmax(axis=1)
+            p = np.where(c.live[:, :, None], c.p, 0).sum(axis=1)
+            mean = np.stack([np.bincount(c.text, p[:, k], len(texts)) for k in range(len(self.labels))], axis=1)
             n = np.diff(x.at)
             mean = mean[n > 0] / n[n > 0][:, None]
             best[n > 0], score[n > 0] = mean.argmax(axis=1), np.clip(mean.max(axis=1), 0, 1)
-        return best, score
+        at = x.at if len(label) else np.zeros(len(texts) + 1, np.int64)
+        new = np.ones(len(label), bool)
+        new[1:] = label[1:] != label[:-1]
+        new[at[:-1][np.diff(at) > 0]] = True
+        head = np.flatnonzero(new)
+        text = np.searchsorted(at, head, "right") - 1
+        fields = [
+            pa.DictionaryArray.from_arrays(pa.array(label[head].astype(np.int32)), pa.array(self.labels, pa.string())).cast(pa.string()),
+            pa.array((head - at[text]).astype(np.int32)),
+            pa.array(np.diff(np.append(head, len(label))).astype(np.int32)),
+        ]
+        runs = pa.StructArray.from_arrays(fields, ["lang", "first_word", "n_words"])
+        return best, score, pa.ListArray.from_arrays(pa.array(np.searchsorted(head, at).astype(np.int32)), runs)
 
 
 def held_out(id_col: str):
@@ -168,9 +259,13 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, sample_rows: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ChainCRF:
-    """Fit on the ``sample_rows`` labelled documents, at most, with the least hashed ids that aren't held out."""
+def train(docs: DataFrame, sample_rows: int = 1500, sample_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ChainCRF:
+    """Fit on the ``sample_rows`` labelled documents, at most, with the least hashed ids that aren't held out.
+
+    Documents of over ``sample_bytes`` bytes are not among them, so the sample that the driver fits on is bounded.
+    """
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    labelled = labelled.where(F.octet_length(text_col) <= sample_bytes)
     # only about as many rows as are wanted reach the sort: those under a cut of the hash that the count gives
     order = F.pmod(F.xxhash64(F.lit(29), F.col(id_col)), F.lit(1 << 40))
     share = min(1.0, 1.3 * sample_rows / max(1, labelled.count()))
@@ -183,14 +278,15 @@ def train(docs: DataFrame, sample_rows: int = 1500, id_col: str = "doc_id", text
     return ChainCRF(labels).fit(texts, np.array([number[x] for x in langs], np.int64))
 
 
-def identify(docs: DataFrame, model: ChainCRF, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1: the mean chance of that language over the words of the whole text).
+def identify(docs: DataFrame, model: ChainCRF, text_col: str = "text", made: tuple[str, str, str] = ("lang_pred", "score", "lang_spans")) -> DataFrame:
+    """docs with a language, a score (0 to 1: the mean chance of that language over the words of the whole text) and spans.
 
-    A text that is null, or has no letter, is ``und`` with score 0. Words are labelled in chains of CHAIN words at most.
-    Repeated rows are labelled each; columns named lang_pred or score are replaced; an empty table stays one.
+    The spans are the runs of words of one language, as (lang, first_word, n_words) in the order of the text; words are
+    runs of letters, parted by any other ASCII. A text that is null, or has no letter, is ``und`` with score 0 and no
+    span. Repeated rows are labelled each; columns named as ``made`` are replaced; an empty table stays one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights for each language
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in made]
     letters = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
     x = docs.select(*[F.col(f"`{c}`") for c in kept], letters.alias("hx_letters"))
     text_at = kept.index(text_col)
@@ -200,18 +296,20 @@ def identify(docs: DataFrame, model: ChainCRF, text_col: str = "text") -> DataFr
         for batch in batches:
             for a, b in pieces(batch.column(text_at)):
                 part = batch.slice(a, b - a)
-                best, score = model.predict(part.column(text_at))
-                best = np.where(np.asarray(part.column(len(kept)).to_numpy(zero_copy_only=False)), best, -1)
-                lang = [model.labels[i] if i >= 0 else UNKNOWN for i in best.tolist()]
-                columns = [part.column(i) for i in range(len(kept))] + [pa.array(lang, pa.string()), pa.array(np.where(best >= 0, score, 0.0))]
-                yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
+                best, score, spans = model.predict(part.column(text_at))
+                known = np.asarray(part.column(len(kept)).to_numpy(zero_copy_only=False)) & (best >= 0)
+                lang = [model.labels[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist(), strict=True)]
+                none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), spans.values.slice(0, 0))
+                spans = pa.compute.if_else(pa.array(known), spans, none[0]) if not known.all() else spans
+                columns = [part.column(i) for i in range(len(kept))] + [pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0)), spans]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *made])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema if f.name != "hx_letters")
-    return map_arrow(x, run, f"{schema}, lang_pred string, score double")
+    return map_arrow(x, run, f"{schema}, {made[0]} string, {made[1]} double, {made[2]} {SPANS}")
 
 
 def op10_crf_language(spark, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs.select("doc_id", "text"), train(docs))
-    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "lang_spans")

@@ -8,8 +8,13 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that name an owner or a year, which differ between copies of one licence.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that name a year or an owner, which differ between copies of one licence: "copyright" (or its signs) before a
+#: year, a sign or a placeholder, or "all rights reserved" alone. A line of the terms that a wrap makes begin with
+#: "copyright" has none of these and stays.
+COPYRIGHT_LINE = (
+    r"(?m)^[^a-z0-9\n]*((copyright[^a-z0-9\n]*|\(c\)[^a-z0-9\n]*|©[^a-z0-9\n]*)(\(c\)|©|by |[12][0-9]{3}|[\[<{(](year|yyyy|date|owner|name))[^\n]*"
+    r"|©[^\n]*|all rights reserved[^a-z0-9\n]*)$"
+)
 #: Spellings that mean the same, on lower-case words parted by one space.
 SPELLINGS = [
     ("licence", "license"),

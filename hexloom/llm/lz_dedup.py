@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_arrow
-from .repeats import MANY, Stretch, base_table, row_spans, settled_spans, with_spans
+from .repeats import Stretch, base_table, row_spans, settled_spans, with_spans
 
 GRAM = 13
+#: Places of a gram from which it counts as hot.
+MANY = 2000
 MADE = ["n_words", "n_removed", "kept_sha256", "hx_kept"]
 
 
@@ -56,12 +58,13 @@ def _parse(s: Stretch):
             done, waits = settled_spans(batch)
             yield done
             out: list[list[int]] = [[], [], []]
-            for k, doc, lo, text in zip(*(waits.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+            for k, doc, lo, text, more in zip(*(waits.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True):
                 if k != key:
                     key, block = k, Reference(s.span)
                 for a, b in block.factors(doc, text.split()):
-                    for column, value in zip(out, (doc, lo + a, lo + b), strict=True):
-                        column.append(value)
+                    for place in (lo, *(more or ())):
+                        for column, value in zip(out, (doc, place + a, place + b), strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["doc", "lo", "hi"])
 
     return run

@@ -38,9 +38,16 @@ def _tokenizer(name: str):
     return _loaded[name, "json"]
 
 
-def token_ids(text: str, name: str = "byte_bpe_50k", special: str = "<|endoftext|>") -> array:
-    """The ids that the tokenizers file gives; a text that holds the special token's string goes to tokenizers itself."""
-    if special in text:
+def _added(name: str) -> list[str]:
+    """Strings that the tokenizers file takes out of a text before its vocabulary is used."""
+    if (name, "added") not in _loaded:
+        _loaded[name, "added"] = [t.content for t in _tokenizer(name).get_added_tokens_decoder().values()]
+    return _loaded[name, "added"]
+
+
+def token_ids(text: str, name: str = "byte_bpe_50k") -> array:
+    """The ids that the tokenizers file gives; a text that holds the string of an added token goes to tokenizers itself."""
+    if any(x in text for x in _added(name)):
         return array("I", _tokenizer(name).encode(text, add_special_tokens=False).ids)
     return array("I", _encoder(name).encode_ordinary(text))
 

@@ -12,7 +12,8 @@ stretches have equal owners at equal places, so they meet under the owner's hash
 
 A gram with more than ``many`` places is hot, as at the edge of a passage that a third of all documents share. Its
 stretches are shipped one by one, dealt by a hash of each, so its work is spread over all tasks; equal ones of one Arrow
-batch are told apart from their first before the shuffle, so a stretch sends one row for each batch.
+batch are told apart from their first before the shuffle, so a stretch sends one row for each batch. Words count once a
+document, so equal strings of one document are one row with several places.
 Texts are shuffled by document once: both joins with them read the same exchange.
 """
 
@@ -32,9 +33,8 @@ from .kernels import BLANK, BYTE_BASE, WORD_BASE, Rolling, byte_view, mix, piece
 U = np.uint64
 #: Places in one piece of text; Arrow strings hold no more.
 PLACE = (1 << 31) - 1
-CONTEXTS = "key long, doc long, lo int, hi int, text binary"
+CONTEXTS = "key long, doc long, lo int, hi int, text binary, more array<int>"
 SPANS = "doc long, lo int, hi int"
-MANY = 2000
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def owners(x: Units, s: Stretch) -> dict[str, np.ndarray]:
 
 
 def _census(s: Stretch) -> Callable:
-    """A row for each gram of an Arrow batch: its hash and the documents that it owns stretches in, one entry a place for bytes."""
+    """A row for each gram of an Arrow batch: its hash, at how many places it owns stretches, and the documents of these."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,13 +124,13 @@ def _census(s: Stretch) -> Callable:
             h, doc = h[order], doc[order]
             new = np.ones(len(h), bool)
             new[1:] = h[1:] != h[:-1]
-            if s.words:
-                other = new.copy()
-                other[1:] |= doc[1:] != doc[:-1]
-                h, doc, new = h[other], doc[other], new[other]
+            places = np.diff(np.append(np.flatnonzero(new), len(h)))
+            other = new.copy()
+            other[1:] |= doc[1:] != doc[:-1]
+            h, doc, new = h[other], doc[other], new[other]
             head = np.flatnonzero(new)
             lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(h)).astype(np.int32)), pa.array(doc))
-            yield pa.RecordBatch.from_arrays([pa.array(h[head]), lists], ["h", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[head]), pa.array(places.astype(np.int32)), lists], ["h", "places", "docs"])
 
     return run
 
@@ -153,25 +153,58 @@ def _marked(marks: pa.Array, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.n
 
 
 def _contexts(s: Stretch, doc_at: int, text_at: int, marks_at: int) -> Callable:
-    def rows(key, doc, lo, hi, text) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((key, doc, lo, hi, text), kinds, strict=True)], ["key", "doc", "lo", "hi", "text"])
+    names = ["key", "doc", "lo", "hi", "text", "more"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
+
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names)
+
+    def string(text: bytes) -> bytes:
+        return b" ".join(text.split()) if s.words else text
+
+    def once(key, doc, lo, hi, text) -> pa.RecordBatch:
+        """Rows of contexts. Of words, those of one gram and document that are equal are one row."""
+        keep, more = np.ones(len(key), bool), [None] * len(key)
+        if s.words and len(key):
+            order = np.lexsort((doc, key))
+            same = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+            first: dict[tuple, int] = {}
+            for i in order[np.append(same, False) | np.append(False, same)].tolist():
+                at = first.setdefault((int(key[i]), int(doc[i]), string(text[i])), i)
+                if at != i:
+                    keep[i] = False
+                    more[at] = [*(more[at] or []), int(lo[i])]
+        i = np.flatnonzero(keep)
+        return rows(key[i], doc[i], lo[i], hi[i], [text[j] for j in i], [more[j] for j in i])
 
     def hot_rows(parts: list) -> Iterator[pa.RecordBatch]:
         """Stretches of hot grams: those that the batch has of an earlier document (or place, for bytes) are settled."""
         key, doc, lo = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:3])
         text = [t for part in parts for t in part[3]]
         first: dict[bytes, int] = {}
-        out: list[list] = [[], [], [], [], []]
+        of_doc: dict[tuple, int] = {}
+        settled, waits, more = np.zeros(len(key), bool), [], []
         for i in np.lexsort((lo, doc)).tolist():
-            t = b" ".join(text[i].split()) if s.words else text[i]
-            d, p = int(doc[i]), int(lo[i])
+            t, d = string(text[i]), int(doc[i])
             seen = first.setdefault(t, i)
-            settled = doc[seen] < d or (not s.words and seen != i and (doc[seen], lo[seen]) < (d, p))
-            spread = int(mix(np.array([d], np.int64).view(U) + U(p))[0].view(np.int64)) if settled else int(key[i])
-            for column, value in zip(out, (spread, d, p, p + s.span, None if settled else text[i]), strict=True):
-                column.append(value)
-        yield rows(*out)
+            if doc[seen] < d or (not s.words and (doc[seen], lo[seen]) < (d, lo[i])):
+                settled[i] = True
+            elif s.words and (d, t) in of_doc:
+                more[of_doc[d, t]].append(int(lo[i]))
+            else:
+                of_doc[d, t] = len(waits)
+                waits.append(i)
+                more.append([])
+        i = np.array(waits, np.int64)
+        yield rows(key[i], doc[i], lo[i], lo[i] + s.span, [text[j] for j in waits], [x or None for x in more])
+        i = np.flatnonzero(settled)
+        i = i[np.lexsort((lo[i], doc[i]))]
+        new = np.ones(len(i), bool)
+        new[1:] = (doc[i][1:] != doc[i][:-1]) | (lo[i][1:] > lo[i][:-1] + 1)
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(i))[: len(a)] - 1
+        d, p = doc[i[a]], lo[i[a]]
+        yield rows(mix(d.view(U) + p.astype(U)).view(np.int64), d, p, lo[i[b]] + s.span, [None] * len(a), [None] * len(a))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -191,7 +224,7 @@ def _contexts(s: Stretch, doc_at: int, text_at: int, marks_at: int) -> Callable:
                 i = np.flatnonzero(known & ~many)
                 for k in range(0, len(i), 20_000):
                     j = i[k : k + 20_000]
-                    yield rows(*cut(x["first"][j], x["last"][j], x["row"][j], x["h"][j]))
+                    yield once(*cut(x["first"][j], x["last"][j], x["row"][j], x["h"][j]))
                 i = np.flatnonzero(many)
                 if len(i):
                     n = x["last"][i] - x["first"][i] + 1
@@ -212,15 +245,15 @@ def settled_spans(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch
     return pa.RecordBatch.from_arrays([done.column(i) for i in (1, 2, 3)], ["doc", "lo", "hi"]), batch.filter(waits)
 
 
-def with_spans(base: DataFrame, s: Stretch, matcher: Callable, many: int = MANY) -> DataFrame:
+def with_spans(base: DataFrame, s: Stretch, matcher: Callable, many: int) -> DataFrame:
     """base (doc_id, hx_text, and more) with hx_spans: (lo, hi) of the units that its matched stretches cover, null for none.
 
     Rows that repeat an id each get its spans. Where rows of one id differ in text, each is given the spans of both.
     """
     texts = base.select(F.col("doc_id").alias("doc"), F.col("hx_text").alias("text")).where("doc is not null and text is not null")
-    census = map_arrow(texts, _census(s), "h long, docs array<long>").repartition("h")
+    census = map_arrow(texts, _census(s), "h long, places int, docs array<long>").repartition("h")
     all_of = Window.partitionBy("h")
-    held = {"n": F.sum(F.size("docs")).over(all_of), "a": F.min(F.array_min("docs")).over(all_of), "b": F.max(F.array_max("docs")).over(all_of)}
+    held = {"n": F.sum("places").over(all_of), "a": F.min(F.array_min("docs")).over(all_of), "b": F.max(F.array_max("docs")).over(all_of)}
     census = census.withColumns(held).where("a < b" if s.words else "n > 1")
     shared = census.select(F.explode("docs").alias("hx_doc"), F.col("h").bitwiseOR((F.col("n") > many).cast("long")).alias("mark"))
     marks = shared.groupBy("hx_doc").agg(F.collect_set("mark").alias("hx_marks"))

@@ -16,7 +16,7 @@ def interleave(
 
     Rows of one source are put in a seeded order; the row of rank r among n gets the fraction (r + 1/2) / n. All rows
     are sorted by fraction and the order is cut into n_shards stretches whose row counts differ by one at most, so each
-    stretch holds every source in its share of the corpus, to within a row or so.
+    stretch holds every source in its share of the corpus, to within about a row for each of the other sources.
 
     Ranks are taken in two levels: rows are counted by (source, slice of the seeded order), running sums of those few
     counts give each slice's first rank, and only within a slice are rows numbered. A slice has about sqrt(rows) rows

@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_arrow
-from .repeats import MANY, Stretch, base_table, row_spans, settled_spans, with_spans
+from .repeats import Stretch, base_table, row_spans, settled_spans, with_spans
 
 U = np.uint64
 GRAM = 20
+#: Places of a gram from which it counts as hot; the distinct strings of fewer are carried from shard to shard in 41 MB at most.
+MANY = 10_000
 #: Bytes of distinct text that one suffix array holds, about.
 SHARD = 1 << 20
 MADE = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "hx_kept"]

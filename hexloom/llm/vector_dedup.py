@@ -71,25 +71,29 @@ class Grid:
         return near[0].astype(np.int64) * self.width + near[1]
 
     def visits(self, x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of all cells within the limit, of each row from the nearest on.
+        """(row, cell) of the cells that the multi-sequence traversal of each row meets up to the limit, nearest first.
 
-        Both halves' centroids are sorted by distance and pairs are taken in the order of their sums, as far as the
-        limit: the multi-sequence order, cut where the target recall is met.
+        Both halves' centroids are sorted by distance. For each place in the first list a pointer says how far the second
+        was followed; a step takes, of all pointers, the cell with the least sum and moves that pointer on. It ends
+        where the next cell lies beyond the limit. All rows take their steps together.
         """
         _, bounds = self.reach(x)
         order = [b.argsort(axis=1, kind="stable") for b in bounds]
         near = [np.take_along_axis(b, o, axis=1) for b, o in zip(bounds, order, strict=True)]
-        most = [int((b <= limit).sum(axis=1).max(initial=1)) for b in near]
-        rows, cells = [], []
-        step = max(1, 2_000_000 // (most[0] * most[1]))
-        for k in range(0, len(x), step):
-            one, two = (b[k : k + step, :m] for b, m in zip(near, most, strict=True))
-            row, i, j = np.nonzero(one[:, :, None] + two[:, None, :] <= limit)
-            total = one[row, i] + two[row, j]
-            at = np.lexsort((total, row))
-            row, i, j = row[at], i[at], j[at]
-            rows.append(row + k)
-            cells.append(order[0][row + k, i].astype(np.int64) * self.width + order[1][row + k, j])
+        first = near[0][:, : max(1, int((near[0] <= limit).sum(axis=1).max(initial=1)))]
+        second = np.concatenate([near[1], np.full((len(x), 1), np.inf)], axis=1)
+        pointer = np.zeros(first.shape, np.int64)
+        front = first + second[:, :1]
+        live, rows, cells = np.arange(len(x)), [], []
+        while len(live):
+            i = front[live].argmin(axis=1)
+            on = front[live, i] <= limit
+            live, i = live[on], i[on]
+            j = pointer[live, i]
+            rows.append(live)
+            cells.append(order[0][live, i].astype(np.int64) * self.width + order[1][live, j])
+            pointer[live, i] = j + 1
+            front[live, i] = first[live, i] + second[live, j + 1]
         return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(cells or [np.zeros(0, np.int64)])
 
 
@@ -152,7 +156,7 @@ def _cells(grid: Grid):
 def _dealt(grid: Grid, limit: float, chunks: dict[int, int]):
     """Each vector as a member of its cell, and as a visitor of every chunk of every cell in its reach."""
 
-    step = max(16, min(1000, 2_000_000 // (len(grid.books[0]) * grid.width)))
+    step = max(16, min(1000, 1_000_000 // (len(grid.books[0]) + grid.width)))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -226,7 +230,7 @@ def near_vectors(
     vector_col: str = "embedding",
     sample_rows: int = 16_384,
     per_cell: int = 128,
-    most_centroids: int = 256,
+    most_centroids: int = 4096,
     target_recall: float = 0.999,
     chunk_rows: int = 4096,
     query_rows: int = 2048,
@@ -234,7 +238,9 @@ def near_vectors(
     """A row for each row of vectors: id, n_links, component_id, kept.
 
     Vectors link at cosine >= threshold in double precision. Equal vectors stand for one with a weight. Codebooks of
-    both halves are fitted on ``sample_rows`` vectors at most (those with the least hashed ids); every vector is
+    both halves are fitted on ``sample_rows`` vectors at most, or 16 for each of their centroids (those with the least
+    hashed ids); the number of centroids grows with the root of the number of vectors, up to ``most_centroids``, where
+    cells hold 2 billion vectors at ``per_cell`` each. Every vector is
     indexed under its product cell and visits the cells within the calibrated reach: that of the real pairs which
     ``query_rows`` of the sampled vectors form with all rows, compared by brute force in tasks, or the lossless one where
     those pairs are too few to tell. If so many cells are in reach that the grid saves little, all vectors are one cell,
@@ -257,12 +263,13 @@ def near_vectors(
     found = None
     for dim, n in sorted(tuple(r) for r in x.where("id = group_id").groupBy("dim").count().collect()):
         reps = x.where((F.col("id") == F.col("group_id")) & (F.col("dim") == dim)).select("id", F.col("group_size").alias("weight"), "v")
-        # about sample_rows vectors lie under a cut of the hash; no more reach the sort
-        order, share = F.pmod(F.xxhash64("id"), F.lit(1 << 40)), min(1.0, 1.3 * sample_rows / n)
-        few = reps.where(order <= int(share * (1 << 40))).orderBy(order, "id").limit(sample_rows)
+        k = int(min(most_centroids, max(1, round((n / per_cell) ** 0.5))))
+        wanted = max(sample_rows, 16 * k)
+        # about as many vectors as are wanted lie under a cut of the hash; no more reach the sort
+        order, share = F.pmod(F.xxhash64("id"), F.lit(1 << 40)), min(1.0, 1.3 * wanted / n)
+        few = reps.where(order <= int(share * (1 << 40))).orderBy(order, "id").limit(wanted)
         few = few.select("id", "v").toArrow().combine_chunks()
         sample_ids, sample = few.column(0).to_numpy(), unit_rows(few.column(1).combine_chunks())
-        k = int(min(most_centroids, max(1, round((n / per_cell) ** 0.5))))
         grid = Grid(tuple(kmeans(np.ascontiguousarray(h), k) for h in halves(sample)))
         needs = map_arrow(reps.select("id", "v"), _needs(grid, sample_ids[:query_rows], sample[:query_rows], threshold), "bin long, n long")
         needs = {r[0]: r[1] for r in needs.groupBy("bin").agg(F.sum("n")).collect()}  # at most NEED_BINS
@@ -293,6 +300,39 @@ def near_vectors(
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def measured_recall(vectors: DataFrame, found: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, block: int = 2048) -> DataFrame:
+    """One row: links of the vectors whose id is divisible by ``every``, by brute force against all rows and as found, and the recall.
+
+    The queries are taken in blocks of ``block`` rows; each block is compared with all rows in one pass of tasks.
+    """
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
+    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
+    queries = rows.where(F.col("id") % every == 0)
+    blocks = max(1, -(-queries.count() // block))
+    true = None
+    for k in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).dropDuplicates(["id"]).toArrow().combine_chunks()
+        if not len(part):
+            continue
+        ids, x = part.column(0).to_numpy(), unit_rows(part.column(1).combine_chunks())
+
+        def count(batches, ids=ids, x=x) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    total += ((x @ unit_rows(batch.column(1)).T >= threshold) & (ids[:, None] != batch.column(0).to_numpy()[None, :])).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "n"])
+
+        one = map_arrow(rows, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        true = one if true is None else true.union(one)
+    if true is None:
+        return rows.sparkSession.createDataFrame([(0, 0, 1.0)], "links_true long, links_found long, recall double")
+    met = true.join(found.select(F.col(id_col).alias("id"), "n_links").dropDuplicates(["id"]), "id", "left")
+    return met.agg(F.sum("n").alias("links_true"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0)))).alias("links_found")).withColumn(
+        "recall", F.when(F.col("links_true") > 0, F.col("links_found") / F.col("links_true")).otherwise(1.0)
+    )
+
+
 def op3_inverted_multi_index(spark, sf_dir: str) -> DataFrame:
     """All embeddings, linked at cosine 0.95 or more whatever their labels."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

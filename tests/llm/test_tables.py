@@ -21,6 +21,9 @@ def test_components_of_any_shape(spark):
     want = brute.linked({x for e in edges for x in e if e[0] != e[1]}, [e for e in edges if e[0] != e[1]])
     got = components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()
     assert {r.node: r.component for r in got} == {k: v[1] for k, v in want.items()} and len(got) == len(want)
+    hub = [(5000, k) for k in range(5001, 8000)] + [(k, k + 10_000) for k in range(5001, 6000)]
+    found = components(spark.createDataFrame(hub, "a long, b long").repartition(40)).collect()  # with a hub
+    assert {r.component for r in found} == {5000} and len(found) == len({x for e in hub for x in e})
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -51,16 +54,35 @@ def test_vectors(spark, chunk_rows):
     assert near_vectors(table.limit(0)).count() == 0 and near_vectors(table.where("vec_id >= 503 and vec_id <= 508")).count() == 6
 
 
+def test_traversal_visits_nearest_cells_first():
+    from hexloom.llm.vector_dedup import Grid, halves, kmeans, unit_rows
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    x = unit_rows(pa.array(rng.normal(size=(300, 8)).tolist()))
+    grid = Grid(tuple(kmeans(np.ascontiguousarray(h), 12) for h in halves(x)))
+    _, bounds = grid.reach(x)
+    row, cell = grid.visits(x, 0.3)
+    for r in range(len(x)):
+        total = (bounds[0][r][:, None] + bounds[1][r][None, :]).ravel()
+        mine = cell[row == r]
+        assert sorted(mine) == np.flatnonzero(total <= 0.3).tolist() and (np.diff(total[mine]) >= 0).all()
+
+
 def test_vectors_near_a_subspace(spark):
-    from hexloom.llm.vector_dedup import near_vectors
+    from hexloom.llm.vector_dedup import measured_recall, near_vectors
 
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 4)) @ rng.normal(size=(4, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     want = int((x @ x.T >= 0.95).sum()) - len(x)
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
-    got = near_vectors(table, per_cell=20).agg(F.sum("n_links")).first()[0]
+    found = near_vectors(table, per_cell=20)
+    got = found.agg(F.sum("n_links")).first()[0]
     assert 0.998 * want <= got <= want
+    one = measured_recall(table, found, block=11).first()
+    mine = x[::100] @ x.T >= 0.95
+    assert one.links_true == int(mine.sum()) - len(mine) and 0.99 <= one.recall <= 1
 
 
 def test_loser_tree():
@@ -73,12 +95,30 @@ def test_loser_tree():
             assert list(LoserTree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
 
 
+def test_members_are_read_in_windows():
+    import io
+    import zlib
+
+    from hexloom.llm import archives
+
+    rng = random.Random(1)
+    texts, raw = [b"", b"a", rng.randbytes(200_000), b"x" * 500_000, b"tail"], b""
+    sizes = []
+    for x in texts:
+        pack = zlib.compressobj(6, wbits=31)
+        member = pack.compress(x) + pack.flush()
+        sizes.append((len(raw), len(member)))
+        raw += member
+    got = list(archives.members(io.BytesIO(raw)))
+    assert [x for *_, x in got] == texts and [(a, n) for a, n, _ in got] == sizes
+
+
 def test_archives(spark, tmp_path):
     from hexloom.llm import archives
 
     same, big = "<p>" + "é" * 60, "<b>" + "z" * 500
     rows = [(k, f"http://WWW.h{k % 3}.example.com/p/{k % 4}?q={k % 2}#frag", big + str(k % 11)) for k in range(60)]
-    rows += [(100, None, None), (101, "", ""), (102, "http://a.b/", same), (103, "https://a.b", same), (104, "x", "tiny"), (105, "x", "tiny"), (98, "http://late.b/", same), (None, "http://n.u/", same), (None, None, None), (7, rows[7][1], rows[7][2])]
+    rows += [(10**15, "http://a.b:8080/x", "far"), (-5, "http://a.b:80", "before"), (100, None, None), (101, "", ""), (102, "http://a.b/", same), (103, "https://a.b", same), (104, "x", "tiny"), (105, "x", "tiny"), (98, "http://late.b/", same), (None, "http://n.u/", same), (None, None, None), (7, rows[7][1], rows[7][2])]
     table = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, archive string").repartition(4)
     folder = f"file://{tmp_path}/warc"
     names = archives.write_archives(table, folder)
@@ -101,7 +141,7 @@ def test_archives(spark, tmp_path):
     assert [r.history_rank for r in order] == list(range(len(rows)))
     keys = [(r.urlkey.encode(), r.ts, r.page_id is not None, r.page_id or 0) for r in order]
     assert keys == sorted(keys)
-    assert {r.urlkey for r in got} >= {"com,example,h0,www)/p/0?q=0", "b,a)/"}
+    assert {r.urlkey for r in got} >= {"com,example,h0,www)/p/0?q=0", "b,a)/", "b,a:8080)/x", "b,a:80)/"}
     empty = f"file://{tmp_path}/none"
     assert archives.capture_history(empty, archives.write_archives(table.limit(0), empty)).count() == 0
 
@@ -147,6 +187,41 @@ def test_pipeline_stage_by_stage(spark, corpus):
         assert stage(spark, docs.limit(0), folder).count() == 0
 
 
+def test_pipeline_with_repeated_ids_and_clashing_names(spark, corpus):
+    """Rows of one id are one document from the second stage on, and columns named as those that operators make are kept."""
+    import corpus_pipeline as pipeline
+
+    folder, texts, _ = corpus
+    names = ["score", "lang_pred", "n_removed", "kept_sha256", "hx_kept", "lo", "h", "component"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in names})
+    other = docs.where("doc_id = 4").withColumn("text", F.reverse("text"))
+    none = docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long"))
+    docs = docs.unionByName(docs.where("doc_id < 3")).unionByName(other).unionByName(none).unionByName(none)
+    steps = dict(pipeline.STAGES)
+    one = steps["language"](spark, docs, folder).cache()
+    two = steps["near_duplicates"](spark, one, folder).cache()
+    ids = [r.doc_id for r in two.collect()]
+    assert len(set(ids)) == len(ids) - 1 and ids.count(None) == 2
+    three = steps["repeated_passages"](spark, two, folder).cache()
+    four = steps["benchmark"](spark, three, folder).cache()
+    for x in (one, two, three, four):
+        assert x.columns == docs.columns and all(r[c] == f"{c} {r.doc_id}" for r in x.where("doc_id is not null").collect() for c in names)
+    assert steps["packing"](spark, four, folder).count() >= four.count()
+
+
+def test_pipeline_deletes_what_nothing_reads(spark, corpus):
+    import os
+
+    import corpus_pipeline as pipeline
+    from hexloom.llm import common
+
+    where = common.shared_dir(spark).removeprefix("file://") + "/hexloom"
+    before = set(os.listdir(where))
+    n = pipeline.run(spark, corpus[0]).count()
+    left = {x.rpartition("-")[0] for x in set(os.listdir(where)) - before}
+    assert n and left <= {"benchmark", "pieces"}
+
+
 def test_rest_imports_without_these():
     import subprocess
     import sys

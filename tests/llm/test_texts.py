@@ -140,9 +140,40 @@ def test_jaccard_join(table, with_nulls, docs):
     small = similar_documents(with_nulls, block_rows=2).collect()  # groups cut into many blocks
     assert {r.doc_id: (r.n_links, r.class_id) for r in small if r.doc_id is not None} == want
     assert all(r.kept and r.n_links == 0 for r in small if r.doc_id is None)
+    few = similar_documents(with_nulls, band_rows=2).collect()  # bands joined whole
+    assert {r.doc_id: (r.n_links, r.class_id) for r in few if r.doc_id is not None} == want
     assert similar_documents(table.limit(0)).count() == 0
 
 
+def test_jaccard_join_of_repeated_ids(spark):
+    """Rows of one id with different texts are one document, whatever the order of the rows."""
+    from hexloom.llm.jaccard_join import similar_documents
+
+    rng = random.Random(4)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, a), (5, b)]
+    schema = "doc_id long, text string"
+    got = {tuple(sorted((r.doc_id, r.n_links, r.class_id) for r in similar_documents(spark.createDataFrame(x, schema).repartition(n)).collect())) for x, n in ((rows, 1), (rows[::-1], 3), (rows, 5))}
+    assert len(got) == 1 and sum(k == 1 for _, _, k in next(iter(got))) == 4
+
+
+def test_pruning_joins_what_plain_comparison_joins():
+    from hexloom.llm.jaccard_join import least_matches, spanning
+
+    needed = least_matches(0.8, 1e-7)
+    rng = np.random.default_rng(5)
+    for trial in range(20):
+        base = rng.integers(0, 1 << 32, (6, 96), dtype=np.uint32)
+        sig = base[rng.integers(0, 6, 40)].copy()
+        noise = rng.random(sig.shape) < rng.uniform(0, 0.6, (40, 1))
+        sig[noise] = rng.integers(0, 1 << 32, int(noise.sum()), dtype=np.uint32)
+        alike = [(i, j) for i in range(40) for j in range(i) if all((sig[i, :n] == sig[j, :n]).sum() >= m for n, m in needed)]
+        i, j = spanning(sig, needed)
+        assert brute.linked(range(40), alike).keys() == set(range(40))
+        want = {k: v[1] for k, v in brute.linked(range(40), alike).items()}
+        assert {k: v[1] for k, v in brute.linked(range(40), zip(i.tolist(), j.tolist(), strict=True)).items()} == want
+
+
 def test_pruning_keeps_what_is_likely():
     from hexloom.llm.jaccard_join import least_matches
 
@@ -233,6 +264,110 @@ def test_fast_ids_are_the_tokenizers_ids():
         assert list(token_ids(x)) == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_ids_of_all_documents_are_the_tokenizers_ids():
+    import public_tokenizers as P
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from hexloom.llm.packing import token_ids
+
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for text in pq.read_table(path, columns=["text"])["text"].to_pylist():
+        assert list(token_ids(text or "")) == t.encode(text or "", add_special_tokens=False).ids
+
+
+def fewest_bins(sizes, cap):
+    """The least number of bins, by search over which bin each size goes to, largest first."""
+    sizes = sorted(sizes, reverse=True)
+    best = [len(sizes)]
+
+    def put(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= sizes[k]:
+                rest = list(rooms)
+                rest.remove(room)
+                put(k + 1, [*rest, room - sizes[k]])
+        put(k + 1, [*rooms, cap - sizes[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_plans_against_the_optimum_and_reduction_against_it():
+    """What is fixed by dominance never costs a bin, and plans are within one bin of the least on small instances."""
+    from hexloom.llm.packing import packing_plan, reduce_dominated
+
+    rng = random.Random(11)
+    for trial in range(120):
+        cap = rng.choice([12, 20, 31])
+        sizes = [rng.randint(1, cap) for _ in range(rng.randint(1, 10))]
+        count = {s: sizes.count(s) for s in sizes}
+        least = fewest_bins(sizes, cap)
+        left = dict(count)
+        fixed = reduce_dominated(left, cap)
+        assert sum(b for b, _ in fixed) + fewest_bins([s for s, n in left.items() for _ in range(n)], cap) == least
+        rows = packing_plan(dict(count), cap)
+        used = len({bin_no + k // copies for _, _, n, bin_no, copies, _ in rows for k in range(n)})
+        assert least <= used <= least + 1
+
+
+def lower_bound(lengths, cap):
+    """Martello and Toth's second bound: for a size k, large items stand alone, middle ones fill half, small ones fill up."""
+    best = 0
+    for k in {0, *[n for n in lengths if n <= cap // 2]}:
+        large = [n for n in lengths if n > cap - k]
+        middle = [n for n in lengths if cap // 2 < n <= cap - k]
+        small = sum(n for n in lengths if k <= n <= cap // 2)
+        spare = len(middle) * cap - sum(middle)
+        best = max(best, len(large) + len(middle) + max(0, -(-(small - spare) // cap)))
+    return best
+
+
+def test_real_lengths_reach_the_bound(spark):
+    from hexloom.llm.packing import pack
+
+    path = Path("/root/testdata/sf0.001/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    rows = pack(spark.read.parquet(str(path))).collect()
+    assert len({r.sequence_id for r in rows}) <= lower_bound([r.length for r in rows], 2048) + 1
+
+
+def test_shard_query_column_by_column(spark, tmp_path):
+    """The registered query against a plain version of the contract."""
+    from hexloom.llm.sharding import op4_stratified_interleave
+
+    rng = random.Random(8)
+    texts = [None, "", "é" * 5, *[prose(rng, rng.randint(1, 30)) for _ in range(300)]]
+    rows = [(k * 3 - 20, t, None if k % 50 == 7 else "hot" if k % 3 else f"s{k % 5}") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op4_stratified_interleave(spark, str(tmp_path)).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    by_shard = {}
+    for k, t, _ in rows:
+        raw, r = (t or "").encode(), got[k]
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+        by_shard.setdefault(r.shard, []).append(r.slot)
+    n = [len(by_shard.get(k, [])) for k in range(40)]
+    assert set(by_shard) <= set(range(40)) and max(n) - min(n) <= 1 and all(sorted(x) == list(range(len(x))) for x in by_shard.values())
+    seeded = dict(spark.createDataFrame([(r[0],) for r in rows], "id long").select("id", F.xxhash64(F.lit(42), "id")).collect())
+    by_fraction = []
+    for source in {r[2] for r in rows}:
+        mine = sorted((seeded[k], k) for k, _, s in rows if s == source)
+        by_fraction += [((r + 0.5) / len(mine), h, k) for r, (h, k) in enumerate(mine)]
+    for at, (_, _, k) in enumerate(sorted(by_fraction)):
+        shard = at * 40 // len(rows)
+        assert (got[k].shard, got[k].slot) == (shard, at - -(-shard * len(rows) // 40))
+
+
 def test_shards(spark, table):
     from hexloom.llm.sharding import interleave, write_shards
 
@@ -270,6 +405,25 @@ def test_full_licence_texts(spark):
     assert {(r.doc_id, r.license_id) for r in got} == {*enumerate(order), (100, "Apache-2.0")}
 
 
+def test_licences_however_they_are_wrapped(spark):
+    """Paragraphs filled to any width from 60 to 100 keep their digest, also where a line then begins with "copyright"."""
+    import textwrap
+
+    from hexloom.llm.licences import KNOWN, full_texts, known_digests, license_matches
+
+    texts = {"MIT": KNOWN[0][1], "ISC": KNOWN[1][1], **{k: v for k, v in full_texts() if k in ("BSD-3-Clause", "MPL-2.0")}}
+    rows = []
+    for name, text in texts.items():
+        for width in range(60, 101):
+            body = "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in text.split("\n\n"))
+            rows.append((len(rows), name, f"Copyright (c) 2021 A. Body\nAll rights reserved.\n\n{body}"))
+    got = license_matches(spark.createDataFrame(rows, "doc_id long, name string, text string"), known_digests(spark)).where("scope = 'document'").collect()
+    assert {(r.doc_id, r.license_id) for r in got} == {(k, n) for k, n, _ in rows}
+    table = spark.createDataFrame([(1, "Released under the MIT License.", "mine", 3)], "doc_id long, text string, digest string, line_no int")
+    assert {(r.scope, r.line_no) for r in license_matches(table, known_digests(spark)).collect()} == {("document", -1), ("line", 0)}
+    assert license_matches(table.limit(0), known_digests(spark)).count() == 0
+
+
 def test_licences(spark):
     from hexloom.llm.licences import KNOWN, known_digests, license_matches
 
@@ -309,5 +463,63 @@ def test_language(spark, table):
     assert {r.lang_pred for r in marks.collect()} == {"und"}
     nothing = identify(table, train(table.limit(0)))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
+    assert all(sum(y.n_words for y in r.lang_spans) == 0 for r in marks.collect())
     both = spark.createDataFrame([(1, " ".join([*real.where("lang = 'en'").first().text.split()[:60], *real.where("lang = 'de'").first().text.split()[:60]]))], "doc_id long, text string")
-    assert identify(both, model).first().score < 0.8
+    one = identify(both, model).first()
+    assert one.score < 0.8 and sum(y.n_words for y in one.lang_spans if y.lang == "en") in range(54, 67) and sum(y.n_words for y in one.lang_spans if y.lang == "de") in range(54, 67)
+    clash = identify(both.withColumn("score", F.lit("mine")), model, made=("l", "p", "w")).first()
+    assert clash.score == "mine" and clash.w == one.lang_spans
+
+
+def crf_by_paths(model, words, score):
+    """All label paths of one text: their chances, by enumeration."""
+    from itertools import product
+
+    paths = list(product(range(len(model.labels)), repeat=words))
+    weight = np.array([sum(score[t, y] for t, y in enumerate(p)) + sum(model.moves[a, b] for a, b in zip(p, p[1:], strict=False)) for p in paths])
+    return paths, weight - np.log(np.exp(weight).sum())
+
+
+def test_forward_backward_and_gradient_by_enumeration(monkeypatch):
+    from hexloom.llm import language
+    from hexloom.llm.language import ChainCRF, Text
+
+    monkeypatch.setattr(language, "CHUNK", 3)
+    rng = np.random.default_rng(3)
+    model = ChainCRF(["a", "b", "c"])
+    model.moves = rng.normal(size=(3, 3))
+    sizes = [7, 0, 1, 3, 6]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    kinds = rng.integers(0, 5, sum(sizes))
+    score = rng.normal(size=(5, 3))
+    x = Text(np.arange(5), np.arange(5), 5, kinds, at)
+    model.weights[:5] = score
+    score = model.weights[:5].astype(float)  # as rounded
+    c = model.marginals(x)
+    got = np.empty((sum(sizes), 3))
+    got[c.grid[c.live]] = c.p[c.live]
+    label = rng.integers(0, 3, sum(sizes))
+
+    def likelihood():
+        total = 0.0
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            if b > a:
+                paths, chance = crf_by_paths(model, b - a, score[kinds[a:b]])
+                total += chance[paths.index(tuple(label[a:b].tolist()))]
+                yield a, b, paths, chance
+        yield total / sum(sizes)
+
+    *texts, before = likelihood()
+    for a, b, paths, chance in texts:
+        for t in range(b - a):
+            for y in range(3):
+                assert abs(got[a + t, y] - sum(np.exp(w) for p, w in zip(paths, chance, strict=True) if p[t] == y)) < 1e-9
+    by_kind, by_move = model.gradient(x, label)
+    for i, j in ((0, 1), (2, 2), (1, 0)):
+        model.moves[i, j] += 1e-5
+        assert abs((list(likelihood())[-1] - before) / 1e-5 - by_move[i, j]) < 1e-4
+        model.moves[i, j] -= 1e-5
+    for i, j in ((0, 0), (3, 1), (4, 2)):
+        score[i, j] += 1e-5
+        assert abs((list(likelihood())[-1] - before) / 1e-5 - by_kind[i, j]) < 1e-4
+        score[i, j] -= 1e-5
