@@ -175,7 +175,7 @@ def _payload(batches) -> Iterator[pa.RecordBatch]:
     """Each candidate document for each pair of blocks that it takes part in, with its shingles."""
     for batch in batches:
         text = batch.schema.names.index("text")
-        for a, b in pieces(batch.column(text), 1 << 21):
+        for a, b in pieces(batch.column(text)):
             part = batch.slice(a, b - a)
             value, at = text_shingles(part.column(text))
             group, blocks, block, key_a, key_b = (part.column(i).to_numpy() for i in (1, 3, 4, 5, 6))

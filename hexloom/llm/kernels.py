@@ -64,8 +64,11 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
-def pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges whose bytes are at most ``most``; a longer text stands alone."""
+def pieces(texts: pa.Array, most: int = (1 << 20) - 1) -> Iterator[tuple[int, int]]:
+    """Row ranges whose bytes are at most ``most``; a longer text stands alone.
+
+    The default is what the least tables of powers reach, so that they grow for longer texts only.
+    """
     _, at = byte_view(texts)
     row, n = 0, len(texts)
     while row < n:

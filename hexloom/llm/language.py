@@ -129,8 +129,8 @@ class ChainCRF:
             out[:, k] = np.bincount(x.word, self.weights[x.feature, k], x.kinds)
         return out
 
-    def marginals(self, x: Text) -> Chances:
-        """Chances of each label at each word by forward-backward over each whole text.
+    def marginals(self, x: Text, whole: bool = True) -> Chances:
+        """Chances of each label at each word by forward-backward over each whole text; without ``whole`` nothing else is kept.
 
         A chunk's steps are multiplied into one matrix, so the messages that enter it from both sides come from one short
         pass over the chunks of each text; then all chunks are worked through side by side.
@@ -151,23 +151,23 @@ class ChainCRF:
         into, after = np.ones((n, k)), np.ones((n, k))
         part = np.flatnonzero(~(opens & closes))  # chunks of texts of more than one
         if len(part):
-            whole = np.where(opens[part, None, None], np.eye(k), move) * e[part, 0][:, None, :]
+            steps = np.where(opens[part, None, None], np.eye(k), move) * e[part, 0][:, None, :]
             for t in range(1, length):
-                step = (whole.reshape(-1, k) @ move).reshape(-1, k, k) * e[part, t][:, None, :]
-                whole = np.where(live[part, t][:, None, None], step, whole)
+                step = (steps.reshape(-1, k) @ move).reshape(-1, k, k) * e[part, t][:, None, :]
+                steps = np.where(live[part, t][:, None, None], step, steps)
                 if t % 8 == 0:
-                    whole /= whole.max(axis=(1, 2), keepdims=True)
+                    steps /= steps.max(axis=(1, 2), keepdims=True)
             place = np.arange(len(part)) - np.maximum.accumulate(np.where(opens[part], np.arange(len(part)), 0))
             by_place = np.argsort(place, kind="stable")
             cuts = np.searchsorted(place[by_place], np.arange(place.max() + 2))
             for c in range(place.max()):
                 i = by_place[cuts[c] : cuts[c + 1]]
                 i = i[~closes[part[i]]]
-                a = (into[part[i]][:, None, :] @ whole[i])[:, 0]
+                a = (into[part[i]][:, None, :] @ steps[i])[:, 0]
                 into[part[i] + 1] = a / a.sum(axis=1, keepdims=True)
             for c in range(place.max(), 0, -1):
                 i = by_place[cuts[c] : cuts[c + 1]]
-                b = (whole[i] @ after[part[i]][:, :, None])[:, :, 0]
+                b = (steps[i] @ after[part[i]][:, :, None])[:, :, 0]
                 after[part[i] - 1] = b / b.sum(axis=1, keepdims=True)
 
         forth, back = np.empty((length, n, k)), np.empty((length, n, k))
@@ -182,7 +182,11 @@ class ChainCRF:
             b = (b * e[:, t + 1]) @ move.T
             b = b / b.sum(axis=1, keepdims=True)
             back[t] = b = np.where(live[:, t + 1, None], b, after)
-        p = forth * back
+        if not whole:
+            e = None
+        p = forth * back if whole else np.multiply(forth, back, out=forth)
+        if not whole:
+            back = forth = None
         p /= p.sum(axis=2, keepdims=True)
         return Chances(p.transpose(1, 0, 2), grid, text, live, forth, back, into, opens, e, move)
 
@@ -232,9 +236,10 @@ class ChainCRF:
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
         label = np.zeros(0, np.int64)
         if len(x.kind) and self.labels:
-            c = self.marginals(x)
-            label = c.p[c.live].argmax(axis=1)
-            p = np.where(c.live[:, :, None], c.p, 0).sum(axis=1)
+            c = self.marginals(x, whole=False)
+            label = c.p.argmax(axis=2)[c.live]
+            c.p[~c.live] = 0
+            p = c.p.sum(axis=1)
             mean = np.stack([np.bincount(c.text, p[:, k], len(texts)) for k in range(len(self.labels))], axis=1)
             n = np.diff(x.at)
             mean = mean[n > 0] / n[n > 0][:, None]
@@ -294,7 +299,7 @@ def identify(docs: DataFrame, model: ChainCRF, text_col: str = "text", made: tup
     def run(batches) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for a, b in pieces(batch.column(text_at)):
+            for a, b in pieces(batch.column(text_at), 1 << 18):
                 part = batch.slice(a, b - a)
                 best, score, spans = model.predict(part.column(text_at))
                 known = np.asarray(part.column(len(kept)).to_numpy(zero_copy_only=False)) & (best >= 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import math
 import zlib
 from array import array
@@ -38,28 +39,34 @@ def _tokenizer(name: str):
     return _loaded[name, "json"]
 
 
-def _added(name: str) -> list[str]:
+def added_tokens(name: str = "byte_bpe_50k") -> tuple[str, ...]:
     """Strings that the tokenizers file takes out of a text before its vocabulary is used."""
     if (name, "added") not in _loaded:
-        _loaded[name, "added"] = [t.content for t in _tokenizer(name).get_added_tokens_decoder().values()]
+        import public_tokenizers as P
+
+        with open(P.path(f"{name}.json"), encoding="utf-8") as file:
+            _loaded[name, "added"] = tuple(t["content"] for t in json.load(file)["added_tokens"])
     return _loaded[name, "added"]
 
 
-def token_ids(text: str, name: str = "byte_bpe_50k") -> array:
-    """The ids that the tokenizers file gives; a text that holds the string of an added token goes to tokenizers itself."""
-    if any(x in text for x in _added(name)):
+def token_ids(text: str, name: str = "byte_bpe_50k", added: tuple[str, ...] | None = None) -> array:
+    """The ids that the tokenizers file gives; a text that holds the string of an added token goes to tokenizers itself.
+
+    Tasks are given the added tokens, so that they load the file for such a text only.
+    """
+    if any(x in text for x in (added_tokens(name) if added is None else added)):
         return array("I", _tokenizer(name).encode(text, add_special_tokens=False).ids)
     return array("I", _encoder(name).encode_ordinary(text))
 
 
-def _cut(capacity: int, name: str):
+def _cut(capacity: int, name: str, added: tuple[str, ...]):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = {c.split()[0]: [] for c in PIECES.split(", ")}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = token_ids(text.as_py() or "", name)
+                ids = token_ids(text.as_py() or "", name, added)
                 ids.append(0)
                 start, piece, raw = 0, 0, memoryview(ids.tobytes())
                 while start < len(ids):
@@ -214,7 +221,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k",
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = materialise(map_arrow(texts, _cut(capacity, tokenizer), PIECES), "pieces")
+    pieces = materialise(map_arrow(texts, _cut(capacity, tokenizer, added_tokens(tokenizer)), PIECES), "pieces")
     lengths = {int(r[0]): r[1] for r in pieces.groupBy("length").count().collect()}
     rows = packing_plan(lengths, capacity)
     plan = spark.createDataFrame(rows, "length long, first_rank long, n long, first_bin long, copies long, base long")
