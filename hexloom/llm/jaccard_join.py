@@ -298,7 +298,9 @@ def similar_documents(
     whole = held.where((F.col("m") > band_rows) & (F.col("doc") != F.col("least"))).select(F.col("doc").alias("a"), F.col("least").alias("b"))
     few = held.where(F.col("m") <= band_rows).select("band", "doc").hint("merge").join(reps.select("doc", "sig"), "doc")
     few = few.select("band", "doc", "sig").repartition("band").sortWithinPartitions("band")
-    together = components(whole.union(map_arrow(few, _prune(threshold, tolerance), "a long, b long"))).withColumnRenamed("node", "doc")
+    # written first, so that a task runs one Python worker at a time
+    near = materialise(whole.union(map_arrow(few, _prune(threshold, tolerance), "a long, b long")), "near")
+    together = components(near).withColumnRenamed("node", "doc")
 
     member = materialise(reps.select("doc", "n", "key_a", "key_b", F.col("group_size").alias("weight")).join(together, "doc"), "candidates")
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
