@@ -99,11 +99,15 @@ class HexGrid:
 
     def centre(self, cell: str, res: int) -> tuple[str, str]:
         """Longitude and latitude of a cell's centre, as SQL text."""
+        return self.centre_of(i_of(cell), j_of(cell), res)
+
+    def centre_of(self, i: str, j: str, res: int) -> tuple[str, str]:
         c, s, space = math.cos(self.turn(res)), math.sin(self.turn(res)), self.spacing(res)
-        u = f"({num(space)} * (({i_of(cell)}) - ({j_of(cell)}) / 2e0))"
-        v = f"({num(space * math.sqrt(3) / 2)} * ({j_of(cell)}))"
+        # no divisions: what is made of a cell that is never null is then never null, and no test of it is pushed down
+        u = f"({num(space)} * (({i}) - ({j}) * 5e-1))"
+        v = f"({num(space * math.sqrt(3) / 2)} * ({j}))"
         x, y = f"({u} * {num(c)} - {v} * {num(s)})", f"({u} * {num(s)} + {v} * {num(c)})"
-        return f"({num(self.lon0)} + {x} / {num(self.kx)})", f"({num(self.lat0)} + {y} / {num(M_PER_LAT)})"
+        return f"({num(self.lon0)} + {x} * {num(1 / self.kx)})", f"({num(self.lat0)} + {y} * {num(1 / M_PER_LAT)})"
 
     def corners(self, res: int) -> list[tuple[float, float]]:
         """Offsets of the six corners from the centre, in degrees."""
@@ -175,9 +179,10 @@ class HexGrid:
         """The cells whose centre lies in the box: cell, lon, lat."""
         i0, i1, j0, j1 = self.cover_window(box, res)
         wide = j1 - j0 + 1
-        x = spark.range((i1 - i0 + 1) * wide).select(F.expr(pack(res, f"({i0} + id div {wide})", f"({j0} + id % {wide})")).alias("cell"))
-        lon, lat = self.centre("cell", res)
-        x = x.select("cell", F.expr(lon).alias("lon"), F.expr(lat).alias("lat"))
+        x = spark.range((i1 - i0 + 1) * wide).select(F.expr(f"{i0} + id div {wide}").alias("i"), F.expr(f"{j0} + id % {wide}").alias("j"))
+        # positions come from i and j: what is said of a cell's position would be inferred for the cells it is joined with
+        lon, lat = self.centre_of("i", "j", res)
+        x = x.select(F.expr(pack(res, "i", "j")).alias("cell"), F.expr(lon).alias("lon"), F.expr(lat).alias("lat"))
         return x.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sums(df: DataFrame, by: str, columns: Sequence[str], slices: int = 64) -> DataFrame:
+def running_sums(df: DataFrame, by: str, columns: Sequence[str], slices: int = 256) -> DataFrame:
     """Add before_<c> for each column: its sum over the rows with a smaller value of ``by``, which must be distinct.
 
     Rows are dealt to slices of about equal size (bounds from an approximate quantile), summed within their slice, and
@@ -25,22 +25,26 @@ def running_sums(df: DataFrame, by: str, columns: Sequence[str], slices: int = 6
     return x.select(*df.columns, *[f"before_{c}" for c in columns])
 
 
-def quantile(df: DataFrame, value: str, q: float, name: str = "threshold", margin: float = 0.002) -> DataFrame:
-    """One row: the exact q-quantile of the values that are there (linear between neighbours), null if there are none.
+def quantile(df: DataFrame, value: str, q: float, name: str = "threshold", by: Sequence[str] = (), margin: float = 2e-4, few: int = 20_000) -> DataFrame:
+    """One row (of each group): the exact q-quantile of the values that are there (linear between neighbours), null if there are none.
 
-    An approximate quantile brackets the rank; only distinct values in the bracket are sorted, and one count gives how
-    many lie below it.
+    An approximate quantile brackets the rank; only distinct values in the bracket (one rank in 2,500, or all of a group
+    of ``few`` values, where that would be too narrow) are sorted, and one count gives how many lie below it. A group
+    without values has no row; all of nothing has one.
     """
-    v = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    by = list(by)
+    v = df.select(*by, F.col(value).cast("double").alias("hx_v")).where(F.col("hx_v").isNotNull() & ~F.isnan("hx_v"))
     ends = [max(0.0, q - margin), min(1.0, q + margin)]
-    guess = v.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", ends, 10_000).alias("b"))
-    guess = guess.select("n", F.when(F.lit(q) <= margin, float("-inf")).otherwise(F.col("b")[0]).alias("lo"), F.when(F.lit(q) >= 1 - margin, float("inf")).otherwise(F.col("b")[1]).alias("hi"))
-    x = v.crossJoin(F.broadcast(guess)).where(F.col("v") <= F.col("hi"))
+    guess = v.groupBy(*by).agg(F.count(F.lit(1)).alias("hx_n"), F.percentile_approx("hx_v", ends, 50_000).alias("b"))
+    low = F.when((F.lit(q) <= margin) | (F.col("hx_n") <= few), float("-inf")).otherwise(F.col("b")[0]).alias("hx_lo")
+    high = F.when((F.lit(q) >= 1 - margin) | (F.col("hx_n") <= few), float("inf")).otherwise(F.col("b")[1]).alias("hx_hi")
+    guess = F.broadcast(guess.select(*by, "hx_n", low, high))  # one row, or one for each of a few groups
+    x = (v.join(guess, by) if by else v.crossJoin(guess)).where(F.col("hx_v") <= F.col("hx_hi"))
     # everything below the bracket is one row, so the window sees the bracket's distinct values only
-    x = x.withColumn("v", F.when(F.col("v") >= F.col("lo"), F.col("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    x = x.withColumn("upto", F.sum("c").over(Window.orderBy(F.col("v").asc_nulls_first()))).where("v is not null")
+    x = x.withColumn("hx_v", F.when(F.col("hx_v") >= F.col("hx_lo"), F.col("hx_v"))).groupBy(*by, "hx_v").agg(F.count(F.lit(1)).alias("c"), F.first("hx_n").alias("n"))
+    x = x.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy(F.col("hx_v").asc_nulls_first()))).where("hx_v is not null")
     rank = F.lit(float(q)) * (F.col("n") - 1)
-    low = F.min(F.when(F.col("upto") > F.floor(rank), F.col("v")))
-    high = F.min(F.when(F.col("upto") > F.ceil(rank), F.col("v")))
+    low = F.min(F.when(F.col("upto") > F.floor(rank), F.col("hx_v")))
+    high = F.min(F.when(F.col("upto") > F.ceil(rank), F.col("hx_v")))
     part = F.first(rank - F.floor(rank))
-    return x.agg((low + (high - low) * part).alias(name))
+    return x.groupBy(*by).agg((low + (high - low) * part).alias(name))

@@ -13,22 +13,44 @@ def with_block(cells: DataFrame, res: int, k: int = 2, grid: HexGrid = GRID) ->
     return grid.with_parent(cells, res, max(0, res - k), name="block")
 
 
-def greedy_folds(sizes: DataFrame, folds: int = 5) -> DataFrame:
-    """block, n, fold_id: blocks by falling size (then falling id), each to the fold with the fewest rows so far.
+def fold_runs(counts: list[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """Rows (n, first_rank, how many, folds): blocks of n rows and those ranks go to the folds in turn.
 
-    The rule is sequential in the blocks, of which there is one row each; the rows of the data are not touched. There
-    are no more folds than blocks.
+    ``counts`` are pairs of block size and number of such blocks. Blocks go by falling size, each to the lightest fold
+    (the first of several). Blocks of one size come back to the same fold after a whole turn, so as many turns as leave
+    the order of the folds unchanged are one row.
     """
-    ordered = sizes.groupBy().agg(F.sort_array(F.collect_list(F.struct("n", "block")), asc=False).alias("b"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), F.least(F.lit(folds), F.size("b"))).alias("load"), F.expr("cast(array() as array<struct<block:bigint,n:bigint,fold_id:int>>)").alias("out"))
+    folds = min(folds, sum(c for _, c in counts))
+    load, out = [0] * folds, []
+    for n, left in sorted(counts, reverse=True):
+        rank = 0
+        while left:
+            order = sorted(range(folds), key=lambda f: (load[f], f))
+            low = order[0]
+            turn = [f for f in order if (load[f], f) < (load[low] + n, low)]
+            rest = [load[f] for f in order[len(turn) :]]
+            turns = max(1, min([left // len(turn), *[(x - load[turn[-1]]) // n - 1 for x in rest]]))
+            many = min(left, turns * len(turn))
+            out.append((n, rank, many, turn))
+            for k, f in enumerate(turn):
+                load[f] += n * (many // len(turn) + (k < many % len(turn)))
+            rank, left = rank + many, left - many
+    return out
+
 
-    def give(state, block):
-        fold = (F.array_position(state["load"], F.array_min(state["load"])) - 1).cast("int")
-        load = F.transform(state["load"], lambda x, i: F.when(i == fold, x + block["n"]).otherwise(x))
-        one = F.struct(block["block"].cast("bigint").alias("block"), block["n"].cast("bigint").alias("n"), fold.alias("fold_id"))
-        return F.struct(load.alias("load"), F.concat(state["out"], F.array(one)).alias("out"))
+def greedy_folds(sizes: DataFrame, folds: int = 5) -> DataFrame:
+    """block, n, fold_id: blocks by falling size (then falling id), each to the fold with the fewest rows so far.
 
-    return ordered.select(F.explode(F.aggregate("b", start, give, lambda s: s["out"])).alias("x")).select("x.*")
+    The rule is sequential, but needs the number of blocks of each size only: the driver sees one row for each size, and
+    a block finds its fold by its rank among the blocks of its size. There are no more folds than blocks.
+    """
+    counts = [(int(r[0]), int(r[1])) for r in sizes.groupBy("n").agg(F.count(F.lit(1))).collect()]
+    if not counts:
+        return sizes.select("block", "n", F.lit(0).cast("int").alias("fold_id"))
+    runs = sizes.sparkSession.createDataFrame(fold_runs(counts, folds), "n long, first long, many long, turn array<int>")
+    ranked = sizes.select("block", F.col("n").cast("long").alias("n"), (F.row_number().over(Window.partitionBy("n").orderBy(F.desc("block"))) - 1).alias("rank"))
+    x = ranked.join(F.broadcast(runs.withColumnRenamed("n", "of")), F.expr("n = of and rank >= first and rank < first + many"))
+    return x.select("block", "n", F.expr("turn[cast((rank - first) % size(turn) as int)]").alias("fold_id"))
 
 
 def with_folds(cells: DataFrame, folds: int = 5, by_hash: bool = False) -> DataFrame:
@@ -39,11 +61,12 @@ def with_folds(cells: DataFrame, folds: int = 5, by_hash: bool = False) -> DataF
     return cells.join(greedy_folds(sizes, folds).select("block", "fold_id"), "block")
 
 
-def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, slices: int = 256) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, slice_rows: int = 100_000) -> DataFrame:
     """is_test on every row: of each class the rows with the least scrambled keys, share of them rounded down.
 
-    Rows are ranked in slices of the scrambled order, so no class is sorted in one task.
+    Rows are ranked in slices of the scrambled order of about ``slice_rows`` rows, so no class is sorted in one task.
     """
+    slices = min(1_000_003, 1 + df.count() // slice_rows)
     order = (F.col(key).cast("bigint") * 7919 + 104729) % 1_000_003
     x = df.withColumns({"hx_order": order, "hx_slice": F.floor(order * slices / 1_000_003)})
     counts = x.groupBy(label, "hx_slice").agg(F.count(F.lit(1)).alias("hx_n"))

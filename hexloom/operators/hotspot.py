@@ -72,7 +72,7 @@ def resolution_ladder(cells: DataFrame, value: str, res: int, levels: list[int]
     long = long.select("coarse_res", "hotspot_quantile", "fine_hot", "a.*")
     at = None
     for q in quantiles:
-        part = long.where(F.col("hotspot_quantile") == q).groupBy("coarse_res", "hotspot_quantile", "aggregation").agg(F.percentile("value", q).alias("coarse_hotspot_threshold"))
+        part = quantile(long.where(F.col("hotspot_quantile") == q), "value", q, "coarse_hotspot_threshold", by=["coarse_res", "hotspot_quantile", "aggregation"])
         at = part if at is None else at.union(part)
     flags = long.join(F.broadcast(at), ["coarse_res", "hotspot_quantile", "aggregation"])
     coarse = F.coalesce((F.col("value") >= F.col("coarse_hotspot_threshold")).cast("int"), F.lit(0))
@@ -84,10 +84,9 @@ def resolution_ladder(cells: DataFrame, value: str, res: int, levels: list[int]
         F.sum(fine * coarse).cast("long").alias("hx_both"),
         F.sum(F.greatest(fine, coarse)).cast("long").alias("hx_any"),
     )
-    fine_hot = None
-    for q in quantiles:
-        part = hotspots(v, "v", q).agg(F.count(F.lit(1)).alias("n_hotspot_fine")).withColumn("hotspot_quantile", F.lit(float(q)))
-        fine_hot = part if fine_hot is None else fine_hot.union(part)
+    # one pass counts the hotspots of all quantiles, by the thresholds that are there already
+    sums = v.crossJoin(F.broadcast(cut_map)).agg(*[F.coalesce(F.sum((F.col("v") >= F.col(f"hx_t{k}")).cast("long")), F.lit(0)).alias(f"hx_n{k}") for k in range(len(quantiles))])
+    fine_hot = sums.select(F.explode(F.array(*[F.struct(F.lit(float(q)).alias("hotspot_quantile"), F.col(f"hx_n{k}").alias("n_hotspot_fine")) for k, q in enumerate(quantiles)])).alias("x")).select("x.*")
     out = out.join(F.broadcast(cuts), "hotspot_quantile").join(F.broadcast(fine_hot), "hotspot_quantile").crossJoin(F.broadcast(n_fine))
     out = out.withColumns({"jaccard": jaccard_of(F.col("hx_both"), F.col("hx_any")), "f1": f1_of(F.col("hx_both"), F.col("n_hotspot_coarse"), F.col("n_hotspot_fine_parents"))})
     both = out.groupBy("coarse_res", "hotspot_quantile").agg(
@@ -102,7 +101,7 @@ def resolution_ladder(cells: DataFrame, value: str, res: int, levels: list[int]
 def jaccard_matrix(cells: DataFrame, value: str, res: int, levels: list[int], q: float = 0.9, grid: HexGrid = GRID) -> DataFrame:
     """Jaccard of the hotspots of each pair of resolutions (by mean), the finer ones projected to the coarser."""
     rolled = pyramid(cells, value, res, levels, grid).select("coarse_res", "parent", "mean")
-    cut = rolled.groupBy("coarse_res").agg(F.percentile("mean", q).alias("t"))
+    cut = quantile(rolled, "mean", q, "t", by=["coarse_res"])
     hot = rolled.join(F.broadcast(cut), "coarse_res").where("mean >= t").select("coarse_res", "parent")
     projected = None
     for r in sorted(levels):

@@ -76,16 +76,24 @@ def fold_summary(df: DataFrame, fold: str, block: str, truth: str) -> DataFrame:
 
 
 def constant_baselines(df: DataFrame, truth: str, predicted: str, fold: str) -> DataFrame:
-    """Accuracy and F1 of always saying yes or no, by fold mean and pooled, the majority class, and whether the model wins."""
+    """Accuracy and F1 of always saying yes or no, by fold mean and pooled, the majority class, and whether the model wins.
+
+    Always saying no finds no positive, so its F1 is 0; so is that of yes in a fold without positives.
+    """
     y = F.col(truth)
     each = df.groupBy(fold).agg(F.avg(y.cast("double")).alias("share"), F.avg((y == F.col(predicted)).cast("double")).alias("model"))
+    f1 = F.col("share") * 2 / (F.col("share") + 1)
     means = each.agg(
         F.avg("share").alias("always_positive_accuracy"),
-        F.avg(F.col("share") * 2 / (F.col("share") + 1)).alias("always_positive_f1"),
+        F.avg(f1).alias("always_positive_f1"),
         F.avg(1 - F.col("share")).alias("always_negative_accuracy"),
+        F.avg(F.lit(0.0)).alias("always_negative_f1"),
         F.avg("model").alias("model_accuracy"),
     )
-    pooled = df.agg(F.avg(y.cast("double")).alias("pooled_positive_share"))
+    pooled = df.agg(F.avg(y.cast("double")).alias("share"), F.avg((y == F.col(predicted)).cast("double")).alias("model"))
+    pooled = pooled.select(
+        F.col("share").alias("pooled_positive_share"), f1.alias("pooled_positive_f1"), (1 - F.col("share")).alias("pooled_negative_accuracy"), F.col("model").alias("pooled_model_accuracy")
+    )
     x = means.crossJoin(pooled)
     return x.withColumns(
         {

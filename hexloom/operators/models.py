@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ponding_score
+from ..functions.storage import cut
 from ..schema import CLASS, FEATURES, RISK, require
 from . import metrics
 from .folds import stratified_split
@@ -69,24 +71,30 @@ class RiskModels:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> RiskModels:
-        try:
-            features = json.loads(spark.read.text(f"{path}/features").first()[0])
-            return cls(PipelineModel.load(f"{path}/classifier"), PipelineModel.load(f"{path}/regressor"), features)
-        except Exception as e:
-            raise FileNotFoundError(f"no models under {path}: train and save them first") from e
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/features")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            raise FileNotFoundError(f"no models under {path}: train and save them first")
+        features = json.loads(spark.read.text(f"{path}/features").first()[0])
+        return cls(PipelineModel.load(f"{path}/classifier"), PipelineModel.load(f"{path}/regressor"), features)
 
 
-def fit_models(cells: DataFrame, features: Sequence[str] = FEATURES, classifier: Pipeline | None = None, regressor: Pipeline | None = None) -> RiskModels:
-    """Both models on all rows; an error if there is one class only."""
+def fit_models(cells: DataFrame, features: Sequence[str] = FEATURES, classifier: Pipeline | None = None, regressor: Pipeline | None = None, partition_rows: int = 50_000) -> RiskModels:
+    """Both models on all rows; an error if there is one class only.
+
+    Every tree passes over the rows several times, a job each, so rows are read in partitions of ``partition_rows`` or
+    more: a small table is not spread over tasks that cost more than their work.
+    """
     require(cells, *features, RISK, CLASS)
-    if cells.select(CLASS).distinct().limit(2).count() < 2:
+    n, kinds = cells.agg(F.count(F.lit(1)), F.count_distinct(CLASS)).first()
+    if kinds < 2:
         raise ValueError(f"{CLASS} has one class only")
+    cells = cells.select(*features, RISK, CLASS).coalesce(1 + n // partition_rows)
     return RiskModels((classifier or boosted_classifier(features)).fit(cells), (regressor or boosted_regressor(features)).fit(cells), list(features))
 
 
 def train(cells: DataFrame, features: Sequence[str] = FEATURES, key: str = "cell") -> tuple[RiskModels, DataFrame]:
     """Models fitted on four fifths of the rows, stratified by class, and one row of metrics on the rest."""
-    split = stratified_split(cells, CLASS, key).cache()
+    split = cut(stratified_split(cells, CLASS, key))
     models = fit_models(split.where(~F.col("is_test")), features)
     tested = models.predict(split.where("is_test"))
     return models, evaluate(tested)
@@ -94,6 +102,7 @@ def train(cells: DataFrame, features: Sequence[str] = FEATURES, key: str = "cell
 
 def evaluate(predicted: DataFrame) -> DataFrame:
     """One row: accuracy, F1, MAE, RMSE, R squared, AUC and average precision of predictions."""
+    predicted = cut(predicted.select(CLASS, RISK, "predicted_class", "predicted_risk", "flood_probability"))
     x = metrics.classification(predicted, CLASS, "predicted_class").crossJoin(metrics.regression(predicted, RISK, "predicted_risk"))
     return x.crossJoin(metrics.roc_auc(predicted, CLASS, "flood_probability")).crossJoin(metrics.average_precision(predicted, CLASS, "flood_probability"))
 
@@ -101,29 +110,47 @@ def evaluate(predicted: DataFrame) -> DataFrame:
 def cross_validate(cells: DataFrame, fit: Callable[[DataFrame], RiskModels] = fit_models, threads: int = 2) -> DataFrame:
     """Out-of-fold predictions of cells that have fold_id: each fold by models that have not seen it.
 
-    Folds are fitted side by side; a fold is one filter on cached rows. A fold whose training rows hold one class only
-    gives no rows. Fewer than two folds give none at all.
+    Folds are fitted side by side; a fold is one filter on rows that are written once. A fold whose training rows hold
+    one class only can't be fitted: its rows have no predictions, and a warning says so. With fewer than two folds no row
+    has any. The result does not depend on what is cached.
     """
-    cells = cells.cache()
-    folds = sorted(r[0] for r in cells.select("fold_id").distinct().collect())
+    cells = cut(cells)
+    kinds = {"predicted_risk": "double", "flood_probability": "double", "predicted_class": "int"}
+    without = lambda x: x.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()})
+    seen = cells.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(CLASS).cast("long")).alias("p")).collect()
+    folds = sorted(r["fold_id"] for r in seen)
     if len(folds) < 2:
-        return cells.limit(0).select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("predicted_risk", "double"), ("flood_probability", "double"), ("predicted_class", "int"))])
+        warnings.warn("blocked validation needs two blocks at least: there are no predictions", stacklevel=2)
+        return without(cells)
+    n, p = sum(r["n"] for r in seen), sum(r["p"] or 0 for r in seen)
+    one_class = sorted(r["fold_id"] for r in seen if p - (r["p"] or 0) in (0, n - r["n"]))
+    if one_class:
+        warnings.warn(f"folds {one_class} leave one class to train on: their rows have no predictions", stacklevel=2)
 
-    def one(fold: int) -> DataFrame | None:
-        try:
-            models = fit(cells.where(F.col("fold_id") != fold))
-        except ValueError:
-            return None
-        return models.predict(cells.where(F.col("fold_id") == fold))
+    def one(fold: int) -> DataFrame:
+        held = cells.where(F.col("fold_id") == fold)
+        return without(held) if fold in one_class else fit(cells.where(F.col("fold_id") != fold)).predict(held)
 
     with ThreadPoolExecutor(threads) as pool:
-        parts = [x for x in pool.map(one, folds) if x is not None]
-    out = parts[0]
+        parts = list(pool.map(one, folds))
+    out = parts[0].select(*cells.columns, *kinds)
     for x in parts[1:]:
-        out = out.unionByName(x)
+        out = out.unionByName(x.select(*cells.columns, *kinds))
     return out
 
 
+def validation_report(oof: DataFrame) -> DataFrame:
+    """One row: accuracy, F1, MAE, R squared and AUC over folds (mean, sd), pooled AUC and average precision, rows and folds.
+
+    Rows without predictions (folds that could not be fitted) count in n_rows only; with none left all metrics are null.
+    """
+    y = oof.where("predicted_class is not null")
+    each = fold_metrics(y)
+    spread = metrics.fold_spread(each, ["accuracy", "f1", "mae", "r2"]).crossJoin(each.agg(F.count(F.lit(1)).alias("n_folds")))
+    pooled = metrics.roc_auc(y, CLASS, "flood_probability").crossJoin(metrics.average_precision(y, CLASS, "flood_probability"))
+    return spread.crossJoin(pooled).crossJoin(oof.agg(F.count(F.lit(1)).alias("n_rows")))
+
+
 def fold_metrics(oof: DataFrame) -> DataFrame:
     return metrics.classification(oof, CLASS, "predicted_class", ["fold_id"]).join(metrics.regression(oof, RISK, "predicted_risk", ["fold_id"]), "fold_id")
 
@@ -146,9 +173,20 @@ def scenario_range(scored: DataFrame) -> DataFrame:
     return scored.groupBy("cell").agg((F.max("PFI_h") - F.min("PFI_h")).alias("pfi_range"))
 
 
+def linear_models(cells: DataFrame) -> RiskModels:
+    return fit_models(cells, classifier=logistic_classifier(cells.count()), regressor=linear_regressor())
+
+
+def in_sample_baselines(cells: DataFrame) -> DataFrame:
+    """Metrics of the ponding rule (spans over all rows) and of the linear baselines on the rows that they were fitted on."""
+    rule = ponding_score(cells).withColumns({"predicted_class": (F.col("rule_score") >= 0.5).cast("int"), "predicted_risk": F.col("rule_score"), "flood_probability": F.col("rule_score")})
+    both = [evaluate(x).withColumn("model", F.lit(n)) for n, x in (("rule", rule), ("linear", linear_models(cells).predict(cells)))]
+    return both[0].unionByName(both[1])
+
+
 def baseline_table(cells: DataFrame) -> DataFrame:
     """Metrics by fold of the ponding rule (spans within each fold) and of the linear baselines out of fold."""
     rule = ponding_score(cells, ["fold_id"]).withColumn("predicted_class", (F.col("rule_score") >= 0.5).cast("int")).withColumn("predicted_risk", F.col("rule_score"))
-    linear = cross_validate(cells, lambda part: fit_models(part, classifier=logistic_classifier(part.count()), regressor=linear_regressor()))
+    linear = cross_validate(cells, linear_models).where("predicted_class is not null")
     both = [fold_metrics(x).withColumn("model", F.lit(n)) for n, x in (("rule", rule), ("linear", linear))]
     return both[0].unionByName(both[1])

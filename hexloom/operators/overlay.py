@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hexgrid import GRID, HALF, M_PER_LAT, HexGrid
+from ..functions.hexgrid import GRID, HALF, M_PER_LAT, HexGrid, children_of, i_of, j_of, pack
 
 Box = tuple[float, float, float, float]
 
@@ -61,21 +61,52 @@ def ring_box(rings: Column) -> tuple[Column, Column, Column, Column]:
     return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
 
 
+def _level_with(ry: float):
+    """Whether an edge comes within ry of the latitude lat."""
+    return lambda e: (F.least(e["y1"], e["y2"]) <= F.col("lat") + ry) & (F.greatest(e["y1"], e["y2"]) >= F.col("lat") - ry)
+
+
+def _close(rx: float, ry: float):
+    """Whether the box of an edge comes within rx and ry of the place (lon, lat)."""
+    level = _level_with(ry)
+    return lambda e: level(e) & (F.least(e["x1"], e["x2"]) <= F.col("lon") + rx) & (F.greatest(e["x1"], e["x2"]) >= F.col("lon") - rx)
+
+
 def coverage(spine: DataFrame, polygons: DataFrame, res: int = 9, depth: int = 4, grid: HexGrid = GRID, name: str = "area_frac") -> DataFrame:
     """The fraction of each cell of the spine that the polygons (rings) cover, overlaps counted once.
 
     The centres of the 7**depth descendants sample a cell. Polygons meet cells by an equi-join on the cells that their
-    bounding box can touch; a sample counts once however many polygons hold it. Cells without any get 0.
+    bounding box can touch, ids alone. A cell is then parted level by level: a part that no edge of a polygon comes near
+    is all inside it or all outside, as its centre says, so only parts along edges are parted on. A sample counts once
+    however many polygons hold it. Cells without any get 0.
     """
     shapes = polygons.select(edges(F.col("rings")).alias("edges"), *[c.alias(n) for c, n in zip(ring_box(F.col("rings")), "wsen", strict=True)]).where("w is not null")
-    near = window_cells(shapes, *[F.col(c) for c in "wsen"], res, grid)
-    wanted = near.join(spine.select("cell").distinct(), "cell", "left_semi")
-    touched = wanted.select("cell").distinct()
-    samples = grid.children(touched, res, res + depth, name="sample")
-    lon, lat = grid.centre("sample", res + depth)
-    samples = samples.select("cell", "sample", F.expr(lon).alias("lon"), F.expr(lat).alias("lat"))
-    hit = samples.join(wanted, "cell").where("lon between w and e and lat between s and n").where(inside(F.col("lon"), F.col("lat"), F.col("edges")))
-    share = hit.select("cell", "sample").distinct().groupBy("cell").agg((F.count(F.lit(1)) / float(7**depth)).alias(name))
+    shapes = shapes.withColumn("shape", F.xxhash64("edges"))
+    near = window_cells(shapes.select("shape", *"wsen"), *[F.col(c) for c in "wsen"], res, grid).select("cell", "shape").distinct()
+    near = near.join(spine.select("cell").distinct(), "cell", "left_semi")
+    x = near.join(shapes.select("shape", "edges").dropDuplicates(["shape"]), "shape").groupBy("cell").agg(F.collect_list("edges").alias("shapes"))
+    x = x.withColumns({"part": F.col("cell"), "held": F.lit(None).cast("long")})
+    none = F.expr("cast(array() as array<array<struct<x1:double,y1:double,x2:double,y2:double>>>)")
+    for level in range(res, res + depth + 1):
+        lon, lat = (F.expr(e) for e in grid.centre("part", level))
+        x = x.withColumns({"lon": lon, "lat": lat})
+        if level == res + depth:
+            in_any = F.exists("shapes", lambda e: inside(F.col("lon"), F.col("lat"), e))
+            x = x.select("cell", F.coalesce("held", in_any.cast("long")).alias("held"))
+            break
+        # samples of a part lie within the steps from level to level of its centre
+        reach = sum(grid.spacing(r) for r in range(level + 1, res + depth + 1)) * (1 + 1e-9)
+        close, level_with = _close(reach / grid.kx, reach / M_PER_LAT), _level_with(reach / M_PER_LAT)
+        along = F.filter("shapes", lambda s: F.exists(s, close))
+        whole = F.exists("shapes", lambda s: ~F.exists(s, close) & inside(F.col("lon"), F.col("lat"), s))
+        # of a shape that goes on, the edges that a ray from any sample can cross
+        x = x.select("cell", "part", "held", whole.alias("whole"), F.transform(along, lambda s: F.filter(s, level_with)).alias("shapes"))
+        done = F.when(F.col("whole"), 7 ** (res + depth - level)).when(F.size("shapes") == 0, 0).cast("long")
+        x = x.select("cell", "part", F.coalesce("held", done).alias("held"), "shapes")
+        seven = F.array(*[F.expr(pack(level + 1, a, b)) for a, b in children_of(i_of("part"), j_of("part"), level + 1)])
+        parts = F.when(F.col("held").isNull(), seven).otherwise(F.array("part"))
+        x = x.select("cell", "held", F.when(F.col("held").isNull(), F.col("shapes")).otherwise(none).alias("shapes"), F.explode(parts).alias("part"))
+    share = x.groupBy("cell").agg((F.sum("held") / float(7**depth)).alias(name))
     return spine.select("cell").join(share, "cell", "left").fillna(0.0, [name])
 
 

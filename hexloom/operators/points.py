@@ -9,12 +9,28 @@ from pyspark.sql import functions as F
 
 from ..functions.hexgrid import GRID, HexGrid
 from ..functions.scalars import clean
+from .overlay import edges
+
+
+def in_cells(points: DataFrame, columns: Sequence[str], res: int, grid: HexGrid) -> DataFrame:
+    """The columns and the cell of the points that have coordinates.
+
+    Coordinates are tested, not the cell, and the cell says that it is never null: a test of it would be pushed down as its
+    whole expression.
+    """
+    x = grid.with_cell(points.where("lon is not null and lat is not null").select("lon", "lat", *columns), res=res)
+    return x.withColumn("cell", F.coalesce("cell", F.lit(0).cast("long")))
+
+
+def left_by_cell(spine: DataFrame, layer: DataFrame) -> DataFrame:
+    """A left join on the cell, null-safe: of a plain equality Spark infers tests of the cell and pushes them down as its
+    whole expression, which can be too long to compile."""
+    return spine.join(layer.withColumnRenamed("cell", "hx_at"), F.col("cell").eqNullSafe(F.col("hx_at")), "left").drop("hx_at")
 
 
 def point_count(points: DataFrame, res: int = 9, grid: HexGrid = GRID, name: str = "point_count") -> DataFrame:
     """Points in each cell that has any; points without coordinates are in none."""
-    x = grid.with_cell(points.select("lon", "lat"), res=res)
-    return x.where("cell is not null").groupBy("cell").agg(F.count(F.lit(1)).alias(name))
+    return in_cells(points, [], res, grid).groupBy("cell").agg(F.count(F.lit(1)).alias(name))
 
 
 def point_mean(points: DataFrame, values: Sequence[str] | None = None, res: int = 9, grid: HexGrid = GRID) -> DataFrame:
@@ -22,13 +38,12 @@ def point_mean(points: DataFrame, values: Sequence[str] | None = None, res: int
     values = [c for c in points.columns if c not in ("lon", "lat", "cell")] if values is None else list(values)
     if not values:
         return point_count(points, res, grid)
-    x = grid.with_cell(points.select("lon", "lat", *values), res=res).where("cell is not null")
-    return x.groupBy("cell").agg(*[F.avg(clean(F.col(v).cast("double"))).alias(v) for v in values])
+    return in_cells(points, values, res, grid).groupBy("cell").agg(*[F.avg(clean(F.col(v).cast("double"))).alias(v) for v in values])
 
 
 def score_index(points: DataFrame, score: str = "score", cut: float = 0.8, res: int = 9, grid: HexGrid = GRID) -> DataFrame:
     """Index of each cell over the scores of its buildings: mean, number, sum, share above the cut, p95, max."""
-    x = grid.with_cell(points.select("lon", "lat", clean(F.col(score)).alias("hx_score")), res=res).where("cell is not null")
+    x = in_cells(points.withColumn("hx_score", clean(F.col(score))), ["hx_score"], res, grid)
     s = F.col("hx_score")
     return x.groupBy("cell").agg(
         F.avg(s).alias("score_mean"),
@@ -40,15 +55,34 @@ def score_index(points: DataFrame, score: str = "score", cut: float = 0.8, res:
     )
 
 
+def centroids(features: DataFrame) -> DataFrame:
+    """lon and lat of each vector record: the area's centroid of its rings, holes taken off; the mean of the vertices of
+    records without area."""
+    x1, y1 = lambda e: e["x1"], lambda e: e["y1"]
+    turn = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
+    total = lambda f: F.aggregate("hx_e", F.lit(0.0), lambda s, e: s + f(e))
+    # about the first vertex, so that small shapes far from the origin lose no digits
+    first = F.col("rings")[0][0]
+    x = features.withColumns({"hx_0": first, "hx_r": F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y"))))})
+    x = x.withColumn("hx_e", edges(F.col("hx_r")))
+    area = total(turn)
+    cx, cy = total(lambda e: (x1(e) + e["x2"]) * turn(e)) / (area * 3), total(lambda e: (y1(e) + e["y2"]) * turn(e)) / (area * 3)
+    flat = F.flatten("hx_r")
+    mean = lambda c: F.aggregate(flat, F.lit(0.0), lambda s, p: s + p[c]) / F.size(flat)
+    some = F.abs(area) > 0
+    x = x.withColumns({"lon": F.col("hx_0.x") + F.when(some, cx).otherwise(mean("x")), "lat": F.col("hx_0.y") + F.when(some, cy).otherwise(mean("y"))})
+    return x.drop("hx_0", "hx_r", "hx_e")
+
+
 def density(points: DataFrame, spine: DataFrame, res: int = 9, grid: HexGrid = GRID) -> DataFrame:
     """Points per square kilometre in each cell of the spine, 0 where there are none."""
-    x = spine.select("cell").join(point_count(points, res, grid), "cell", "left")
+    x = left_by_cell(spine.select("cell"), point_count(points, res, grid))
     return x.select("cell", (F.coalesce("point_count", F.lit(0)) / grid.area_km2(res)).alias("building_density"))
 
 
 def join_column(spine: DataFrame, layer: DataFrame, column: str) -> DataFrame:
     """The layer's column on the spine, in place of one of that name; null where the layer has no such cell."""
-    return spine.drop(column).join(layer.select("cell", column), "cell", "left")
+    return left_by_cell(spine.drop(column), layer.select("cell", column))
 
 
 def point_label(spine: DataFrame, points: DataFrame | None, area: DataFrame | None = None, res: int = 9, grid: HexGrid = GRID, least: float = 1e-9) -> DataFrame:
@@ -57,7 +91,7 @@ def point_label(spine: DataFrame, points: DataFrame | None, area: DataFrame | No
     Risk is the greater of the covered fraction and 1 where a point lies in the cell. Points outside the spine drop out.
     """
     counts = None if points is None else point_count(points, res, grid, "flood_point_count")
-    x = spine if counts is None else spine.drop("flood_point_count").join(counts, "cell", "left")
+    x = spine if counts is None else left_by_cell(spine.drop("flood_point_count"), counts)
     x = x.withColumn("flood_point_count", F.coalesce("flood_point_count", F.lit(0)) if counts is not None else F.lit(0).cast("long"))
     if area is None:
         x = x.withColumn("flood_area_frac", F.lit(0.0))

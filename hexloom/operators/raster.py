@@ -8,21 +8,36 @@ from pyspark.sql import functions as F
 from ..functions.hexgrid import GRID, M_PER_LAT, M_PER_LON, HexGrid
 from ..functions.scalars import clean, clip
 from ..functions.storage import cut
+from .points import left_by_cell
 
-#: The eight neighbours in the order that settles ties, row by row from the upper left.
+#: The eight neighbours in the order that settles ties, row by row from the upper left.
 NEIGHBOURS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 
+def raster_keys(pixels: DataFrame) -> list[str]:
+    """What tells rasters of one table apart: raster_id, where there is one."""
+    return ["raster_id"] if "raster_id" in pixels.columns else []
+
+
+def _with_raster(pixels: DataFrame, values: DataFrame) -> DataFrame:
+    """pixels with the row of values of their raster; values has one row for each raster, so it is broadcast."""
+    by = raster_keys(pixels)
+    if not by:
+        return pixels.crossJoin(F.broadcast(values))
+    same = F.col("raster_id").eqNullSafe(F.col("hx_id"))
+    return pixels.join(F.broadcast(values.withColumnRenamed("raster_id", "hx_id")), same).drop("hx_id")
+
+
 def fraction_scale(pixels: DataFrame, value: str = "value") -> DataFrame:
-    """Percent to fraction: divided by 100 if the largest value is over 1.5; clipped to 0..1."""
-    top = pixels.agg((F.max(clean(F.col(value))) > 1.5).alias("hx_percent"))
-    x = pixels.crossJoin(F.broadcast(top))
+    """Percent to fraction: divided by 100 if the largest value of the raster is over 1.5; clipped to 0..1."""
+    top = pixels.groupBy(*raster_keys(pixels)).agg((F.max(clean(F.col(value))) > 1.5).alias("hx_percent"))
+    x = _with_raster(pixels, top)
     return x.withColumn(value, clip(F.when(F.col("hx_percent"), F.col(value) / 100).otherwise(F.col(value)), 0, 1)).drop("hx_percent")
 
 
-def _gradient(z: Column, along: str, across: str) -> Column:
+def _gradient(z: Column, along: str, across: str, by: list[str]) -> Column:
     """Central differences in units of a pixel; one-sided at edges and next to missing pixels; 0 for a lone pixel."""
-    w = Window.partitionBy(across).orderBy(along)
+    w = Window.partitionBy(*by, across).orderBy(along)
     near = lambda f, d: F.when(f(F.col(along)).over(w) == F.col(along) + d, f(z).over(w))
     before, after = near(F.lag, -1), near(F.lead, 1)
     inner = (after - before) / 2
@@ -32,60 +47,64 @@ def _gradient(z: Column, along: str, across: str) -> Column:
 def slope(pixels: DataFrame, dx_deg: float, dy_deg: float, mid_lat: float, value: str = "value") -> DataFrame:
     """slope_deg of each pixel (row, col), from metres per degree at the raster's middle latitude; null where missing.
 
-    One raster of one id at a time; windows are rows and columns of the raster, never the whole of it.
+    Rasters are told apart by raster_id, if the table has it; windows are rows and columns of a raster, never the whole of it.
     """
     import math
 
     east, north = M_PER_LON * math.cos(math.radians(mid_lat)) * dx_deg, M_PER_LAT * dy_deg
     z = clean(F.col(value).cast("double"))
     x = pixels.withColumn("hx_z", z)
-    x = x.withColumns({"hx_gx": _gradient(F.col("hx_z"), "col", "row"), "hx_gy": _gradient(F.col("hx_z"), "row", "col")})
+    by = raster_keys(pixels)
+    x = x.withColumns({"hx_gx": _gradient(F.col("hx_z"), "col", "row", by), "hx_gy": _gradient(F.col("hx_z"), "row", "col", by)})
     rise = F.sqrt(F.pow(F.col("hx_gx") / east, 2) + F.pow(F.col("hx_gy") / north, 2))
     return x.withColumn("slope_deg", F.when(F.col("hx_z").isNotNull(), F.degrees(F.atan(rise)))).drop("hx_z", "hx_gx", "hx_gy")
 
 
 def d8_receiver(pixels: DataFrame, value: str = "value") -> DataFrame:
-    """row, col, to_row, to_col: the lowest of eight neighbours if it is lower than the pixel; the first in order of ties.
+    """row, col, to_row, to_col (and raster_id, if there is one): the lowest of eight neighbours if it is lower than the
+    pixel; the first in order of ties.
 
     Missing pixels count as the raster's highest.
     """
-    top = pixels.agg(F.max(clean(F.col(value).cast("double"))).alias("hx_top"))
-    z = pixels.select("row", "col", clean(F.col(value).cast("double")).alias("z")).crossJoin(F.broadcast(top)).select("row", "col", F.coalesce("z", "hx_top").alias("z"))
+    by = raster_keys(pixels)
+    top = pixels.groupBy(*by).agg(F.max(clean(F.col(value).cast("double"))).alias("hx_top"))
+    z = pixels.select(*by, "row", "col", clean(F.col(value).cast("double")).alias("z"))
+    z = _with_raster(z, top).select(*by, "row", "col", F.coalesce("z", "hx_top").alias("z"))
     offsets = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("dr"), F.lit(b).alias("dc")) for k, (a, b) in enumerate(NEIGHBOURS)])
     # each pixel offers itself to its neighbours: of neighbour (row, col) it is the one in the opposite direction
-    offered = z.select(F.explode(offsets).alias("o"), "row", "col", "z").select(
-        (F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), F.struct("z", F.col("o.k").alias("k"), F.col("row").alias("to_row"), F.col("col").alias("to_col")).alias("n")
-    )
-    best = offered.groupBy("row", "col").agg(F.min("n").alias("n"))
-    x = z.join(best, ["row", "col"], "left")
+    here = F.struct("z", F.col("o.k").alias("k"), F.col("row").alias("to_row"), F.col("col").alias("to_col"))
+    offered = z.select(*by, F.explode(offsets).alias("o"), "row", "col", "z").select(*by, (F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), here.alias("n"))
+    best = offered.groupBy(*by, "row", "col").agg(F.min("n").alias("n"))
+    x = z.join(best, [*by, "row", "col"], "left")
     lower = F.col("n.z") < F.col("z")
-    return x.select("row", "col", F.when(lower, F.col("n.to_row")).alias("to_row"), F.when(lower, F.col("n.to_col")).alias("to_col"))
+    return x.select(*by, "row", "col", F.when(lower, F.col("n.to_row")).alias("to_row"), F.when(lower, F.col("n.to_col")).alias("to_col"))
 
 
 def d8_accumulation(pixels: DataFrame, value: str = "value") -> DataFrame:
-    """row, col, flow: how many pixels drain through each, itself included; null where the pixel is missing.
+    """row, col, flow (and raster_id, if there is one): how many pixels drain through each, itself included; null where
+    the pixel is missing.
 
     Pointer doubling: each round adds what arrives over twice as many steps, so a path of n pixels takes log2(n) rounds
     of joins on the pixel, each cut from its lineage.
     """
-    there = pixels.select("row", "col", clean(F.col(value).cast("double")).isNotNull().alias("there"))
-    ids = d8_receiver(pixels, value).select(
-        F.struct("row", "col").alias("at"), F.when(F.col("to_row").isNotNull(), F.struct(F.col("to_row").alias("row"), F.col("to_col").alias("col"))).alias("to"), F.lit(1).cast("long").alias("flow")
-    )
+    by = raster_keys(pixels)
+    there = pixels.select(*by, "row", "col", clean(F.col(value).cast("double")).isNotNull().alias("there"))
+    to = F.struct(*by, F.col("to_row").alias("row"), F.col("to_col").alias("col"))
+    ids = d8_receiver(pixels, value).select(F.struct(*by, "row", "col").alias("at"), F.when(F.col("to_row").isNotNull(), to).alias("to"), F.lit(1).cast("long").alias("flow"))
     state = cut(ids)
     while state.where("to is not null").limit(1).count():
         arrives = state.where("to is not null").groupBy(F.col("to").alias("at")).agg(F.sum("flow").alias("more"))
         jump = state.select(F.col("at").alias("to"), F.col("to").alias("next"))
         state = state.join(arrives, "at", "left").join(jump, "to", "left")
         state = cut(state.select("at", F.col("next").alias("to"), (F.col("flow") + F.coalesce("more", F.lit(0))).alias("flow")))
-    x = state.select("at.row", "at.col", "flow").join(there, ["row", "col"])
-    return x.select("row", "col", F.when(F.col("there"), F.col("flow")).alias("flow"))
+    x = state.select("at.*", "flow").join(there, [*by, "row", "col"])
+    return x.select(*by, "row", "col", F.when(F.col("there"), F.col("flow")).alias("flow"))
 
 
 def zonal_mean(pixels: DataFrame, res: int = 9, value: str = "value", name: str = "zonal", spine: DataFrame | None = None, grid: HexGrid = GRID) -> DataFrame:
     """Mean of the pixels whose centre (x, y) lies in each cell; missing ones do not count. With a spine, its cells."""
     v = F.col(value).cast("double")
     v = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    x = grid.with_cell(pixels.select(F.col("x").alias("lon"), F.col("y").alias("lat"), v.alias("hx_v")), res=res)
-    x = x.where("cell is not null and hx_v is not null").groupBy("cell").agg(F.avg("hx_v").alias(name))
-    return x if spine is None else spine.select("cell").join(x, "cell", "left")
+    x = pixels.select(F.col("x").alias("lon"), F.col("y").alias("lat"), v.alias("hx_v")).where("lon is not null and lat is not null and hx_v is not null")
+    x = grid.with_cell(x, res=res).groupBy("cell").agg(F.avg("hx_v").alias(name))
+    return x if spine is None else left_by_cell(spine.select("cell"), x)

@@ -17,7 +17,8 @@ from ..schema import CLASS, FEATURES, RISK
 
 @dataclass
 class Layers:
-    """What there is; all of it optional. Pixel tables (row, col, x, y, value), points (lon, lat), segments, polygons (rings)."""
+    """What there is; all of it optional. Pixel tables (row, col, x, y, value; raster_id if there are several rasters), points
+    (lon, lat), segments, polygons (rings). Buildings are points or polygons."""
 
     dem: DataFrame | None = None
     slope: DataFrame | None = None
@@ -52,7 +53,8 @@ def features(spine: DataFrame, layers: Layers, res: int, rainfall_mm_h: float =
         if layers.slope is None:
             tilt = raster.slope(layers.dem, dx, dy, mid)
             found["slope_deg"] = raster.zonal_mean(tilt, res, "slope_deg", "slope_deg", grid=grid)
-        flow = raster.d8_accumulation(layers.dem).join(layers.dem.select("row", "col", "x", "y"), ["row", "col"])
+        at = [*raster.raster_keys(layers.dem), "row", "col"]
+        flow = raster.d8_accumulation(layers.dem).join(layers.dem.select(*at, "x", "y"), at)
         found["flow_accum_proxy"] = raster.zonal_mean(flow, res, "flow", "flow_accum_proxy", grid=grid)
     if layers.slope is not None:
         found["slope_deg"] = raster.zonal_mean(layers.slope, res, name="slope_deg", grid=grid)
@@ -61,7 +63,8 @@ def features(spine: DataFrame, layers: Layers, res: int, rainfall_mm_h: float =
         found["impervious_frac"] = paved
         found["land_cover_urban"] = paved.select("cell", (F.col("impervious_frac") > 0.45).cast("double").alias("land_cover_urban"))
     if layers.buildings is not None:
-        found["building_density"] = points.density(layers.buildings, spine, res, grid)
+        buildings = points.centroids(layers.buildings) if "rings" in layers.buildings.columns else layers.buildings
+        found["building_density"] = points.density(buildings.select("lon", "lat"), spine, res, grid)
     if layers.streams is not None:
         found["dist_stream_m"] = nearest_distance(spine, layers.streams, res=res, grid=grid).withColumnRenamed("dist_m", "dist_stream_m")
     x = base

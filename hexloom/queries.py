@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import h3bits, scalars
-from .functions.hexgrid import GRID, M_PER_LAT, M_PER_LON, children_of, disk_offsets, i_of, j_of, pack, parent_once, res_of
-from .functions.stages import num, to_sql
-from .functions.storage import cut
+from .functions import h3bits, hexgrid, scalars
+from .functions.hexgrid import GRID
+from .functions.stages import num
+from .functions.storage import cut, shared_dir
 from .operators import adaptive, control, folds, hotspot, metrics, models, nearest, overlay, points, quality, raster, rollup
-from .plans import assemble
+from .plans import assemble, study
 from .schema import CLASS, FEATURE_RANGES, FEATURES, RISK
 from .sources import geojson, tables
 from .streaming import incidents
@@ -45,12 +46,97 @@ def r(x: str, name: str | None = None) -> str:
     return f"round({x}, {PLACES}) as {name or x}"
 
 
+# ---- the lattice, as SQL ---------------------------------------------------------------------------------------------
+# Written from its definition and from none of the grid's own expressions: centres lie at spacing * (i - j / 2, j * sqrt(3) / 2),
+# turned at odd levels; a point's cell is the one of the nearest centre, and so is a cell's parent.
+
+#: Where the grid lies, the metres of a degree, and the area of a cell of level 9.
+LON0, LAT0, PER_LON, PER_LAT, AREA9 = -74.0, 40.7, 111_320.0, 110_540.0, 0.1
+KX = PER_LON * math.cos(math.radians(LAT0))
+ROW = math.sqrt(3) / 2
+
+
+def spacing(level: int) -> float:
+    return math.sqrt(AREA9 * 1e6 / ROW) * 7 ** ((9 - level) / 2)
+
+
+def turned(level: int) -> tuple[float, float]:
+    angle = math.asin(math.sqrt(3 / 28)) if level % 2 else 0.0
+    return math.cos(angle), math.sin(angle)
+
+
+def i_of(cell: str) -> str:
+    return f"((({cell}) >> 28) % 268435456 - 134217728)"
+
+
+def j_of(cell: str) -> str:
+    return f"(({cell}) % 268435456 - 134217728)"
+
+
+def pack(level: int, i: str, j: str) -> str:
+    return f"({level << 56} + (({i})::bigint + 134217728) * 268435456 + ({j})::bigint + 134217728)"
+
+
+def middle(cell: str, level: int) -> tuple[str, str]:
+    """Metres from the origin to a cell's centre."""
+    (c, t), a = turned(level), spacing(level)
+    u, v = f"({num(a)} * ({i_of(cell)} - {j_of(cell)} / 2e0))", f"({num(a * ROW)} * {j_of(cell)})"
+    return f"({u} * {num(c)} - {v} * {num(t)})", f"({u} * {num(t)} + {v} * {num(c)})"
+
+
+def centre(cell: str, level: int) -> tuple[str, str]:
+    x, y = middle(cell, level)
+    return f"({num(LON0)} + {x} / {num(KX)})", f"({num(LAT0)} + {y} / {num(PER_LAT)})"
+
+
+def nearest_centre(source: str, x: str, y: str, level: int, name: str) -> str:
+    """source with the cell whose centre is nearest to (x, y) metres: the nearer of the nearest in the rows below and above."""
+    (c, t), a = turned(level), spacing(level)
+    steps = [
+        {"lx": x, "ly": y},
+        {"lu": f"(lx * {num(c)} + ly * {num(t)}) / {num(a)}", "lv": f"(ly * {num(c)} - lx * {num(t)}) / {num(a)}"},
+        {"lj": f"floor(lv / {num(ROW)})"},
+        {"la": "floor(lu + lj / 2e0 + 5e-1)", "lb": "floor(lu + (lj + 1) / 2e0 + 5e-1)"},
+        {"ld": f"pow(lu - la + lj / 2e0, 2) + pow(lv - lj * {num(ROW)}, 2)", "le": f"pow(lu - lb + (lj + 1) / 2e0, 2) + pow(lv - (lj + 1) * {num(ROW)}, 2)"},
+    ]
+    for k, step in enumerate(steps):
+        source = f"(select *, {', '.join(f'{v} as {n}' for n, v in step.items())} from {source} s{k})"
+    found = pack(level, "case when ld <= le then la else lb end", "case when ld <= le then lj else lj + 1 end")
+    return f"(select * exclude (lx, ly, lu, lv, lj, la, lb, ld, le), {found} as {name} from {source} n)"
+
+
+def located_cells(source: str, lon: str, lat: str, level: int, name: str = "cell") -> str:
+    return nearest_centre(source, f"({lon} - {num(LON0)}) * {num(KX)}", f"({lat} - {num(LAT0)}) * {num(PER_LAT)}", level, name)
+
+
+def lineage(source: str, level: int, to: int) -> str:
+    """source with the ancestors of its cell: hx_p<level> for each level down to ``to``."""
+    cell = "cell"
+    for k in range(level, to, -1):
+        source = nearest_centre(source, *middle(cell, k), k - 1, f"hx_p{k - 1}")
+        cell = f"hx_p{k - 1}"
+    return source
+
+
+def children_sql(source: str, level: int, to: int) -> str:
+    """A row for each descendant of source's child: at each level those of the cells around it whose nearest parent it is."""
+    for k in range(level + 1, to + 1):
+        near = nearest_centre(source, *middle("child", k - 1), k, "lm")
+        around = f"(select * exclude (child, lm), child as lp, lm + di * 268435456 + dj as child from {near} m, generate_series(-1, 1) g(di), generate_series(-1, 1) h(dj))"
+        source = f"(select * exclude (lp, lq, di, dj) from {nearest_centre(around, *middle('child', k), k - 1, 'lq')} q where lq = lp)"
+    return source
+
+
+#: Steps to the cells whose centres are one spacing away, and none.
+STEPS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a - b / 2) ** 2 + (ROW * b) ** 2 < 1.01]
+
+
 # ---- inputs ---------------------------------------------------------------------------------------------------------
 
 LON = "(-74.03e0 + (({k} * 7919) % 9000) / 1e5)"
 LAT = "(40.68e0 + (({k} * 104729) % 12000) / 1e5)"
 P = f"(select event_id, ts, event_type, value, {LON.format(k='event_id')} as lon, {LAT.format(k='event_id')} as lat from events)"
-C9 = f"(select *, hx_cell as cell from {to_sql(P, GRID.point_stages('lon', 'lat', 9))})"
+C9 = located_cells(P, "lon", "lat", 9)
 MEANS = f"(select cell, avg(value) as value, count(*) as n from {C9} group by cell)"
 SUP = f"(select s_suppkey as id, s_nationkey, {LON.format(k='s_suppkey')} as lon, {LAT.format(k='s_suppkey')} as lat, {LON.format(k='(s_suppkey + 1)')} as lon2, {LAT.format(k='(s_suppkey + 1)')} as lat2 from supplier)"
 
@@ -67,17 +153,6 @@ def event_cells(read) -> DataFrame:
     return points.point_mean(event_points(read).select("lon", "lat", "value"))
 
 
-def up(cell: str, res: int, to: int) -> str:
-    """The ancestor as one SQL expression."""
-    for level in range(res, to, -1):
-        cell = parent_once(cell, level)
-    return cell
-
-
-def lineage(source: str, res: int, to: int) -> str:
-    return to_sql(source, GRID.parent_stages("cell", res, to))
-
-
 # ---- grid -----------------------------------------------------------------------------------------------------------
 
 
@@ -93,20 +168,13 @@ def cell_parent(read):
     return GRID.with_parent(x, 9, 7, name="parent7").select("cell", "parent8", "parent7")
 
 
-def _children_sql(source: str, res: int, to: int) -> str:
-    for level in range(res + 1, to + 1):
-        kids = ", ".join(pack(level, a, b) for a, b in children_of(i_of("child"), j_of("child"), level))
-        source = f"(select cell, unnest([{kids}]) as child from {source})"
-    return source
-
-
-@query(f"select cell, child from {_children_sql(f'(select distinct hx_p7 as cell, hx_p7 as child from {lineage(C9, 9, 7)})', 7, 9)}")
+@query(f"select cell, child from {children_sql(f'(select distinct hx_p7 as cell, hx_p7 as child from {lineage(C9, 9, 7)})', 7, 9)}")
 def cell_children(read):
     x = GRID.with_parent(GRID.with_cell(event_points(read), res=9), 9, 7).select(F.col("parent").alias("cell")).distinct()
     return GRID.children(x, 7, 9).select("cell", "child")
 
 
-_DISK = ", ".join(f"cell + ({(a << 28) + b})" for a, b in disk_offsets(1))
+_DISK = ", ".join(f"cell + ({a} * 268435456 + {b})" for a, b in STEPS)
 
 
 @query(f"select cell, unnest([{_DISK}]) as near from (select distinct cell from {C9})")
@@ -114,24 +182,25 @@ def cell_disk(read):
     return GRID.disk(GRID.with_cell(event_points(read), res=9).select("cell").distinct(), 1).select("cell", "near")
 
 
-@query(f"select cell, {res_of('cell')} as res, {r(GRID.centre('cell', 9)[0], 'lon')}, {r(GRID.centre('cell', 9)[1], 'lat')}, {r(num(GRID.area_km2(9)), 'area_km2')} from (select distinct cell from {C9})")
+@query(f"select cell, (cell >> 56)::int as res, {r(centre('cell', 9)[0], 'lon')}, {r(centre('cell', 9)[1], 'lat')}, {r(num(AREA9), 'area_km2')} from (select distinct cell from {C9})")
 def cell_centre(read):
     x = GRID.with_cell(event_points(read), res=9).select("cell").distinct()
     lon, lat = (F.expr(e) for e in GRID.centre("cell", 9))
-    return x.select("cell", F.expr(res_of("cell")).alias("res"), lon.alias("lon"), lat.alias("lat"), F.lit(GRID.area_km2(9)).alias("area_km2"))
+    return x.select("cell", F.expr(hexgrid.res_of("cell")).alias("res"), lon.alias("lon"), lat.alias("lat"), F.lit(GRID.area_km2(9)).alias("area_km2"))
 
 
-_CORNERS = ", ".join(f"({k}, {num(a)}, {num(b)})" for k, (a, b) in enumerate([*GRID.corners(9), GRID.corners(9)[0]]))
+#: Corners lie at the hexagon's radius, 30 degrees off its six neighbours.
+_AT = [math.asin(math.sqrt(3 / 28)) + math.radians(60 * k + 30) for k in (*range(6), 0)]
+_CORNERS = ", ".join(f"({k}, {num(spacing(9) / math.sqrt(3) * math.cos(t) / KX)}, {num(spacing(9) / math.sqrt(3) * math.sin(t) / PER_LAT)})" for k, t in enumerate(_AT))
 
 
-@query(f"select cell, k::int as k, {r(GRID.centre('cell', 9)[0] + ' + dx', 'x')}, {r(GRID.centre('cell', 9)[1] + ' + dy', 'y')} from (select distinct cell from {C9}), (values {_CORNERS}) v(k, dx, dy)")
+@query(f"select cell, k::int as k, {r(centre('cell', 9)[0] + ' + dx', 'x')}, {r(centre('cell', 9)[1] + ' + dy', 'y')} from (select distinct cell from {C9}), (values {_CORNERS}) v(k, dx, dy)")
 def cell_boundary(read):
     x = GRID.with_cell(event_points(read), res=9).select("cell").distinct()
     return x.select("cell", F.posexplode(GRID.boundary(F.col("cell"), 9)).alias("k", "p")).select("cell", "k", "p.x", "p.y")
 
 
-_I0, _I1, _J0, _J1 = GRID.cover_window(BOX, 9)
-_COVER = f"(select cell, {GRID.centre('cell', 9)[0]} as lon, {GRID.centre('cell', 9)[1]} as lat from (select {pack(9, 'i', 'j')} as cell from generate_series({_I0}, {_I1}) a(i), generate_series({_J0}, {_J1}) b(j)))"
+_COVER = f"(select cell, {centre('cell', 9)[0]} as lon, {centre('cell', 9)[1]} as lat from (select {pack(9, 'i', 'j')} as cell from generate_series(-60, 60) a(i), generate_series(-60, 60) b(j)))"
 _SPINE = f"(select * from {_COVER} where lon between {BOX[0]}e0 and {BOX[2]}e0 and lat between {BOX[1]}e0 and {BOX[3]}e0)"
 
 
@@ -201,7 +270,7 @@ _ORD = f"(select o_orderkey, (o_orderkey * 7919 % 1000) / 999e0 as score, {LON.f
 
 
 @query(
-    f"select hx_cell as cell, {r('avg(score)', 'score_mean')}, count(*) as n, {r('sum(score)', 'score_sum')}, {r('avg((score > 8e-1)::int::double)', 'share_above')}, {r('quantile_cont(score, 0.95)', 'score_p95')}, {r('max(score)', 'score_max')} from {to_sql(_ORD, GRID.point_stages('lon', 'lat', 9))} group by hx_cell"
+    f"select hx_cell as cell, {r('avg(score)', 'score_mean')}, count(*) as n, {r('sum(score)', 'score_sum')}, {r('avg((score > 8e-1)::int::double)', 'share_above')}, {r('quantile_cont(score, 0.95)', 'score_p95')}, {r('max(score)', 'score_max')} from {located_cells(_ORD, 'lon', 'lat', 9, 'hx_cell')} group by hx_cell"
 )
 def building_index(read):
     o = located(read("orders").select("o_orderkey"), "o_orderkey").withColumn("score", (F.col("o_orderkey") * 7919 % 1000) / 999.0)
@@ -223,7 +292,7 @@ def point_label(read):
     return x.select("cell", "flood_point_count", "flood_area_frac", RISK, CLASS, "label_source")
 
 
-@query(f"select {r('count(*) / ' + num(GRID.area_km2(9)), 'building_density')}, cell from {C9} group by cell")
+@query(f"select {r('count(*) / ' + num(AREA9), 'building_density')}, cell from {C9} group by cell")
 def building_density(read):
     return points.density(event_points(read), event_cells(read)).select("cell", "building_density")
 
@@ -328,7 +397,7 @@ def _matrix_sql() -> str:
     parts = []
     for fine in (7, 8):
         for coarse in range(6, fine):
-            a = f"(select distinct {up('p', fine, coarse)} as p from {hot(fine)})"
+            a = f"(select distinct hx_p{coarse} as p from {lineage(f'(select p as cell from {hot(fine)})', fine, coarse)})"
             parts.append(f"select {fine} as fine_res, {coarse} as coarse_res, round((select count(*) from {a} a join {hot(coarse)} b on a.p = b.p) / (select count(*) from (select p from {a} union select p from {hot(coarse)})), {PLACES}) as jaccard")
     return " union all ".join(parts)
 
@@ -359,7 +428,7 @@ def refine_parents(read):
     return _refined(read)
 
 
-_MIXED = f"(select cell from {MEANS} where cell not in (select cell from {_REFINED}) union select child from {_children_sql(f'(select cell, cell as child from {_REFINED})', 9, 10)})"
+_MIXED = f"(select cell from {MEANS} where cell not in (select cell from {_REFINED}) union select child from {children_sql(f'(select cell, cell as child from {_REFINED})', 9, 10)})"
 
 
 @query(f"select cell from {_MIXED}")
@@ -367,7 +436,7 @@ def mixed_cells(read):
     return adaptive.mixed_cells(event_cells(read), _refined(read), 9, 10)
 
 
-_U10 = f"(select child as cell, (child % 997) / 996e0 as score from {_children_sql(f'(select cell, cell as child from {MEANS})', 9, 10)})"
+_U10 = f"(select child as cell, (child % 997) / 996e0 as score from {children_sql(f'(select cell, cell as child from {MEANS})', 9, 10)})"
 _HOT10 = f"(select cell from {_U10} qualify score >= quantile_cont(score, 0.9) over ())"
 
 
@@ -377,7 +446,7 @@ def _uniform(read):
 
 @query(
     f"""with n as (select (select count(*) from {_MIXED}) as n_adaptive, (select count(*) from {_U10}) as n_uniform_fine, (select count(*) from {_HOT10}) as n_hotspot_uniform,
-    (select count(*) from (select cell, hx_p9, hx_p8 from {to_sql(_HOT10, GRID.parent_stages("cell", 10, 8))}) where cell in (select cell from {_MIXED}) or hx_p9 in (select cell from {_MIXED}) or hx_p8 in (select cell from {_MIXED})) as held)
+    (select count(*) from (select cell, hx_p9, hx_p8 from {lineage(_HOT10, 10, 8)}) where cell in (select cell from {_MIXED}) or hx_p9 in (select cell from {_MIXED}) or hx_p8 in (select cell from {_MIXED})) as held)
     select n_adaptive, n_uniform_fine, {r("n_adaptive / n_uniform_fine", "cell_count_ratio")}, n_hotspot_uniform, {r("held / n_hotspot_uniform", "hotspot_recall")}, 9e-1 as hotspot_quantile from n"""
 )
 def adaptive_metrics(read):
@@ -385,7 +454,7 @@ def adaptive_metrics(read):
     return adaptive.adaptive_metrics(mixed, _uniform(read), "score", 10, coarsest=8)
 
 
-@query(f"select cell from {_HOT10} where {parent_once('cell', 10)} in (select cell from {_REFINED}) or cell in (select cell from {_REFINED})")
+@query(f"select cell from {lineage(_HOT10, 10, 9)} where hx_p9 in (select cell from {_REFINED}) or cell in (select cell from {_REFINED})")
 def ancestor_cover(read):
     hot = hotspot.hotspots(_uniform(read), "score").select("cell")
     return adaptive.covered(hot, _refined(read), 10, 8)
@@ -398,7 +467,7 @@ def adaptive_comparison(read):
     return adaptive.adaptive_run(_scored(read), 9, 11, "value", "p", 0.8, 0.9, 1)[1]
 
 
-@query(f"select c.child as cell, {r('coalesce(m.value, 0)', 'value')} from {_children_sql(f'(select cell, cell as child from (select cell from {MEANS} union all select cell + 268435456000 from {MEANS}))', 9, 10)} c left join {MEANS} m on {parent_once('c.child', 10)} = m.cell")
+@query(f"select c.child as cell, {r('coalesce(m.value, 0)', 'value')} from {children_sql(f'(select cell, cell as child from (select cell from {MEANS} union all select cell + 268435456000 from {MEANS}))', 9, 10)} c left join {MEANS} m on c.cell = m.cell")
 def parent_inherit(read):
     cells = event_cells(read)
     wide = cells.select("cell").union(cells.select(F.col("cell") + 268435456000))
@@ -560,8 +629,8 @@ def average_precision(read):
 
 
 @query(
-    f"""with e as (select fold, avg(y) as share, avg((y = (s >= 5e-1)::int)::int) as model from {_LAB} group by fold), m as (select avg(share) as ap, avg(2 * share / (1 + share)) as f, avg(1 - share) as an, avg(model) as mo from e), p as (select avg(y) as s from {_LAB})
-    select {r("ap", "always_positive_accuracy")}, {r("f", "always_positive_f1")}, {r("an", "always_negative_accuracy")}, {r("mo", "model_accuracy")}, {r("s", "pooled_positive_share")}, case when s > 5e-1 then 'positive' else 'negative' end as majority, mo > ap as beats_positive, mo > an as beats_negative from m, p"""
+    f"""with e as (select fold, avg(y) as share, avg((y = (s >= 5e-1)::int)::int) as model from {_LAB} group by fold), m as (select avg(share) as ap, avg(2 * share / (1 + share)) as f, avg(1 - share) as an, avg(model) as mo from e), p as (select avg(y) as s, avg((y = (s >= 5e-1)::int)::int) as pm from {_LAB})
+    select {r("ap", "always_positive_accuracy")}, {r("f", "always_positive_f1")}, {r("an", "always_negative_accuracy")}, 0e0 as always_negative_f1, {r("mo", "model_accuracy")}, {r("s", "pooled_positive_share")}, {r("2 * s / (1 + s)", "pooled_positive_f1")}, {r("1 - s", "pooled_negative_accuracy")}, {r("pm", "pooled_model_accuracy")}, case when s > 5e-1 then 'positive' else 'negative' end as majority, mo > ap as beats_positive, mo > an as beats_negative from m, p"""
 )
 def constant_baselines(read):
     return metrics.constant_baselines(_labels(read), "y", "y_pred", "fold")
@@ -601,7 +670,7 @@ def fraction_scale(read):
     return raster.fraction_scale(pixels(read)).select("row", "col", "value")
 
 
-@query(f"select hx_cell as cell, {r('avg(value)', 'zonal')} from {to_sql(f'(select * from {_PXY} where value is not null)', GRID.point_stages('x', 'y', 9))} group by hx_cell")
+@query(f"select hx_cell as cell, {r('avg(value)', 'zonal')} from {located_cells(f'(select * from {_PXY} where value is not null)', 'x', 'y', 9, 'hx_cell')} group by hx_cell")
 def zonal_mean(read):
     return raster.zonal_mean(pixels(read))
 
@@ -610,7 +679,7 @@ def _gradient_sql(dr: int, dc: int) -> str:
     return f"coalesce((b{dr}{dc}.value - a{dr}{dc}.value) / 2, b{dr}{dc}.value - p.value, p.value - a{dr}{dc}.value, 0)"
 
 
-_EAST, _NORTH = M_PER_LON * math.cos(math.radians(40.7)) * 0.001, M_PER_LAT * 0.001
+_EAST, _NORTH = PER_LON * math.cos(math.radians(40.7)) * 0.001, PER_LAT * 0.001
 
 
 @query(
@@ -621,7 +690,7 @@ def slope(read):
     return raster.slope(pixels(read), 0.001, 0.001, 40.7).select("row", "col", "slope_deg")
 
 
-_OFFSETS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(raster.NEIGHBOURS))
+_OFFSETS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))
 _RECV = f"""(with z as (select row, col, coalesce(value, (select max(value) from {_PX})) as z from {_PX}),
  n as (select z.row, z.col, z.z, m.z as nz, k, m.row as to_row, m.col as to_col, row_number() over (partition by z.row, z.col order by m.z, k) as rank from z, (values {_OFFSETS}) o(k, dr, dc), z m where m.row = z.row + dr and m.col = z.col + dc)
  select z.row, z.col, case when nz < z.z then to_row end as to_row, case when nz < z.z then to_col end as to_col from z left join (select * from n where rank = 1) n on n.row = z.row and n.col = z.col)"""
@@ -639,6 +708,23 @@ def d8_accumulation(read):
     return raster.d8_accumulation(pixels(read))
 
 
+_RAIN = f"(select hx_cell as cell, avg(value) as rain from {located_cells(f'(select * from {_PXY} where value is not null)', 'x', 'y', 9, 'hx_cell')} group by hx_cell)"
+
+
+@query(f"select cell, {r('rain', 'rainfall_mm_h')} from {MEANS} left join {_RAIN} using (cell)")
+def event_rain(read):
+    cells = event_cells(read).select("cell", F.lit(25.0).alias("rainfall_mm_h"))
+    return assemble.event_rainfall(cells, pixels(read), 9).select("cell", "rainfall_mm_h")
+
+
+@query(f"select 'r' || half as raster_id, row, col, to_row, to_col from (select 0 as half, * from {_RECV} union all select 1 as half, * from {_RECV.replace(_PX, f'(select row, col, -value as value from {_PX})')})")
+def rasters_apart(read):
+    """Two rasters in one table: the second upside down."""
+    x = pixels(read).select("row", "col", "value")
+    both = x.withColumn("raster_id", F.lit("r0")).unionByName(x.withColumns({"raster_id": F.lit("r1"), "value": -F.col("value")}))
+    return raster.d8_receiver(both)
+
+
 # ---- overlays -------------------------------------------------------------------------------------------------------
 
 
@@ -653,31 +739,34 @@ def supplier_boxes(read):
     return overlay.box_rings(x, "w", "s", "e", "n").select(F.col("id").alias("feature_id"), F.lit("Polygon").alias("geom_type"), "rings", "w", "s", "e", "n")
 
 
-_DEPTH = 2
+_DEPTH = 4
 _BOXES = "(select id, lon - h as w, lat - h as s, lon + h as e, lat + h as n from (select *, 2e-3 + 1e-4 * (s_nationkey % 10) as h from " + SUP + "))"
-_SAMPLES = f"(select cell, child, {GRID.centre('child', 9 + _DEPTH)[0]} as lon, {GRID.centre('child', 9 + _DEPTH)[1]} as lat from {_children_sql(f'(select cell, cell as child from {MEANS})', 9, 9 + _DEPTH)})"
+_SAMPLES = f"(select cell, child, {centre('child', 9 + _DEPTH)[0]} as lon, {centre('child', 9 + _DEPTH)[1]} as lat from {children_sql(f'(select cell, cell as child from {MEANS})', 9, 9 + _DEPTH)})"
 
 
-@query(f"select cell, round(avg((exists (select 1 from {_BOXES} b where p.lon between w and e and p.lat between s and n))::int), {PLACES}) as area_frac from {_SAMPLES} p group by cell")
+_HITS = f"(select cell, count(distinct child) / {num(7**_DEPTH)} as area_frac from {_SAMPLES} p join {_BOXES} b on p.lon between w and e and p.lat between s and n group by cell)"
+
+
+@query(f"select cell, {r('coalesce(area_frac, 0)', 'area_frac')} from {MEANS} left join {_HITS} using (cell)")
 def coverage_fraction(read):
     return overlay.coverage(event_cells(read), supplier_boxes(read), 9, _DEPTH)
 
 
-@query(f"select cell, flood_risk, round(avg((exists (select 1 from {_BOXES} b where p.lon between w and e and p.lat between s and n))::int), {PLACES}) as sandy_area_frac, (avg((exists (select 1 from {_BOXES} b where p.lon between w and e and p.lat between s and n))::int) >= 1e-9)::int as sandy_class from {_SAMPLES} p join {_LABEL} using (cell) group by cell, flood_risk")
+@query(f"select cell, flood_risk, {r('coalesce(area_frac, 0)', 'sandy_area_frac')}, (coalesce(area_frac, 0) >= 1e-9)::int as sandy_class from {_LABEL} left join {_HITS} using (cell)")
 def coastal_overlay(read):
     labelled = points.point_label(event_cells(read).select("cell"), event_points(read).where("event_type = 'error'")).select("cell", RISK)
     return overlay.coastal_overlay(labelled, supplier_boxes(read), 9, depth=_DEPTH)
 
 
-_AX, _AY = f"((lon - qx) * {num(GRID.kx)})", f"((lat - qy) * {num(M_PER_LAT)})"
-_BX, _BY = f"((lon2 - qx) * {num(GRID.kx)})", f"((lat2 - qy) * {num(M_PER_LAT)})"
+_AX, _AY = f"((lon - qx) * {num(KX)})", f"((lat - qy) * {num(PER_LAT)})"
+_BX, _BY = f"((lon2 - qx) * {num(KX)})", f"((lat2 - qy) * {num(PER_LAT)})"
 _LEN = f"(({_BX} - {_AX}) * ({_BX} - {_AX}) + ({_BY} - {_AY}) * ({_BY} - {_AY}))"
 
 
 @query(
-    f"""with q as (select cell, {GRID.centre("cell", 9)[0]} as qx, {GRID.centre("cell", 9)[1]} as qy from {MEANS}),
+    f"""with q as (select cell, {centre("cell", 9)[0]} as qx, {centre("cell", 9)[1]} as qy from {MEANS}),
     f as (select cell, qx, qy, {_AX} as ax, {_AY} as ay, {_BX} as bx, {_BY} as b_y, case when {_LEN} > 0 then least(1e0, greatest(0e0, -({_AX} * ({_BX} - {_AX}) + {_AY} * ({_BY} - {_AY})) / {_LEN})) else 0e0 end as t from q, {SUP}),
-    d as (select cell, qx as lon, qy as lat, qx + (ax + (bx - ax) * t) / {num(GRID.kx)} as lon2, qy + (ay + (b_y - ay) * t) / {num(M_PER_LAT)} as lat2, row_number() over (partition by cell order by pow(ax + (bx - ax) * t, 2) + pow(ay + (b_y - ay) * t, 2)) as k from f)
+    d as (select cell, qx as lon, qy as lat, qx + (ax + (bx - ax) * t) / {num(KX)} as lon2, qy + (ay + (b_y - ay) * t) / {num(PER_LAT)} as lat2, row_number() over (partition by cell order by pow(ax + (bx - ax) * t, 2) + pow(ay + (b_y - ay) * t, 2)) as k from f)
     select cell, round({_HAV}, 3) as dist_m from d where k = 1"""
 )
 def nearest_distance(read):
@@ -694,16 +783,50 @@ def box_features(read):
     return overlay.meets_box(supplier_boxes(read), BOX).select(F.col("feature_id").alias("id"))
 
 
-@query()
+_TX = [f"(({num(v)} - lon) / nullif(lon2 - lon, 0))" for v in (_PAD[0], _PAD[2])]
+_TY = [f"(({num(v)} - lat) / nullif(lat2 - lat, 0))" for v in (_PAD[1], _PAD[3])]
+
+
+@query(
+    f"""with t as (select *, greatest(0e0, coalesce(least({_TX[0]}, {_TX[1]}), 0e0), coalesce(least({_TY[0]}, {_TY[1]}), 0e0)) as a, least(1e0, coalesce(greatest({_TX[0]}, {_TX[1]}), 1e0), coalesce(greatest({_TY[0]}, {_TY[1]}), 1e0)) as b from {SUP})
+    select id, s_nationkey, {r("lon + (lon2 - lon) * a", "x1")}, {r("lat + (lat2 - lat) * a", "y1")}, {r("lon + (lon2 - lon) * b", "x2")}, {r("lat + (lat2 - lat) * b", "y2")} from t
+    where a <= b and (lon <> lon2 or lon between {num(_PAD[0])} and {num(_PAD[2])}) and (lat <> lat2 or lat between {num(_PAD[1])} and {num(_PAD[3])})"""
+)
 def clip_segments(read):
     return overlay.clip_segments(supplier_segments(read), BOX)
 
 
-@query()
+_MID = located_cells(f"(select *, (w + e) / 2 as mx, (s + n) / 2 as my from {_BOXES})", "mx", "my", 9, "mid")
+_NEARBY = f"(select id, w, s, e, n, mid, mid + i * 268435456 + j as cell from {_MID}, generate_series(-4, 4) a(i), generate_series(-4, 4) b(j))"
+_IN = f"(select id, cell from {_NEARBY} where {centre('cell', 9)[0]} between w and e and {centre('cell', 9)[1]} between s and n)"
+
+
+@query(f"with inner_cells as {_IN}, kept as (select id, cell from inner_cells union select id, mid from {_MID} where id not in (select id from inner_cells)) select distinct id as feature_id, unnest([{_DISK}]) as cell from kept")
 def geometry_cells(read):
     return overlay.geometry_cells(supplier_boxes(read), 9, buffer_k=1)
 
 
+_HOUSE = f"(select c_custkey as id, {LON.format(k='c_custkey')} as lon, {LAT.format(k='c_custkey')} as lat from customer)"
+_SAMPLES3 = f"(select cell, child, {centre('child', 12)[0]} as lon, {centre('child', 12)[1]} as lat from {children_sql(f'(select cell, cell as child from {MEANS})', 9, 12)})"
+
+
+def houses(read) -> DataFrame:
+    x = located(read("customer").select("c_custkey"), "c_custkey")
+    x = x.select("c_custkey", *[(F.col(c) + 0.0003 * d).alias(n) for n, c, d in (("w", "lon", -1), ("s", "lat", -1), ("e", "lon", 1), ("n", "lat", 1))])
+    return overlay.box_rings(x, "w", "s", "e", "n")
+
+
+@query(f"select m.cell, {r('coalesce(h.n, 0) / ' + num(AREA9), 'building_density')} from {MEANS} m left join (select cell as there, count(*) as n from {located_cells(_HOUSE, 'lon', 'lat', 9)} group by cell) h on there = m.cell")
+def house_density(read):
+    """Density of polygons by their centroids."""
+    return points.density(points.centroids(houses(read)).select("lon", "lat"), event_cells(read).select("cell"))
+
+
+@query(f"select m.cell, {r(f'coalesce(f.n, 0) / {num(7**3)}', 'footprint_frac')} from {MEANS} m left join (select p.cell as there, count(distinct child) as n from {_SAMPLES3} p join {_HOUSE} h on p.lon between h.lon - 3e-4 and h.lon + 3e-4 and p.lat between h.lat - 3e-4 and h.lat + 3e-4 group by 1) f on there = m.cell")
+def footprint_fraction(read):
+    return overlay.coverage(event_cells(read), houses(read), 9, 3, name="footprint_frac")
+
+
 @query(f"select layer, count(*) as n, {r('avg(lon)', 'lon')} from (select 'events' as layer, lon from {P} union all select 'suppliers', lon from {SUP}) group by layer")
 def layer_union(read):
     x = tables.union_layers({"events": event_points(read).select("lon", "value"), "suppliers": supplier_segments(read).select(F.col("x1").alias("lon"), "s_nationkey")})
@@ -724,6 +847,62 @@ def geojson_round_trip(read):
     return back.select(F.col("props")["cell"].alias("cell"), "geom_type", F.size(F.col("rings")[0]).alias("n_points"), F.col("props")["value"].cast("double").alias("value"))
 
 
+@query(f"select cell, {r('value')} from {MEANS}")
+def cells_round_trip(read):
+    spark, path = read("events").sparkSession, _stream_path(read("events").sparkSession)
+    tables.write_cells(event_cells(read).withColumn("cell_res", F.lit(9)), path)
+    return tables.read_cells(spark, path, "value").select("cell", "value")
+
+
+@query(f"select id::varchar as id, {r('lon', 'x')}, {r('lat2', 'y2')} from {SUP}")
+def features_round_trip(read):
+    """Line features written as text, a feature a line, and read back."""
+    path = _stream_path(read("supplier").sparkSession)
+    line = F.array(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
+    x = supplier_segments(read).select(F.lit("LineString").alias("geom_type"), line.alias("rings"), F.create_map(F.lit("id"), F.col("id").cast("string")).alias("props"))
+    geojson.write_geojson(geojson.features_text(x), path)
+    back = geojson.parse(read("supplier").sparkSession.read.text(path))
+    return back.select(F.col("props")["id"].alias("id"), F.col("rings")[0][0]["x"].alias("x"), F.col("rings")[0][1]["y"].alias("y2"))
+
+
+@query(f"select id::varchar as id, {r('lon')}, {r('lat')}, case when id % 2 = 0 then 'agency' else 'sensor' end as source from {SUP}")
+def sensor_source(read):
+    """Sensors by the first of their points; half of them name their source."""
+    points_of = F.array(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
+    props = F.map_concat(F.create_map(F.lit("id"), F.col("id").cast("string")), F.when(F.col("id") % 2 == 0, F.create_map(F.lit("source"), F.lit("agency"))).otherwise(F.create_map().cast("map<string,string>")))
+    x = supplier_segments(read).select(F.col("id").alias("feature_id"), F.lit("MultiPoint").alias("geom_type"), points_of.alias("rings"), props.alias("props"))
+    return geojson.sensor_points(x).select(F.col("feature_id").cast("string").alias("id"), "lon", "lat", "source")
+
+
+@query(f"select event_id::varchar as id, {r('lon')}, {r('lat')} from {P}")
+def cited_points(read):
+    """Written below two lines of citation, and read back."""
+    spark, path = read("events").sparkSession, _stream_path(read("events").sparkSession)
+    x = event_points(read)
+    head = spark.createDataFrame([("# source: test tables",), ("# made up, no real places",), ("id,Latitude,LONGITUDE",)], "value string")
+    head.coalesce(1).union(x.select(F.concat_ws(",", "event_id", "lat", "lon").alias("value"))).write.text(path)
+    return tables.read_cited_csv(spark, path).select("id", "lon", "lat")
+
+
+@query(f"select fold, n::bigint as n, {r('accuracy')}, case when fold > 0 then round(f1, {PLACES}) end as f1 from {_CM}")
+def metrics_round_trip(read):
+    """A table of metrics written as JSON, where NaN is null, and read back."""
+    spark, path = read("labels").sparkSession, _stream_path(read("labels").sparkSession)
+    x = metrics.classification(_labels(read), "y", "y_pred", ["fold"])
+    tables.write_metrics(x.withColumn("f1", F.when(F.col("fold") > 0, F.col("f1")).otherwise(float("nan"))), path, "json")
+    return spark.read.schema("fold int, n long, accuracy double, f1 double").json(path)
+
+
+_AUC = SQL["roc_auc"]
+_APS = SQL["average_precision"]
+
+
+@query(f"select * from ({_AUC}), ({_APS}), (select {r('avg(accuracy)', 'accuracy_mean')}, {r('stddev_pop(accuracy)', 'accuracy_sd')}, {r('avg(f1)', 'f1_mean')}, {r('stddev_pop(f1)', 'f1_sd')} from {_CM})")
+def discrimination_report(read):
+    """Pooled and by fold, from stored predictions."""
+    return metrics.discrimination(_labels(read), "y", "s", "fold")
+
+
 # ---- models and plans -----------------------------------------------------------------------------------------------
 
 _RATES = ", ".join(f"('{n}', {num(v)})" for n, v in RATES)
@@ -776,6 +955,17 @@ def score_join(read):
     return models.joined_scores(x.withColumnRenamed("value", RISK), oof, scored, "heavy")
 
 
+_NAMED = f"(select cell, list_sum(list_transform(string_split(lower(to_hex(cell)), ''), lambda x: ascii(x)))::bigint % 2147483647 as seed from {_SPINE})"
+_DEMO = _HF.replace("c_custkey", "cell")
+_DEMO = _DEMO[: _DEMO.rindex("(select cell")] + _NAMED + ")"
+
+
+@query(f"select cell, {', '.join(r(c) for c in FEATURES)} from {_DEMO}")
+def demo_table(read):
+    """The cells of a box whose features are drawn from their names. Risk has noise from a hash that SQL lacks; it is left out."""
+    return assemble.demo_table(read("events").sparkSession, BOX, 9).select("cell", *FEATURES)
+
+
 def study_layers(read) -> assemble.Layers:
     return assemble.Layers(dem=pixels(read), buildings=event_points(read).select("lon", "lat"), streams=supplier_segments(read), flood_points=event_points(read).where("event_type = 'error'").select("lon", "lat"), coastal=supplier_boxes(read), mode="opendata")
 
@@ -791,7 +981,11 @@ def cell_table(read):
     return x.withColumn("observed_feature_cols", F.array_join("observed_feature_cols", ","))
 
 
-@query()
+_VIEWS = f"(select cell as child, count(*) as n from {located_cells(P, 'lon', 'lat', 10)} where event_type = 'view' group by cell)"
+_FINE = f"(select c.child as cell, greatest((coalesce(v.n, 0) > 0)::int::double, coalesce(l.flood_risk, 0)) as flood_risk from {children_sql(f'(select cell, cell as child from {MEANS})', 9, 10)} c left join {_VIEWS} v on v.child = c.child left join {_LABEL} l on l.cell = c.cell)"
+
+
+@query(f"select cell, {r('flood_risk')}, (flood_risk > 0)::int as flood_class, 'observed_points_plus_parent' as label_source, 'points_plus_parent_inherit' as label_scale_mode from {_FINE}")
 def label_scale(read):
     spine = GRID.children(event_cells(read).select("cell"), 9, 10).select(F.col("child").alias("cell"))
     parents = points.point_label(event_cells(read).select("cell"), event_points(read).where("event_type = 'error'"))
@@ -799,6 +993,41 @@ def label_scale(read):
     return x.select("cell", RISK, CLASS, "label_source", "label_scale_mode")
 
 
+@query()
+def holdout_metrics(read):
+    """One row: models fitted on four fifths of the cells, and how they do on the rest."""
+    return models.train(training_cells(read))[1]
+
+
+@query()
+def box_inference(read):
+    """Scores of all cells of a box by models fitted on the cells of all events."""
+    fitted = models.fit_models(training_cells(read))
+    layers = assemble.Layers(dem=pixels(read), buildings=event_points(read).select("lon", "lat"), streams=supplier_segments(read))
+    x = study.infer(fitted, read("events").sparkSession, BOX, layers, 9, 40.0)
+    return x.select("cell", "rainfall_mm_h", "feature_source", "predicted_risk", "flood_probability", "predicted_class")
+
+
+@query()
+def evaluation_report(read):
+    """metric, value: in the sample, out of fold, and the baselines in the sample and out of fold."""
+    cells = folds.with_folds(folds.with_block(training_cells(read), 9, 3))
+    fitted = models.fit_models(cells)
+    return study.evaluation(fitted, cells, models.cross_validate(cells)).unionByName(study.baselines(cells))
+
+
+@query()
+def study_run(read):
+    """A whole study over the cells of all events: part, metric, value of everything that it reports as a number."""
+    layers = study_layers(read)
+    return study.summary(study.run_study(study_spine(read), layers, rates=RATES))
+
+
+@query()
+def in_sample_baselines(read):
+    return models.in_sample_baselines(training_cells(read))
+
+
 @query()
 def study_comparison(read):
     spine = study_spine(read)
@@ -820,27 +1049,34 @@ def _stream(read):
 
 
 def _stream_path(spark) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='hexloom-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 _WIN = f"select time_bucket(interval 1 hour, ts) as window_start, cell, count(*) as n from {C9} where event_type = 'error' group by 1, 2"
 
 
+def _as_windows(counts: DataFrame, read) -> DataFrame:
+    rows = incidents.run_available(counts, _stream_path(read("events").sparkSession), ["window_start", "cell"])
+    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query(_WIN)
 def incident_windows(read):
-    counts = incidents.windowed_counts(_stream(read), "1 hour", late="3650 days")
-    return incidents.run_available(counts, _stream_path(read("events").sparkSession)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    """Over a stream that is read in one batch no row comes late, so the answer is the table's."""
+    return _as_windows(incidents.windowed_counts(_stream(read), "1 hour", late="2 hours"), read)
 
 
 @query(_WIN)
 def incident_windows_once(read):
-    """The batch form, with repeated incidents counted once."""
+    """Repeated incidents are counted once: the stream holds each twice."""
+    return _as_windows(incidents.windowed_counts(_stream(read).union(_stream(read)), "1 hour", late="2 hours", once="event_id"), read)
+
+
+@query(f"select cell, w as window_start, count(*) as n from (select cell, unnest([time_bucket(interval 1 hour, ts), time_bucket(interval 1 hour, ts) - interval 30 minutes, time_bucket(interval 1 hour, ts) + interval 30 minutes]) as w, ts from {C9} where event_type = 'error') where ts >= w and ts < w + interval 1 hour group by 1, 2")
+def incident_windows_sliding(read):
+    """The batch form, with windows that overlap by half."""
     x = located(read("events").where("event_type = 'error'"), "event_id")
-    return incidents.windowed_counts(x.union(x), "1 hour", once="event_id").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return incidents.windowed_counts(x, "1 hour", "30 minutes").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query()

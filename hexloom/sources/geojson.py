@@ -30,13 +30,15 @@ def rings_of(kind: Column, coordinates: Column) -> Column:
 def parse(text: DataFrame, column: str = "value") -> DataFrame:
     """feature_id, geom_type, rings, props from JSON texts: collections, features, collections of geometries, or bare ones.
 
-    Null and empty geometries drop out; the id is a hash of the feature's place in the input's text.
+    Null and empty geometries drop out; the id is a hash of the text, of its file if it has a column of that name, and of
+    the feature's place in it.
     """
+    source = [F.col("file")] if "file" in text.columns else []
     feature = "type string, geometry string, properties map<string,string>"
     doc = F.from_json(column, f"type string, features array<string>, geometry string, geometries array<string>, coordinates string, crs string, properties map<string,string>")
-    x = text.select(F.col(column), doc.alias("d"))
+    x = text.select(F.col(column), F.xxhash64(column, *source).alias("file"), doc.alias("d"))
     listed = F.when(F.col("d.type") == "FeatureCollection", F.col("d.features")).otherwise(F.array(F.col(column)))
-    x = x.select(F.posexplode(listed).alias("pos", "one"), F.xxhash64(column).alias("file"))
+    x = x.select(F.posexplode(listed).alias("pos", "one"), "file")
     x = x.select("pos", "file", F.from_json("one", feature).alias("f"), "one")
     bare = F.col("f.type") != "Feature"
     x = x.select("pos", "file", F.when(bare, F.col("one")).otherwise(F.col("f.geometry")).alias("g"), F.when(~bare, F.col("f.properties")).alias("props"))
@@ -55,7 +57,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     foreign = text.where(F.col("value").rlike(r'"crs"\s*:') & ~F.col("value").rlike(r"CRS84|4326")).limit(1).count()
     if foreign:
         warnings.warn(f"{path} names a reference system other than longitude and latitude; coordinates are read as they are", stacklevel=2)
-    return parse(text)
+    return parse(text.withColumn("file", F.input_file_name()))
 
 
 def sensor_points(features: DataFrame, default_source: str = "sensor") -> DataFrame:
@@ -96,9 +98,9 @@ def features_text(features: DataFrame) -> DataFrame:
     return features.select(F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), F.coalesce(F.to_json("props"), F.lit("{}")), F.lit("}")).alias("value"))
 
 
-def write_geojson(texts: DataFrame, path: str, single_below: int = 10_000) -> None:
-    """One feature a line; up to ``single_below`` features as one collection in one file."""
-    if texts.limit(single_below + 1).count() > single_below:
+def write_geojson(texts: DataFrame, path: str, single: bool = False) -> None:
+    """One feature a line in as many files as there are tasks; with ``single`` one collection in one file, for few features."""
+    if not single:
         texts.write.mode("overwrite").text(path)
         return
     whole = texts.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))

@@ -148,3 +148,75 @@ def test_inherit_zero_where_the_parent_is_missing(spark):
     fine = GRID.children(cells_around(spark, 1).select("cell"), 9, 10).select(F.col("child").alias("cell"))
     got = adaptive.inherit_parent(fine, coarse, "v", 10, 9).groupBy("v").count().collect()
     assert {(r.v, r["count"]) for r in got} == {(0.7, 7), (0.0, 42)}
+
+
+def test_folds_as_by_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    for trial in range(40):
+        blocks = [(k, rng.choice([1, 1, 1, 2, 3, 7, 50])) for k in range(rng.randint(1, 60))]
+        load, want = [0] * min(4, len(blocks)), {}
+        for n, k in sorted(((n, k) for k, n in blocks), reverse=True):
+            want[k] = load.index(min(load))
+            load[want[k]] += n
+        got = {}
+        by_size = {s: sorted((k for k, n in blocks if n == s), reverse=True) for s in {n for _, n in blocks}}
+        for n, first, many, turn in folds.fold_runs([(s, len(x)) for s, x in by_size.items()], 4):
+            for r in range(first, first + many):
+                got[by_size[n][r]] = turn[(r - first) % len(turn)]
+        assert got == want
+    assert folds.greedy_folds(spark.createDataFrame([], "block long, n long"), 5).count() == 0
+
+
+def test_nearest_is_found_however_far(spark):
+    cells = cells_around(spark, 2)
+    far = spark.createDataFrame([(-60.0, 50.0, -60.0, 50.001), (-100.0, 20.0, -99.9, 20.0)], "x1 double, y1 double, x2 double, y2 double")
+    got = {r.cell: r.dist_m for r in nearest.nearest_distance(cells, far).collect()}
+    d, lon, lat = nearest.foot(F.col("lon"), F.col("lat"))
+    want = cells.crossJoin(far).groupBy("cell").agg(F.min_by(F.struct(lon.alias("x"), lat.alias("y")), d).alias("p"), F.first("lon").alias("lon"), F.first("lat").alias("lat"))
+    from hexloom.functions.scalars import haversine
+
+    want = want.select("cell", haversine(F.col("lon"), F.col("lat"), F.col("p.x"), F.col("p.y")).alias("m")).collect()
+    assert len(got) == 19 and all(math.isclose(got[r.cell], r.m, rel_tol=1e-9) for r in want)
+
+
+def test_rasters_of_one_table_do_not_mix(spark):
+    one = [("a", 0, c, float(c)) for c in range(6)]
+    two = [("b", 0, c, float(-c)) for c in range(6)]
+    x = spark.createDataFrame(one + two, "raster_id string, row int, col int, value double")
+    flow = {(r.raster_id, r.col): r.flow for r in raster.d8_accumulation(x).collect()}
+    assert [flow["a", c] for c in range(6)] == [6, 5, 4, 3, 2, 1] and [flow["b", c] for c in range(6)] == [1, 2, 3, 4, 5, 6]
+    scaled = {(r.raster_id, r.col): r.value for r in raster.fraction_scale(x.withColumn("value", F.when(F.col("raster_id") == "a", F.col("value") * 20).otherwise(F.abs("value") / 5))).collect()}
+    assert scaled["a", 5] == 1.0 and scaled["a", 1] == 0.2 and scaled["b", 5] == 1.0 and scaled["b", 1] == 0.2
+
+
+def test_centroids(spark):
+    square = [[(10.0, 50.0), (12.0, 50.0), (12.0, 52.0), (10.0, 52.0), (10.0, 50.0)], [(10.0, 50.0), (10.0, 51.0), (11.0, 51.0), (11.0, 50.0), (10.0, 50.0)]]
+    x = spark.createDataFrame([(1, square), (2, [[(1.0, 2.0)]]), (3, square[:1])], "id int, rings array<array<struct<x:double,y:double>>>")
+    got = {r.id: (round(r.lon, 9), round(r.lat, 9)) for r in points.centroids(x).collect()}
+    assert got == {1: (round((44 - 10.5) / 3, 9), round((204 - 50.5) / 3, 9)), 2: (1.0, 2.0), 3: (11.0, 51.0)}
+
+
+def test_quantiles_by_group_and_of_many_values(spark):
+    x = spark.range(30_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 30011).cast("double").alias("v"))
+    for few in (20_000, 100):
+        got = {r.g: r.threshold for r in quantile(x, "v", 0.9, by=["g"], few=few, margin=0.01).collect()}
+        assert got == {r.g: r.p for r in x.groupBy("g").agg(F.percentile("v", 0.9).alias("p")).collect()}
+
+
+def test_late_and_repeated_rows_of_a_stream(spark, tmp_path):
+    from hexloom.streaming.incidents import run_available, windowed_counts
+
+    rows = [[("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 00:20:00"), ("a", "2024-01-01 00:10:00")], [("c", "2024-01-01 05:00:00")], [("d", "2024-01-01 00:30:00"), ("c", "2024-01-01 05:00:00"), ("e", "2024-01-01 04:30:00")]]
+    for k, part in enumerate(rows):
+        spark.createDataFrame([(i, t, -74.0, 40.7) for i, t in part], "id string, t string, lon double, lat double").select("id", F.col("t").cast("timestamp").alias("ts"), "lon", "lat").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        import os
+        import time
+
+        for f in os.listdir(f"{tmp_path}/in/{k}"):
+            os.utime(f"{tmp_path}/in/{k}/{f}", (time.time() + k, time.time() + k))
+    stream = spark.readStream.schema("id string, ts timestamp, lon double, lat double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    counts = windowed_counts(stream, "1 hour", late="1 hour", once="id")
+    got = {str(r.window_start)[11:13]: r.n for r in run_available(counts, str(tmp_path / "out"), ["window_start", "cell"]).collect()}
+    assert got == {"00": 2, "05": 1, "04": 1}  # d came after its window had ended, a and c came twice

@@ -108,3 +108,44 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 9
+
+
+def test_validation_without_folds_or_classes_warns_and_has_no_predictions(cells):
+    few = models.linear_models
+    one = cells.withColumn("fold_id", F.lit(0))
+    with pytest.warns(UserWarning, match="two blocks"):
+        oof = models.cross_validate(one, few)
+    assert oof.count() == cells.count() and oof.where("predicted_class is not null").count() == 0
+    report = models.validation_report(oof).first()
+    assert report.n_rows == cells.count() and report.accuracy_mean is None and report.roc_auc is None
+    split = cells.withColumn("fold_id", F.pmod("cell", F.lit(2)).cast("int")).withColumn("flood_class", (F.pmod("cell", F.lit(2)) == 0).cast("int"))
+    with pytest.warns(UserWarning, match="one class"):
+        assert models.cross_validate(split, few).where("predicted_class is not null").count() == 0
+
+
+def test_reports_of_linear_models(spark, cells):
+    from hexloom.plans import study
+
+    x = cells.withColumn("fold_id", F.pmod("cell", F.lit(3)).cast("int")).withColumn("flood_class", (F.col("impervious_frac") > 0.45).cast("int"))
+    fitted = models.linear_models(x)
+    oof = models.cross_validate(x, models.linear_models)
+    got = {r.metric: r.value for r in study.evaluation(fitted, x, oof).unionByName(study.baselines(x)).collect()}
+    assert got["blocked_cv_n_folds"] == 3 and 0.9 <= got["in_sample_accuracy"] <= 1 and 0 <= got["rule_in_sample_accuracy"] <= 1
+    assert {"linear_blocked_cv_accuracy_mean", "rule_blocked_cv_f1_sd", "blocked_cv_roc_auc"} <= set(got)
+
+
+def test_a_whole_study_of_linear_models(spark, monkeypatch):
+    """Models come before refinement, and every part reports numbers."""
+    from hexloom.plans import study
+
+    monkeypatch.setattr(models, "boosted_classifier", lambda features: models.logistic_classifier(100, features))
+    monkeypatch.setattr(models, "boosted_regressor", models.linear_regressor)
+    from hexloom.functions.hexgrid import GRID
+
+    spine = GRID.cover(spark, (-74.0, 40.70, -73.98, 40.72), 9)
+    box = spark.createDataFrame([([[(-74.0, 40.70), (-73.99, 40.70), (-73.99, 40.71), (-74.0, 40.70)]],)], "rings array<array<struct<x:double,y:double>>>")
+    layers = Layers(flood_points=spine.where("cell % 2 = 0").select("lon", "lat"), coastal=box)
+    one = study.run_study(spine, layers, 9, depth=1)
+    got = study.summary(one).collect()
+    assert {r.part for r in got} == {"table", "ladder", "metrics", "comparison", "control"}
+    assert one.scored.count() == 3 * spine.count() and one.mixed.count() >= spine.count()

@@ -26,8 +26,13 @@ def test_geojson_of_every_kind(spark, tmp_path):
     assert back.first().geom_type == "LineString"
     again = geojson.parse(geojson.features_text(geojson.read_geojson(spark, str(tmp_path / "a.geojson"))))
     assert again.count() == 7
-    geojson.write_geojson(geojson.features_text(back), str(tmp_path / "out"))
+    geojson.write_geojson(geojson.features_text(back), str(tmp_path / "out"), single=True)
     assert geojson.read_geojson(spark, str(tmp_path / "out")).count() == 1
+    geojson.write_geojson(geojson.features_text(again), str(tmp_path / "lines"))
+    assert geojson.parse(spark.read.text(str(tmp_path / "lines"))).count() == 7
+    (tmp_path / "c.geojson").write_text(json.dumps(shapes[2]))
+    two = geojson.read_geojson(spark, str(tmp_path / "[bc].geojson"))
+    assert two.count() == 2 and two.select("feature_id").distinct().count() == 2  # equal files are two
     assert [r.source for r in geojson.sensor_points(back.union(geojson.read_geojson(spark, str(tmp_path / "a.geojson")))).collect()] == ["sensor"] * 3
 
 
