@@ -202,13 +202,14 @@ def test_quantiles_by_group_and_of_many_values(spark):
     x = spark.range(30_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 30011).cast("double").alias("v"))
     for few in (20_000, 100):
         got = {r.g: r.threshold for r in quantile(x, "v", 0.9, by=["g"], few=few, margin=0.01).collect()}
-        assert got == {r.g: r.p for r in x.groupBy("g").agg(F.percentile("v", 0.9).alias("p")).collect()}
+        want = {r.g: r.p for r in x.groupBy("g").agg(F.percentile("v", 0.9).alias("p")).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
 
 
 def test_late_and_repeated_rows_of_a_stream(spark, tmp_path):
     from hexloom.streaming.incidents import run_available, windowed_counts
 
-    rows = [[("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 00:20:00"), ("a", "2024-01-01 00:10:00")], [("c", "2024-01-01 05:00:00")], [("d", "2024-01-01 00:30:00"), ("c", "2024-01-01 05:00:00"), ("e", "2024-01-01 04:30:00")]]
+    rows = [[("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 00:20:00"), ("a", "2024-01-01 00:10:00")], [("c", "2024-01-01 05:00:00")], [("x", "2024-01-01 05:10:00")], [("d", "2024-01-01 00:30:00"), ("c", "2024-01-01 05:00:00"), ("e", "2024-01-01 04:30:00")]]
     for k, part in enumerate(rows):
         spark.createDataFrame([(i, t, -74.0, 40.7) for i, t in part], "id string, t string, lon double, lat double").select("id", F.col("t").cast("timestamp").alias("ts"), "lon", "lat").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
         import os
@@ -219,4 +220,4 @@ def test_late_and_repeated_rows_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("id string, ts timestamp, lon double, lat double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     counts = windowed_counts(stream, "1 hour", late="1 hour", once="id")
     got = {str(r.window_start)[11:13]: r.n for r in run_available(counts, str(tmp_path / "out"), ["window_start", "cell"]).collect()}
-    assert got == {"00": 2, "05": 1, "04": 1}  # d came after its window had ended, a and c came twice
+    assert got == {"00": 2, "05": 2, "04": 1}  # d came after its window had ended, a and c came twice
