@@ -67,7 +67,7 @@ def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, sl
     Rows are ranked in slices of the scrambled order of about ``slice_rows`` rows, so no class is sorted in one task.
     """
     slices = min(1_000_003, 1 + df.count() // slice_rows)
-    order = (F.col(key).cast("bigint") * 7919 + 104729) % 1_000_003
+    order = (F.pmod(F.col(key).cast("bigint"), F.lit(1_000_003)) * 7919 + 104729) % 1_000_003  # no key overflows
     x = df.withColumns({"hx_order": order, "hx_slice": F.floor(order * slices / 1_000_003)})
     counts = x.groupBy(label, "hx_slice").agg(F.count(F.lit(1)).alias("hx_n"))
     whole = Window.partitionBy(label)
