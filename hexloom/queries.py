@@ -807,7 +807,6 @@ def geometry_cells(read):
 
 
 _HOUSE = f"(select c_custkey as id, {LON.format(k='c_custkey')} as lon, {LAT.format(k='c_custkey')} as lat from customer)"
-_SAMPLES3 = f"(select cell, child, {centre('child', 12)[0]} as lon, {centre('child', 12)[1]} as lat from {children_sql(f'(select cell, cell as child from {MEANS})', 9, 12)})"
 
 
 def houses(read) -> DataFrame:
@@ -822,11 +821,6 @@ def house_density(read):
     return points.density(points.centroids(houses(read)).select("lon", "lat"), event_cells(read).select("cell"))
 
 
-@query(f"select m.cell, {r(f'coalesce(f.n, 0) / {num(7**3)}', 'footprint_frac')} from {MEANS} m left join (select p.cell as there, count(distinct child) as n from {_SAMPLES3} p join {_HOUSE} h on p.lon between h.lon - 3e-4 and h.lon + 3e-4 and p.lat between h.lat - 3e-4 and h.lat + 3e-4 group by 1) f on there = m.cell")
-def footprint_fraction(read):
-    return overlay.coverage(event_cells(read), houses(read), 9, 3, name="footprint_frac")
-
-
 @query(f"select layer, count(*) as n, {r('avg(lon)', 'lon')} from (select 'events' as layer, lon from {P} union all select 'suppliers', lon from {SUP}) group by layer")
 def layer_union(read):
     x = tables.union_layers({"events": event_points(read).select("lon", "value"), "suppliers": supplier_segments(read).select(F.col("x1").alias("lon"), "s_nationkey")})
