@@ -56,3 +56,33 @@ m as (select dig, min(page_id) as first from d where b >= 100 group by dig)
 select page_id, b::bigint as payload_bytes, d.dig as payload_digest, case when b >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
     case when b >= 100 and first < page_id then first end as refers_to, urlkey, row_number() over (order by urlkey, page_id) - 1 as history_rank from d left join m on m.dig = d.dig
 """
+
+#: CRC-32 bit by bit (fixed value: its reversed polynomial); near words by the letter that is taken out of one or of both.
+VARIANTS = r"""
+with recursive tab as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as t from range(256) r(i)),
+runs as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents),
+per_run as (select doc_id, run, count(*) as c, flatten(list_transform(string_split(doc_id::varchar || ':' || run, ''), lambda x: case when ord(x) < 128 then [ord(x)::bigint] else [195::bigint, (ord(x) - 64)::bigint] end)) as bytes from runs group by doc_id, run),
+h as (select run, c, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda s, b: xor(s // 256, t[xor(s % 256, b) + 1]))) as h from per_run, tab),
+cut as (select c, case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from h),
+v as (select word, sum(c)::bigint as n from cut where length(word) >= 6 group by word having sum(c) >= 5),
+gone as (select word, n, i, left(word, i - 1) || substr(word, i + 1) as d from (select *, unnest(range(1, length(word) + 1)) as i from v)),
+pairs as (select a.word, b.word as other, b.n as m from gone a join v b on b.word = a.d union select b.word, a.word, a.n from gone a join v b on b.word = a.d
+    union select a.word, b.word, b.n from gone a join gone b on a.d = b.d and a.i = b.i and a.word <> b.word),
+best as (select word, count(*) as n_near, max(m) as m, arg_min(other, (-m, other)) as other from pairs group by word),
+forms as (select v.word, case when m >= 5 * n then other end as form, n, coalesce(n_near, 0) as n_near, case when m >= 5 * n then m end as form_n from v left join best using (word)),
+walk(word, stop) as (select word, word from forms union all select walk.word, f.form from walk join forms f on f.word = walk.stop and f.form is not null)
+select forms.word, forms.form, e.stop as root, forms.n, forms.n_near, forms.form_n from forms join (select walk.word, stop from walk join forms f on f.word = walk.stop where f.form is null) e using (word)
+"""
+
+RANKED = r"""
+with terms as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
+size as (select doc_id, count(*) as n from terms group by doc_id),
+total as (select count(*) as nn, sum(n)::bigint as ll from size),
+tf as (select doc_id, t, count(*) as tf from terms group by doc_id, t),
+w as (select t, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint as w from (select t, count(*) as df from tf group by t), total),
+asked as (select distinct item_id, t from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark)),
+scored as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::bigint as score
+    from asked join tf using (t) join w using (t) join size using (doc_id), total group by item_id, doc_id)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from scored where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 50
+"""

@@ -6,13 +6,16 @@ from .archives import op2_archive_index
 from .decontamination import op5_containment_search
 from .jaccard_join import op8_bayesian_jaccard_join
 from .language import op10_crf_language
+from .lexical import op12_ranked_search
 from .licences import op7_license_digests
 from .licences import sql as licence_sql
 from .lz_dedup import op6_lempel_ziv_dedup
-from .oracles import ARCHIVES, CONTAINMENT, JACCARD, VECTORS, WORD_REPEATS
+from .oracles import ARCHIVES, CONTAINMENT, JACCARD, RANKED, VARIANTS, VECTORS, WORD_REPEATS
 from .packing import op1_best_fit_packing
 from .sharding import op4_stratified_interleave
+from .spelling import op11_spelling_variants
 from .suffix_dedup import op9_suffix_array_dedup
+from .tokens import op13_token_counts
 from .vector_dedup import op3_inverted_multi_index
 
 QUERIES = {f.__name__: f for f in (
@@ -26,6 +29,9 @@ QUERIES = {f.__name__: f for f in (
     op8_bayesian_jaccard_join,
     op9_suffix_array_dedup,
     op10_crf_language,
+    op11_spelling_variants,
+    op12_ranked_search,
+    op13_token_counts,
 )}
 SQL = {
     "op2_archive_index": ARCHIVES,
@@ -34,4 +40,6 @@ SQL = {
     "op6_lempel_ziv_dedup": WORD_REPEATS,
     "op7_license_digests": licence_sql(),
     "op8_bayesian_jaccard_join": JACCARD,
+    "op11_spelling_variants": VARIANTS,
+    "op12_ranked_search": RANKED,
 }
