@@ -7,20 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
 
-def running_sums(df: DataFrame, by: str, columns: Sequence[str], slices: int = 256) -> DataFrame:
-    """Add before_<c> for each column: its sum over the rows with a smaller value of ``by``, which must be distinct.
 
-    Rows are dealt to slices of about equal size (bounds from an approximate quantile), summed within their slice, and
-    given the totals of the slices before, of which there are few.
+def running_sums(df: DataFrame, by: str, columns: Sequence[str], groups: Sequence[str] = (), slice_rows: int = 50_000) -> DataFrame:
+    """Add before_<c> for each column: its sum over the rows (of the same group) with a smaller value of ``by``, of which
+    a group has each once.
+
+    The input is written once. Rows are dealt to slices of about ``slice_rows`` rows (bounds from an approximate quantile
+    over all groups), summed within group and slice, and given the totals of the group's slices before; so a group that
+    holds most rows is many tasks. Totals are as many as slices and groups, and are joined, not broadcast.
     """
-    bounds = df.agg(F.percentile_approx(by, [i / slices for i in range(1, slices)], 10_000).alias("hx_bounds"))
-    x = df.crossJoin(F.broadcast(bounds)).withColumn("hx_slice", F.size(F.filter("hx_bounds", lambda b: b < F.col(by))))
-    total = x.groupBy("hx_slice").agg(*[F.sum(c).alias(f"hx_{c}") for c in columns])
-    earlier = Window.orderBy("hx_slice").rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select("hx_slice", *[F.coalesce(F.sum(f"hx_{c}").over(earlier), F.lit(0)).alias(f"hx_{c}") for c in columns])
-    within = Window.partitionBy("hx_slice").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.join(F.broadcast(total), "hx_slice")
+    groups = list(groups)
+    df = cut(df)
+    slices = min(10_000, 1 + df.count() // slice_rows)
+    if slices == 1:
+        w = Window.partitionBy(*groups).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in columns})
+    bounds = df.agg(F.percentile_approx(by, [i / slices for i in range(1, slices)], 100_000).alias("hx_bounds"))
+    x = df.crossJoin(F.broadcast(bounds)).withColumn("hx_slice", F.size(F.filter("hx_bounds", lambda b: b < F.col(by)))).drop("hx_bounds")
+    total = x.groupBy(*groups, "hx_slice").agg(*[F.sum(c).alias(f"hx_{c}") for c in columns])
+    earlier = Window.partitionBy(*groups).orderBy("hx_slice").rowsBetween(Window.unboundedPreceding, -1)
+    same = [F.col(g).alias(f"hx_of_{g}") for g in groups]
+    total = total.select(*same, F.col("hx_slice").alias("hx_at"), *[F.coalesce(F.sum(f"hx_{c}").over(earlier), F.lit(0)).alias(f"hx_{c}") for c in columns])
+    on = F.col("hx_slice") == F.col("hx_at")
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"hx_of_{g}"))
+    within = Window.partitionBy(*groups, "hx_slice").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(total, on)
     x = x.withColumns({f"before_{c}": F.col(f"hx_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns})
     return x.select(*df.columns, *[f"before_{c}" for c in columns])
 

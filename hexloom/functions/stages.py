@@ -14,13 +14,19 @@ def num(x: float) -> str:
 
 
 def apply(df: DataFrame, stages: Stages, keep: dict[str, str] | None = None) -> DataFrame:
-    """Add the stages' columns; with keep, only the columns of df and those of keep (new name -> stage column) remain."""
+    """Add the stages' columns; with keep, only the columns of df and those of keep (new name -> stage column) remain.
+
+    What is kept comes out of a generator of one row: a condition on it (a filter's, or one that a join infers) stays
+    above, where it reads a column. It would else be pushed through the stages and hold all of them, each as often as it
+    is named. Conditions on other columns go on down.
+    """
     columns = df.columns
     for stage in stages:
         df = df.withColumns({k: F.expr(v) for k, v in stage.items()})
     if keep is None:
         return df
-    return df.select(*[F.col(f"`{c}`") for c in columns if c not in keep], *[F.col(v).alias(k) for k, v in keep.items()])
+    row = F.array(F.struct(*[F.col(v).alias(k) for k, v in keep.items()]))
+    return df.select(*[F.col(f"`{c}`") for c in columns if c not in keep], F.inline(row))
 
 
 def to_sql(source: str, stages: Stages) -> str:

@@ -30,33 +30,60 @@ def regression(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()
     return x.select(*by, "mae", F.sqrt("mse").alias("rmse"), F.when(F.col("v") > 0, 1 - F.col("mse") / F.col("v")).alias("r2"))
 
 
-def _by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Positives and negatives at each score, with the sums over smaller scores: ties are one row."""
-    x = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(F.col(score).cast("double").alias("s"))
+def _by_score(df: DataFrame, truth: str, score: str, by: Sequence[str]) -> DataFrame:
+    """Positives and negatives at each score (of each group), with the sums over smaller scores: ties are one row."""
+    x = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("s"))
     x = x.agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.sum(1 - F.col(truth).cast("long")).alias("neg"))
-    return running_sums(x, "s", ["pos", "neg"])
+    return running_sums(x, "s", ["pos", "neg"], by)
 
 
-def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """One row, roc_auc: exact, ties count a half; null without both classes."""
-    x = _by_score(df, truth, score).agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return x.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("roc_auc"))
+def ranking(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """roc_auc and average_precision, one row (for each group): exact, null without both classes.
 
-
-def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """One row, average_precision: each step of recall times the precision there; null without both classes."""
-    x = _by_score(df, truth, score)
-    total = x.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    x = x.crossJoin(F.broadcast(total))
+    AUC counts ties a half; average precision sums each step of recall times the precision there. Both come from one pass
+    over the scores, for all groups together. Rows without truth or score do not count; a group of such rows has no row.
+    """
+    by = list(by)
+    x = _by_score(df, truth, score, by)
+    # precision at a score is over the rows that are no smaller: p and n are known only at the end, so sums are kept of
+    # what is below, and the rest is a second aggregate over the same written rows
+    total = x.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")) if by else x.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    if by:
+        on = None
+        for g in by:
+            same = F.col(g).eqNullSafe(F.col(f"hx_of_{g}"))
+            on = same if on is None else on & same
+        x = x.join(total.select(*[F.col(g).alias(f"hx_of_{g}") for g in by], "p", "n"), on)
+    else:
+        x = x.crossJoin(F.broadcast(total))
     tp, fp = F.col("p") - F.col("before_pos"), F.col("n") - F.col("before_neg")
-    return x.agg(F.when((F.max("p") > 0) & (F.max("n") > 0), F.sum(F.col("pos") / F.col("p") * tp / (tp + fp))).alias("average_precision"))
+    both = (F.max("p") > 0) & (F.max("n") > 0)
+    auc = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)) / (F.max("p") * F.max("n"))
+    out = [F.when(both, auc).alias("roc_auc"), F.when(both, F.sum(F.when(F.col("p") > 0, F.col("pos") / F.col("p") * tp / (tp + fp)))).alias("average_precision")]
+    return x.groupBy(*by).agg(*out) if by else x.agg(*out)
+
+
+def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row (of each group), roc_auc, as ``ranking`` has it."""
+    return ranking(df, truth, score, by).select(*by, "roc_auc")
+
+
+def average_precision(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row (of each group), average_precision, as ``ranking`` has it."""
+    return ranking(df, truth, score, by).select(*by, "average_precision")
+
+
+def fold_ranking(df: DataFrame, truth: str, score: str, fold: str) -> DataFrame:
+    """fold, roc_auc and pr_auc (average precision) of each fold: null where a fold holds one class."""
+    return ranking(df, truth, score, [fold]).withColumnRenamed("average_precision", "pr_auc")
 
 
 def discrimination(df: DataFrame, truth: str, score: str, fold: str) -> DataFrame:
-    """Pooled AUC and AP of a stored table, and the mean and spread of fold accuracies, without fitting anything anew."""
-    folds = fold_spread(classification(df, truth, "y_pred", [fold]), ["accuracy", "f1"]) if "y_pred" in df.columns else None
-    x = roc_auc(df, truth, score).crossJoin(average_precision(df, truth, score))
-    return x if folds is None else x.crossJoin(folds)
+    """Pooled AUC and AP of a stored table, and the mean and spread over folds of AUC, AP and, where there is a predicted
+    class (y_pred), of accuracy and F1, without fitting anything anew. Folds of one class have no AUC or AP, and are left
+    out of their means."""
+    x = ranking(df, truth, score).crossJoin(fold_spread(fold_ranking(df, truth, score, fold), ["roc_auc", "pr_auc"]))
+    return x.crossJoin(fold_spread(classification(df, truth, "y_pred", [fold]), ["accuracy", "f1"])) if "y_pred" in df.columns else x
 
 
 def fold_spread(folds: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -104,7 +104,7 @@ def evaluate(predicted: DataFrame) -> DataFrame:
     """One row: accuracy, F1, MAE, RMSE, R squared, AUC and average precision of predictions."""
     predicted = cut(predicted.select(CLASS, RISK, "predicted_class", "predicted_risk", "flood_probability"))
     x = metrics.classification(predicted, CLASS, "predicted_class").crossJoin(metrics.regression(predicted, RISK, "predicted_risk"))
-    return x.crossJoin(metrics.roc_auc(predicted, CLASS, "flood_probability")).crossJoin(metrics.average_precision(predicted, CLASS, "flood_probability"))
+    return x.crossJoin(metrics.ranking(predicted, CLASS, "flood_probability"))
 
 
 def cross_validate(cells: DataFrame, fit: Callable[[DataFrame], RiskModels] = fit_models, threads: int = 2) -> DataFrame:
@@ -140,19 +140,25 @@ def cross_validate(cells: DataFrame, fit: Callable[[DataFrame], RiskModels] = fi
 
 
 def validation_report(oof: DataFrame) -> DataFrame:
-    """One row: accuracy, F1, MAE, R squared and AUC over folds (mean, sd), pooled AUC and average precision, rows and folds.
+    """One row: accuracy, F1, MAE, R squared, ROC-AUC and PR-AUC over folds (mean, sd), pooled AUC and average precision,
+    rows and folds.
 
     Rows without predictions (folds that could not be fitted) count in n_rows only; with none left all metrics are null.
+    A fold of one class has no AUC, and is left out of the means of AUC alone.
     """
     y = oof.where("predicted_class is not null")
     each = fold_metrics(y)
-    spread = metrics.fold_spread(each, ["accuracy", "f1", "mae", "r2"]).crossJoin(each.agg(F.count(F.lit(1)).alias("n_folds")))
-    pooled = metrics.roc_auc(y, CLASS, "flood_probability").crossJoin(metrics.average_precision(y, CLASS, "flood_probability"))
-    return spread.crossJoin(pooled).crossJoin(oof.agg(F.count(F.lit(1)).alias("n_rows")))
+    spread = metrics.fold_spread(each, FOLD_METRICS).crossJoin(each.agg(F.count(F.lit(1)).alias("n_folds")))
+    return spread.crossJoin(metrics.ranking(y, CLASS, "flood_probability")).crossJoin(oof.agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+FOLD_METRICS = ["accuracy", "f1", "mae", "r2", "roc_auc", "pr_auc"]
 
 
 def fold_metrics(oof: DataFrame) -> DataFrame:
-    return metrics.classification(oof, CLASS, "predicted_class", ["fold_id"]).join(metrics.regression(oof, RISK, "predicted_risk", ["fold_id"]), "fold_id")
+    """A row for each fold: n, accuracy, f1, mae, rmse, r2, roc_auc, pr_auc."""
+    x = metrics.classification(oof, CLASS, "predicted_class", ["fold_id"]).join(metrics.regression(oof, RISK, "predicted_risk", ["fold_id"]), "fold_id")
+    return x.join(metrics.fold_ranking(oof, CLASS, "flood_probability", "fold_id"), "fold_id", "left")
 
 
 def scenarios(models: RiskModels, cells: DataFrame, rates: Sequence[tuple[str, float]] = (("default", 25.0),)) -> DataFrame:
@@ -186,7 +192,7 @@ def in_sample_baselines(cells: DataFrame) -> DataFrame:
 
 def baseline_table(cells: DataFrame) -> DataFrame:
     """Metrics by fold of the ponding rule (spans within each fold) and of the linear baselines out of fold."""
-    rule = ponding_score(cells, ["fold_id"]).withColumn("predicted_class", (F.col("rule_score") >= 0.5).cast("int")).withColumn("predicted_risk", F.col("rule_score"))
+    rule = ponding_score(cells, ["fold_id"]).withColumn("predicted_class", (F.col("rule_score") >= 0.5).cast("int")).withColumns({"predicted_risk": F.col("rule_score"), "flood_probability": F.col("rule_score")})
     linear = cross_validate(cells, linear_models).where("predicted_class is not null")
     both = [fold_metrics(x).withColumn("model", F.lit(n)) for n, x in (("rule", rule), ("linear", linear))]
     return both[0].unionByName(both[1])

@@ -13,19 +13,13 @@ from .overlay import edges
 
 
 def in_cells(points: DataFrame, columns: Sequence[str], res: int, grid: HexGrid) -> DataFrame:
-    """The columns and the cell of the points that have coordinates.
-
-    Coordinates are tested, not the cell, and the cell says that it is never null: a test of it would be pushed down as its
-    whole expression.
-    """
-    x = grid.with_cell(points.where("lon is not null and lat is not null").select("lon", "lat", *columns), res=res)
-    return x.withColumn("cell", F.coalesce("cell", F.lit(0).cast("long")))
+    """The columns and the cell of the points that have coordinates."""
+    return grid.with_cell(points.where("lon is not null and lat is not null").select("lon", "lat", *columns), res=res)
 
 
 def left_by_cell(spine: DataFrame, layer: DataFrame) -> DataFrame:
-    """A left join on the cell, null-safe: of a plain equality Spark infers tests of the cell and pushes them down as its
-    whole expression, which can be too long to compile."""
-    return spine.join(layer.withColumnRenamed("cell", "hx_at"), F.col("cell").eqNullSafe(F.col("hx_at")), "left").drop("hx_at")
+    """A left join on the cell."""
+    return spine.join(layer, "cell", "left")
 
 
 def point_count(points: DataFrame, res: int = 9, grid: HexGrid = GRID, name: str = "point_count") -> DataFrame:

@@ -46,7 +46,7 @@ def baselines(cells: DataFrame) -> DataFrame:
     whole, each = models.in_sample_baselines(cells), models.baseline_table(cells)
     for model in ("rule", "linear"):
         one = _long(f"{model}_in_sample", whole.where(F.col("model") == model))
-        one = one.union(_long(f"{model}_blocked_cv", metrics.fold_spread(each.where(F.col("model") == model), ["accuracy", "f1", "mae", "r2"])))
+        one = one.union(_long(f"{model}_blocked_cv", metrics.fold_spread(each.where(F.col("model") == model), models.FOLD_METRICS)))
         out = one if out is None else out.union(one)
     return out
 

@@ -889,9 +889,30 @@ def metrics_round_trip(read):
 
 _AUC = SQL["roc_auc"]
 _APS = SQL["average_precision"]
+def ranked_by(g: str) -> str:
+    """By group, from the definitions: pairs of a positive and a negative, and the precision at each positive's score."""
+    auc = f"(select p.{g}, avg(case when p.s > n.s then 1e0 when p.s = n.s then 5e-1 else 0e0 end) as roc_auc from {_LAB} p join {_LAB} n on n.{g} = p.{g} and p.y = 1 and n.y = 0 group by p.{g})"
+    ap = f"(select {g}, avg(hit) as pr_auc from (select p.{g}, p.doc_id, avg(o.y) as hit from {_LAB} p join {_LAB} o on o.{g} = p.{g} and o.s >= p.s where p.y = 1 group by p.{g}, p.doc_id) where {g} in (select {g} from {_LAB} where y = 0) group by {g})"
+    return f"(select {g}, roc_auc, pr_auc from (select distinct {g} from {_LAB}) left join {auc} using ({g}) left join {ap} using ({g}))"
 
 
-@query(f"select * from ({_AUC}), ({_APS}), (select {r('avg(accuracy)', 'accuracy_mean')}, {r('stddev_pop(accuracy)', 'accuracy_sd')}, {r('avg(f1)', 'f1_mean')}, {r('stddev_pop(f1)', 'f1_sd')} from {_CM})")
+@query(f"select fold, {r('roc_auc')}, {r('pr_auc')} from {ranked_by('fold')}")
+def fold_ranking(read):
+    """AUC and average precision of each fold."""
+    return metrics.fold_ranking(_labels(read), "y", "s", "fold")
+
+
+@query(f"select block, {r('roc_auc')}, {r('pr_auc')} from {ranked_by('block')}")
+def block_ranking(read):
+    """The same of many small groups, some of one class only."""
+    return metrics.fold_ranking(_labels(read), "y", "s", "block")
+
+
+_SPREAD = ", ".join(f"{r(f'avg({c})', f'{c}_mean')}, {r(f'stddev_pop({c})', f'{c}_sd')}" for c in ("accuracy", "f1"))
+_RANK_SPREAD = ", ".join(f"{r(f'avg({c})', f'{c}_mean')}, {r(f'stddev_pop({c})', f'{c}_sd')}" for c in ("roc_auc", "pr_auc"))
+
+
+@query(f"select * from ({_AUC}), ({_APS}), (select {_SPREAD} from {_CM}), (select {_RANK_SPREAD} from {ranked_by('fold')})")
 def discrimination_report(read):
     """Pooled and by fold, from stored predictions."""
     return metrics.discrimination(_labels(read), "y", "s", "fold")
@@ -1079,4 +1100,4 @@ def live_risk(read):
     fitted = models.fit_models(cells)
     readings = _stream(read).select("event_id", "ts", "lon", "lat", (F.col("value") + 20).alias("rainfall_mm_h"))
     scored = incidents.live_risk(readings, cells.drop(RISK, CLASS, "value"), fitted).select("event_id", "cell", "rainfall_mm_h", "PFI_h")
-    return incidents.run_available(scored, _stream_path(cells.sparkSession), "append")
+    return incidents.run_available(scored, _stream_path(cells.sparkSession), mode="append")

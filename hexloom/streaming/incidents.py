@@ -32,7 +32,7 @@ def live_risk(readings: DataFrame, cells: DataFrame, models: RiskModels, res: in
     return models.predict(x).withColumn("PFI_h", F.col("predicted_risk"))
 
 
-def run_available(stream: DataFrame, path: str, keys: Sequence[str] = (), mode: str = "update") -> DataFrame:
+def run_available(stream: DataFrame, path: str, keys: Sequence[str] = (), *, mode: str = "update") -> DataFrame:
     """Run a stream over all input that there is, and read back its rows; with ``keys``, the last row of each.
 
     In update mode a batch writes the rows that it changed, under its number: a batch that is run again writes the same

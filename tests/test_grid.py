@@ -49,3 +49,12 @@ def test_cover_holds_all_points_cells_whose_centre_is_inside(spark):
     lon, lat = GRID.centre("cell", 10)
     inner = cells.where(F.expr(lon).between(box[0], box[2]) & F.expr(lat).between(box[1], box[3]))
     assert {r.cell for r in inner.collect()} <= cover
+
+
+def test_conditions_on_computed_cells_do_not_unfold_them(spark):
+    x = GRID.with_cell(spark.createDataFrame([(-74.0, 40.7)] * 10, "lon double, lat double"))
+    lon, lat = GRID.centre("cell", 9)
+    again = GRID.with_cell(x.select("cell", F.expr(lon).alias("lon"), F.expr(lat).alias("lat")), name="again").where("again <> cell")
+    up = GRID.with_parent(again, 9, 7).where("parent > 0").join(x.select("cell"), "cell")
+    assert len(again._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert len(up._jdf.queryExecution().optimizedPlan().toString()) < 20_000 and up.count() == 0

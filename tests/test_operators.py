@@ -44,7 +44,24 @@ def test_quantile_is_exact_with_ties_and_missing(spark):
 
 def test_running_sums(spark):
     x = spark.createDataFrame([(float(i), i) for i in range(200)], "s double, n long")
-    assert all(r.before_n == sum(range(r.n)) for r in running_sums(x, "s", ["n"], 7).collect())
+    for rows in (7, 1000):
+        assert all(r.before_n == sum(range(r.n)) for r in running_sums(x, "s", ["n"], slice_rows=rows).collect())
+
+
+def test_running_sums_of_groups(spark):
+    rows = [(g, float(i), i) for i in range(300) for g in ("a", "b", None) if g != "b" or i < 9]  # one small group, and no name
+    x = spark.createDataFrame(rows, "g string, s double, n long")
+    got = running_sums(x, "s", ["n"], ["g"], slice_rows=40).collect()
+    assert len(got) == len(rows) and all(r.before_n == sum(range(r.n)) for r in got)
+
+
+def test_ranking_of_folds_of_one_class(spark):
+    rows = [(0, 1, 0.9), (0, 0, 0.1), (0, 0, 0.9), (1, 1, 0.3), (1, 1, 0.2), (2, 0, 0.5), (3, 1, None), (3, None, 0.5), (None, 1, 0.7), (None, 0, 0.6)]
+    x = spark.createDataFrame(rows, "fold int, y int, s double")
+    got = {r.fold: (r.roc_auc, r.pr_auc) for r in metrics.fold_ranking(x, "y", "s", "fold").collect()}
+    assert got == {0: (0.75, 0.5), 1: (None, None), 2: (None, None), None: (1.0, 1.0)}
+    both = metrics.discrimination(x, "y", "s", "fold").first()
+    assert both.roc_auc_mean == 0.875 and both.roc_auc_sd == 0.125 and both.pr_auc_mean == 0.75
 
 
 def test_auc_and_precision_with_ties_and_one_class(spark):

@@ -103,6 +103,14 @@ def test_registered_cell_table_samples_at_the_default_depth(spark, monkeypatch):
     assert depths == [4]
 
 
+def test_live_risk_runs_to_its_last_row(spark, monkeypatch):
+    monkeypatch.setattr(models, "boosted_classifier", lambda features: models.logistic_classifier(100, features))
+    monkeypatch.setattr(models, "boosted_regressor", models.linear_regressor)
+    rows = queries.QUERIES["live_risk"](spark, SF).collect()
+    errors = spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'error'")
+    assert len(rows) == errors.count() == len({r.event_id for r in rows}) and all(r.PFI_h is not None for r in rows)
+
+
 def test_entry(spark):
     import __spark_entry__
 
@@ -117,7 +125,7 @@ def test_validation_without_folds_or_classes_warns_and_has_no_predictions(cells)
         oof = models.cross_validate(one, few)
     assert oof.count() == cells.count() and oof.where("predicted_class is not null").count() == 0
     report = models.validation_report(oof).first()
-    assert report.n_rows == cells.count() and report.accuracy_mean is None and report.roc_auc is None
+    assert report.n_rows == cells.count() and report.accuracy_mean is None and report.roc_auc is None and report.roc_auc_mean is None
     split = cells.withColumn("fold_id", F.pmod("cell", F.lit(2)).cast("int")).withColumn("flood_class", (F.pmod("cell", F.lit(2)) == 0).cast("int"))
     with pytest.warns(UserWarning, match="one class"):
         assert models.cross_validate(split, few).where("predicted_class is not null").count() == 0
@@ -132,6 +140,7 @@ def test_reports_of_linear_models(spark, cells):
     got = {r.metric: r.value for r in study.evaluation(fitted, x, oof).unionByName(study.baselines(x)).collect()}
     assert got["blocked_cv_n_folds"] == 3 and 0.9 <= got["in_sample_accuracy"] <= 1 and 0 <= got["rule_in_sample_accuracy"] <= 1
     assert {"linear_blocked_cv_accuracy_mean", "rule_blocked_cv_f1_sd", "blocked_cv_roc_auc"} <= set(got)
+    assert all(0 <= got[f"{m}_{k}"] <= 1 for m in ("blocked_cv", "linear_blocked_cv", "rule_blocked_cv") for k in ("roc_auc_mean", "roc_auc_sd", "pr_auc_mean", "pr_auc_sd"))
 
 
 def test_a_whole_study_of_linear_models(spark, monkeypatch):
