@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hexgrid import GRID, HALF, M_PER_LAT, HexGrid, children_of, i_of, j_of, pack
+from .shapes import centre_cells, centroids, covered_fraction, edges, shape_edges
 
 Box = tuple[float, float, float, float]
 
@@ -19,16 +20,6 @@ def box_rings(df: DataFrame, west: str, south: str, east: str, north: str) -> Da
     return df.withColumn("rings", F.array(ring))
 
 
-def edges(rings: Column) -> Column:
-    """All edges of the rings as an array of (x1, y1, x2, y2)."""
-    one = lambda r: F.zip_with(
-        F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0))),
-        F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))),
-        lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")),
-    )
-    return F.flatten(F.transform(rings, one))
-
-
 def inside(x: Column, y: Column, edge_list: Column) -> Column:
     """Even-odd rule: a ray to the east crosses an odd number of edges, holes included."""
 
@@ -72,14 +63,20 @@ def _close(rx: float, ry: float):
     return lambda e: level(e) & (F.least(e["x1"], e["x2"]) <= F.col("lon") + rx) & (F.greatest(e["x1"], e["x2"]) >= F.col("lon") - rx)
 
 
-def coverage(spine: DataFrame, polygons: DataFrame, res: int = 9, depth: int = 4, grid: HexGrid = GRID, name: str = "area_frac") -> DataFrame:
+def coverage(spine: DataFrame, polygons: DataFrame, res: int = 9, depth: int | None = None, grid: HexGrid = GRID, name: str = "area_frac") -> DataFrame:
     """The fraction of each cell of the spine that the polygons (rings) cover, overlaps counted once.
 
+    Exact (``shapes.covered_fraction``) unless a depth is given. With one, the share of the cell's 7**depth descendants
+    whose centre a polygon holds, a centre on a western or southern edge included and one on an eastern or northern edge
+    not; as descendants cover not quite the same ground as their cell, that is an estimate.
+
     The centres of the 7**depth descendants sample a cell. Polygons meet cells by an equi-join on the cells that their
     bounding box can touch, ids alone. A cell is then parted level by level: a part that no edge of a polygon comes near
     is all inside it or all outside, as its centre says, so only parts along edges are parted on. A sample counts once
     however many polygons hold it. Cells without any get 0.
     """
+    if depth is None:
+        return covered_fraction(spine, polygons, res, grid, name)
     shapes = polygons.select(edges(F.col("rings")).alias("edges"), *[c.alias(n) for c, n in zip(ring_box(F.col("rings")), "wsen", strict=True)]).where("w is not null")
     shapes = shapes.withColumn("shape", F.xxhash64("edges"))
     near = window_cells(shapes.select("shape", *"wsen"), *[F.col(c) for c in "wsen"], res, grid).select("cell", "shape").distinct()
@@ -110,16 +107,26 @@ def coverage(spine: DataFrame, polygons: DataFrame, res: int = 9, depth: int = 4
     return spine.select("cell").join(share, "cell", "left").fillna(0.0, [name])
 
 
-def coastal_overlay(cells: DataFrame, polygons: DataFrame, res: int = 9, prefix: str = "sandy", depth: int = 4, grid: HexGrid = GRID) -> DataFrame:
+def coastal_overlay(cells: DataFrame, polygons: DataFrame, res: int = 9, prefix: str = "sandy", depth: int | None = None, grid: HexGrid = GRID) -> DataFrame:
     """<prefix>_area_frac and <prefix>_class beside the labels, which stay as they are."""
     share = coverage(cells, polygons, res, depth, grid, f"{prefix}_area_frac")
     return cells.drop(f"{prefix}_area_frac", f"{prefix}_class").join(share, "cell", "left").withColumn(f"{prefix}_class", (F.col(f"{prefix}_area_frac") >= 1e-9).cast("int"))
 
 
-def geometry_cells(features: DataFrame, res: int = 9, step: float = 0.00015, buffer_k: int = 0, grid: HexGrid = GRID) -> DataFrame:
+def _on_edge(x: Column, y: Column, edge_list: Column) -> Column:
+    def on(e):
+        level = (F.least(e["x1"], e["x2"]) <= x) & (x <= F.greatest(e["x1"], e["x2"])) & (F.least(e["y1"], e["y2"]) <= y) & (y <= F.greatest(e["y1"], e["y2"]))
+        return level & ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"]))
+
+    return F.exists(edge_list, on)
+
+
+def geometry_cells(features: DataFrame, res: int = 9, step: float = 0.00015, buffer_k: int = 0, samples: int = 12, grid: HexGrid = GRID) -> DataFrame:
     """feature_id, cell: cells of points, of lines sampled every ``step`` degrees, and of polygons by centre.
 
-    A polygon that holds no centre gives the cell of the middle of its bounding box. With buffer_k, neighbours as well.
+    The cells whose centre a polygon holds come from scan lines over its edges (``shapes.centre_cells``). A polygon that
+    holds no centre gives the cell of its centroid, and those of the samples of its bounding box, ``samples`` a side, that
+    it holds or that lie on its edges. With buffer_k, neighbours as well. The id must be the feature's own.
     """
     parts = features.select("feature_id", "geom_type", "rings", F.explode("rings").alias("part"))
     points = parts.where(F.col("geom_type").isin("Point", "MultiPoint")).select("feature_id", F.explode("part").alias("p"))
@@ -128,12 +135,15 @@ def geometry_cells(features: DataFrame, res: int = 9, step: float = 0.00015, buf
     at = F.transform(F.sequence(F.lit(0), n.cast("int")), lambda k: F.struct((F.col("e.x1") + (F.col("e.x2") - F.col("e.x1")) * k / n).alias("x"), (F.col("e.y1") + (F.col("e.y2") - F.col("e.y1")) * k / n).alias("y")))
     points = points.union(line.select("feature_id", F.explode(at).alias("p")))
     out = grid.with_cell(points.select("feature_id", F.col("p.x").alias("lon"), F.col("p.y").alias("lat")), res=res).select("feature_id", "cell")
-    shapes = features.where(F.col("geom_type").isin("Polygon", "MultiPolygon")).select("feature_id", edges(F.col("rings")).alias("edges"), *[c.alias(k) for c, k in zip(ring_box(F.col("rings")), "wsen", strict=True)])
-    near = window_cells(shapes, *[F.col(c) for c in "wsen"], res, grid)
-    lon, lat = grid.centre("cell", res)
-    held = near.where(inside(F.expr(lon), F.expr(lat), F.col("edges"))).select("feature_id", "cell")
-    small = shapes.join(held, "feature_id", "left_anti").select("feature_id", ((F.col("w") + F.col("e")) / 2).alias("lon"), ((F.col("s") + F.col("n")) / 2).alias("lat"))
-    out = out.union(held).union(grid.with_cell(small, res=res).select("feature_id", "cell")).where("cell is not null").distinct()
+    polygons = features.where(F.col("geom_type").isin("Polygon", "MultiPolygon")).select("feature_id", "rings")
+    held = centre_cells(shape_edges(polygons, res, grid, "feature_id"), res, "feature_id")
+    small = polygons.join(held.select("feature_id").distinct(), "feature_id", "left_anti")
+    middle = centroids(small).select("feature_id", "lon", "lat")
+    few = small.select("feature_id", edges(F.col("rings")).alias("edges"), *[c.alias(k) for c, k in zip(ring_box(F.col("rings")), "wsen", strict=True)])
+    spread = lambda low, high: F.explode(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.col(low) + (F.col(high) - F.col(low)) * k / (samples - 1)))
+    few = few.withColumn("lon", spread("w", "e")).withColumn("lat", spread("s", "n"))
+    few = few.where(inside(F.col("lon"), F.col("lat"), F.col("edges")) | _on_edge(F.col("lon"), F.col("lat"), F.col("edges"))).select("feature_id", "lon", "lat")
+    out = out.union(held).union(grid.with_cell(middle.union(few), res=res).select("feature_id", "cell")).where("cell is not null").distinct()
     if not buffer_k:
         return out
     return grid.disk(out, buffer_k).select("feature_id", F.col("near").alias("cell")).distinct()
@@ -145,6 +155,57 @@ def meets_box(df: DataFrame, box: Box, pad: float = 0.002) -> DataFrame:
     return df.where((w <= box[2] + pad) & (e >= box[0] - pad) & (s <= box[3] + pad) & (n >= box[1] - pad))
 
 
+def _one_side(axis: str, bound: float, sign: int):
+    """From a ring (not closed) its corners on one side of a line, and those where it crosses the line."""
+    other = "y" if axis == "x" else "x"
+    kept = lambda p: p[axis] * sign <= bound * sign
+
+    def meets(p: Column, q: Column) -> Column:
+        along = p[other] + (q[other] - p[other]) * ((F.lit(bound) - p[axis]) / (q[axis] - p[axis]))
+        return F.struct(*[(F.lit(bound) if c == axis else along).alias(c) for c in "xy"])
+
+    none = F.expr("cast(array() as array<struct<x:double,y:double>>)")
+    step = lambda p, q: F.when(kept(q), F.when(kept(p), F.array(q)).otherwise(F.array(meets(p, q), q))).when(kept(p), F.array(meets(p, q))).otherwise(none)
+
+    def cut(ring: Column) -> Column:
+        before = F.concat(F.slice(ring, F.size(ring), 1), F.slice(ring, F.lit(1), F.size(ring) - 1))
+        return F.when(F.size(ring) > 0, F.flatten(F.zip_with(before, ring, step))).otherwise(none)
+
+    return cut
+
+
+def _bound(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def ring_area(ring: Column) -> Column:
+    """Twice the signed area of a closed ring, from its first corner, so that a ring without area has exactly none."""
+    turn = lambda e: (e["x1"] - ring[0]["x"]) * (e["y2"] - ring[0]["y"]) - (e["x2"] - ring[0]["x"]) * (e["y1"] - ring[0]["y"])
+    return F.aggregate(edges(F.array(ring)), F.lit(0.0), lambda s, e: s + turn(e))
+
+
+def clip_rings(features: DataFrame, box: Box, pad: float = 0.002) -> DataFrame:
+    """Polygons (rings) cut to the padded box, each ring by the box's four sides in turn; holes stay holes.
+
+    Rings without area inside drop out, and features of which no ring is left. Other columns stay. A ring that leaves the
+    box and comes back is one ring still, with its way along the side there and back; its area is right. Rings that are
+    not closed are closed; corners without coordinates are left out, and a null or empty list of rings drops out.
+    """
+    sides = (("x", box[0] - pad, -1), ("x", box[2] + pad, 1), ("y", box[1] - pad, -1), ("y", box[3] + pad, 1))
+
+    def one(ring: Column) -> Column:
+        there = F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+        x = _bound(there, lambda r: F.when((F.size(r) > 1) & (F.element_at(r, 1) == F.element_at(r, -1)), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
+        for side in sides:
+            x = _bound(x, _one_side(*side))
+        return _bound(x, lambda r: F.when(F.size(r) > 2, F.concat(r, F.slice(r, 1, 1))))
+
+    cut = F.filter(F.transform("rings", one), lambda r: r.isNotNull())
+    x = features.withColumn("hx_rings", F.filter(cut, lambda r: ring_area(r) != 0))
+    return x.where(F.size("hx_rings") > 0).withColumn("rings", F.col("hx_rings")).drop("hx_rings")
+
+
 def clip_segments(segments: DataFrame, box: Box, pad: float = 0.002) -> DataFrame:
     """Segments (x1, y1, x2, y2) cut to the padded box by their entry and exit parameters; those outside drop out."""
     west, south, east, north = box[0] - pad, box[1] - pad, box[2] + pad, box[3] + pad

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hexgrid import GRID, HexGrid
 from ..functions.scalars import clean
-from .overlay import edges
+from .shapes import centroids
 
 
 def in_cells(points: DataFrame, columns: Sequence[str], res: int, grid: HexGrid) -> DataFrame:
@@ -49,25 +49,6 @@ def score_index(points: DataFrame, score: str = "score", cut: float = 0.8, res:
     )
 
 
-def centroids(features: DataFrame) -> DataFrame:
-    """lon and lat of each vector record: the area's centroid of its rings, holes taken off; the mean of the vertices of
-    records without area."""
-    x1, y1 = lambda e: e["x1"], lambda e: e["y1"]
-    turn = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
-    total = lambda f: F.aggregate("hx_e", F.lit(0.0), lambda s, e: s + f(e))
-    # about the first vertex, so that small shapes far from the origin lose no digits
-    first = F.col("rings")[0][0]
-    x = features.withColumns({"hx_0": first, "hx_r": F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y"))))})
-    x = x.withColumn("hx_e", edges(F.col("hx_r")))
-    area = total(turn)
-    cx, cy = total(lambda e: (x1(e) + e["x2"]) * turn(e)) / (area * 3), total(lambda e: (y1(e) + e["y2"]) * turn(e)) / (area * 3)
-    flat = F.flatten("hx_r")
-    mean = lambda c: F.aggregate(flat, F.lit(0.0), lambda s, p: s + p[c]) / F.size(flat)
-    some = F.abs(area) > 0
-    x = x.withColumns({"lon": F.col("hx_0.x") + F.when(some, cx).otherwise(mean("x")), "lat": F.col("hx_0.y") + F.when(some, cy).otherwise(mean("y"))})
-    return x.drop("hx_0", "hx_r", "hx_e")
-
-
 def density(points: DataFrame, spine: DataFrame, res: int = 9, grid: HexGrid = GRID) -> DataFrame:
     """Points per square kilometre in each cell of the spine, 0 where there are none."""
     x = left_by_cell(spine.select("cell"), point_count(points, res, grid))

@@ -94,7 +94,7 @@ def synthetic_labels(cells: DataFrame, threshold: float = 0.55, noise: float = 0
     return cells.withColumn(RISK, risk).withColumns({CLASS: (F.col(RISK) >= threshold).cast("int"), "label_source": F.lit("synthetic")})
 
 
-def cell_table(spine: DataFrame, layers: Layers, res: int, rainfall_mm_h: float = 25.0, depth: int = 4, grid: HexGrid = GRID) -> DataFrame:
+def cell_table(spine: DataFrame, layers: Layers, res: int, rainfall_mm_h: float = 25.0, depth: int | None = None, grid: HexGrid = GRID) -> DataFrame:
     """Features, labels (observed if there is a flood layer, else synthetic and said to be so), and the coastal overlay."""
     x = features(spine, layers, res, rainfall_mm_h, grid=grid)
     if layers.flood_polygons is None and layers.flood_points is None:

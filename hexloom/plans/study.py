@@ -74,7 +74,7 @@ def infer(fitted: models.RiskModels, spark, box: tuple[float, float, float, floa
     return fitted.predict(cell_table(grid.cover(spark, box, res), layers, res, rainfall_mm_h, grid=grid))
 
 
-def run_study(spine: DataFrame, layers: Layers, res: int = 9, fine: int = 1, rates=(("moderate", 25.0), ("heavy", 40.0), ("extreme", 100.0)), n_folds: int = 5, depth: int = 4, grid: HexGrid = GRID) -> Study:
+def run_study(spine: DataFrame, layers: Layers, res: int = 9, fine: int = 1, rates=(("moderate", 25.0), ("heavy", 40.0), ("extreme", 100.0)), n_folds: int = 5, depth: int | None = None, grid: HexGrid = GRID) -> Study:
     """Every stage of a study over one spine; models come before refinement, which needs their scores."""
     cells = cut(cell_table(spine, layers, res, depth=depth, grid=grid))
     fine_spine = grid.children(spine.select("cell"), res, res + fine).select(F.col("child").alias("cell"))

@@ -13,7 +13,7 @@ from .functions import h3bits, hexgrid, scalars
 from .functions.hexgrid import GRID
 from .functions.stages import num
 from .functions.storage import cut, shared_dir
-from .operators import adaptive, control, folds, hotspot, metrics, models, nearest, overlay, points, quality, raster, rollup
+from .operators import adaptive, control, folds, hotspot, metrics, models, nearest, overlay, points, quality, raster, rollup, shapes
 from .plans import assemble, study
 from .schema import CLASS, FEATURE_RANGES, FEATURES, RISK
 from .sources import geojson, tables
@@ -744,7 +744,7 @@ _BOXES = "(select id, lon - h as w, lat - h as s, lon + h as e, lat + h as n fro
 _SAMPLES = f"(select cell, child, {centre('child', 9 + _DEPTH)[0]} as lon, {centre('child', 9 + _DEPTH)[1]} as lat from {children_sql(f'(select cell, cell as child from {MEANS})', 9, 9 + _DEPTH)})"
 
 
-_HITS = f"(select cell, count(distinct child) / {num(7**_DEPTH)} as area_frac from {_SAMPLES} p join {_BOXES} b on p.lon between w and e and p.lat between s and n group by cell)"
+_HITS = f"(select cell, count(distinct child) / {num(7**_DEPTH)} as area_frac from {_SAMPLES} p join {_BOXES} b on p.lon >= w and p.lon < e and p.lat >= s and p.lat < n group by cell)"
 
 
 @query(f"select cell, {r('coalesce(area_frac, 0)', 'area_frac')} from {MEANS} left join {_HITS} using (cell)")
@@ -752,10 +752,44 @@ def coverage_fraction(read):
     return overlay.coverage(event_cells(read), supplier_boxes(read), 9, _DEPTH)
 
 
-@query(f"select cell, flood_risk, {r('coalesce(area_frac, 0)', 'sandy_area_frac')}, (coalesce(area_frac, 0) >= 1e-9)::int as sandy_class from {_LABEL} left join {_HITS} using (cell)")
+#: The sides of a cell of level 9 about its centre, in degrees.
+_RING = [(spacing(9) / math.sqrt(3) * math.cos(t) / KX, spacing(9) / math.sqrt(3) * math.sin(t) / PER_LAT) for t in _AT]
+_SIDES = ", ".join(f"({num(a[0])}, {num(a[1])}, {num(b[0])}, {num(b[1])})" for a, b in zip(_RING, _RING[1:], strict=False))
+_REACH = max(abs(x) for x, _ in _RING), max(abs(y) for _, y in _RING)
+
+
+def covered_sql(boxes: str, cells: str) -> str:
+    """The exact fraction of each cell under the union of boxes (w, s, e, n), in degrees: slabs between the heights of boxes and
+    corners, the boxes' union in each, and of each piece the width between the cell's two sides, in parts between which no
+    two of the four lines cross."""
+    lines = [f"coalesce(least(1e0, greatest(0e0, ({v} - {a}) / nullif({b} - {a}, 0))), 0e0)" for v in ("l", "h") for a, b in (("la", "lb"), ("ra", "rb"))]
+    f = "greatest(0e0, least(h, ra + (rb - ra) * (ts[k] + ts[k + 1]) / 2) - greatest(l, la + (lb - la) * (ts[k] + ts[k + 1]) / 2))"
+    return f"""(with c as (select cell, {centre('cell', 9)[0]} as cx, {centre('cell', 9)[1]} as cy from {cells}),
+        near as (select cell, w - cx as w, s - cy as s, e - cx as e, n - cy as n from c join {boxes} on w < cx + {num(_REACH[0])} and e > cx - {num(_REACH[0])} and s < cy + {num(_REACH[1])} and n > cy - {num(_REACH[1])}),
+        sides(x1, y1, x2, y2) as (values {_SIDES}),
+        ys as (select cell, unnest([s, n]) as y from near union select cell, y1 from near, sides),
+        slabs as (select cell, y as y0, lead(y) over (partition by cell order by y) as y1 from ys where y between {num(-_REACH[1])} and {num(_REACH[1])}),
+        chords as (select cell, y0, slabs.y1, list((xa, xb) order by xa + xb) as x from (select slabs.*, x1 + (x2 - x1) * (y0 - sides.y1) / (y2 - sides.y1) as xa, x1 + (x2 - x1) * (slabs.y1 - sides.y1) / (y2 - sides.y1) as xb
+            from slabs join sides on least(sides.y1, y2) <= y0 and greatest(sides.y1, y2) >= slabs.y1 where y0 < slabs.y1) slabs group by all),
+        held as (select cell, y0, y1, w, e, max(e) over (partition by cell, y0 order by w, e rows between unbounded preceding and 1 preceding) as upto from slabs join near using (cell) where s <= y0 and n >= y1 and y0 < y1),
+        part as (select cell, y0, h.y1, greatest(w, coalesce(upto, w)) as l, e as h, x[1][1] as la, x[1][2] as lb, x[2][1] as ra, x[2][2] as rb from held h join chords using (cell, y0) where e > coalesce(upto, w)),
+        cut as (select *, list_sort([0e0, 1e0, {', '.join(lines)}]) as ts from part)
+        select cell, least(1e0, sum((y1 - y0) * list_sum(list_transform([1, 2, 3, 4, 5], lambda k: (ts[k + 1] - ts[k]) * {f}))) * {num(KX * PER_LAT / (AREA9 * 1e6))}) as area_frac from cut group by cell)"""
+
+
+_EXACT = covered_sql(_BOXES, MEANS)
+
+
+@query(f"select cell, {r('coalesce(area_frac, 0)', 'area_frac')} from {MEANS} left join {_EXACT} using (cell)")
+def coverage_exact(read):
+    """Boxes that overlap, by area."""
+    return overlay.coverage(event_cells(read), supplier_boxes(read), 9)
+
+
+@query(f"select cell, flood_risk, {r('coalesce(area_frac, 0)', 'sandy_area_frac')}, (coalesce(area_frac, 0) >= 1e-9)::int as sandy_class from {_LABEL} left join {_EXACT} using (cell)")
 def coastal_overlay(read):
     labelled = points.point_label(event_cells(read).select("cell"), event_points(read).where("event_type = 'error'")).select("cell", RISK)
-    return overlay.coastal_overlay(labelled, supplier_boxes(read), 9, depth=_DEPTH)
+    return overlay.coastal_overlay(labelled, supplier_boxes(read), 9)
 
 
 _AX, _AY = f"((lon - qx) * {num(KX)})", f"((lat - qy) * {num(PER_LAT)})"
@@ -801,7 +835,10 @@ _NEARBY = f"(select id, w, s, e, n, mid, mid + i * 268435456 + j as cell from {_
 _IN = f"(select id, cell from {_NEARBY} where {centre('cell', 9)[0]} between w and e and {centre('cell', 9)[1]} between s and n)"
 
 
-@query(f"with inner_cells as {_IN}, kept as (select id, cell from inner_cells union select id, mid from {_MID} where id not in (select id from inner_cells)) select distinct id as feature_id, unnest([{_DISK}]) as cell from kept")
+_GRIDDED = located_cells(f"(select id, w + (e - w) * a / 11e0 as sx, s + (n - s) * b / 11e0 as sy from {_BOXES}, generate_series(0, 11) g(a), generate_series(0, 11) h(b))", "sx", "sy", 9, "sampled")
+
+
+@query(f"with inner_cells as {_IN}, kept as (select id, cell from inner_cells union select id, mid from {_MID} where id not in (select id from inner_cells) union select id, sampled from {_GRIDDED} where id not in (select id from inner_cells)) select distinct id as feature_id, unnest([{_DISK}]) as cell from kept")
 def geometry_cells(read):
     return overlay.geometry_cells(supplier_boxes(read), 9, buffer_k=1)
 
@@ -815,12 +852,75 @@ def houses(read) -> DataFrame:
     return overlay.box_rings(x, "w", "s", "e", "n")
 
 
+_FOOTPRINTS = f"(select id, lon - 3e-4 as w, lat - 3e-4 as s, lon + 3e-4 as e, lat + 3e-4 as n from {_HOUSE})"
+
+
+@query(f"select cell, {r('coalesce(area_frac, 0)', 'footprint_frac')} from {MEANS} left join {covered_sql(_FOOTPRINTS, MEANS)} using (cell)")
+def footprint_fraction(read):
+    """The share of each cell under buildings, which overlap."""
+    return overlay.coverage(event_cells(read), houses(read), 9, name="footprint_frac")
+
+
 @query(f"select m.cell, {r('coalesce(h.n, 0) / ' + num(AREA9), 'building_density')} from {MEANS} m left join (select cell as there, count(*) as n from {located_cells(_HOUSE, 'lon', 'lat', 9)} group by cell) h on there = m.cell")
 def house_density(read):
     """Density of polygons by their centroids."""
     return points.density(points.centroids(houses(read)).select("lon", "lat"), event_cells(read).select("cell"))
 
 
+# corners off the places of the points, so that no point lies on an edge
+_TRI = f"(select id, lon + 37e-7 as ax, lat + 23e-7 as ay, lon2 + 37e-7 as bx, lat2 + 23e-7 as b_y, lon + 100037e-7 as cx, lat - 70011e-7 as cy from {SUP})"
+_SIDE = lambda x, y: [f"(({b} - {a}) * ({y} - {c}) - ({d} - {c}) * ({x} - {a}))" for a, c, b, d in (("ax", "ay", "bx", "b_y"), ("bx", "b_y", "cx", "cy"), ("cx", "cy", "ax", "ay"))]
+
+
+def _in_triangle(x: str, y: str) -> str:
+    p, q, t = _SIDE(x, y)
+    return f"(({p} > 0) = ({q} > 0) and ({q} > 0) = ({t} > 0))"
+
+
+def supplier_triangles(read):
+    """Long thin and wide triangles, which overlap and cross many cells."""
+    corner = lambda x, y, dx, dy: F.struct((F.col(x) + dx).alias("x"), (F.col(y) + dy).alias("y"))
+    a, b, c = corner("x1", "y1", 37e-7, 23e-7), corner("x2", "y2", 37e-7, 23e-7), corner("x1", "y1", 100037e-7, -70011e-7)
+    return supplier_segments(read).select(F.col("id").alias("zone_id"), F.array(F.array(a, b, c, a)).alias("rings"))
+
+
+@query(f"select event_id, id as zone_id from {P} join {_TRI} on {_in_triangle('lon', 'lat')}")
+def zone_points(read):
+    """The zones that hold each event."""
+    return shapes.point_zones(event_points(read).select("event_id", "lon", "lat"), supplier_triangles(read), 9).select("event_id", "zone_id")
+
+
+@query(
+    f"select id as zone_id, {r('avg(score)', 'score_mean')}, count(score) as n, {r('sum(score)', 'score_sum')}, {r('avg((score > 8e-1)::int::double)', 'share_above')}, {r('quantile_cont(score, 0.95)', 'score_p95')}, {r('max(score)', 'score_max')} from {_TRI} left join {_ORD} on {_in_triangle('lon', 'lat')} group by id"
+)
+def zone_index(read):
+    """The building index by polygon zone, beside that by cell."""
+    o = located(read("orders").select("o_orderkey"), "o_orderkey").withColumn("score", (F.col("o_orderkey") * 7919 % 1000) / 999.0)
+    return shapes.zone_index(o, supplier_triangles(read))
+
+
+_CORNER4 = ", ".join(f"({num(_PAD[i])}, {num(_PAD[j])})" for i, j in ((0, 1), (2, 1), (2, 3), (0, 3)))
+_EDGES3 = f"(select id, unnest([(ax, ay, bx, b_y), (bx, b_y, cx, cy), (cx, cy, ax, ay)]) as g from {_TRI})"
+_MEETS = " union all ".join(
+    f"select id, {f'{num(v)} as x, g[2] + (g[4] - g[2]) * t as y' if k == 0 else f'g[1] + (g[3] - g[1]) * t as x, {num(v)} as y'} from (select id, g, ({num(v)} - g[{k + 1}]) / nullif(g[{k + 3}] - g[{k + 1}], 0) as t from {_EDGES3}) where t between 0 and 1"
+    for k, v in ((0, _PAD[0]), (0, _PAD[2]), (1, _PAD[1]), (1, _PAD[3]))
+)
+
+
+@query(
+    f"""with p as (select * from ({_MEETS}) where x between {num(_PAD[0])} and {num(_PAD[2])} and y between {num(_PAD[1])} and {num(_PAD[3])}
+        union all select id, x, y from {_TRI}, (values {_CORNER4}) v(x, y) where {_in_triangle('x', 'y')}
+        union all select id, unnest([ax, bx, cx]) as x, unnest([ay, b_y, cy]) as y from {_TRI}),
+    q as (select * from p where x between {num(_PAD[0])} and {num(_PAD[2])} and y between {num(_PAD[1])} and {num(_PAD[3])}),
+    o as (select q.id, x - mx as x, y - my as y, row_number() over (partition by q.id order by atan2(y - my, x - mx)) as k, count(*) over (partition by q.id) as m from q join (select id, avg(x) as mx, avg(y) as my from q group by id) c on c.id = q.id)
+    select id as zone_id, 1 as n_rings, {r('sum(a.x * b.y - b.x * a.y) * 5e5', 'area')} from (select *, k % m + 1 as nx from o) a join (select id as bid, x, y, k as bk from o) b on bid = id and bk = nx group by id having sum(a.x * b.y - b.x * a.y) > 1e-15"""
+)
+def clip_rings(read):
+    """Triangles cut to a box: how much of each is left, in millionths of a square degree."""
+    x = overlay.clip_rings(supplier_triangles(read), BOX)
+    return x.select("zone_id", F.size("rings").alias("n_rings"), F.abs(F.aggregate("rings", F.lit(0.0), lambda t, r: t + overlay.ring_area(r)) * 5e5).alias("area"))
+
+
 @query(f"select layer, count(*) as n, {r('avg(lon)', 'lon')} from (select 'events' as layer, lon from {P} union all select 'suppliers', lon from {SUP}) group by layer")
 def layer_union(read):
     x = tables.union_layers({"events": event_points(read).select("lon", "value"), "suppliers": supplier_segments(read).select(F.col("x1").alias("lon"), "s_nationkey")})

@@ -94,13 +94,13 @@ def test_registered_models_are_whole(spark, monkeypatch):
     assert n_folds == [5, 5]
 
 
-def test_registered_cell_table_samples_at_the_default_depth(spark, monkeypatch):
+def test_registered_cell_table_covers_exactly(spark, monkeypatch):
     from hexloom.operators import overlay
 
     depths = []
     monkeypatch.setattr(overlay, "coverage", lambda spine, polygons, res, depth, grid, name: depths.append(depth) or spine.select("cell", F.lit(0.0).alias(name)))
     queries.QUERIES["cell_table"](spark, SF)
-    assert depths == [4]
+    assert depths == [None]
 
 
 def test_live_risk_runs_to_its_last_row(spark, monkeypatch):
