@@ -88,7 +88,8 @@ def centre_runs(edges: DataFrame, key: str = "shape") -> DataFrame:
 
     Where an edge crosses a row's line it parts the cells east of it from those west of it; between the first and the
     second crossing, the third and the fourth, and so on, the polygon holds the centres. An edge is sent to the rows that it
-    crosses, once each; no cell is looked at. A centre on an edge counts as east of it.
+    crosses, once each; no cell is looked at. A centre on an edge counts as east of it in the lattice's plane; at turned
+    levels the rounding of the turn decides, alike for all polygons that have this edge, so of two neighbours one holds it.
     """
     low, high = F.least("v1", "v2"), F.greatest("v1", "v2")
     # rows with low <= j < high: an edge along a row crosses none, and a corner belongs to one of its edges

@@ -158,7 +158,7 @@ def test_clipped_rings(spark):
 
 
 def test_cells_of_small_and_large_polygons(spark):
-    rows = [(1, "Polygon", [box(-74.0005, 40.6995, -73.9995, 40.7005)]), (2, "Polygon", [box(-73.9985, 40.7005, -73.9983, 40.7007)]), (3, "MultiPolygon", [box(-74.02, 40.69, -74.0, 40.71), box(-73.9, 40.8, -73.88, 40.81)])]
+    rows = [(1, "Polygon", [box(-74.0005, 40.6995, -73.9995, 40.7005)]), (2, "Polygon", [box(-73.9985, 40.7005, -73.9983, 40.7007)]), (3, "MultiPolygon", [box(-74.02, 40.69, -74.0001, 40.71), box(-73.9, 40.8, -73.88, 40.81)])]
     x = spark.createDataFrame(rows, "feature_id long, geom_type string, " + RINGS)
     got: dict = {}
     for r in overlay.geometry_cells(x, 9).collect():
