@@ -110,11 +110,11 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, i
 
     Words are runs of letters and digits in lower case. An item of under five words is one shingle of all its words. A
     null text, or one without words, holds and is held by nothing; rows without an id are left out; repeated documents
-    each get their rows, an item given twice is reported once for each document; empty tables give an empty result.
+    each get their rows, of several texts of one item the smallest is taken; empty tables give an empty result.
     """
     spark = docs.sparkSession
     given = items.select(F.col(item_col).cast("long").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
-    held = map_arrow(given.dropDuplicates(["item_id"]), _items, "item_id long, width long, shingles array<long>")
+    held = map_arrow(given.groupBy("item_id").agg(F.min("text").alias("text")), _items, "item_id long, width long, shingles array<long>")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     total = held.agg(F.sum(F.size("shingles"))).first()[0] or 0
     blocks = ceil(total / block)

@@ -23,16 +23,17 @@ def interleave(
     whatever the source, so a source with a third of all rows is spread over many tasks. No Python runs on the data.
 
     carry: the columns to keep (all by default); columns named shard or slot are replaced. A null source counts as a
-    source of its own. Repeated rows each get a slot of their own. An empty table gives an empty result.
+    source of its own. Repeated rows each get a slot of their own; those of one id that differ are ordered by a hash of the row. An empty table gives an empty result.
     """
     kept = [c for c in (carry or df.columns) if c not in ("shard", "slot")]
     row = F.struct(*[F.col(f"`{c}`") for c in kept])
     order = F.xxhash64(F.lit(seed), F.col(id_col))
+    hashed = [F.col(f"`{c}`") for c, t in df.dtypes if c in kept and "map<" not in t and t != "variant"] or [F.col(id_col)]
     x = df.select(
         row.alias("row"),
         F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name")).alias("source"),
         order.alias("seeded"),
-        F.col(id_col).alias("id"),
+        F.struct(F.col(id_col), F.xxhash64(*hashed)).alias("id"),  # rows that share an id have an order, too
     )
     total = df.count()
     bits = max(0, int(math.log2(max(1, math.sqrt(total)))))

@@ -179,8 +179,36 @@ def _dealt(grid: Grid, limit: float, chunks: dict[int, int]):
     return run
 
 
-def _compare(grid: Grid, limit: float, threshold: float):
-    """Rows sorted by group, members first: counts links of both sides and joins linked vectors to their least."""
+class Members:
+    """The members of a chunk, by cell."""
+
+    def __init__(self, grid: Grid, x: np.ndarray):
+        self.grid, self.x = grid, x
+        cell = grid.cells(x)
+        self.order = cell.argsort(kind="stable")
+        self.cells, self.start = np.unique(cell[self.order], return_index=True)
+        self.size = np.diff(np.append(self.start, len(cell)))
+
+    def met(self, q: np.ndarray, limit: float, threshold: float, block: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+        """(row of q, member) of cosine >= threshold, among the members in the cells that the row's traversal visits."""
+        row, cell = self.grid.visits(q, limit)
+        at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        some = self.cells[at] == cell
+        row, at = row[some], at[some]
+        n = self.size[at]
+        row, place = np.repeat(row, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[at], n)
+        member = self.order[place]
+        near = [np.einsum("ij,ij->i", q[row[k : k + block]], self.x[member[k : k + block]]) >= threshold for k in range(0, len(row), block)]
+        keep = np.concatenate([np.zeros(0, bool), *near])
+        return row[keep], member[keep]
+
+
+def _compare(grid: Grid, limit: float, threshold: float, by_cell: bool):
+    """Rows sorted by group, members first: counts links of both sides and joins linked vectors to their least.
+
+    A group is a chunk of one cell, all of whose visitors have reached it; or, by_cell, a chunk of many cells, where each
+    visitor's traversal says which of them it compares itself with.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         group, members, table = None, [], None
@@ -199,11 +227,11 @@ def _compare(grid: Grid, limit: float, threshold: float):
                     continue
                 if table is None:
                     m_id, m_weight, m_x = (np.concatenate(c) for c in zip(*members, strict=True))
-                    table = (m_id, m_weight, m_x, grid.reach(m_x)[1])
-                m_id, m_weight, m_x, m_bounds = table
+                    table = (m_id, m_weight, m_x, grid.reach(m_x)[1], Members(grid, m_x) if by_cell else None)
+                m_id, m_weight, m_x, m_bounds, held = table
                 for k in range(0, b - a, 512):
                     q_id, q_weight, q_x = ids[a:b][k : k + 512], weight[a:b][k : k + 512], x[k : k + 512]
-                    q, m = np.nonzero(q_x @ m_x.T >= threshold)
+                    q, m = held.met(q_x, limit, threshold) if by_cell else np.nonzero(q_x @ m_x.T >= threshold)
                     other = q_id[q] != m_id[m]
                     q, m = q[other], m[other]
                     if not len(q):
@@ -243,8 +271,9 @@ def near_vectors(
     cells hold 2 billion vectors at ``per_cell`` each. Every vector is
     indexed under its product cell and visits the cells within the calibrated reach: that of the real pairs which
     ``query_rows`` of the sampled vectors form with all rows, compared by brute force in tasks, or the lossless one where
-    those pairs are too few to tell. If so many cells are in reach that the grid saves little, all vectors are one cell,
-    and every pair is compared. Cells are cut into chunks of about
+    those pairs are too few to tell. If so many cells are in reach that a copy for each would be more than one for each
+    chunk of all vectors, chunks are dealt without regard to cells, and the traversal (of a finer grid) decides in the chunk
+    which of its cells a visitor is compared with. Cells are cut into chunks of about
     ``chunk_rows`` members, so a cell that a third of all vectors fall into is many tasks, and a task keeps one chunk
     while visitors stream by. Tasks return counts and spanning edges, never pairs.
 
@@ -274,15 +303,23 @@ def near_vectors(
         needs = map_arrow(reps.select("id", "v"), _needs(grid, sample_ids[:query_rows], sample[:query_rows], threshold), "bin long, n long")
         needs = {r[0]: r[1] for r in needs.groupBy("bin").agg(F.sum("n")).collect()}  # at most NEED_BINS
         limit = traversal_limit(needs, threshold, target_recall)
-        reached = len(grid.visits(sample[:256], limit)[0]) / len(sample[:256])
-        if reached > max(4 * n / chunk_rows, len(grid.books[0]) * grid.width / 8):
-            grid = Grid(tuple(h.mean(axis=0, keepdims=True) for h in halves(sample)))
-        counts = map_arrow(reps.select("v"), _cells(grid), "cell long").groupBy("cell").count().where(F.col("count") > chunk_rows).collect()
+        reach = lambda g: len(g.visits(sample[:256], limit)[0]) / len(sample[:256])
+        layout, reached = grid, reach(grid)
+        by_cell = reached > max(4 * n / chunk_rows, len(grid.books[0]) * grid.width / 8)
+        if by_cell:
+            # so many cells are in reach that a copy of each vector for each would be more than one for each chunk of all
+            # vectors: chunks hold many cells, and these are made finer until a traversal leaves most of them out
+            layout = Grid(tuple(h.mean(axis=0, keepdims=True) for h in halves(sample)))
+            while 8 * reached > len(grid.books[0]) * grid.width and reached < 512 and 8 * k <= len(sample):
+                k *= 2
+                grid = Grid(tuple(kmeans(np.ascontiguousarray(h), k) for h in halves(sample)))
+                reached = reach(grid)
+        counts = map_arrow(reps.select("v"), _cells(layout), "cell long").groupBy("cell").count().where(F.col("count") > chunk_rows).collect()
         chunks = {r[0]: -(-r[1] // chunk_rows) for r in counts}  # at most most_centroids squared
         kind = dict(reps.dtypes)["v"]
-        dealt = map_arrow(reps, _dealt(grid, limit, chunks), f"group long, visitor boolean, id long, weight long, v {kind}")
+        dealt = map_arrow(reps, _dealt(layout, limit, chunks), f"group long, visitor boolean, id long, weight long, v {kind}")
         dealt = dealt.repartition("group").sortWithinPartitions("group", "visitor")
-        part = map_arrow(dealt, _compare(grid, limit, threshold), "a long, b long, links long")
+        part = map_arrow(dealt, _compare(grid, limit, threshold, by_cell), "a long, b long, links long")
         found = part if found is None else found.union(part)
     ids = rows.select("id")
     if found is None:

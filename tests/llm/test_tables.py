@@ -54,6 +54,30 @@ def test_vectors(spark, chunk_rows):
     assert near_vectors(table.limit(0)).count() == 0 and near_vectors(table.where("vec_id >= 503 and vec_id <= 508")).count() == 6
 
 
+def test_small_tables_are_searched_by_traversal(spark, monkeypatch):
+    """With the parameters of the registered query, on a table with links: the target is met, and most cells are left out."""
+    from hexloom.llm import vector_dedup as v
+
+    rows, seen = vectors(), []
+    compare = v._compare
+    monkeypatch.setattr(v, "_compare", lambda grid, limit, threshold, by_cell: seen.append((grid, limit, by_cell)) or compare(grid, limit, threshold, by_cell))
+    table = spark.createDataFrame([(k, x) for k, x in rows.items()], "vec_id long, embedding array<double>").repartition(5)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in v.near_vectors(table).collect()}
+    want = brute.cosine_links(rows)
+    links = sum(n for n, _ in want.values())
+    assert got.keys() == want.keys() and links > 1000 and sum(n for n, _ in got.values()) >= 0.995 * links and all(got[k][0] <= want[k][0] for k in want)
+    import pyarrow as pa
+
+    grid, limit, by_cell = next(s for s in seen if s[0].books[0].shape[1] == 8)
+    x = v.unit_rows(pa.array([rows[k] for k in range(300)]))
+    visited = len(grid.visits(x, limit)[0]) / len(x)
+    assert by_cell and visited < 0.5 * len(grid.books[0]) * grid.width
+    q, m = v.Members(grid, x).met(x[:50], limit, 0.95)
+    cells = grid.cells(x)
+    reached = {(a, c) for a, c in zip(*(y.tolist() for y in grid.visits(x[:50], limit)), strict=True)}
+    assert sorted(zip(q.tolist(), m.tolist(), strict=True)) == sorted((a, b) for a in range(50) for b in range(300) if x[a] @ x[b] >= 0.95 and (a, int(cells[b])) in reached)
+
+
 def test_traversal_visits_nearest_cells_first():
     from hexloom.llm.vector_dedup import Grid, halves, kmeans, unit_rows
     import pyarrow as pa
