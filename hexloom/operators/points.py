@@ -60,22 +60,28 @@ def join_column(spine: DataFrame, layer: DataFrame, column: str) -> DataFrame:
     return left_by_cell(spine.drop(column), layer.select("cell", column))
 
 
-def point_label(spine: DataFrame, points: DataFrame | None, area: DataFrame | None = None, res: int = 9, grid: HexGrid = GRID, least: float = 1e-9) -> DataFrame:
-    """Observed labels on the spine from incident points and, if given, a coverage layer (cell, area_frac).
+def label_columns(cells: DataFrame, least: float = 1e-9) -> DataFrame:
+    """Observed labels from flood_point_count and flood_area_frac, of which either may be null: no point, nothing covered.
 
-    Risk is the greater of the covered fraction and 1 where a point lies in the cell. Points outside the spine drop out.
+    Risk is the greater of the covered fraction and 1 where a point lies in the cell.
     """
-    counts = None if points is None else point_count(points, res, grid, "flood_point_count")
-    x = spine if counts is None else left_by_cell(spine.drop("flood_point_count"), counts)
-    x = x.withColumn("flood_point_count", F.coalesce("flood_point_count", F.lit(0)) if counts is not None else F.lit(0).cast("long"))
-    if area is None:
-        x = x.withColumn("flood_area_frac", F.lit(0.0))
-    else:
-        x = join_column(x, area.withColumnRenamed("area_frac", "flood_area_frac"), "flood_area_frac").fillna(0.0, ["flood_area_frac"])
+    x = cells.withColumns({"flood_point_count": F.coalesce("flood_point_count", F.lit(0)).cast("long"), "flood_area_frac": F.coalesce("flood_area_frac", F.lit(0.0))})
     risk = F.least(F.greatest("flood_area_frac", (F.col("flood_point_count") > 0).cast("double")), F.lit(1.0))
     return x.withColumns({"observed_risk": risk, "flood_risk": risk, "flood_class": (risk >= least).cast("int"), "label_source": F.lit("observed")})
 
 
+def point_label(spine: DataFrame, points: DataFrame | None, area: DataFrame | None = None, res: int = 9, grid: HexGrid = GRID, least: float = 1e-9) -> DataFrame:
+    """Observed labels (``label_columns``) on the spine from incident points and, if given, a coverage layer (cell, area_frac).
+
+    Points outside the spine drop out.
+    """
+    x = spine.drop("flood_point_count", "flood_area_frac")
+    none = lambda c: x.withColumn(c, F.lit(None).cast("double"))
+    x = none("flood_point_count") if points is None else left_by_cell(x, point_count(points, res, grid, "flood_point_count"))
+    x = none("flood_area_frac") if area is None else join_column(x, area.withColumnRenamed("area_frac", "flood_area_frac"), "flood_area_frac")
+    return label_columns(x, least)
+
+
 def mean_by(df: DataFrame, group: str, value: str) -> DataFrame:
     """Mean, number, spread and range of a value in each group: damage counts, catchments or any other zones."""
     v = clean(F.col(value).cast("double"))

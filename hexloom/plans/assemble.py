@@ -40,12 +40,25 @@ def event_rainfall(cells: DataFrame, pixels: DataFrame | None, res: int, grid: H
     return points.join_column(cells, raster.zonal_mean(pixels, res, name="rainfall_mm_h", grid=grid), "rainfall_mm_h")
 
 
-def features(spine: DataFrame, layers: Layers, res: int, rainfall_mm_h: float = 25.0, fallback: bool = True, grid: HexGrid = GRID) -> DataFrame:
-    """Features on the spine (cell, lon, lat): observed where there is a layer, else drawn from the cell's name.
+def on_spine(spine: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
+    """cell, lon, lat and a column for each of the layers (cell and a column of that name), null where it has no such cell.
 
-    Without fallback, what no layer gives is null. Columns say which it was.
+    The spine's rows and all layers' values stand one under the other, and one aggregate on the cell brings them together:
+    one exchange, however many layers there are. A layer has one value for each cell; cells that are not on the spine drop
+    out, and those that are there twice are one.
     """
-    base = hash_features(spine.select("cell", "lon", "lat", F.lower(F.hex("cell")).alias("hx_name")), "hx_name", rainfall_mm_h).drop("hx_name")
+    value = "cast(null as double)"
+    rows = spine.selectExpr("cell", "lon", "lat", "-1 as layer", f"{value} as value")
+    for k, (name, layer) in enumerate(layers.items()):
+        place = "cast(null as double)"
+        rows = rows.unionByName(layer.selectExpr("cell", f"{place} as lon", f"{place} as lat", f"{k} as layer", f"cast(`{name}` as double) as value"))
+    columns = [F.max(F.when(F.col("layer") == k, F.col("value"))).alias(name) for k, name in enumerate(layers)]
+    x = rows.groupBy("cell").agg(F.max("lon").alias("lon"), F.max("lat").alias("lat"), F.max((F.col("layer") == -1).cast("int")).alias("hx_there"), *columns)
+    return x.where("hx_there = 1").drop("hx_there")
+
+
+def feature_layers(spine: DataFrame, layers: Layers, res: int, grid: HexGrid = GRID) -> dict[str, DataFrame]:
+    """The tables (cell, value) that the layers give, by the name of their column."""
     found: dict[str, DataFrame] = {}
     dx, dy, mid = layers.pixel
     if layers.dem is not None:
@@ -59,31 +72,44 @@ def features(spine: DataFrame, layers: Layers, res: int, rainfall_mm_h: float =
     if layers.slope is not None:
         found["slope_deg"] = raster.zonal_mean(layers.slope, res, name="slope_deg", grid=grid)
     if layers.impervious is not None:
-        paved = raster.zonal_mean(raster.fraction_scale(layers.impervious), res, name="impervious_frac", grid=grid)
-        found["impervious_frac"] = paved
-        found["land_cover_urban"] = paved.select("cell", (F.col("impervious_frac") > 0.45).cast("double").alias("land_cover_urban"))
+        found["impervious_frac"] = raster.zonal_mean(raster.fraction_scale(layers.impervious), res, name="impervious_frac", grid=grid)
     if layers.buildings is not None:
         buildings = points.centroids(layers.buildings) if "rings" in layers.buildings.columns else layers.buildings
-        found["building_density"] = points.density(buildings.select("lon", "lat"), spine, res, grid)
+        found["building_density"] = points.point_count(buildings.select("lon", "lat"), res, grid, "building_density")
     if layers.streams is not None:
         found["dist_stream_m"] = nearest_distance(spine, layers.streams, res=res, grid=grid).withColumnRenamed("dist_m", "dist_stream_m")
-    x = base
-    for name, layer in found.items():
-        x = x.withColumnRenamed(name, "hx_backup").join(layer.select("cell", name), "cell", "left")
-        x = x.withColumn(name, F.coalesce(name, "hx_backup") if fallback else F.col(name)).drop("hx_backup")
-    if not fallback:
-        x = x.withColumns({c: F.lit(None).cast("double") for c in FEATURES if c not in found and c != "rainfall_mm_h"})
     if layers.event_rain is not None:
-        x = event_rainfall(x.withColumnRenamed("rainfall_mm_h", "hx_rain").withColumn("rainfall_mm_h", F.lit(None).cast("double")), layers.event_rain, res, grid)
-        x = x.withColumn("rainfall_mm_h", F.coalesce("rainfall_mm_h", "hx_rain") if fallback else F.col("rainfall_mm_h")).drop("hx_rain")
+        found["rainfall_mm_h"] = raster.zonal_mean(layers.event_rain, res, name="rainfall_mm_h", grid=grid)
+    return found
+
+
+def features(spine: DataFrame, layers: Layers, res: int, rainfall_mm_h: float = 25.0, fallback: bool = True, grid: HexGrid = GRID, more: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Features on the spine (cell, lon, lat): observed where there is a layer, else drawn from the cell's name.
+
+    Without fallback, what no layer gives is null. Columns say which it was. ``more`` are further layers, whose columns come
+    as they are. All layers are brought to the spine by one aggregate (``on_spine``).
+    """
+    found = feature_layers(spine, layers, res, grid)
+    x = on_spine(spine, found | (more or {}))
+    if "building_density" in found:
+        x = x.withColumn("building_density", F.coalesce("building_density", F.lit(0.0)) / grid.area_km2(res))
+    if "impervious_frac" in found:
+        x = x.withColumn("land_cover_urban", (F.col("impervious_frac") > 0.45).cast("double"))
+    seen = [c for c in FEATURES if c in x.columns]
+    x = x.select("cell", "lon", "lat", *[F.col(c).alias(f"hx_seen_{c}") for c in seen], *(more or {}), F.lower(F.hex("cell")).alias("hx_name"))
+    x = hash_features(x, "hx_name", rainfall_mm_h).drop("hx_name")
+    x = x.withColumns({c: F.coalesce(f"hx_seen_{c}", c) if fallback else F.col(f"hx_seen_{c}") for c in seen}).drop(*[f"hx_seen_{c}" for c in seen])
+    if not fallback:
+        x = x.withColumns({c: F.lit(None).cast("double") for c in FEATURES if c not in seen and c != "rainfall_mm_h"})
     static = [c for c in FEATURES if c != "rainfall_mm_h"]
-    source = "observed" if all(c in found for c in static) else "mixed" if found else "synthetic"
+    observed = [c for c in seen if c != "rainfall_mm_h"]
+    source = "observed" if observed == static else "mixed" if observed else "synthetic"
     return x.withColumns(
         {
             "cell_res": F.lit(res),
             "feature_source": F.lit(source),
             "assembly_mode": F.lit(layers.mode),
-            "observed_feature_cols": F.array(*[F.lit(c) for c in sorted(found)]).cast("array<string>"),
+            "observed_feature_cols": F.array(*[F.lit(c) for c in sorted(observed)]).cast("array<string>"),
             "rainfall_source": F.lit("event_raster" if layers.event_rain is not None else "scenario_or_config"),
         }
     )
@@ -96,13 +122,23 @@ def synthetic_labels(cells: DataFrame, threshold: float = 0.55, noise: float = 0
 
 def cell_table(spine: DataFrame, layers: Layers, res: int, rainfall_mm_h: float = 25.0, depth: int | None = None, grid: HexGrid = GRID) -> DataFrame:
     """Features, labels (observed if there is a flood layer, else synthetic and said to be so), and the coastal overlay."""
-    x = features(spine, layers, res, rainfall_mm_h, grid=grid)
+    more: dict[str, DataFrame] = {}
+    if layers.flood_points is not None:
+        more["flood_point_count"] = points.point_count(layers.flood_points, res, grid, "flood_point_count")
+    if layers.flood_polygons is not None:
+        more["flood_area_frac"] = overlay.coverage(spine, layers.flood_polygons, res, depth, grid, "flood_area_frac")
+    if layers.coastal is not None:
+        more["sandy_area_frac"] = overlay.coverage(spine, layers.coastal, res, depth, grid, "sandy_area_frac")
+    x = features(spine, layers, res, rainfall_mm_h, grid=grid, more=more)
     if layers.flood_polygons is None and layers.flood_points is None:
         x = synthetic_labels(x)
     else:
-        area = None if layers.flood_polygons is None else overlay.coverage(spine, layers.flood_polygons, res, depth, grid)
-        x = points.point_label(x, layers.flood_points, area, res, grid)
-    return x if layers.coastal is None else overlay.coastal_overlay(x, layers.coastal, res, depth=depth, grid=grid)
+        x = x.withColumns({c: F.lit(None).cast("double") for c in ("flood_point_count", "flood_area_frac") if c not in more})
+        x = points.label_columns(x)
+    if layers.coastal is None:
+        return x
+    share = F.coalesce("sandy_area_frac", F.lit(0.0))
+    return x.withColumns({"sandy_area_frac": share, "sandy_class": (share >= 1e-9).cast("int")})
 
 
 def demo_table(spark, box: tuple[float, float, float, float], res: int = 9, grid: HexGrid = GRID) -> DataFrame:

@@ -1090,10 +1090,33 @@ def study_spine(read) -> DataFrame:
     return event_cells(read).select("cell", lon.alias("lon"), lat.alias("lat"))
 
 
-@query()
+def _zonal(source: str, value: str, name: str) -> str:
+    return f"(select hx_cell as cell, avg({value}) as {name} from {located_cells(f'(select * from {source} where {value} is not null)', 'x', 'y', 9, 'hx_cell')} group by hx_cell)"
+
+
+_AT_PIXEL = f"(select q.*, p.x, p.y from ({{}}) q join {_PXY} p on p.row = q.row and p.col = q.col)"
+_STREAM = SQL["nearest_distance"]
+_STREAM = f"({_STREAM.replace('round(' + _HAV + ', 3) as dist_m', _HAV + ' as dist_m')})"
+_CELLS = f"(select cell, {centre('cell', 9)[0]} as lon, {centre('cell', 9)[1]} as lat, list_sum(list_transform(string_split(lower(to_hex(cell)), ''), lambda x: ascii(x)))::bigint % 2147483647 as seed from {MEANS})"
+_BACKUP = _HF.replace("c_custkey", "cell")
+_BACKUP = _BACKUP[: _BACKUP.rindex("(select cell")] + _CELLS + ")"
+_TILT = SQL["slope"].replace("round(degrees(", "(degrees(").replace(f", {PLACES}) end as slope_deg", ") end as slope_deg")
+_SEEN = {"elevation_m": _zonal(_PXY, "value", "v"), "slope_deg": _zonal(_AT_PIXEL.format(_TILT), "slope_deg", "v"), "flow_accum_proxy": _zonal(_AT_PIXEL.format(SQL["d8_accumulation"]), "flow", "v"), "dist_stream_m": f"(select cell, dist_m as v from {_STREAM})"}
+_TABLE = ["cell", "lon", "lat", *FEATURES, "cell_res", "feature_source", "assembly_mode", "rainfall_source", "observed_feature_cols", "flood_point_count", "flood_area_frac", "observed_risk", RISK, CLASS, "label_source", "sandy_area_frac", "sandy_class"]
+_KNOWN = {c: f"coalesce({c}_l.v, b.{c})" for c in _SEEN} | {"building_density": f"m.n / {num(AREA9)}"} | {c: f"b.{c}" for c in FEATURES if c not in _SEEN and c != "building_density"}
+
+
+@query(
+    f"""select m.cell, {r('g.lon', 'lon')}, {r('g.lat', 'lat')}, {', '.join(f"round({v}, {3 if c == 'dist_stream_m' else PLACES}) as {c}" for c, v in _KNOWN.items())}, 9 as cell_res, 'mixed' as feature_source, 'opendata' as assembly_mode, 'scenario_or_config' as rainfall_source,
+    'building_density,dist_stream_m,elevation_m,flow_accum_proxy,slope_deg' as observed_feature_cols, coalesce(f.n, 0) as flood_point_count, 0e0 as flood_area_frac, (coalesce(f.n, 0) > 0)::int::double as observed_risk, (coalesce(f.n, 0) > 0)::int::double as {RISK}, (coalesce(f.n, 0) > 0)::int as {CLASS},
+    'observed' as label_source, {r('coalesce(area_frac, 0)', 'sandy_area_frac')}, (coalesce(area_frac, 0) >= 1e-9)::int as sandy_class
+    from {MEANS} m join {_CELLS} g on g.cell = m.cell join {_BACKUP} b on b.cell = m.cell {' '.join(f'left join {q} {c}_l on {c}_l.cell = m.cell' for c, q in _SEEN.items())}
+    left join (select cell, count(*) as n from {C9} where event_type = 'error' group by cell) f on f.cell = m.cell left join {_EXACT} x on x.cell = m.cell"""
+)
 def cell_table(read):
     x = assemble.cell_table(study_spine(read), study_layers(read), 9)
-    return x.withColumn("observed_feature_cols", F.array_join("observed_feature_cols", ","))
+    x = x.withColumns({"observed_feature_cols": F.array_join("observed_feature_cols", ","), "dist_stream_m": F.round("dist_stream_m", 3)})
+    return x.select(*_TABLE)
 
 
 _VIEWS = f"(select cell as child, count(*) as n from {located_cells(P, 'lon', 'lat', 10)} where event_type = 'view' group by cell)"

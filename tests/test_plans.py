@@ -103,6 +103,20 @@ def test_registered_cell_table_covers_exactly(spark, monkeypatch):
     assert depths == [None]
 
 
+def test_layers_meet_the_spine_in_one_exchange(spark, cells):
+    from hexloom.plans import assemble
+
+    spine = cells.select("cell", "lon", "lat").limit(20)
+    a = spine.limit(5).select("cell", F.lit(2.5).alias("v")).union(spark.createDataFrame([(7, 1.0), (None, 3.0)], "cell long, v double"))
+    layers = {f"l{k}": a.withColumnRenamed("v", f"l{k}") for k in range(6)} | {"none": a.limit(0).withColumnRenamed("v", "none"), "count": a.select("cell", F.lit(3).alias("count"))}
+    x = assemble.on_spine(spine, layers)
+    rows = x.collect()
+    assert len(rows) == 20 and sum(r.l3 == 2.5 for r in rows) == 5 and all(r.none is None for r in rows) and sum(r["count"] or 0 for r in rows) == 15
+    assert all(r.lon is not None for r in rows) and assemble.on_spine(spine, {}).count() == 20
+    plan = assemble.on_spine(spark.range(9).selectExpr("id as cell", "0D as lon", "0D as lat"), {f"l{k}": spark.range(9).selectExpr("id as cell", f"1D as l{k}") for k in range(8)})
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_live_risk_runs_to_its_last_row(spark, monkeypatch):
     monkeypatch.setattr(models, "boosted_classifier", lambda features: models.logistic_classifier(100, features))
     monkeypatch.setattr(models, "boosted_regressor", models.linear_regressor)
