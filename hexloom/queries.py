@@ -959,6 +959,20 @@ def features_round_trip(read):
     return back.select(F.col("props")["id"].alias("id"), F.col("rings")[0][0]["x"].alias("x"), F.col("rings")[0][1]["y"].alias("y2"))
 
 
+@query(f"select event_id::varchar as id, {r('lon', 'x')}, {r('lat', 'y')}, case when event_id % 3 = 0 then 'a }} \"{{' else event_type end as note from {P}")
+def large_collection(read):
+    """All events as points of collections of a thousand, a file each, with braces and quotes in strings, read back in blocks."""
+    spark, path = read("events").sparkSession, _stream_path(read("events").sparkSession)
+    place = F.array(F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))))
+    note = F.when(F.col("event_id") % 3 == 0, F.lit('a } "{')).otherwise(F.col("event_type"))
+    x = event_points(read).select(F.lit("Point").alias("geom_type"), place.alias("rings"), F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("note"), note).alias("props"))
+    one = F.concat(F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"CRS84"}},"features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}"))
+    texts = geojson.features_text(x).groupBy(F.pmod(F.xxhash64("value"), F.lit(1 + x.count() // 1000))).agg(one.alias("value"))
+    texts.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    back = geojson.read_large_geojson(spark, path)
+    return back.select(F.col("props")["id"].alias("id"), F.col("rings")[0][0]["x"].alias("x"), F.col("rings")[0][0]["y"].alias("y"), F.col("props")["note"].alias("note"))
+
+
 @query(f"select id::varchar as id, {r('lon')}, {r('lat')}, case when id % 2 = 0 then 'agency' else 'sensor' end as source from {SUP}")
 def sensor_source(read):
     """Sensors by the first of their points; half of them name their source."""

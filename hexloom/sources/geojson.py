@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hexgrid import GRID, HexGrid
+from ..functions.storage import cut
 
 _PAIR = "array<double>"
 
@@ -34,12 +35,16 @@ def parse(text: DataFrame, column: str = "value") -> DataFrame:
     the feature's place in it.
     """
     source = [F.col("file")] if "file" in text.columns else []
-    feature = "type string, geometry string, properties map<string,string>"
     doc = F.from_json(column, f"type string, features array<string>, geometry string, geometries array<string>, coordinates string, crs string, properties map<string,string>")
     x = text.select(F.col(column), F.xxhash64(column, *source).alias("file"), doc.alias("d"))
     listed = F.when(F.col("d.type") == "FeatureCollection", F.col("d.features")).otherwise(F.array(F.col(column)))
-    x = x.select(F.posexplode(listed).alias("pos", "one"), "file")
-    x = x.select("pos", "file", F.from_json("one", feature).alias("f"), "one")
+    return _records(x.select(F.posexplode(listed).alias("pos", "one"), "file"))
+
+
+def _records(texts: DataFrame) -> DataFrame:
+    """Vector records of the texts of single features or geometries: one, at place pos of its file."""
+    feature = "type string, geometry string, properties map<string,string>"
+    x = texts.select("pos", "file", F.from_json("one", feature).alias("f"), "one")
     bare = F.col("f.type") != "Feature"
     x = x.select("pos", "file", F.when(bare, F.col("one")).otherwise(F.col("f.geometry")).alias("g"), F.when(~bare, F.col("f.properties")).alias("props"))
     geometry = "type string, coordinates string, geometries array<string>"
@@ -51,8 +56,61 @@ def parse(text: DataFrame, column: str = "value") -> DataFrame:
     return x.select(F.xxhash64("file", "pos", "part").alias("feature_id"), F.col("h.type").alias("geom_type"), "rings", "props")
 
 
+#: What stands before an object: anything but braces, and whole strings, in which braces do not count.
+_BEFORE = r'^(?:[^"{]|"(?:[^"\\]|\\.)*+")*+'
+
+
+def _running(x: DataFrame, value: str, name: str) -> DataFrame:
+    """name: the sum of value over the pieces of a file before this one. A block's pieces are summed where they are; of the
+    blocks before it the sums alone are read."""
+    by = ["file", "block"]
+    blocks = x.groupBy(*by).agg(F.sum(value).alias("hx_sum"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("file").alias("hx_file"), F.col("block").alias("hx_block"), F.coalesce(F.sum("hx_sum").over(before), F.lit(0)).alias("hx_before"))
+    within = Window.partitionBy(*by).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    x = x.join(blocks, (F.col("file") == F.col("hx_file")) & (F.col("block") == F.col("hx_block")))
+    return x.withColumn(name, F.col(name) + F.col("hx_before")).drop("hx_file", "hx_block", "hx_before")
+
+
+def split_features(spark: SparkSession, path: str) -> DataFrame:
+    """file, pos, one: the text of each object in the collections of the files, read in blocks by as many tasks as there are.
+
+    Text is read in pieces that end at a closing brace; a file's blocks are tasks of their own, and a piece belongs to the
+    block in which it starts. Whether a piece starts inside a string, and how many braces are open before it, are running
+    sums, within a block and then over the sums of blocks. An object of the collection ends where one brace is left open;
+    its pieces are brought together by the number of such ends before them, so it may lie across blocks.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path)
+    x = pieces.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    bare = F.regexp_replace("value", r"\\.", "")  # escaped characters neither end a string nor open a brace
+    count = lambda text, c: F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit("")))
+    x = cut(x.withColumn("bare", bare).withColumn("quotes", count("bare", '"')))
+    x = _running(x, "quotes", "quotes_before")
+    outside = F.array_join(F.filter(F.split("bare", '"'), lambda t, i: (i + F.col("quotes_before")) % 2 == 0), "")
+    closes = ((F.col("quotes_before") + F.col("quotes")) % 2 == 0).cast("long")
+    x = x.select("file", "block", "n", "value", closes.alias("closes"), count(outside, "{").alias("opens"))
+    x = _running(x.withColumn("turn", F.col("opens") - F.col("closes")), "turn", "depth")
+    x = x.withColumn("ends", ((F.col("closes") == 1) & (F.col("depth") + F.col("turn") == 1)).cast("long"))
+    x = cut(_running(x.drop("turn", "opens", "closes"), "ends", "pos"))
+    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "value"))), lambda p: F.concat(p["value"], F.lit("}"))), "")
+    x = x.groupBy("file", "pos").agg(one.alias("one"), F.min(F.struct("block", "n", "depth"))["depth"].alias("depth"), F.max("ends").alias("ends")).where("ends = 1")
+    # the first object of a file stands behind the brace of the collection itself
+    inner = F.when(F.col("depth") == 0, F.regexp_replace("one", _BEFORE + r"\{", "")).otherwise(F.col("one"))
+    return x.select("file", "pos", F.regexp_replace(inner, _BEFORE, "").alias("one"))
+
+
+def read_large_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """``read_geojson`` of files that hold one large FeatureCollection each: a file is read by many tasks, and no text is longer
+    than a feature. Members of the collection that are no features are left out. Ids come from the file's name and the
+    feature's place; without files of other kinds the records are those of ``read_geojson``."""
+    x = split_features(spark, path).where(F.get_json_object("one", "$.type") == "Feature")
+    return _records(x.select("pos", F.xxhash64("file").alias("file"), "one"))
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Files of GeoJSON in longitude and latitude; a warning if one names another reference system."""
+    """Files of GeoJSON in longitude and latitude; a warning if one names another reference system. A file is one text, in one
+    task; ``read_large_geojson`` is for files that are too large for that."""
     text = spark.read.text(path, wholetext=True)
     foreign = text.where(F.col("value").rlike(r'"crs"\s*:') & ~F.col("value").rlike(r"CRS84|4326")).limit(1).count()
     if foreign:

@@ -52,3 +52,35 @@ def test_tables_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m")).where(F.col("v").isNull()).count() == 1
     both = tables.union_layers({"a": x.select("cell"), "b": x.select("v")})
     assert both.count() == 4 and set(both.columns) == {"cell", "v", "source"}
+
+
+def test_one_collection_in_many_blocks(spark, tmp_path):
+    """The features of a file that is read by many tasks are those of the file read whole, whatever its strings hold."""
+    import json
+    import random
+
+    from hexloom.sources import geojson
+
+    rng = random.Random(2)
+    notes = ["plain", "a } b", 'quote " and { brace', "back \\ slash", 'ends with \\"', "{}}{", "", "é 字", "x" * 900, None]
+    shape = lambda k: rng.choice([{"type": "Point", "coordinates": [k * 0.5, 1.25]}, {"type": "LineString", "coordinates": [[0, k], [1.5, 2]]}, {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 2]}, {"type": "MultiPoint", "coordinates": [[3, 4], [5, 6]]}]}, None])
+    features = [{"type": "Feature", "id": k, "properties": {"k": str(k), "note": rng.choice(notes)}, "geometry": shape(k)} for k in range(400)]
+    whole = {"type": "FeatureCollection", "name": 'with { brace, \\ and " quote', "crs": {"type": "name", "properties": {"name": "CRS84"}}, "features": features, "after": {"a": 1}}
+    texts = {"compact": json.dumps(whole, separators=(",", ":")), "pretty": json.dumps(whole, indent=2, ensure_ascii=False) + "\n\n", "none": json.dumps({"type": "FeatureCollection", "features": []})}
+    rows = lambda x: sorted((r.geom_type, str(r.rings), str(sorted(r.props.items(), key=str))) for r in x.collect())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for name, text in texts.items():
+        (tmp_path / f"{name}.geojson").write_text(text)
+        want = rows(geojson.read_geojson(spark, f"{tmp_path}/{name}.geojson"))
+        for size in (str(1 << 20), "3000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            found = geojson.read_large_geojson(spark, f"{tmp_path}/{name}.geojson")
+            assert rows(found) == want and found.select("feature_id").distinct().count() == len(want)
+            if size == "3000" and name != "none":
+                assert spark.read.option("lineSep", "}").text(f"{tmp_path}/{name}.geojson").rdd.getNumPartitions() > 10 and len(want) > 300
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    one = rows(geojson.read_geojson(spark, f"{tmp_path}/compact.geojson"))
+    assert rows(geojson.read_large_geojson(spark, f"{tmp_path}/*.geojson")) == sorted(one + one)  # files don't mix
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
