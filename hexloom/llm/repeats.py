@@ -12,7 +12,7 @@ stretches have equal owners at equal places, so they meet under the owner's hash
 
 A gram with more than ``many`` places is hot, as at the edge of a passage that a third of all documents share. Its
 stretches are shipped one by one, dealt by a hash of each, so its work is spread over all tasks; equal ones of one Arrow
-batch are told apart from their first before the shuffle, so a stretch sends one row for each batch. Words count once a
+batch are told apart from their first before the shuffle, about a million at a time, so a stretch sends one row for each batch. Words count once a
 document, so equal strings of one document are one row with several places.
 Texts are shuffled by document once: both joins with them read the same exchange.
 """
@@ -31,6 +31,8 @@ from .common import map_arrow
 from .kernels import BLANK, BYTE_BASE, WORD_BASE, Rolling, byte_view, mix, pieces, words
 
 U = np.uint64
+#: Stretches of hot grams that a task holds at a time.
+HOT_ROWS = 1 << 20
 #: Places in one piece of text; Arrow strings hold no more.
 PLACE = (1 << 31) - 1
 CONTEXTS = "key long, doc long, lo int, hi int, text binary, more array<int>"
@@ -77,6 +79,36 @@ class Units:
         place = np.arange(len(raw) + 1)
         return cls(raw, raw, place[:-1], place[1:], at)
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The units with one blank after each, and where each begins and ends there."""
+        size = self.end - self.begin
+        end = np.cumsum(size + 1) - 1
+        begin = end - size
+        out = np.full(int(end[-1]) + 1 if len(end) else 0, 32, np.uint8)
+        inside = np.zeros(len(self.raw) + 1, np.int8)
+        np.add.at(inside, self.begin, 1)
+        np.add.at(inside, self.end, -1)
+        there = np.ones(len(out), bool)
+        there[end] = False
+        out[there] = self.raw[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+        return out, begin, end
+
+
+def alike(text: np.ndarray, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether the stretches of text from a and from b are equal: compared eight bytes at a time, the last eight overlapping
+    (one at a time where there are fewer)."""
+    same = a_size == b_size
+    wide = np.ndarray((max(0, len(text) - 7),), "<u8", text, strides=(1,)) if len(text) > 7 else text
+    for step, of in ((8, wide), (1, text)):
+        todo = np.flatnonzero(same & (a != b) & ((a_size >= 8) if step == 8 else (a_size < 8)))
+        at = 0
+        while len(todo := todo[a_size[todo] > at]):
+            place = np.minimum(at, a_size[todo] - step)
+            equal = of[a[todo] + place] == of[b[todo] + place]
+            same[todo[~equal]] = False
+            todo, at = todo[equal], at + step
+    return same
+
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` neighbours."""
@@ -177,27 +209,49 @@ def _contexts(s: Stretch, doc_at: int, text_at: int, marks_at: int) -> Callable:
         i = np.flatnonzero(keep)
         return rows(key[i], doc[i], lo[i], hi[i], [text[j] for j in i], [more[j] for j in i])
 
-    def hot_rows(parts: list) -> Iterator[pa.RecordBatch]:
-        """Stretches of hot grams: those that the batch has of an earlier document (or place, for bytes) are settled."""
-        key, doc, lo = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:3])
-        text = [t for part in parts for t in part[3]]
-        first: dict[bytes, int] = {}
-        of_doc: dict[tuple, int] = {}
-        settled, waits, more = np.zeros(len(key), bool), [], []
-        for i in np.lexsort((lo, doc)).tolist():
-            t, d = string(text[i]), int(doc[i])
-            seen = first.setdefault(t, i)
-            if doc[seen] < d or (not s.words and (doc[seen], lo[seen]) < (d, lo[i])):
-                settled[i] = True
-            elif s.words and (d, t) in of_doc:
-                more[of_doc[d, t]].append(int(lo[i]))
-            else:
-                of_doc[d, t] = len(waits)
-                waits.append(i)
-                more.append([])
-        i = np.array(waits, np.int64)
-        yield rows(key[i], doc[i], lo[i], lo[i] + s.span, [text[j] for j in waits], [x or None for x in more])
-        i = np.flatnonzero(settled)
+    def hot_rows(parts: list, kept: list) -> Iterator[pa.RecordBatch]:
+        """Stretches of hot grams, of a bounded number of texts: each different one once, at its earliest document and place.
+
+        Those with one hash are compared with the earliest of them, unit by unit, on the text itself; those that equal it
+        in a later document (or place, for bytes) are settled. Nothing is cut out but what is sent. ``kept`` holds what was
+        sent of the texts before, with no more text than that covers, so that it is not sent again; if that grows beyond
+        HOT_ROWS it is forgotten, and sent again.
+        """
+        n_kept = sum(len(part[0]) for part in kept)
+        parts = [*kept, *parts]
+        key, doc, lo, begin, end = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:5])
+        text = np.concatenate([part[5] for part in parts])
+        shift = np.cumsum([0, *[len(part[5]) for part in parts[:-1]]])
+        shift = np.repeat(shift, [len(part[0]) for part in parts])
+        begin, size = begin + shift, end - begin
+        order = np.lexsort((lo, doc, key))
+        new = np.ones(len(order), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        earliest = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(order))))
+        same = new | alike(text, begin[order], size[order], begin[earliest], size[earliest])
+        fresh = order >= n_kept
+        i, first = order[~new & same & fresh], earliest[~new & same & fresh]
+        past = doc[i] > doc[first] if s.words else (doc[i] > doc[first]) | ((doc[i] == doc[first]) & (lo[i] > lo[first]))
+        sent = order[(new | ~same) & fresh]
+        more: dict[int, list[int]] = {}
+        if s.words:
+            sent = np.concatenate([sent, i[~past & (first < n_kept)]])
+            beside = ~past & (first >= n_kept)
+            for k, place in zip(first[beside].tolist(), lo[i[beside]].tolist(), strict=True):
+                more.setdefault(k, []).append(place)
+        kept.clear()
+        hold = order[new]
+        if len(hold) <= HOT_ROWS:
+            edge = np.zeros(len(text) + 1, np.int32)
+            np.add.at(edge, begin[hold], 1)
+            np.add.at(edge, begin[hold] + size[hold], -1)
+            covered = np.cumsum(edge[:-1]) > 0
+            place = np.cumsum(covered) - 1
+            kept.append((key[hold], doc[hold], lo[hold], place[begin[hold]], place[begin[hold]] + size[hold], text[covered]))
+        for k in range(0, len(sent), 20_000):
+            j = sent[k : k + 20_000]
+            yield rows(key[j], doc[j], lo[j], lo[j] + s.span, [text[x : x + n].tobytes() for x, n in zip(begin[j].tolist(), size[j].tolist(), strict=True)], [more.get(x) for x in j.tolist()])
+        i = i[past]
         i = i[np.lexsort((lo[i], doc[i]))]
         new = np.ones(len(i), bool)
         new[1:] = (doc[i][1:] != doc[i][:-1]) | (lo[i][1:] > lo[i][:-1] + 1)
@@ -208,32 +262,39 @@ def _contexts(s: Stretch, doc_at: int, text_at: int, marks_at: int) -> Callable:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            batch, hot = whole.filter(whole.column(marks_at).is_valid()), []
+            batch, hot, n_hot, kept = whole.filter(whole.column(marks_at).is_valid()), [], 0, []
             ids = batch.column(doc_at).to_numpy()
             for a, b in pieces(batch.column(text_at)):
                 units = Units.read(batch.column(text_at).slice(a, b - a), s)
                 x = owners(units, s)
                 known, many = _marked(batch.column(marks_at).slice(a, b - a), x)
-                raw = units.raw.tobytes()
-
-                def cut(first, last, row, key, raw=raw, units=units, a=a):
-                    begin, end = units.begin[first].tolist(), units.end[last + s.span - 1].tolist()
-                    lo = first - units.at[row]
-                    return key, ids[a + row], lo, lo + (last - first) + s.span, [raw[i:j] for i, j in zip(begin, end, strict=True)]
-
                 i = np.flatnonzero(known & ~many)
                 for k in range(0, len(i), 20_000):
                     j = i[k : k + 20_000]
-                    yield once(*cut(x["first"][j], x["last"][j], x["row"][j], x["h"][j]))
+                    first, last, row = x["first"][j], x["last"][j], x["row"][j]
+                    begin, end, lo = units.begin[first].tolist(), units.end[last + s.span - 1].tolist(), first - units.at[row]
+                    yield once(x["h"][j], ids[a + row], lo, lo + (last - first) + s.span, [units.raw[m:n].tobytes() for m, n in zip(begin, end, strict=True)])
                 i = np.flatnonzero(many)
-                if len(i):
-                    n = x["last"][i] - x["first"][i] + 1
-                    first = np.repeat(x["first"][i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    key = Rolling(units.number, s.base).of(first, first + s.span).view(np.int64)
-                    key, doc, lo, _, text = cut(first, first, np.repeat(x["row"][i], n), key)
-                    hot.append((key, doc, lo, text))
+                if not len(i):
+                    continue
+                text, begin, end = units.joined() if s.words else (units.raw, units.begin, units.end)
+                roll = Rolling(units.number, s.base)
+                n = x["last"][i] - x["first"][i] + 1
+                upto = np.cumsum(n)
+                k = 0
+                while k < len(i):  # a part of the owners whose stretches are about HOT_ROWS, of a long text too
+                    stop = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + HOT_ROWS, "right")))
+                    j, m = i[k:stop], n[k:stop]
+                    first = np.repeat(x["first"][j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    row = np.repeat(x["row"][j], m)
+                    hot.append((roll.of(first, first + s.span).view(np.int64), ids[a + row], first - units.at[row], begin[first], end[first + s.span - 1], text))
+                    n_hot += len(first)
+                    if n_hot >= HOT_ROWS:
+                        yield from hot_rows(hot, kept)
+                        hot, n_hot = [], 0
+                    k = stop
             if hot:
-                yield from hot_rows(hot)
+                yield from hot_rows(hot, kept)
 
     return run
 

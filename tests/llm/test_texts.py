@@ -526,3 +526,44 @@ def test_forward_backward_and_gradient_by_enumeration(monkeypatch):
         score[i, j] += 1e-5
         assert abs((list(likelihood())[-1] - before) / 1e-5 - by_kind[i, j]) < 1e-4
         score[i, j] -= 1e-5
+
+
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_hot_passages_take_bounded_memory(monkeypatch, kind):
+    """A passage that all documents of a batch share sends each stretch once, and its places are never all held as texts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from hexloom.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT_ROWS", 50_000)
+    s = repeats.Stretch(100, 24, False) if kind == "bytes" else repeats.Stretch(50, 13, True)
+    rng = random.Random(6)
+    passage = prose(rng, 3500)[:12_000]
+    texts = pa.array([f"{passage} {k}" for k in range(120)])
+    owners = repeats.owners(repeats.Units.read(texts.slice(0, 1), s), s)
+    marks = pa.array([sorted({h | 1 for h in owners["h"].tolist()})] * len(texts), pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))[::-1].copy()), texts, marks], ["doc_id", "hx_text", "hx_marks"])
+    n_sent = n_text = 0
+    tracemalloc.start()
+    for out in repeats._contexts(s, 0, 1, 2)([batch]):
+        n_sent += out.num_rows
+        n_text += out.num_rows - out.column(4).null_count
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    distinct = len({passage[k : k + 100] for k in range(len(passage) - 99)}) if kind == "bytes" else len({tuple(passage.split()[k : k + 50]) for k in range(len(passage.split()) - 49)})
+    # documents come in falling order, so each part of the batch has an earlier one to send
+    parts = 1 + 120 * distinct // 50_000
+    assert distinct <= n_text <= (parts + 2) * (distinct + 300) and n_sent < n_text + 2000
+    assert peak < 60 << 20  # the text is 1.4 MB; cut out, its stretches would be 140 times that
+
+
+def test_stretches_are_compared_whole():
+    from hexloom.llm.repeats import alike
+
+    text = np.frombuffer(b"abcdefghijklmnop abcdefghijklmnop abcdefghijklmnoX abc abd", np.uint8)
+    a, b = np.array([0, 0, 0, 51, 51, 0, 0]), np.array([17, 34, 34, 55, 0, 17, 17])
+    size = np.array([16, 16, 15, 3, 3, 5, 0])
+    assert alike(text, a, size, b, size).tolist() == [True, False, True, False, True, True, True]
+    assert alike(text, a, size, b, size + 1).tolist() == [False] * 7
