@@ -556,7 +556,7 @@ def test_hot_passages_take_bounded_memory(monkeypatch, kind):
     # documents come in falling order, so each part of the batch has an earlier one to send
     parts = 1 + 120 * distinct // 50_000
     assert distinct <= n_text <= (parts + 2) * (distinct + 300) and n_sent < n_text + 2000
-    assert peak < 60 << 20  # the text is 1.4 MB; cut out, its stretches would be 140 times that
+    assert peak < 100 << 20  # tables of powers among it; the text is 1.4 MB, and cut out its stretches would be 140 times that
 
 
 def test_stretches_are_compared_whole():
