@@ -15,11 +15,11 @@ from .rollup import pyramid
 def hotspots(cells: DataFrame, value: str, q: float = 0.9, absolute: float | None = None) -> DataFrame:
     """Cells whose value is at least the q-quantile (or the absolute cut), with the threshold; ties all count."""
     if absolute is not None:
-        cut = cells.sparkSession.range(1).select(F.lit(float(absolute)).alias("threshold"))
+        at = cells.sparkSession.range(1).select(F.lit(float(absolute)).alias("threshold"))
     else:
-        cut = quantile(cells, value, q)
+        at = quantile(cells, value, q)
     v = clean(F.col(value).cast("double"))
-    return cells.withColumn("hx_v", v).crossJoin(F.broadcast(cut)).where(F.col("hx_v") >= F.col("threshold")).drop("hx_v")
+    return cells.withColumn("hx_v", v).crossJoin(F.broadcast(at)).where(F.col("hx_v") >= F.col("threshold")).drop("hx_v")
 
 
 def jaccard_of(both: Column, either: Column) -> Column:
@@ -64,6 +64,7 @@ def resolution_ladder(cells: DataFrame, value: str, res: int, levels: list[int]
     cut_map = cuts.groupBy().agg(*[F.max(F.when(F.col("hotspot_quantile") == q, F.col("fine_hotspot_threshold"))).alias(f"hx_t{k}") for k, q in enumerate(quantiles)])
     x = grid.with_ancestors(v.crossJoin(F.broadcast(cut_map)), res, levels)
     rolled = x.groupBy("coarse_res", "parent").agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.percentile("v", 0.9).alias("p90"), *hot)
+    rolled = cut(rolled)  # thresholds and flags read it several times
     long = rolled.select(
         "coarse_res",
         F.explode(F.array(*[F.struct(F.lit(float(q)).alias("hotspot_quantile"), F.coalesce(F.col(f"hx_hot{k}"), F.lit(0)).alias("fine_hot")) for k, q in enumerate(quantiles)])).alias("h"),
@@ -100,9 +101,9 @@ def resolution_ladder(cells: DataFrame, value: str, res: int, levels: list[int]
 
 def jaccard_matrix(cells: DataFrame, value: str, res: int, levels: list[int], q: float = 0.9, grid: HexGrid = GRID) -> DataFrame:
     """Jaccard of the hotspots of each pair of resolutions (by mean), the finer ones projected to the coarser."""
-    rolled = pyramid(cells, value, res, levels, grid).select("coarse_res", "parent", "mean")
-    cut = quantile(rolled, "mean", q, "t", by=["coarse_res"])
-    hot = rolled.join(F.broadcast(cut), "coarse_res").where("mean >= t").select("coarse_res", "parent")
+    rolled = cut(pyramid(cells, value, res, levels, grid).select("coarse_res", "parent", "mean"))
+    at = quantile(rolled, "mean", q, "t", by=["coarse_res"])  # a row for each level
+    hot = cut(rolled.join(F.broadcast(at), "coarse_res").where("mean >= t").select("coarse_res", "parent"))
     projected = None
     for r in sorted(levels):
         finer = grid.with_ancestors(hot.where(F.col("coarse_res") == r).select(F.col("parent").alias("cell")), r, [x for x in levels if x <= r])

@@ -183,6 +183,37 @@ def linear_models(cells: DataFrame) -> RiskModels:
     return fit_models(cells, classifier=logistic_classifier(cells.count()), regressor=linear_regressor())
 
 
+def linear_coefficients(model: PipelineModel, features: Sequence[str] = FEATURES) -> dict[str, float]:
+    """Coefficients of a fitted linear model of either kind on the features as they are, and its intercept."""
+    scaler, last = model.stages[-2], model.stages[-1]
+    spread = scaler.std.toArray()
+    slopes = [w / s if s > 0 else 0.0 for w, s in zip(last.coefficients.toArray(), spread, strict=True)]
+    shift = sum(b * m for b, m in zip(slopes, scaler.mean.toArray(), strict=True))
+    return {"intercept": float(last.intercept - shift)} | {f: float(b) for f, b in zip(features, slopes, strict=True)}
+
+
+def gram_sums(cells: DataFrame, target: str, features: Sequence[str] = FEATURES) -> DataFrame:
+    """a, b, total: sums of the products of each two of a constant, the features and the target: all that least squares needs,
+    from one aggregate. Rows with a missing value are left out."""
+    names = ["intercept", *features, target]
+    value = {n: F.lit(1.0) if n == "intercept" else F.col(n).cast("double") for n in names}
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = cells.dropna(subset=[*features, target]).agg(*[F.sum(value[a] * value[b]).alias(f"hx_{k}") for k, (a, b) in enumerate(pairs)])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"hx_{k}").alias("total")) for k, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+
+
+def logistic_gradient(cells: DataFrame, model: PipelineModel, features: Sequence[str] = FEATURES) -> DataFrame:
+    """a, gradient: of the penalised mean loss of a fitted logistic model in each of its coefficients (on scaled features) and
+    its intercept, at its solution, where all should be near 0."""
+    x = model.transform(cells).select(vector_to_array("hx_features").alias("x"), (vector_to_array("hx_probability")[1] - F.col(CLASS)).alias("e"))
+    last = model.stages[-1]
+    weights, penalty = last.coefficients.toArray(), last.getRegParam()
+    sums = x.agg(F.avg("e").alias("hx_0"), *[F.avg(F.col("x")[k] * F.col("e")).alias(f"hx_{k + 1}") for k in range(len(features))])
+    parts = [F.struct(F.lit("intercept").alias("a"), F.col("hx_0").alias("gradient"))]
+    parts += [F.struct(F.lit(f).alias("a"), (F.col(f"hx_{k + 1}") + float(penalty * weights[k])).alias("gradient")) for k, f in enumerate(features)]
+    return sums.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+
+
 def in_sample_baselines(cells: DataFrame) -> DataFrame:
     """Metrics of the ponding rule (spans over all rows) and of the linear baselines on the rows that they were fitted on."""
     rule = ponding_score(cells).withColumns({"predicted_class": (F.col("rule_score") >= 0.5).cast("int"), "predicted_risk": F.col("rule_score"), "flood_probability": F.col("rule_score")})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hexgrid import GRID, HexGrid
 from ..functions.order import quantile
 from ..functions.scalars import clean
+from ..functions.storage import cut
 
 
 def _aggregates(value: str) -> list:
@@ -28,6 +29,7 @@ def pyramid(cells: DataFrame, value: str, res: int, levels: list[int], grid: Hex
 def level_statistics(levels: DataFrame, value: str = "mean") -> DataFrame:
     """Distribution of a value over the cells of each resolution. Quantiles are exact, and sort a bracket each only."""
     v = F.col(value)
+    levels = cut(levels.select("coarse_res", v))  # each quantile reads it twice
     out = levels.groupBy("coarse_res").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("avg"), F.var_pop(v).alias("variance"), F.min(v).alias("least"), F.max(v).alias("most"))
     for q in (0.1, 0.5, 0.9):
         out = out.join(F.broadcast(quantile(levels, value, q, f"q{round(100 * q)}", by=["coarse_res"])), "coarse_res", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hexgrid import GRID, HALF, M_PER_LAT, HexGrid
+from ..functions.order import quantile
 from ..functions.scalars import clean
 from ..functions.storage import cut
 
@@ -283,16 +284,17 @@ def point_zones(points: DataFrame, zones: DataFrame, res: int = 9, grid: HexGrid
     return inner.unionByName(edge)
 
 
+def index_by(scored: DataFrame, key: str, limit: float) -> DataFrame:
+    """key, score_mean, n, score_sum, share_above the limit, score_p95, score_max of hx_score by key."""
+    s = F.col("hx_score")
+    found = scored.groupBy(key).agg(
+        F.avg(s).alias("score_mean"), F.count(F.lit(1)).alias("n"), F.sum(s).alias("score_sum"), F.avg((s > limit).cast("double")).alias("share_above"), F.max(s).alias("score_max")
+    )
+    found = found.join(quantile(scored, "hx_score", 0.95, "score_p95", by=[key]), key, "left")
+    return found.select(key, "score_mean", "n", "score_sum", "share_above", "score_p95", "score_max")
+
+
 def zone_index(points: DataFrame, zones: DataFrame, score: str = "score", limit: float = 0.8, res: int = 9, grid: HexGrid = GRID, key: str = "zone_id") -> DataFrame:
     """The index of ``points.score_index`` for polygons in place of cells: a row for each zone, with n = 0 if it holds no point."""
-    s = F.col("hx_score")
     x = point_zones(points.select("lon", "lat", clean(F.col(score)).alias("hx_score")), zones.select(key, "rings"), res, grid, key)
-    found = x.groupBy(key).agg(
-        F.avg(s).alias("score_mean"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(s).alias("score_sum"),
-        F.avg((s > limit).cast("double")).alias("share_above"),
-        F.expr("percentile(hx_score, 0.95)").alias("score_p95"),
-        F.max(s).alias("score_max"),
-    )
-    return zones.select(key).join(found, key, "left").fillna(0, ["n"])
+    return zones.select(key).join(index_by(x, key, limit), key, "left").fillna(0, ["n"])

@@ -1145,6 +1145,48 @@ def label_scale(read):
     return x.select("cell", RISK, CLASS, "label_source", "label_scale_mode")
 
 
+_FITTED = f"(select [1e0, {', '.join('(cell % 76 + 76) % 76 + 25e0' if c == 'rainfall_mm_h' else c for c in FEATURES)}, m.value] as x from {MEANS} m join {_BACKUP} using (cell))"
+_LETTER = "[" + ", ".join(f"'{c}'" for c in ("intercept", *FEATURES, RISK)) + "]"
+_GRAM = f"(select i, j, sum(x[i] * x[j]) as g from {_FITTED}, generate_series(1, 10) a(i), generate_series(1, 10) b(j) group by i, j)"
+
+
+def fitted_cells(read):
+    """The cells' features, and the mean of their events in place of a risk."""
+    return training_cells(read).withColumn(RISK, F.col("value"))
+
+
+@query(f"select {_LETTER}[i] as a, {_LETTER}[j] as b, {r('g / 1e6', 'total')} from {_GRAM} where i <= j")
+def linear_sums(read):
+    """The sums that least squares needs, in millions."""
+    return models.gram_sums(fitted_cells(read), RISK).withColumn("total", F.col("total") / 1e6)
+
+
+#: Of the drawn features most are one number in another scale; these three are told apart.
+_APART = ["elevation_m", "impervious_frac", "rainfall_mm_h"]
+_KEPT = [1, *[FEATURES.index(c) + 2 for c in _APART], len(FEATURES) + 2]
+
+
+@query(
+    f"""with recursive start as (select list(r order by i) as m from (select i, list(g order by list_position({_KEPT}, j)) as r from {_GRAM} where i in {tuple(_KEPT[:-1])} and j in {tuple(_KEPT)} group by i)),
+    e(k, m) as (select 0, m from start union all
+        select k + 1, list_transform(m, lambda r, i: case when i = k + 1 then list_transform(r, lambda v: v / m[k + 1][k + 1]) else list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) end) from e where k < {len(_APART) + 1})
+    select {['intercept', *sorted(_APART, key=FEATURES.index)]}[i] as feature, {r(f'm[i][{len(_APART) + 2}]', 'coefficient')} from e, generate_series(1, {len(_APART) + 1}) a(i) where k = {len(_APART) + 1}"""
+)
+def linear_fit(read):
+    """The linear baseline's coefficients on three features as they are; SQL solves the normal equations by elimination."""
+    cells = fitted_cells(read)
+    found = models.linear_coefficients(models.linear_regressor(_APART).fit(cells), _APART)
+    return cells.sparkSession.createDataFrame(list(found.items()), "feature string, coefficient double")
+
+
+@query(f"select unnest({_LETTER[: _LETTER.rindex(',')]}]) as a, true as settled")
+def logistic_fit(read):
+    """Whether the logistic baseline's penalised loss is flat at its solution, in each coefficient."""
+    cells = training_cells(read)
+    model = models.logistic_classifier(cells.count()).fit(cells)
+    return models.logistic_gradient(cells, model).select("a", (F.abs("gradient") < 1e-4).alias("settled"))
+
+
 @query()
 def holdout_metrics(read):
     """One row: models fitted on four fifths of the cells, and how they do on the rest."""
