@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hexgrid import GRID, HexGrid
+from ..functions.order import running_sums
 
 
 def with_block(cells: DataFrame, res: int, k: int = 2, grid: HexGrid = GRID) -> DataFrame:
@@ -47,8 +48,11 @@ def greedy_folds(sizes: DataFrame, folds: int = 5) -> DataFrame:
     counts = [(int(r[0]), int(r[1])) for r in sizes.groupBy("n").agg(F.count(F.lit(1))).collect()]
     if not counts:
         return sizes.select("block", "n", F.lit(0).cast("int").alias("fold_id"))
-    runs = sizes.sparkSession.createDataFrame(fold_runs(counts, folds), "n long, first long, many long, turn array<int>")
-    ranked = sizes.select("block", F.col("n").cast("long").alias("n"), (F.row_number().over(Window.partitionBy("n").orderBy(F.desc("block"))) - 1).alias("rank"))
+    spark = sizes.sparkSession
+    runs = spark.createDataFrame(fold_runs(counts, folds), "n long, first long, many long, turn array<int>")
+    # blocks of one size may be most of all blocks: their places are running counts, taken in slices
+    placed = running_sums(sizes.select("block", F.col("n").cast("long").alias("n"), F.lit(1).cast("long").alias("one")), "block", ["one"], ["n"])
+    ranked = placed.join(F.broadcast(spark.createDataFrame(counts, "n long, of_size long")), "n").select("block", "n", (F.col("of_size") - 1 - F.col("before_one")).alias("rank"))
     x = ranked.join(F.broadcast(runs.withColumnRenamed("n", "of")), F.expr("n = of and rank >= first and rank < first + many"))
     return x.select("block", "n", F.expr("turn[cast((rank - first) % size(turn) as int)]").alias("fold_id"))
 

@@ -163,9 +163,13 @@ def fold_metrics(oof: DataFrame) -> DataFrame:
 
 def scenarios(models: RiskModels, cells: DataFrame, rates: Sequence[tuple[str, float]] = (("default", 25.0),)) -> DataFrame:
     """Each cell under each rainfall: static features once, only the rain differs; PFI_h is the predicted risk."""
+    return models.predict(scenario_cells(cells, rates)).withColumn("PFI_h", F.col("predicted_risk"))
+
+
+def scenario_cells(cells: DataFrame, rates: Sequence[tuple[str, float]]) -> DataFrame:
+    """Each row once for each rainfall, in place of its own: scenario, rainfall_mm_h. The rates are the caller's few."""
     rain = cells.sparkSession.createDataFrame(list(rates), "scenario string, rainfall_mm_h double")
-    x = cells.drop("rainfall_mm_h", "scenario").crossJoin(F.broadcast(rain))
-    return models.predict(x).withColumn("PFI_h", F.col("predicted_risk"))
+    return cells.drop("rainfall_mm_h", "scenario").crossJoin(F.broadcast(rain))
 
 
 def joined_scores(observed: DataFrame, oof: DataFrame, scored: DataFrame, scenario: str) -> DataFrame:
@@ -221,9 +225,14 @@ def in_sample_baselines(cells: DataFrame) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
+def rule_by_fold(cells: DataFrame) -> DataFrame:
+    """Metrics by fold of the ponding rule, its spans taken within each fold."""
+    rule = ponding_score(cells, ["fold_id"]).withColumns({"predicted_risk": F.col("rule_score"), "flood_probability": F.col("rule_score")})
+    return fold_metrics(rule.withColumn("predicted_class", (F.col("rule_score") >= 0.5).cast("int")))
+
+
 def baseline_table(cells: DataFrame) -> DataFrame:
     """Metrics by fold of the ponding rule (spans within each fold) and of the linear baselines out of fold."""
-    rule = ponding_score(cells, ["fold_id"]).withColumn("predicted_class", (F.col("rule_score") >= 0.5).cast("int")).withColumns({"predicted_risk": F.col("rule_score"), "flood_probability": F.col("rule_score")})
-    linear = cross_validate(cells, linear_models).where("predicted_class is not null")
-    both = [fold_metrics(x).withColumn("model", F.lit(n)) for n, x in (("rule", rule), ("linear", linear))]
+    linear = fold_metrics(cross_validate(cells, linear_models).where("predicted_class is not null"))
+    both = [x.withColumn("model", F.lit(n)) for n, x in (("rule", rule_by_fold(cells)), ("linear", linear))]
     return both[0].unionByName(both[1])

@@ -1039,8 +1039,7 @@ _RATES = ", ".join(f"('{n}', {num(v)})" for n, v in RATES)
 
 @query(f"select c_custkey, scenario, mm_h as rainfall_mm_h from customer, (values {_RATES}) v(scenario, mm_h)")
 def scenario_grid(read):
-    rain = read("customer").sparkSession.createDataFrame(list(RATES), "scenario string, rainfall_mm_h double")
-    return read("customer").select("c_custkey").crossJoin(F.broadcast(rain))
+    return models.scenario_cells(read("customer").select("c_custkey", F.lit(1.0).alias("rainfall_mm_h")), RATES)
 
 
 def training_cells(read):
@@ -1084,15 +1083,38 @@ def score_join(read):
     return models.joined_scores(x.withColumnRenamed("value", RISK), oof, scored, "heavy")
 
 
-_NAMED = f"(select cell, list_sum(list_transform(string_split(lower(to_hex(cell)), ''), lambda x: ascii(x)))::bigint % 2147483647 as seed from {_SPINE})"
-_DEMO = _HF.replace("c_custkey", "cell")
-_DEMO = _DEMO[: _DEMO.rindex("(select cell")] + _NAMED + ")"
+_CELLS = f"(select cell, {centre('cell', 9)[0]} as lon, {centre('cell', 9)[1]} as lat, list_sum(list_transform(string_split(lower(to_hex(cell)), ''), lambda x: ascii(x)))::bigint % 2147483647 as seed from {MEANS})"
+_BACKUP = _HF.replace("c_custkey", "cell")
+_BACKUP = _BACKUP[: _BACKUP.rindex("(select cell")] + _CELLS + ")"
 
 
-@query(f"select cell, {', '.join(r(c) for c in FEATURES)} from {_DEMO}")
+@query(f"select cell, {', '.join(r(c) for c in FEATURES)} from {_BACKUP}")
 def demo_table(read):
-    """The cells of a box whose features are drawn from their names. Risk has noise from a hash that SQL lacks; it is left out."""
-    return assemble.demo_table(read("events").sparkSession, BOX, 9).select("cell", *FEATURES)
+    """The cells of all events, their features drawn from their names. Risk has noise from a hash that SQL lacks; it is left out."""
+    return assemble.cell_table(study_spine(read), assemble.Layers(mode="demo"), 9).select("cell", *FEATURES)
+
+
+def _ranked_rows(rows: str, g: str, y: str, score: str) -> str:
+    """AUC and average precision by group, from the definitions, as in ``ranked_by``."""
+    x = f"(select {g} as g, {y} as y, {score} as s, row_number() over () as k from {rows})"
+    auc = f"(select p.g, avg(case when p.s > n.s then 1e0 when p.s = n.s then 5e-1 else 0e0 end) as roc_auc from x p join x n on n.g = p.g and p.y = 1 and n.y = 0 group by p.g)"
+    ap = "(select g, avg(hit) as pr_auc from (select p.g, p.k, avg(o.y) as hit from x p join x o on o.g = p.g and o.s >= p.s where p.y = 1 group by p.g, p.k) where g in (select g from x where y = 0) group by g)"
+    return f"(with x as {x} select g as {g}, roc_auc, pr_auc from (select distinct g from x) left join {auc} using (g) left join {ap} using (g))"
+
+
+_RULED = f"""(with x as (select *, (cell % 5 + 5) % 5 as fold_id, {_SYN} as risk, {_WET} as wet from {_BACKUP}),
+    e as (select fold_id, min(elevation_m) as a, max(elevation_m) as b, min(wet) as c, max(wet) as d from x group by fold_id)
+    select fold_id::int as fold_id, risk, (risk >= 5e-1)::int as y, 4e-1 * (1e0 - (elevation_m - a) / (b - a + 1e-9)) + 35e-2 * impervious_frac + 15e-2 * (1e0 - least(slope_deg, 15e0) / 15e0) + 1e-1 * (wet - c) / (d - c + 1e-9) as s from x join e using (fold_id))"""
+
+
+@query(
+    f"""select fold_id, n, accuracy, f1, mae, rmse, r2, {r('roc_auc')}, {r('pr_auc')} from (select fold_id, count(*) as n, {r('avg((y = (s >= 5e-1)::int)::int)', 'accuracy')}, {r('coalesce(2 * sum(y * (s >= 5e-1)::int) / nullif(sum(y) + sum((s >= 5e-1)::int), 0), 0)', 'f1')},
+    {r('avg(abs(risk - s))', 'mae')}, {r('sqrt(avg((risk - s) * (risk - s)))', 'rmse')}, {r('1 - avg((risk - s) * (risk - s)) / var_pop(risk)', 'r2')} from {_RULED} group by fold_id) join {_ranked_rows(_RULED, 'fold_id', 'y', 's')} using (fold_id)"""
+)
+def rule_baseline(read):
+    """The ponding rule against risks without noise, by fold."""
+    x = assemble.features(study_spine(read), assemble.Layers(mode="demo"), 9)
+    return models.rule_by_fold(assemble.synthetic_labels(x, 0.5, 0.0).withColumn("fold_id", F.pmod("cell", F.lit(5)).cast("int")))
 
 
 def study_layers(read) -> assemble.Layers:
@@ -1111,9 +1133,6 @@ def _zonal(source: str, value: str, name: str) -> str:
 _AT_PIXEL = f"(select q.*, p.x, p.y from ({{}}) q join {_PXY} p on p.row = q.row and p.col = q.col)"
 _STREAM = SQL["nearest_distance"]
 _STREAM = f"({_STREAM.replace('round(' + _HAV + ', 3) as dist_m', _HAV + ' as dist_m')})"
-_CELLS = f"(select cell, {centre('cell', 9)[0]} as lon, {centre('cell', 9)[1]} as lat, list_sum(list_transform(string_split(lower(to_hex(cell)), ''), lambda x: ascii(x)))::bigint % 2147483647 as seed from {MEANS})"
-_BACKUP = _HF.replace("c_custkey", "cell")
-_BACKUP = _BACKUP[: _BACKUP.rindex("(select cell")] + _CELLS + ")"
 _TILT = SQL["slope"].replace("round(degrees(", "(degrees(").replace(f", {PLACES}) end as slope_deg", ") end as slope_deg")
 _SEEN = {"elevation_m": _zonal(_PXY, "value", "v"), "slope_deg": _zonal(_AT_PIXEL.format(_TILT), "slope_deg", "v"), "flow_accum_proxy": _zonal(_AT_PIXEL.format(SQL["d8_accumulation"]), "flow", "v"), "dist_stream_m": f"(select cell, dist_m as v from {_STREAM})"}
 _TABLE = ["cell", "lon", "lat", *FEATURES, "cell_res", "feature_source", "assembly_mode", "rainfall_source", "observed_feature_cols", "flood_point_count", "flood_area_frac", "observed_risk", RISK, CLASS, "label_source", "sandy_area_frac", "sandy_class"]

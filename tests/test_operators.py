@@ -238,3 +238,22 @@ def test_late_and_repeated_rows_of_a_stream(spark, tmp_path):
     counts = windowed_counts(stream, "1 hour", late="1 hour", once="id")
     got = {str(r.window_start)[11:13]: r.n for r in run_available(counts, str(tmp_path / "out"), ["window_start", "cell"]).collect()}
     assert got == {"00": 2, "05": 2, "04": 1}  # d came after its window had ended, a and c came twice
+
+
+def test_index_of_a_cell_that_holds_half_of_all_points(spark):
+    x = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("id") % 97).alias("cell"), F.when(F.col("id") % 11 != 0, F.col("id") * 7919 % 30011 / 30011.0).alias("hx_score"))
+    from hexloom.operators.shapes import index_by
+
+    got = {r.cell: r for r in index_by(x, "cell", 0.8).collect()}
+    want = x.groupBy("cell").agg(F.percentile("hx_score", 0.95).alias("p"), F.avg("hx_score").alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(got) == len(want) and max(r.n for r in want) > 20_000
+    assert all(math.isclose(got[r.cell].score_p95, r.p) and math.isclose(got[r.cell].score_mean, r.m) and got[r.cell].n == r.n for r in want)
+
+
+def test_folds_of_many_blocks_of_one_size(spark):
+    sizes = spark.range(3000).select(F.col("id").alias("block"), F.when(F.col("id") < 10, 7).otherwise(1).cast("long").alias("n"))
+    got = folds.greedy_folds(sizes, 4).collect()
+    load = {}
+    for r in got:
+        load[r.fold_id] = load.get(r.fold_id, 0) + r.n
+    assert len(got) == 3000 and max(load.values()) - min(load.values()) <= 1
