@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hexgrid import GRID, M_PER_LAT, M_PER_LON, HexGrid
@@ -20,12 +25,12 @@ def raster_keys(pixels: DataFrame) -> list[str]:
 
 
 def _with_raster(pixels: DataFrame, values: DataFrame) -> DataFrame:
-    """pixels with the row of values of their raster; values has one row for each raster, so it is broadcast."""
+    """pixels with the row of values of their raster: one row where there is one raster, else joined on its id."""
     by = raster_keys(pixels)
     if not by:
         return pixels.crossJoin(F.broadcast(values))
     same = F.col("raster_id").eqNullSafe(F.col("hx_id"))
-    return pixels.join(F.broadcast(values.withColumnRenamed("raster_id", "hx_id")), same).drop("hx_id")
+    return pixels.join(values.withColumnRenamed("raster_id", "hx_id"), same).drop("hx_id")
 
 
 def fraction_scale(pixels: DataFrame, value: str = "value") -> DataFrame:
@@ -35,29 +40,72 @@ def fraction_scale(pixels: DataFrame, value: str = "value") -> DataFrame:
     return x.withColumn(value, clip(F.when(F.col("hx_percent"), F.col(value) / 100).otherwise(F.col(value)), 0, 1)).drop("hx_percent")
 
 
-def _gradient(z: Column, along: str, across: str, by: list[str]) -> Column:
+def by_tiles(pixels: DataFrame, value: str, work: Callable[[Tile], dict[str, pa.Array]], made: str, keep: Sequence[str], size: int = 256) -> DataFrame:
+    """The columns ``keep`` of each pixel and what ``work`` makes of its tile (``made``, as a schema).
+
+    A tile is ``size`` pixels a side, with those one step around it: a pixel goes to its tile, and one on a border to the
+    next tiles as well, so the exchange is about that of the table. A task holds one tile. Pixels (row, col) are there
+    once in a raster; those that are absent have no row.
+    """
+    by = raster_keys(pixels)
+
+    def tiles(c: str) -> Column:
+        at = F.pmod(F.col(c), F.lit(size))
+        own = ((F.col(c) - at) / size).cast("long")
+        return F.explode(F.array_compact(F.array(own, F.when(at == 0, own - 1), F.when(at == size - 1, own + 1))))
+
+    kept = list(dict.fromkeys([*by, "row", "col", *keep]))
+    x = pixels.select(*[F.col(f"`{c}`") for c in kept], clean(F.col(value).cast("double")).alias("hx_z"))
+    x = x.withColumn("hx_tr", tiles("row")).withColumn("hx_tc", tiles("col"))
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in pixels.dtypes if c in keep], made])
+
+    def run(table: pa.Table) -> pa.Table:
+        tile = Tile(table, size)
+        found = work(tile)
+        own = table.filter(pa.array(tile.own))
+        return pa.table([*[own.column(c) for c in pixels_kept], *found.values()], names=[*pixels_kept, *found])
+
+    pixels_kept = [c for c in pixels.columns if c in keep]
+    return x.groupBy(*by, "hx_tr", "hx_tc").applyInArrow(run, schema)
+
+
+class Tile:
+    """The values of a tile and of the pixels around it: NaN where a pixel is missing or absent."""
+
+    def __init__(self, table: pa.Table, size: int):
+        row, col = (table.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+        i, j = row - table.column("hx_tr")[0].as_py() * size + 1, col - table.column("hx_tc")[0].as_py() * size + 1
+        value = table.column("hx_z").to_numpy(zero_copy_only=False).astype(np.float64)
+        self.z = np.full((size + 2, size + 2), np.nan)
+        self.z[i, j] = value
+        self.own = (i > 0) & (i <= size) & (j > 0) & (j <= size)
+        self.i, self.j, self.row, self.col, self.value = i[self.own], j[self.own], row[self.own], col[self.own], value[self.own]
+
+    def near(self, dr: int, dc: int) -> np.ndarray:
+        return self.z[self.i + dr, self.j + dc]
+
+
+def _gradient(tile: Tile, dr: int, dc: int) -> np.ndarray:
     """Central differences in units of a pixel; one-sided at edges and next to missing pixels; 0 for a lone pixel."""
-    w = Window.partitionBy(*by, across).orderBy(along)
-    near = lambda f, d: F.when(f(F.col(along)).over(w) == F.col(along) + d, f(z).over(w))
-    before, after = near(F.lag, -1), near(F.lead, 1)
-    inner = (after - before) / 2
-    return F.coalesce(inner, after - z, z - before, F.when(z.isNotNull(), F.lit(0.0)))
+    before, after, z = tile.near(-dr, -dc), tile.near(dr, dc), tile.value
+    out = (after - before) / 2
+    for other in (after - z, z - before, np.zeros(len(z))):
+        out = np.where(np.isnan(out), other, out)
+    return out
 
 
 def slope(pixels: DataFrame, dx_deg: float, dy_deg: float, mid_lat: float, value: str = "value") -> DataFrame:
     """slope_deg of each pixel (row, col), from metres per degree at the raster's middle latitude; null where missing.
 
-    Rasters are told apart by raster_id, if the table has it; windows are rows and columns of a raster, never the whole of it.
+    Rasters are told apart by raster_id, if the table has it; a task holds a tile, never the whole of one.
     """
-    import math
-
     east, north = M_PER_LON * math.cos(math.radians(mid_lat)) * dx_deg, M_PER_LAT * dy_deg
-    z = clean(F.col(value).cast("double"))
-    x = pixels.withColumn("hx_z", z)
-    by = raster_keys(pixels)
-    x = x.withColumns({"hx_gx": _gradient(F.col("hx_z"), "col", "row", by), "hx_gy": _gradient(F.col("hx_z"), "row", "col", by)})
-    rise = F.sqrt(F.pow(F.col("hx_gx") / east, 2) + F.pow(F.col("hx_gy") / north, 2))
-    return x.withColumn("slope_deg", F.when(F.col("hx_z").isNotNull(), F.degrees(F.atan(rise)))).drop("hx_z", "hx_gx", "hx_gy")
+
+    def work(tile: Tile) -> dict[str, pa.Array]:
+        tilt = np.degrees(np.arctan(np.hypot(_gradient(tile, 0, 1) / east, _gradient(tile, 1, 0) / north)))
+        return {"slope_deg": pa.array(tilt, mask=np.isnan(tile.value))}
+
+    return by_tiles(pixels.drop("slope_deg") if value != "slope_deg" else pixels, value, work, "slope_deg double", [c for c in pixels.columns if c != "slope_deg"])
 
 
 def d8_receiver(pixels: DataFrame, value: str = "value") -> DataFrame:
@@ -67,17 +115,26 @@ def d8_receiver(pixels: DataFrame, value: str = "value") -> DataFrame:
     Missing pixels count as the raster's highest.
     """
     by = raster_keys(pixels)
+
+    def work(tile: Tile) -> dict[str, pa.Array]:
+        near = np.stack([tile.near(dr, dc) for dr, dc in NEIGHBOURS])
+        near[np.isnan(near)] = np.inf
+        best = near.argmin(axis=0)
+        low = near.min(axis=0, initial=np.inf)
+        none = ~(low < np.where(np.isnan(tile.value), np.inf, tile.value))
+        step = np.array(NEIGHBOURS)[best]
+        # a missing pixel is as high as the raster's highest, which its tile doesn't know
+        return {
+            "to_row": pa.array((tile.row + step[:, 0]).astype(np.int32), mask=none),
+            "to_col": pa.array((tile.col + step[:, 1]).astype(np.int32), mask=none),
+            "hx_low": pa.array(low, mask=~np.isnan(tile.value) | none),
+        }
+
+    x = by_tiles(pixels, value, work, "to_row int, to_col int, hx_low double", [*by, "row", "col"])
     top = pixels.groupBy(*by).agg(F.max(clean(F.col(value).cast("double"))).alias("hx_top"))
-    z = pixels.select(*by, "row", "col", clean(F.col(value).cast("double")).alias("z"))
-    z = _with_raster(z, top).select(*by, "row", "col", F.coalesce("z", "hx_top").alias("z"))
-    offsets = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("dr"), F.lit(b).alias("dc")) for k, (a, b) in enumerate(NEIGHBOURS)])
-    # each pixel offers itself to its neighbours: of neighbour (row, col) it is the one in the opposite direction
-    here = F.struct("z", F.col("o.k").alias("k"), F.col("row").alias("to_row"), F.col("col").alias("to_col"))
-    offered = z.select(*by, F.explode(offsets).alias("o"), "row", "col", "z").select(*by, (F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), here.alias("n"))
-    best = offered.groupBy(*by, "row", "col").agg(F.min("n").alias("n"))
-    x = z.join(best, [*by, "row", "col"], "left")
-    lower = F.col("n.z") < F.col("z")
-    return x.select(*by, "row", "col", F.when(lower, F.col("n.to_row")).alias("to_row"), F.when(lower, F.col("n.to_col")).alias("to_col"))
+    flows = F.col("hx_low").isNull() | (F.col("hx_low") < F.col("hx_top"))
+    to = [F.when(flows, F.col(c)).cast(dict(pixels.dtypes)[c.removeprefix("to_")]).alias(c) for c in ("to_row", "to_col")]
+    return _with_raster(x, top).select(*by, "row", "col", *to)
 
 
 def d8_accumulation(pixels: DataFrame, value: str = "value") -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,8 +169,6 @@ def test_inherit_zero_where_the_parent_is_missing(spark):
 
 
 def test_folds_as_by_a_plain_loop(spark):
-    import random
-
     rng = random.Random(3)
     for trial in range(40):
         blocks = [(k, rng.choice([1, 1, 1, 2, 3, 7, 50])) for k in range(rng.randint(1, 60))]
@@ -257,3 +256,27 @@ def test_folds_of_many_blocks_of_one_size(spark):
     for r in got:
         load[r.fold_id] = load.get(r.fold_id, 0) + r.n
     assert len(got) == 3000 and max(load.values()) - min(load.values()) <= 1
+
+
+def test_tiles_meet_without_a_seam(spark, monkeypatch):
+    """A raster in small tiles gives what one tile gives; pixels may be missing, absent, or at negative places."""
+    rng = random.Random(4)
+    rows = [(a, r, c, None if rng.random() < 0.05 else float("nan") if rng.random() < 0.03 else float(rng.randint(0, 9)), "kept") for a in ("a", None) for r in range(-7, 9) for c in range(-5, 12) if rng.random() > 0.05]
+    x = spark.createDataFrame(rows, "raster_id string, row int, col int, value double, note string").repartition(3)
+    whole = raster.by_tiles
+    results = {}
+    for size in (256, 4, 1):
+        monkeypatch.setattr(raster, "by_tiles", lambda *args, size=size, **more: whole(*args, size=size))
+        tilt, to = raster.slope(x, 0.001, 0.001, 40.7), raster.d8_receiver(x)
+        assert tilt.columns == [*x.columns, "slope_deg"]
+        results[size] = sorted(map(str, tilt.collect())), sorted(map(str, to.collect()))
+    assert results[256] == results[4] == results[1] and len(results[4][0]) == len(rows)
+    z = {(a, r, c): v for a, r, c, v, _ in rows}
+    top = {a: max(v for (b, _, _), v in z.items() if b == a and v is not None and v == v) for a in ("a", None)}
+    for r in raster.d8_receiver(x).collect():
+        high = lambda k, a=r.raster_id: top[a] if z[k] is None or z[k] != z[k] else z[k]
+        near = [(high((r.raster_id, r.row + i, r.col + j)), k, r.row + i, r.col + j) for k, (i, j) in enumerate(raster.NEIGHBOURS) if (r.raster_id, r.row + i, r.col + j) in z]
+        best = min(near, default=None)
+        want = best[2:] if best and best[0] < high((r.raster_id, r.row, r.col)) else (None, None)
+        assert (r.to_row, r.to_col) == want
+    assert raster.slope(x.limit(0), 0.001, 0.001, 40.7).count() == 0 and raster.d8_receiver(x.limit(0)).count() == 0
