@@ -1206,6 +1206,17 @@ def logistic_fit(read):
     return models.logistic_gradient(cells, model).select("a", (F.abs("gradient") < 1e-4).alias("settled"))
 
 
+@query(f"select cell, true as same from {MEANS}")
+def models_round_trip(read):
+    """Whether models that were saved and loaded again score each cell as before."""
+    cells = training_cells(read)
+    fitted, path = models.linear_models(cells), _stream_path(cells.sparkSession)
+    fitted.save(cells.sparkSession, path)
+    again = models.RiskModels.load(cells.sparkSession, path).predict(cells).select("cell", *[F.col(c).alias(f"again_{c}") for c in ("predicted_risk", "flood_probability")])
+    x = fitted.predict(cells).join(again, "cell")
+    return x.select("cell", ((F.col("predicted_risk") == F.col("again_predicted_risk")) & (F.col("flood_probability") == F.col("again_flood_probability"))).alias("same"))
+
+
 @query()
 def holdout_metrics(read):
     """One row: models fitted on four fifths of the cells, and how they do on the rest."""
