@@ -297,4 +297,5 @@ def index_by(scored: DataFrame, key: str, limit: float) -> DataFrame:
 def zone_index(points: DataFrame, zones: DataFrame, score: str = "score", limit: float = 0.8, res: int = 9, grid: HexGrid = GRID, key: str = "zone_id") -> DataFrame:
     """The index of ``points.score_index`` for polygons in place of cells: a row for each zone, with n = 0 if it holds no point."""
     x = point_zones(points.select("lon", "lat", clean(F.col(score)).alias("hx_score")), zones.select(key, "rings"), res, grid, key)
+    x = cut(x.select(key, "hx_score"))  # read three times
     return zones.select(key).join(index_by(x, key, limit), key, "left").fillna(0, ["n"])
