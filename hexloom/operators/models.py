@@ -92,10 +92,11 @@ def fit_models(cells: DataFrame, features: Sequence[str] = FEATURES, classifier:
     return RiskModels((classifier or boosted_classifier(features)).fit(cells), (regressor or boosted_regressor(features)).fit(cells), list(features))
 
 
-def train(cells: DataFrame, features: Sequence[str] = FEATURES, key: str = "cell") -> tuple[RiskModels, DataFrame]:
-    """Models fitted on four fifths of the rows, stratified by class, and one row of metrics on the rest."""
+def train(cells: DataFrame, features: Sequence[str] = FEATURES, key: str = "cell", fit: Callable[[DataFrame, Sequence[str]], RiskModels] | None = None) -> tuple[RiskModels, DataFrame]:
+    """Models (boosted ones, or those that ``fit`` makes) fitted on four fifths of the rows, stratified by class, and one row
+    of metrics on the rest."""
     split = cut(stratified_split(cells, CLASS, key))
-    models = fit_models(split.where(~F.col("is_test")), features)
+    models = (fit or fit_models)(split.where(~F.col("is_test")), features)
     tested = models.predict(split.where("is_test"))
     return models, evaluate(tested)
 
@@ -183,8 +184,8 @@ def scenario_range(scored: DataFrame) -> DataFrame:
     return scored.groupBy("cell").agg((F.max("PFI_h") - F.min("PFI_h")).alias("pfi_range"))
 
 
-def linear_models(cells: DataFrame) -> RiskModels:
-    return fit_models(cells, classifier=logistic_classifier(cells.count()), regressor=linear_regressor())
+def linear_models(cells: DataFrame, features: Sequence[str] = FEATURES) -> RiskModels:
+    return fit_models(cells, features, logistic_classifier(cells.count(), features), linear_regressor(features))
 
 
 def linear_coefficients(model: PipelineModel, features: Sequence[str] = FEATURES) -> dict[str, float]:

@@ -1198,6 +1198,83 @@ def linear_fit(read):
     return cells.sparkSession.createDataFrame(list(found.items()), "feature string, coefficient double")
 
 
+#: Each cell's constant, its three features and its value; whether the value is high; the least squares solution by group.
+_LINE = f"(select cell, m.value >= 4e1 as y, [1e0, {', '.join('(cell % 76 + 76) % 76 + 25e0' if c == 'rainfall_mm_h' else c for c in sorted(_APART, key=FEATURES.index))}, m.value] as x from {MEANS} m join {_BACKUP} using (cell))"
+
+
+def solved(rows: str) -> str:
+    """(g, b): the coefficients of x[5] on x[1] to x[4] over the rows of each g, by elimination in the normal equations."""
+    return f"""(with recursive gram as (select g, i, j, sum(x[i] * x[j]) as s from {rows}, generate_series(1, 4) a(i), generate_series(1, 5) b(j) group by g, i, j),
+        e(g, k, m) as (select g, 0, list(r order by i) from (select g, i, list(s order by j) as r from gram group by g, i) group by g union all
+            select g, k + 1, list_transform(m, lambda r, i: case when i = k + 1 then list_transform(r, lambda v: v / m[k + 1][k + 1]) else list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) end) from e where k < 4)
+        select g, list_transform(m, lambda r: r[5]) as b from e where k = 4)"""
+
+
+_DOT = "(b[1] + b[2] * x[2] + b[3] * x[3] + b[4] * x[4])"
+_FOLDED = f"(select l.cell, x, fold_id from {_LINE} l join {lineage(MEANS, 9, 6)} p on p.cell = l.cell join ({SQL['group_folds']}) f on f.block = p.hx_p6)"
+_OTHER_FOLDS = f"(select f.fold_id as g, x from {_FOLDED} c join (select distinct fold_id from {_FOLDED}) f on f.fold_id <> c.fold_id)"
+
+
+def graded_cells(read):
+    """fitted_cells, of which those with a high value are a class."""
+    return fitted_cells(read).withColumn(CLASS, (F.col(RISK) >= 40).cast("int"))
+
+
+def few_features(x, features=None):
+    return models.linear_models(x, _APART)
+
+
+@query(f"select cell, fold_id, round({_DOT}, 3) as predicted_risk from {_FOLDED} join {solved(_OTHER_FOLDS)} on g = fold_id")
+def linear_oof(read):
+    """Out-of-fold predictions of the linear baseline over folds of whole blocks; SQL solves the equations of each fold."""
+    x = folds.with_folds(folds.with_block(graded_cells(read), 9, 3))
+    return models.cross_validate(x, few_features).select("cell", "fold_id", F.round("predicted_risk", 3).alias("predicted_risk"))
+
+
+_HELD = f"(select *, k <= floor(n * 2e-1) as is_test from (select *, row_number() over (partition by y order by ((cell % 1000003) * 7919 + 104729) % 1000003, cell) as k, count(*) over (partition by y) as n from {_LINE}))"
+
+
+@query(
+    f"""select round(avg(abs(x[5] - p)), 4) as mae, round(sqrt(avg(pow(x[5] - p, 2))), 4) as rmse, round(1 - avg(pow(x[5] - p, 2)) / var_pop(x[5]), 4) as r2
+    from (select x, {_DOT} as p from {_HELD} cross join {solved(f"(select 0 as g, x from {_HELD} where not is_test)")} where is_test)"""
+)
+def linear_holdout(read):
+    """The linear baseline fitted on four fifths of the cells, and its errors on the rest."""
+    found = models.train(graded_cells(read), fit=few_features)[1]
+    return found.select(*[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")])
+
+
+@query(
+    f"""with s as (select cell, scenario, mm_h, {_DOT.replace('x[4]', 'mm_h')} as pfi from {_LINE} cross join {solved(f"(select 0 as g, x from {_LINE})")} cross join (values {_RATES}) v(scenario, mm_h))
+    select cell, scenario, mm_h as rainfall_mm_h, round(pfi, 3) as "PFI_h", round(max(pfi) over (partition by cell) - min(pfi) over (partition by cell), 3) as pfi_range from s"""
+)
+def linear_scenarios(read):
+    """Scores of each cell under each rainfall by the linear baseline, and how far they lie apart."""
+    cells = graded_cells(read)
+    scored = models.scenarios(few_features(cells), cells.drop(RISK, CLASS), RATES)
+    x = scored.join(models.scenario_range(scored), "cell")
+    return x.select("cell", "scenario", "rainfall_mm_h", *[F.round(c, 3).alias(c) for c in ("PFI_h", "pfi_range")])
+
+
+_FOUND = f"(select (cell % 5)::int as fold_id, (cell % 5 <> 4 and value >= 4e1)::int as y, value / 1e2 as risk, (cell % 1009) / 1008e0 as s, cell % 5 <> 3 as fitted from {MEANS})"
+_FOLD_MEANS = ", ".join(f"{r(f'avg({c})', f'{c}_mean')}, {r(f'stddev_pop({c})', f'{c}_sd')}" for c in models.FOLD_METRICS)
+
+
+@query(
+    f"""with f as (select * from {_FOUND} where fitted), each as (select fold_id, avg((y = (s >= 5e-1)::int)::int) as accuracy, coalesce(2 * sum(y * (s >= 5e-1)::int) / nullif(sum(y) + sum((s >= 5e-1)::int), 0), 0) as f1,
+        avg(abs(risk - s)) as mae, 1 - avg(pow(risk - s, 2)) / var_pop(risk) as r2 from f group by fold_id)
+    select {_FOLD_MEANS}, count(*) as n_folds, (select {r('roc_auc')} from {_ranked_rows('(select *, 0 as pool from f)', 'pool', 'y', 's')}) as roc_auc, (select {r('pr_auc')} from {_ranked_rows('(select *, 0 as pool from f)', 'pool', 'y', 's')}) as average_precision, (select count(*) from {_FOUND}) as n_rows
+    from each join {_ranked_rows('f', 'fold_id', 'y', 's')} using (fold_id)"""
+)
+def blocked_report(read):
+    """The report of stored out-of-fold predictions: one fold could not be fitted, and one holds a single class."""
+    fold = F.pmod("cell", F.lit(5)).cast("int")
+    x = event_cells(read).withColumns({"fold_id": fold, "p": F.when(fold != 3, F.pmod("cell", F.lit(1009)) / 1008.0)})
+    y = ((F.col("fold_id") != 4) & (F.col("value") >= 40)).cast("int")
+    x = x.select("fold_id", y.alias(CLASS), (F.col("value") / 100).alias(RISK), F.col("p").alias("flood_probability"), F.col("p").alias("predicted_risk"), (F.col("p") >= 0.5).cast("int").alias("predicted_class"))
+    return models.validation_report(x)
+
+
 @query(f"select unnest({_LETTER[: _LETTER.rindex(',')]}]) as a, true as settled")
 def logistic_fit(read):
     """Whether the logistic baseline's penalised loss is flat at its solution, in each coefficient."""

@@ -50,7 +50,7 @@ def test_overlay_leaves_labels_alone(spark, cells):
     assert plain.select(same).exceptAll(more.select(same)).count() == 0 and "sandy_class" in more.columns
 
 
-@pytest.mark.parametrize("name", ["point_mean", "resolution_ladder", "negative_control", "incident_windows"])
+@pytest.mark.parametrize("name", ["point_mean", "resolution_ladder", "negative_control", "incident_windows", "linear_oof", "linear_holdout", "blocked_report"])
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
@@ -157,6 +157,14 @@ def test_reports_of_linear_models(spark, cells):
     assert all(0 <= got[f"{m}_{k}"] <= 1 for m in ("blocked_cv", "linear_blocked_cv", "rule_blocked_cv") for k in ("roc_auc_mean", "roc_auc_sd", "pr_auc_mean", "pr_auc_sd"))
 
 
+def test_a_holdout_by_other_models_than_trees(cells):
+    x = cells.withColumn("flood_class", (F.col("impervious_frac") > 0.45).cast("int"))
+    fitted, found = models.train(x, ["impervious_frac", "slope_deg"], fit=models.linear_models)
+    assert fitted.features == ["impervious_frac", "slope_deg"] and set(models.linear_coefficients(fitted.regressor, fitted.features)) == {"intercept", *fitted.features}
+    row = found.first()
+    assert row.accuracy > 0.9 and row.mae <= row.rmse
+
+
 def test_a_whole_study_of_linear_models(spark, monkeypatch):
     """Models come before refinement, and every part reports numbers."""
     from hexloom.plans import study
