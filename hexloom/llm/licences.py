@@ -154,7 +154,8 @@ def _sql_canonical(x: str) -> str:
 
 
 def sql() -> str:
-    values = ", ".join("('%s', '%s')" % (k, t.replace("'", "''")) for k, t in KNOWN)
+    """The same list of texts, short and full, made canonical by DuckDB."""
+    values = ", ".join("('%s', '%s')" % (k, t.replace("'", "''")) for k, t in KNOWN + full_texts())
     return f"""
     with known as (select digest, min(license_id) as license_id from (
         select license_id, sha256({_sql_canonical("t")}) as digest from (values {values}) v(license_id, t)) group by digest),

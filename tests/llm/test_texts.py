@@ -427,6 +427,24 @@ def test_licences_however_they_are_wrapped(spark):
     assert license_matches(table.limit(0), known_digests(spark)).count() == 0
 
 
+def test_licence_sql_knows_the_same_texts(spark):
+    import duckdb
+    import pandas as pd
+
+    from hexloom.llm.licences import KNOWN, full_texts, known_digests, license_matches, sql
+
+    texts = [t for _, t in KNOWN + full_texts()]
+    texts = texts + [t.upper().replace(",", " ;") + "\n" for t in texts] + [texts[0] + " more", "", " \n© 2019 A\n", texts[4] + "\nand\n" + texts[6]]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    c = duckdb.connect()
+    c.register("documents", docs)
+    columns = ["doc_id", "scope", "line_no", "license_id", "digest"]
+    want = c.execute(sql()).df()[columns]
+    got = license_matches(spark.createDataFrame(docs, "doc_id long, text string"), known_digests(spark)).toPandas()[columns]
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
+    assert set(range(2 * len(KNOWN + full_texts()))) <= set(got[got.scope == "document"].doc_id)
+
+
 def test_licences(spark):
     from hexloom.llm.licences import KNOWN, known_digests, license_matches
 
