@@ -48,6 +48,19 @@ kept as (select doc_id, sum(c)::bigint as n_removed, coalesce(string_agg(word, '
 select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(k, '')) as kept_sha256 from w left join kept using (doc_id)
 """
 
+#: Bytes as two hexadecimal letters each; texts are taken in parts of 256 bytes with the 99 after them, so that no string is cut out of a long text.
+BYTE_REPEATS = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+part as (select doc_id, p, substr(h, 2 * p + 1, 710) as h from (select doc_id, h, unnest(generate_series(0, length(h) // 2 - 100, 256)) as p from d where length(h) >= 200)),
+win as (select doc_id, p + i as i, md5(substr(h, 2 * i + 1, 200)) as g from (select doc_id, p, h, unnest(generate_series(0, least(255, length(h) // 2 - 100))) as i from part)),
+dup as (select doc_id, i from (select *, row_number() over (partition by g order by doc_id, i) as k from win) where k > 1),
+run as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as s from (select doc_id, i, (i > coalesce(lag(i) over (partition by doc_id order by i) + 100, -1))::int as fresh from dup)),
+span as (select doc_id, min(i) as lo, max(i) + 100 as hi from run group by doc_id, s),
+cut as (select doc_id, count(*) as n, sum(hi - lo)::bigint as gone, list(lo order by lo) as los, list(hi order by hi) as his from span group by doc_id),
+kept as (select doc_id, h, coalesce(n, 0) as n, coalesce(gone, 0) as gone, list_concat([0], coalesce(his, [])) as a, list_concat(coalesce(los, []), [length(h) // 2]) as b from d left join cut using (doc_id))
+select doc_id, length(h) // 2 as n_bytes, gone as n_removed, n as n_spans, sha256(unhex(array_to_string([substr(h, 2 * a[k] + 1, 2 * (b[k] - a[k])) for k in generate_series(1, len(a))], ''))) as kept_sha256 from kept
+"""
+
 ARCHIVES = r"""
 with p as (select page_id, coalesce(html, '') as h, regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://', '') as rest from pages),
 d as (select page_id, sha256(h) as dig, octet_length(encode(h)) as b,

@@ -10,7 +10,7 @@ from .lexical import op12_ranked_search
 from .licences import op7_license_digests
 from .licences import sql as licence_sql
 from .lz_dedup import op6_lempel_ziv_dedup
-from .oracles import ARCHIVES, CONTAINMENT, JACCARD, RANKED, VARIANTS, VECTORS, WORD_REPEATS
+from .oracles import ARCHIVES, BYTE_REPEATS, CONTAINMENT, JACCARD, RANKED, VARIANTS, VECTORS, WORD_REPEATS
 from .packing import op1_best_fit_packing
 from .sharding import op4_stratified_interleave
 from .spelling import op11_spelling_variants
@@ -40,6 +40,7 @@ SQL = {
     "op6_lempel_ziv_dedup": WORD_REPEATS,
     "op7_license_digests": licence_sql(),
     "op8_bayesian_jaccard_join": JACCARD,
+    "op9_suffix_array_dedup": BYTE_REPEATS,
     "op11_spelling_variants": VARIANTS,
     "op12_ranked_search": RANKED,
 }
