@@ -180,3 +180,23 @@ def test_a_whole_study_of_linear_models(spark, monkeypatch):
     got = study.summary(one).collect()
     assert {r.part for r in got} == {"table", "ladder", "metrics", "comparison", "control"}
     assert one.scored.count() == 3 * spine.count() and one.mixed.count() >= spine.count()
+
+
+def test_one_class_leaves_the_predictions_of_risk(spark, cells, tmp_path):
+    from hexloom.plans import study
+
+    x = cells.withColumns({"flood_class": F.lit(1), "fold_id": F.pmod("cell", F.lit(2)).cast("int")})
+    few = lambda y, features=("impervious_frac", "slope_deg"): models.linear_models(y, list(features))
+    with pytest.warns(UserWarning, match="one class"):
+        fitted, found = models.train(x, ["impervious_frac", "slope_deg"], fit=models.linear_models)
+    row = found.first()
+    assert row.mae is not None and row.rmse is not None and row.accuracy is None and row.roc_auc is None
+    with pytest.warns(UserWarning, match="one class"):
+        oof = models.cross_validate(x, few)
+    assert oof.where("predicted_risk is not null and predicted_class is null and flood_probability is null").count() == x.count()
+    fitted.save(spark, str(tmp_path / "m"))
+    again = models.RiskModels.load(spark, str(tmp_path / "m"))
+    assert again.classifier is None and again.features == fitted.features
+    assert again.predict(x).select("cell", "predicted_risk").exceptAll(fitted.predict(x).select("cell", "predicted_risk")).count() == 0
+    got = {r.metric: r.value for r in study.evaluation(fitted, x, oof).collect()}
+    assert got["in_sample_mae"] is not None and got["in_sample_accuracy"] is None and got["blocked_cv_n_rows"] == x.count()
