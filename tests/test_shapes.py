@@ -168,3 +168,14 @@ def test_cells_of_small_and_large_polygons(spark):
     spots = spark.createDataFrame([(k, w + (e - w) * i / 11, s + (n - s) * j / 11) for k, (w, s, e, n) in ((1, (-74.0005, 40.6995, -73.9995, 40.7005)), (2, (-73.9985, 40.7005, -73.9983, 40.7007))) for i in range(12) for j in range(12)], "k long, lon double, lat double")
     seen = {(r.k, r.cell) for r in GRID.with_cell(spots).collect()}
     assert got[2] == {c for k, c in seen if k == 2} and got[1] == {c.cell for c in near if even_odd(rows[0][2], c.x, c.y)}
+
+
+def test_a_centre_on_an_edge_is_held(spark):
+    """The origin is a centre; boxes with a side or a corner there hold it, whichever way the turn of the lattice rounds."""
+    box = lambda w, s, e, n: [[(w, s), (e, s), (e, n), (w, n), (w, s)]]
+    around = [(-74.0042, 40.698, -74.0, 40.702), (-74.0, 40.698, -73.9958, 40.702), (-74.002, 40.7, -73.998, 40.7042), (-74.002, 40.6958, -73.998, 40.7), (-74.0, 40.7, -73.996, 40.704)]
+    x = spark.createDataFrame([(k, "Polygon", box(*b)) for k, b in enumerate(around)], "feature_id long, geom_type string, " + RINGS)
+    for res in (8, 9):
+        there = GRID.with_cell(spark.createDataFrame([(-74.0, 40.7)], "lon double, lat double"), res=res).first().cell
+        assert overlay.geometry_cells(x, res).where(F.col("cell") == there).count() == len(around)
+        assert shapes.centre_cells(shapes.shape_edges(x, res, GRID, "feature_id"), res, "feature_id").where(F.col("cell") == there).count() < len(around)
