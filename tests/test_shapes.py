@@ -179,3 +179,28 @@ def test_a_centre_on_an_edge_is_held(spark):
         there = GRID.with_cell(spark.createDataFrame([(-74.0, 40.7)], "lon double, lat double"), res=res).first().cell
         assert overlay.geometry_cells(x, res).where(F.col("cell") == there).count() == len(around)
         assert shapes.centre_cells(shapes.shape_edges(x, res, GRID, "feature_id"), res, "feature_id").where(F.col("cell") == there).count() < len(around)
+
+
+def test_polygons_inside_what_others_hold_are_left_out(spark, monkeypatch):
+    """Three hundred boxes over one cell: only those along the border of their union are compared by pairs."""
+    seen, real = [], shapes.cut
+    monkeypatch.setattr(shapes, "cut", lambda x: seen.append(real(x)) or seen[-1])
+    cell = GRID.with_cell(spark.createDataFrame([(-73.99, 40.71)], "lon double, lat double")).select("cell")
+    lon, lat = cell.select(*[F.expr(e) for e in GRID.centre("cell", 9)]).first()
+    draw = random.Random(5)
+    boxes = []
+    for _ in range(300):
+        x, y, h = lon + draw.uniform(-0.001, 0.0), lat + draw.uniform(-0.001, 0.001), draw.uniform(0.0005, 0.0015)
+        boxes.append([[(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h), (x - h, y - h)]])
+    got = overlay.coverage(cell, spark.createDataFrame([(b,) for b in boxes], RINGS), 9).first().area_frac
+    corners = [(x - lon, y - lat) for x, y in [(p.x, p.y) for p in cell.select(GRID.boundary(F.col("cell"), 9).alias("b")).first().b]]
+    ring = [[(lon + x, lat + y) for x, y in corners]]
+    n = hit = 0
+    for i in range(120):
+        for j in range(120):
+            x, y = lon + (i - 59.5) * 4e-5, lat + (j - 59.5) * 4e-5
+            if even_odd(ring, x, y):
+                n, hit = n + 1, hit + any(b[0][0][0] <= x <= b[0][2][0] and b[0][0][1] <= y <= b[0][2][1] for b in boxes)
+    assert abs(got - hit / n) < 0.01 and 0 < got < 1
+    counts = [x.count() for x in seen]
+    assert len(counts) == 4 and 0 < counts[3] < counts[1] / 4
