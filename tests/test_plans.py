@@ -200,3 +200,14 @@ def test_one_class_leaves_the_predictions_of_risk(spark, cells, tmp_path):
     assert again.predict(x).select("cell", "predicted_risk").exceptAll(fitted.predict(x).select("cell", "predicted_risk")).count() == 0
     got = {r.metric: r.value for r in study.evaluation(fitted, x, oof).collect()}
     assert got["in_sample_mae"] is not None and got["in_sample_accuracy"] is None and got["blocked_cv_n_rows"] == x.count()
+
+
+def test_a_whole_study_where_every_cell_flooded(spark, monkeypatch):
+    from hexloom.functions.hexgrid import GRID
+    from hexloom.plans import study
+
+    monkeypatch.setattr(models, "boosted_regressor", models.linear_regressor)
+    spine = GRID.cover(spark, (-74.0, 40.70, -73.98, 40.72), 9)
+    one = study.run_study(spine, Layers(flood_points=spine.select("lon", "lat")), 9)
+    got = {(r.part, r.metric): r.value for r in study.summary(one).collect()}
+    assert got["table", "n_cells"] == spine.count() and got["metrics", "in_sample_accuracy"] is None and got["metrics", "in_sample_mae"] is not None
