@@ -39,25 +39,28 @@ def running_sums(df: DataFrame, by: str, columns: Sequence[str], groups: Sequenc
     return x.select(*df.columns, *[f"before_{c}" for c in columns])
 
 
-def quantile(df: DataFrame, value: str, q: float, name: str = "threshold", by: Sequence[str] = (), margin: float = 2e-4, few: int = 20_000) -> DataFrame:
+def quantile(df: DataFrame, value: str, q: float, name: str = "threshold", by: Sequence[str] = (), margin: float = 2e-4, few: int = 20_000, weight: str | None = None) -> DataFrame:
     """One row (of each group): the exact q-quantile of the values that are there (linear between neighbours), null if there are none.
 
     An approximate quantile brackets the rank; only distinct values in the bracket (one rank in 2,500, or all of a group
     of ``few`` values, where that would be too narrow) are sorted, and one count gives how many lie below it: a group of any
     size keeps a few thousand values of a task at most, beyond ``few``. A group without values has no row; all of nothing
-    has one.
+    has one. With ``weight``, a row stands for that many values (whole, at least 1).
     """
     by = list(by)
-    v = df.select(*by, F.col(value).cast("double").alias("hx_v")).where(F.col("hx_v").isNotNull() & ~F.isnan("hx_v"))
+    v = df.select(*by, F.col(value).cast("double").alias("hx_v"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("hx_w")).where(F.col("hx_v").isNotNull() & ~F.isnan("hx_v"))
     ends = [max(0.0, q - margin), min(1.0, q + margin)]
-    guess = v.groupBy(*by).agg(F.count(F.lit(1)).alias("hx_n"), F.percentile_approx("hx_v", ends, 50_000).alias("b"))
-    low = F.when((F.lit(q) <= margin) | (F.col("hx_n") <= few), float("-inf")).otherwise(F.col("b")[0]).alias("hx_lo")
-    high = F.when((F.lit(q) >= 1 - margin) | (F.col("hx_n") <= few), float("inf")).otherwise(F.col("b")[1]).alias("hx_hi")
+    guess = v.groupBy(*by).agg(F.sum("hx_w").alias("hx_n"), F.count(F.lit(1)).alias("hx_rows"), F.percentile_approx("hx_v", ends, 50_000).alias("b"))
+    if weight is not None:
+        # an approximate quantile knows no weights: all distinct values are sorted, of which there are as many as rows at most
+        guess = guess.withColumns({"hx_rows": F.lit(0), "b": F.lit(None).cast("array<double>")})
+    low = F.when((F.lit(q) <= margin) | (F.col("hx_rows") <= few), float("-inf")).otherwise(F.col("b")[0]).alias("hx_lo")
+    high = F.when((F.lit(q) >= 1 - margin) | (F.col("hx_rows") <= few), float("inf")).otherwise(F.col("b")[1]).alias("hx_hi")
     guess = guess.select(*by, "hx_n", low, high)
     # groups may be many: their brackets are joined on the group, where a hot one is a skewed join key and no more
     x = (v.join(guess, by) if by else v.crossJoin(F.broadcast(guess))).where(F.col("hx_v") <= F.col("hx_hi"))
     # everything below the bracket is one row, so the window sees the bracket's distinct values only
-    x = x.withColumn("hx_v", F.when(F.col("hx_v") >= F.col("hx_lo"), F.col("hx_v"))).groupBy(*by, "hx_v").agg(F.count(F.lit(1)).alias("c"), F.first("hx_n").alias("n"))
+    x = x.withColumn("hx_v", F.when(F.col("hx_v") >= F.col("hx_lo"), F.col("hx_v"))).groupBy(*by, "hx_v").agg(F.sum("hx_w").alias("c"), F.first("hx_n").alias("n"))
     x = x.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy(F.col("hx_v").asc_nulls_first()))).where("hx_v is not null")
     rank = F.lit(float(q)) * (F.col("n") - 1)
     low = F.min(F.when(F.col("upto") > F.floor(rank), F.col("hx_v")))

@@ -204,3 +204,23 @@ def test_polygons_inside_what_others_hold_are_left_out(spark, monkeypatch):
     assert abs(got - hit / n) < 0.01 and 0 < got < 1
     counts = [x.count() for x in seen]
     assert len(counts) == 4 and 0 < counts[3] < counts[1] / 4
+
+
+def test_zones_count_equal_points_and_equal_zones_by_number(spark, monkeypatch):
+    """Sixty of each: the same index, from no more pairs than one of each gives."""
+    seen, real = [], shapes.cut
+    monkeypatch.setattr(shapes, "cut", lambda x: seen.append(real(x)) or seen[-1])
+    ring = [[(-74.01, 40.69), (-73.99, 40.69), (-73.99, 40.71), (-74.01, 40.71), (-74.01, 40.69)]]
+    places = [(-74.0 + k / 1000, 40.7, None if k == 3 else k / 10) for k in range(-9, 9)]
+    zones = spark.createDataFrame([(k, ring) for k in range(60)] + [(60, None)], "zone_id long, " + RINGS)
+    got = shapes.zone_index(spark.createDataFrame(places * 60, "lon double, lat double, score double"), zones, limit=0.35).collect()
+    assert len(got) == 61 and seen[0].count() == len(places)
+    values = sorted(s for _, _, s in places for _ in range(60) if s is not None)
+    at = 0.95 * (len(values) - 1)
+    p95 = values[int(at)] + (values[math.ceil(at)] - values[int(at)]) * (at - int(at))
+    for r in got:
+        if r.zone_id == 60:
+            assert r.n == 0 and r.score_mean is None
+        else:
+            assert r.n == len(places) * 60 and abs(r.score_p95 - p95) < 1e-9 and abs(r.score_sum - sum(values)) < 1e-6
+            assert abs(r.score_mean - sum(values) / len(values)) < 1e-9 and abs(r.share_above - sum(v > 0.35 for v in values) / len(values)) < 1e-9 and r.score_max == 0.8
