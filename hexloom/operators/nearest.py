@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hexgrid import GRID, M_PER_LAT, HexGrid
 from ..functions.scalars import clip, haversine
-from ..functions.storage import cut
+from ..functions.storage import by_sorting, cut
 
 
 def foot(lon: Column, lat: Column, grid: HexGrid = GRID) -> tuple[Column, Column, Column]:
@@ -53,7 +53,7 @@ def near_cells(asked: DataFrame, held: DataFrame, res: int, few: int = 200, grid
             x = x.crossJoin(F.broadcast(there))  # at most ``few`` rows
         else:
             up = grid.with_parent(there.select(F.col("at").alias("below")), level, level - 1, "below", "above")
-            x = x.join(up, F.col("at") == F.col("above")).drop("at", "above").withColumnRenamed("below", "at")
+            x = x.join(by_sorting(up), F.col("at") == F.col("above")).drop("at", "above").withColumnRenamed("below", "at")
         # centres of descendants stay within the sum of the steps from level to level
         reach = sum(grid.spacing(r) for r in range(level + 1, res + 1)) + own + grid.spacing(res) / 2 + own
         to_lon, to_lat = (F.expr(e) for e in grid.centre("at", level))
@@ -73,8 +73,8 @@ def nearest_distance(points: DataFrame, segments: DataFrame, key: str = "cell",
     asked = grid.with_cell(points.select(key, "lon", "lat").where("lon is not null and lat is not null"), res=res, name="hx_cell")
     asked, pieces = cut(asked), cut(in_pieces(segments, res, grid))
     near = near_cells(asked.select(F.col("hx_cell").alias("cell")).distinct(), pieces, res, grid=grid)
-    pairs = asked.join(near.withColumnRenamed("cell", "hx_cell"), "hx_cell").join(pieces, "at")
+    pairs = asked.join(by_sorting(near.withColumnRenamed("cell", "hx_cell")), "hx_cell").join(by_sorting(pieces), "at")
     d, lon, lat = foot(F.col("lon"), F.col("lat"), grid)
     best = pairs.groupBy(key, "lon", "lat").agg(F.min(F.struct(d.alias("d"), lon.alias("x"), lat.alias("y"))).alias("b"))
     best = best.select(key, haversine(F.col("lon"), F.col("lat"), F.col("b.x"), F.col("b.y")).alias("dist_m"))
-    return points.select(key).join(best, key, "left")
+    return points.select(key).join(by_sorting(best), key, "left")
