@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hexloom.functions.hexgrid import GRID, M_PER_LAT
-from hexloom.operators import overlay, shapes
+from hexloom.operators import nearest, overlay, raster, shapes
 
 RINGS = "rings array<array<struct<x:double,y:double>>>"
 
@@ -224,3 +224,39 @@ def test_zones_count_equal_points_and_equal_zones_by_number(spark, monkeypatch):
         else:
             assert r.n == len(places) * 60 and abs(r.score_p95 - p95) < 1e-9 and abs(r.score_sum - sum(values)) < 1e-6
             assert abs(r.score_mean - sum(values) / len(values)) < 1e-9 and abs(r.share_above - sum(v > 0.35 for v in values) / len(values)) < 1e-9 and r.score_max == 0.8
+
+
+def test_small_shapes_are_not_broadcast(spark, tmp_path):
+    """Cells and pieces that come of a small table of shapes may be many: by no estimate of sizes does a join bring them to the driver."""
+    draw = random.Random(7)
+    corners = lambda: [(-74 + draw.uniform(-0.02, 0.02), 40.7 + draw.uniform(-0.02, 0.02)) for _ in range(3)]
+    rings = [[[*c, c[0]]] for c in (corners() for _ in range(8))]
+    spots = [(k, -74 + draw.uniform(-0.02, 0.02), 40.7 + draw.uniform(-0.02, 0.02)) for k in range(200)]
+
+    def stored(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    zones = stored("zones", list(enumerate(rings)), "zone_id long, " + RINGS)
+    points = stored("points", spots, "id long, lon double, lat double")
+    segments = stored("segments", [(*r[0][0], *r[0][1]) for r in rings], "x1 double, y1 double, x2 double, y2 double")
+    cells = GRID.with_cell(points).select("cell").distinct()
+    pixels = stored("pixels", [(i, j, draw.random()) for i in range(9) for j in range(9)], "row int, col int, value double")
+    for x in (raster.d8_accumulation(pixels), shapes.point_zones(points, zones), nearest.nearest_distance(points, segments, "id"), overlay.coverage(cells, zones, 9), overlay.coverage(cells, zones, 9, 2)):
+        assert x.count() > 0 and len(x.collect()) == x.count()
+        assert "BroadcastHashJoin" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_points_and_zones_are_compared_once(spark):
+    """Forty points at each place and thirty zones of each kind give all their pairs, from one comparison of each place and kind."""
+    rings = [[box(-74.01, 40.69, -73.99, 40.71)], [box(-74.0, 40.7, -73.98, 40.72)]]
+    zones = spark.createDataFrame([(k, rings[k % 2]) for k in range(60)] + [(60, None)], "zone_id long, " + RINGS)
+    places = [(-74.005, 40.695), (-73.995, 40.705), (-73.985, 40.715), (-73.9, 40.7), (None, 40.7)]
+    points = spark.createDataFrame([(k, *places[k % 5], None if k % 3 else "a") for k in range(200)], "id long, lon double, lat double, note string")
+    got = shapes.point_zones(points, zones, most=7)
+    assert got.columns == ["id", "lon", "lat", "note", "zone_id"]
+    rows = got.collect()
+    want = [(k, z) for k in range(200) for z in range(60) if k % 5 < 3 and even_odd(rings[z % 2], *places[k % 5])]
+    assert sorted((r.id, r.zone_id) for r in rows) == sorted(want) and all((r.lon, r.lat) == places[r.id % 5] and r.note == (None if r.id % 3 else "a") for r in rows)
+    lists = shapes.lists_of(points.select("lon", "lat", "id"), ["lon", "lat"], "of", 7).where("lon is not null").select(F.size("of").alias("n")).collect()
+    assert sum(r.n for r in lists) == 160 and max(r.n for r in lists) < 40 and len(lists) < 40
