@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hexgrid import GRID, M_PER_LAT, M_PER_LON, HexGrid
 from ..functions.scalars import clean, clip
-from ..functions.storage import cut
+from ..functions.storage import by_sorting, cut
 from .points import left_by_cell
 
 #: The eight neighbours in the order that settles ties, row by row from the upper left.
@@ -152,9 +152,9 @@ def d8_accumulation(pixels: DataFrame, value: str = "value") -> DataFrame:
     while state.where("to is not null").limit(1).count():
         arrives = state.where("to is not null").groupBy(F.col("to").alias("at")).agg(F.sum("flow").alias("more"))
         jump = state.select(F.col("at").alias("to"), F.col("to").alias("next"))
-        state = state.join(arrives, "at", "left").join(jump, "to", "left")
+        state = state.join(by_sorting(arrives), "at", "left").join(by_sorting(jump), "to", "left")
         state = cut(state.select("at", F.col("next").alias("to"), (F.col("flow") + F.coalesce("more", F.lit(0))).alias("flow")))
-    x = state.select("at.*", "flow").join(there, [*by, "row", "col"])
+    x = state.select("at.*", "flow").join(by_sorting(there), [*by, "row", "col"])
     return x.select(*by, "row", "col", F.when(F.col("there"), F.col("flow")).alias("flow"))
 
 

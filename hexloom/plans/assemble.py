@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hexgrid import GRID, HexGrid
 from ..functions.scalars import hash_features, normal_noise, synthetic_score
+from ..functions.storage import by_sorting
 from ..operators import overlay, points, raster
 from ..operators.adaptive import inherit_parent
 from ..operators.nearest import nearest_distance
@@ -67,7 +68,7 @@ def feature_layers(spine: DataFrame, layers: Layers, res: int, grid: HexGrid = G
             tilt = raster.slope(layers.dem, dx, dy, mid)
             found["slope_deg"] = raster.zonal_mean(tilt, res, "slope_deg", "slope_deg", grid=grid)
         at = [*raster.raster_keys(layers.dem), "row", "col"]
-        flow = raster.d8_accumulation(layers.dem).join(layers.dem.select(*at, "x", "y"), at)
+        flow = raster.d8_accumulation(layers.dem).join(by_sorting(layers.dem.select(*at, "x", "y")), at)
         found["flow_accum_proxy"] = raster.zonal_mean(flow, res, "flow", "flow_accum_proxy", grid=grid)
     if layers.slope is not None:
         found["slope_deg"] = raster.zonal_mean(layers.slope, res, name="slope_deg", grid=grid)
