@@ -60,44 +60,61 @@ def _records(texts: DataFrame) -> DataFrame:
 _BEFORE = r'^(?:[^"{]|"(?:[^"\\]|\\.)*+")*+'
 
 
-def _running(x: DataFrame, value: str, name: str) -> DataFrame:
-    """name: the sum of value over the pieces of a file before this one. A block's pieces are summed where they are; of the
-    blocks before it the sums alone are read."""
-    by = ["file", "block"]
-    blocks = x.groupBy(*by).agg(F.sum(value).alias("hx_sum"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("file").alias("hx_file"), F.col("block").alias("hx_block"), F.coalesce(F.sum("hx_sum").over(before), F.lit(0)).alias("hx_before"))
-    within = Window.partitionBy(*by).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0)))
-    x = x.join(blocks, (F.col("file") == F.col("hx_file")) & (F.col("block") == F.col("hx_block")))
-    return x.withColumn(name, F.col(name) + F.col("hx_before")).drop("hx_file", "hx_block", "hx_before")
+#: A file, by 128 bits that stand for its path, and a block of it.
+_FILE = ["file", "path"]
+_BLOCK = [*_FILE, "block"]
+
+
+def _of_blocks(x: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The pieces with what is known of their blocks (columns hx_*)."""
+    named = blocks.select(*[F.col(c).alias(f"hx_of_{c}") for c in _BLOCK], *[c for c in blocks.columns if c not in _BLOCK])
+    on = [F.col(c) == F.col(f"hx_of_{c}") for c in _BLOCK]
+    return x.join(named, on[0] & on[1] & on[2]).drop(*[f"hx_of_{c}" for c in _BLOCK])
 
 
 def split_features(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos, one: the text of each object in the collections of the files, read in blocks by as many tasks as there are.
+    """file, path (two hashes of the file's path), pos, one: the text of each object in the collections of the files, read in
+    blocks by as many tasks as there are.
 
     Text is read in pieces that end at a closing brace; a file's blocks are tasks of their own, and a piece belongs to the
     block in which it starts. Whether a piece starts inside a string, and how many braces are open before it, are running
-    sums, within a block and then over the sums of blocks. An object of the collection ends where one brace is left open;
-    its pieces are brought together by the number of such ends before them, so it may lie across blocks.
+    sums, within a block and then over the sums of blocks. As a block does not know whether it starts inside a string, its
+    braces are summed for both cases, so that one pass over its pieces is enough, and they are written once. An object of the
+    collection ends where one brace is left open; its pieces are brought together by the number of such ends before them, so
+    it may lie across blocks.
     """
     pieces = spark.read.option("lineSep", "}").text(path)
-    x = pieces.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    at = F.col("_metadata.file_path")
+    x = pieces.select("value", F.xxhash64(at).alias("file"), F.xxhash64(F.lit(977), at).alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
     bare = F.regexp_replace("value", r"\\.", "")  # escaped characters neither end a string nor open a brace
     count = lambda text, c: F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit("")))
-    x = cut(x.withColumn("bare", bare).withColumn("quotes", count("bare", '"')))
-    x = _running(x, "quotes", "quotes_before")
-    outside = F.array_join(F.filter(F.split("bare", '"'), lambda t, i: (i + F.col("quotes_before")) % 2 == 0), "")
-    closes = ((F.col("quotes_before") + F.col("quotes")) % 2 == 0).cast("long")
-    x = x.select("file", "block", "n", "value", closes.alias("closes"), count(outside, "{").alias("opens"))
-    x = _running(x.withColumn("turn", F.col("opens") - F.col("closes")), "turn", "depth")
-    x = x.withColumn("ends", ((F.col("closes") == 1) & (F.col("depth") + F.col("turn") == 1)).cast("long"))
-    x = cut(_running(x.drop("turn", "opens", "closes"), "ends", "pos"))
+    even = F.array_join(F.filter(F.split("bare", '"'), lambda t, i: i % 2 == 0), "")
+    x = x.withColumn("bare", bare).select("value", *_BLOCK, "n", count(F.col("bare"), '"').alias("quotes"), count(F.col("bare"), "{").alias("braces"), count(even, "{").alias("even"))
+    within = Window.partitionBy(*_BLOCK).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(within), F.lit(0))
+    x = x.withColumn("odd", before("quotes") % 2 == 1)
+    # outside strings are the even parts of a piece that starts outside one, and the odd parts of another
+    opens = [F.when(F.col("odd") == odd, F.col("even")).otherwise(F.col("braces") - F.col("even")) for odd in (False, True)]
+    last = F.col("odd") == (F.col("quotes") % 2 == 1)
+    closes = [last.cast("int"), (~last).cast("int")]
+    x = x.select("value", *_BLOCK, "n", "quotes", *[c.alias(f"closes{k}") for k, c in enumerate(closes)], *[(o - c).alias(f"turn{k}") for k, (o, c) in enumerate(zip(opens, closes, strict=True))])
+    x = cut(x.select("*", *[before(f"turn{k}").alias(f"depth{k}") for k in (0, 1)]))
+
+    earlier = Window.partitionBy(*_FILE).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    blocks = x.groupBy(*_BLOCK).agg(*[F.sum(c).alias(c) for c in ("quotes", "turn0", "turn1")]).withColumn("hx_odd", sums("quotes") % 2 == 1)
+    case = lambda c: F.when(F.col("hx_odd"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    blocks = blocks.withColumn("turn", case("turn")).select(*_BLOCK, "hx_odd", sums("turn").alias("hx_depth"))
+    x = _of_blocks(x, blocks).select("value", *_BLOCK, "n", (case("depth") + F.col("hx_depth")).alias("depth"), case("turn").alias("turn"), case("closes").alias("closes"))
+    x = x.select("value", *_BLOCK, "n", "depth", ((F.col("closes") == 1) & (F.col("depth") + F.col("turn") == 1)).cast("long").alias("ends"))
+
+    blocks = x.groupBy(*_BLOCK).agg(F.sum("ends").alias("ends")).select(*_BLOCK, sums("ends").alias("hx_ends"))
+    x = _of_blocks(x.withColumn("pos", before("ends")), blocks).withColumn("pos", F.col("pos") + F.col("hx_ends"))
     one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "value"))), lambda p: F.concat(p["value"], F.lit("}"))), "")
-    x = x.groupBy("file", "pos").agg(one.alias("one"), F.min(F.struct("block", "n", "depth"))["depth"].alias("depth"), F.max("ends").alias("ends")).where("ends = 1")
+    x = x.groupBy(*_FILE, "pos").agg(one.alias("one"), F.min(F.struct("block", "n", "depth"))["depth"].alias("depth"), F.max("ends").alias("ends")).where("ends = 1")
     # the first object of a file stands behind the brace of the collection itself
     inner = F.when(F.col("depth") == 0, F.regexp_replace("one", _BEFORE + r"\{", "")).otherwise(F.col("one"))
-    return x.select("file", "pos", F.regexp_replace(inner, _BEFORE, "").alias("one"))
+    return x.select(*_FILE, "pos", F.regexp_replace(inner, _BEFORE, "").alias("one"))
 
 
 def read_large_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -105,7 +122,7 @@ def read_large_geojson(spark: SparkSession, path: str) -> DataFrame:
     than a feature. Members of the collection that are no features are left out. Ids come from the file's name and the
     feature's place; without files of other kinds the records are those of ``read_geojson``."""
     x = split_features(spark, path).where(F.get_json_object("one", "$.type") == "Feature")
-    return _records(x.select("pos", F.xxhash64("file").alias("file"), "one"))
+    return _records(x.select("pos", "file", "one"))
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:

@@ -84,3 +84,12 @@ def test_one_collection_in_many_blocks(spark, tmp_path):
     assert rows(geojson.read_large_geojson(spark, f"{tmp_path}/*.geojson")) == sorted(one + one)  # files don't mix
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_pieces_of_large_collections_are_written_once_and_without_paths(spark, tmp_path, monkeypatch):
+    feature = '{"type":"Feature","geometry":{"type":"Point","coordinates":[1.0,2.0]},"properties":{"note":"a } \\" {"}}'
+    (tmp_path / "one.geojson").write_text('{"type":"FeatureCollection","features":[' + ",".join([feature] * 50) + "]}")
+    written = []
+    monkeypatch.setattr(geojson, "cut", lambda x: written.append(x.dtypes) or x)
+    assert geojson.read_large_geojson(spark, f"{tmp_path}/one.geojson").count() == 50
+    assert [[c for c, kind in columns if kind == "string"] for columns in written] == [["value"]]
