@@ -264,10 +264,23 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _fitted(batches) -> Iterator[pa.RecordBatch]:
+    """Rows (text, lang) of the whole sample, in order: one row, the model fitted on them as (labels, weights, moves)."""
+    read = list(batches)
+    langs = np.array([x for b in read for x in b.column(1).to_pylist()], object)
+    labels = sorted(set(langs))
+    number = {x: i for i, x in enumerate(labels)}
+    texts = pa.concat_arrays([b.column(0) for b in read]) if read else pa.array([], pa.string())
+    model = ChainCRF(labels).fit(texts, np.array([number[x] for x in langs], np.int64))
+    columns = [pa.array([labels], pa.list_(pa.string())), pa.array([model.weights.tobytes()]), pa.array([model.moves.tobytes()])]
+    yield pa.RecordBatch.from_arrays(columns, ["labels", "weights", "moves"])
+
+
 def train(docs: DataFrame, sample_rows: int = 1500, sample_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ChainCRF:
     """Fit on the ``sample_rows`` labelled documents, at most, with the least hashed ids that aren't held out.
 
-    Documents of over ``sample_bytes`` bytes are not among them, so the sample that the driver fits on is bounded.
+    Documents of over ``sample_bytes`` bytes are not among them, so the sample is bounded; it is fitted on in one task, and
+    the driver sees the parameters alone.
     """
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     labelled = labelled.where(F.octet_length(text_col) <= sample_bytes)
@@ -275,12 +288,13 @@ def train(docs: DataFrame, sample_rows: int = 1500, sample_bytes: int = 1 << 16,
     order = F.pmod(F.xxhash64(F.lit(29), F.col(id_col)), F.lit(1 << 40))
     share = min(1.0, 1.3 * sample_rows / max(1, labelled.count()))
     sample = labelled.where(order <= int(share * (1 << 40))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), order.alias("at"), F.col(id_col).alias("id"))
-    sample = sample.orderBy("at", "id", "text").limit(sample_rows).toArrow().combine_chunks()
-    langs = np.array(sample.column("lang").to_pylist(), object)
-    labels = sorted(set(langs))
-    number = {x: i for i, x in enumerate(labels)}
-    texts = sample.column("text").combine_chunks() if len(sample) else pa.array([], pa.string())
-    return ChainCRF(labels).fit(texts, np.array([number[x] for x in langs], np.int64))
+    sample = sample.orderBy("at", "id", "text").limit(sample_rows).select("text", "lang")
+    found = map_arrow(sample, _fitted, "labels array<string>, weights binary, moves binary").first()
+    model = ChainCRF(list(found["labels"]) if found else [])
+    if found:
+        model.weights = np.frombuffer(found["weights"], np.float32).reshape(model.weights.shape).copy()
+        model.moves = np.frombuffer(found["moves"]).reshape(model.moves.shape).copy()
+    return model
 
 
 def identify(docs: DataFrame, model: ChainCRF, text_col: str = "text", made: tuple[str, str, str] = ("lang_pred", "score", "lang_spans")) -> DataFrame:

@@ -466,6 +466,18 @@ def test_licences(spark):
     }
 
 
+def test_the_language_model_is_fitted_in_a_task(spark, monkeypatch):
+    from hexloom.llm.language import ChainCRF, train
+
+    def here(*_):
+        raise AssertionError("fitted by the driver")
+
+    monkeypatch.setattr(ChainCRF, "fit", here)
+    rows = [(i, ("the cat and the dog" if i % 2 else "le chat et le chien") * 3, "en" if i % 2 else "fr") for i in range(60)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == ["en", "fr"] and model.weights.any() and model.moves.shape == (2, 2)
+
+
 def test_language(spark, table):
     from hexloom.llm.language import held_out, identify, train
 
