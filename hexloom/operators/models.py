@@ -90,8 +90,8 @@ class RiskModels:
 def fit_models(cells: DataFrame, features: Sequence[str] = FEATURES, classifier: Pipeline | None = None, regressor: Pipeline | None = None, partition_rows: int = 50_000, one_class: bool = False) -> RiskModels:
     """Both models on all rows. If there is one class only, an error; with ``one_class`` the regressor alone, and a warning.
 
-    Every tree passes over the rows several times, a job each, so rows are read in partitions of ``partition_rows`` or
-    more: a small table is not spread over tasks that cost more than their work.
+    Every tree passes over the rows several times, a job each, so rows are written once, in partitions of ``partition_rows``
+    or more: no job carries what made them, and a small table is not spread over tasks that cost more than their work.
     """
     require(cells, *features, RISK, CLASS)
     n, kinds = cells.agg(F.count(F.lit(1)), F.count_distinct(CLASS)).first()
@@ -99,7 +99,7 @@ def fit_models(cells: DataFrame, features: Sequence[str] = FEATURES, classifier:
         raise ValueError(f"{CLASS} has {'one class only' if kinds else 'no class'}")
     if kinds < 2:
         warnings.warn(f"{CLASS} has one class only: there are predictions of the risk, and none of the class", stacklevel=2)
-    cells = cells.select(*features, RISK, CLASS).coalesce(1 + n // partition_rows)
+    cells = cut(cells.select(*features, RISK, CLASS).coalesce(1 + n // partition_rows))
     fitted = (classifier or boosted_classifier(features)).fit(cells) if kinds > 1 else None
     return RiskModels(fitted, (regressor or boosted_regressor(features)).fit(cells), list(features))
 

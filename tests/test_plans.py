@@ -211,3 +211,12 @@ def test_a_whole_study_where_every_cell_flooded(spark, monkeypatch):
     one = study.run_study(spine, Layers(flood_points=spine.select("lon", "lat")), 9)
     got = {(r.part, r.metric): r.value for r in study.summary(one).collect()}
     assert got["table", "n_cells"] == spine.count() and got["metrics", "in_sample_accuracy"] is None and got["metrics", "in_sample_mae"] is not None
+
+
+def test_models_are_fitted_on_rows_that_are_written_once(spark, cells, monkeypatch):
+    from hexloom.schema import CLASS, FEATURES, RISK
+
+    written, write = [], models.cut
+    monkeypatch.setattr(models, "cut", lambda x: written.append(x.columns) or write(x))
+    models.linear_models(cells)
+    assert written == [[*FEATURES, RISK, CLASS]]
