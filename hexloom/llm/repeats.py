@@ -31,8 +31,9 @@ from .common import map_arrow
 from .kernels import BLANK, BYTE_BASE, WORD_BASE, Rolling, byte_view, mix, pieces, words
 
 U = np.uint64
-#: Stretches of hot grams that a task holds at a time.
+#: Different stretches of hot grams that a task remembers, and how many more it compares with them at a time.
 HOT_ROWS = 1 << 20
+HOT_PART = 1 << 18
 #: Places in one piece of text; Arrow strings hold no more.
 PLACE = (1 << 31) - 1
 CONTEXTS = "key long, doc long, lo int, hi int, text binary, more array<int>"
@@ -242,12 +243,12 @@ def _contexts(s: Stretch, doc_at: int, text_at: int, marks_at: int) -> Callable:
         kept.clear()
         hold = order[new]
         if len(hold) <= HOT_ROWS:
-            edge = np.zeros(len(text) + 1, np.int32)
-            np.add.at(edge, begin[hold], 1)
-            np.add.at(edge, begin[hold] + size[hold], -1)
-            covered = np.cumsum(edge[:-1]) > 0
-            place = np.cumsum(covered) - 1
-            kept.append((key[hold], doc[hold], lo[hold], place[begin[hold]], place[begin[hold]] + size[hold], text[covered]))
+            hold = hold[np.argsort(begin[hold], kind="stable")]
+            x, y = merged(begin[hold], begin[hold] + size[hold])
+            run = np.searchsorted(x, begin[hold], "right") - 1
+            place = begin[hold] - x[run] + (np.cumsum(y - x) - (y - x))[run]
+            covered = np.concatenate([text[a:b] for a, b in zip(x.tolist(), y.tolist(), strict=True)])
+            kept.append((key[hold], doc[hold], lo[hold], place, place + size[hold], covered))
         for k in range(0, len(sent), 20_000):
             j = sent[k : k + 20_000]
             yield rows(key[j], doc[j], lo[j], lo[j] + s.span, [text[x : x + n].tobytes() for x, n in zip(begin[j].tolist(), size[j].tolist(), strict=True)], [more.get(x) for x in j.tolist()])
@@ -262,7 +263,7 @@ def _contexts(s: Stretch, doc_at: int, text_at: int, marks_at: int) -> Callable:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            batch, hot, n_hot, kept = whole.filter(whole.column(marks_at).is_valid()), [], 0, []
+            batch, hot, n_hot, kept, part = whole.filter(whole.column(marks_at).is_valid()), [], 0, [], min(HOT_PART, HOT_ROWS)
             ids = batch.column(doc_at).to_numpy()
             for a, b in pieces(batch.column(text_at)):
                 units = Units.read(batch.column(text_at).slice(a, b - a), s)
@@ -282,14 +283,14 @@ def _contexts(s: Stretch, doc_at: int, text_at: int, marks_at: int) -> Callable:
                 n = x["last"][i] - x["first"][i] + 1
                 upto = np.cumsum(n)
                 k = 0
-                while k < len(i):  # a part of the owners whose stretches are about HOT_ROWS, of a long text too
-                    stop = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + HOT_ROWS, "right")))
+                while k < len(i):  # a part of the owners whose stretches are about ``part``, of a long text too
+                    stop = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + part, "right")))
                     j, m = i[k:stop], n[k:stop]
                     first = np.repeat(x["first"][j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                     row = np.repeat(x["row"][j], m)
                     hot.append((roll.of(first, first + s.span).view(np.int64), ids[a + row], first - units.at[row], begin[first], end[first + s.span - 1], text))
                     n_hot += len(first)
-                    if n_hot >= HOT_ROWS:
+                    if n_hot >= part:
                         yield from hot_rows(hot, kept)
                         hot, n_hot = [], 0
                     k = stop

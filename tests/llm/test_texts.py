@@ -589,6 +589,36 @@ def test_hot_passages_take_bounded_memory(monkeypatch, kind):
     assert peak < 100 << 20  # tables of powers among it; the text is 1.4 MB, and cut out its stretches would be 140 times that
 
 
+def test_hot_passages_are_compared_in_parts():
+    """Of documents in order, each stretch of a shared passage is sent once, and a quarter of a million are held at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from hexloom.llm import repeats
+
+    s, passage = repeats.Stretch(100, 24, False), prose(random.Random(8), 3500)[:12_000]
+    texts = pa.array([f"{passage} {k} " + "-" * (k % 7) for k in range(400)])
+    owners = repeats.owners(repeats.Units.read(texts.slice(0, 1), s), s)
+    marks = pa.array([sorted({h | 1 for h in owners["h"].tolist()})] * len(texts), pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts, marks], ["doc_id", "hx_text", "hx_marks"])
+    sent, spans = set(), {}
+    tracemalloc.start()
+    for out in repeats._contexts(s, 0, 1, 2)([batch]):
+        for doc, lo, hi, text in zip(*(out.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
+            if text is None:
+                spans.setdefault(doc, []).append((lo, hi))
+            elif (doc, lo) not in sent:
+                sent.add((doc, lo))
+            else:
+                raise AssertionError(f"{doc}, {lo} was sent twice")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {lo for doc, lo in sent if doc == 0} >= set(range(len(passage) - 99)) and len(sent) < len(passage) + 400 * 110
+    assert all(max(hi for _, hi in spans[k]) >= len(passage) and min(lo for lo, _ in spans[k]) == 0 for k in range(1, 400))
+    assert peak < 140 << 20
+
+
 def test_stretches_are_compared_whole():
     from hexloom.llm.repeats import alike
 
