@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-PACKAGE = Path(__file__).resolve().parents[1]
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once for each application, unless their PYTHONPATH has it."""
-    sc = spark.sparkContext
-    if str(PACKAGE.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _shipped:
-        return
-    to = Path(tempfile.mkdtemp(prefix="hexloom-")) / f"{PACKAGE.name}.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for file in sorted(PACKAGE.rglob("*.py")):
-            z.write(file, file.relative_to(PACKAGE.parent))
-    sc.addPyFile(str(to))
-    _shipped.add(sc.applicationId)
+from ..functions.storage import ship
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hexgrid import GRID, M_PER_LAT, M_PER_LON, HexGrid
 from ..functions.scalars import clean, clip
-from ..functions.storage import by_sorting, cut
+from ..functions.storage import by_sorting, cut, ship
 from .points import left_by_cell
 
 #: The eight neighbours in the order that settles ties, row by row from the upper left.
@@ -66,6 +66,7 @@ def by_tiles(pixels: DataFrame, value: str, work: Callable[[Tile], dict[str, pa.
         return pa.table([*[own.column(c) for c in pixels_kept], *found.values()], names=[*pixels_kept, *found])
 
     pixels_kept = [c for c in pixels.columns if c in keep]
+    ship(pixels.sparkSession)
     return x.groupBy(*by, "hx_tr", "hx_tc").applyInArrow(run, schema)
 
 

@@ -220,3 +220,23 @@ def test_models_are_fitted_on_rows_that_are_written_once(spark, cells, monkeypat
     monkeypatch.setattr(models, "cut", lambda x: written.append(x.columns) or write(x))
     models.linear_models(cells)
     assert written == [[*FEATURES, RISK, CLASS]]
+
+
+def test_raster_tiles_find_the_package_on_executors(tmp_path):
+    """Executors whose PYTHONPATH lacks this package are sent it, as the study's raster layers need it there."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"""import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+from hexloom.operators import raster
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+x = spark.createDataFrame([(0, 0, 2.0), (0, 1, 1.0)], "row int, col int, value double")
+print(raster.d8_receiver(x).where("to_row is not null").collect())"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "to_row=0, to_col=1" in out.stdout, out.stderr[-2000:]
