@@ -62,7 +62,7 @@ def _parse(s: Stretch):
                 if k != key:
                     key, block = k, Reference(s.span)
                 for a, b in block.factors(doc, text.split()):
-                    for place in (lo, *(more or ())):
+                    for place in (lo, *more):
                         for column, value in zip(out, (doc, place + a, place + b), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["doc", "lo", "hi"])

@@ -36,7 +36,10 @@ HOT_ROWS = 1 << 20
 HOT_PART = 1 << 18
 #: Places in one piece of text; Arrow strings hold no more.
 PLACE = (1 << 31) - 1
-CONTEXTS = "key long, doc long, lo int, hi int, text binary, more array<int>"
+CONTEXTS = "key long, doc long, lo int, hi int, text binary"
+#: Of words, the other places in the document. Never null: for each row that Spark hands to Python it walks again over the
+#: null lists at the end of the batch.
+PLACES = ", more array<int>"
 SPANS = "doc long, lo int, hi int"
 
 
@@ -186,18 +189,18 @@ def _marked(marks: pa.Array, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.n
 
 
 def _contexts(s: Stretch, doc_at: int, text_at: int, marks_at: int) -> Callable:
-    names = ["key", "doc", "lo", "hi", "text", "more"]
+    names = ["key", "doc", "lo", "hi", "text", "more"][: 6 if s.words else 5]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
 
     def rows(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t, _ in zip(columns, kinds, names, strict=False)], names)
 
     def string(text: bytes) -> bytes:
         return b" ".join(text.split()) if s.words else text
 
     def once(key, doc, lo, hi, text) -> pa.RecordBatch:
         """Rows of contexts. Of words, those of one gram and document that are equal are one row."""
-        keep, more = np.ones(len(key), bool), [None] * len(key)
+        keep, more = np.ones(len(key), bool), [[]] * len(key)
         if s.words and len(key):
             order = np.lexsort((doc, key))
             same = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
@@ -206,7 +209,7 @@ def _contexts(s: Stretch, doc_at: int, text_at: int, marks_at: int) -> Callable:
                 at = first.setdefault((int(key[i]), int(doc[i]), string(text[i])), i)
                 if at != i:
                     keep[i] = False
-                    more[at] = [*(more[at] or []), int(lo[i])]
+                    more[at] = [*more[at], int(lo[i])]
         i = np.flatnonzero(keep)
         return rows(key[i], doc[i], lo[i], hi[i], [text[j] for j in i], [more[j] for j in i])
 
@@ -251,7 +254,7 @@ def _contexts(s: Stretch, doc_at: int, text_at: int, marks_at: int) -> Callable:
             kept.append((key[hold], doc[hold], lo[hold], place, place + size[hold], covered))
         for k in range(0, len(sent), 20_000):
             j = sent[k : k + 20_000]
-            yield rows(key[j], doc[j], lo[j], lo[j] + s.span, [text[x : x + n].tobytes() for x, n in zip(begin[j].tolist(), size[j].tolist(), strict=True)], [more.get(x) for x in j.tolist()])
+            yield rows(key[j], doc[j], lo[j], lo[j] + s.span, [text[x : x + n].tobytes() for x, n in zip(begin[j].tolist(), size[j].tolist(), strict=True)], [more.get(x, []) for x in j.tolist()])
         i = i[past]
         i = i[np.lexsort((lo[i], doc[i]))]
         new = np.ones(len(i), bool)
@@ -259,7 +262,7 @@ def _contexts(s: Stretch, doc_at: int, text_at: int, marks_at: int) -> Callable:
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(i))[: len(a)] - 1
         d, p = doc[i[a]], lo[i[a]]
-        yield rows(mix(d.view(U) + p.astype(U)).view(np.int64), d, p, lo[i[b]] + s.span, [None] * len(a), [None] * len(a))
+        yield rows(mix(d.view(U) + p.astype(U)).view(np.int64), d, p, lo[i[b]] + s.span, [None] * len(a), [[]] * len(a))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -322,7 +325,7 @@ def with_spans(base: DataFrame, s: Stretch, matcher: Callable, many: int) -> Dat
     # both joins merge the same exchange of texts; neither side is bounded, so neither is broadcast
     marked = base.hint("merge").join(marks, F.col("doc_id") == F.col("hx_doc"), "left").drop("hx_doc")
     names = marked.columns
-    contexts = map_arrow(marked, _contexts(s, names.index("doc_id"), names.index("hx_text"), names.index("hx_marks")), CONTEXTS)
+    contexts = map_arrow(marked, _contexts(s, names.index("doc_id"), names.index("hx_text"), names.index("hx_marks")), CONTEXTS + (PLACES if s.words else ""))
     dealt = contexts.repartition("key").sortWithinPartitions("key", "doc", "lo")
     spans = map_arrow(dealt, matcher, SPANS)
     by_doc = spans.groupBy(F.col("doc").alias("hx_doc")).agg(F.collect_set(F.struct("lo", "hi")).alias("hx_spans"))

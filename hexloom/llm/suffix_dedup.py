@@ -131,34 +131,48 @@ class Shard:
 
     def __init__(self, span: int):
         self.span = span
-        self.key: list[int] = []
-        self.doc: list[int] = []
-        self.lo: list[int] = []
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # gram, document and place
         self.number: list[int] = []  # of each row's text
         self.texts: dict[bytes, int] = {}
         self.first: list[int] = []  # the first row of each text
         self.size = 0
 
-    def add(self, key: int, doc: int, lo: int, text: bytes) -> None:
-        n = self.texts.setdefault(text, len(self.texts))
-        if n == len(self.first):
-            self.first.append(len(self.key))
-            self.size += len(text)
-        self.key.append(key)
-        self.doc.append(doc)
-        self.lo.append(lo)
-        self.number.append(n)
+    def add(self, key: np.ndarray, doc: np.ndarray, lo: np.ndarray, texts: list[bytes], most: int) -> int:
+        """Adds rows until the shard's texts are ``most`` bytes, or its rows a quarter of that number; says how many."""
+        known, number, room = self.texts, self.number, max(1, most // 4 - len(self.number))
+        for text in texts[:room]:
+            n = known.setdefault(text, len(known))
+            if n == len(self.first):
+                self.first.append(len(number))
+                self.size += len(text)
+            number.append(n)
+            if self.size >= most:
+                break
+        added = len(number) - sum(len(x[0]) for x in self.rows)
+        self.rows.append(tuple(x[:added].astype(np.int64) for x in (key, doc, lo)))
+        return added
+
+    def full(self, most: int) -> bool:
+        return self.size >= most or len(self.number) * 4 >= most
 
     def match(self, before: Carried | None) -> tuple[pa.RecordBatch, Carried]:
         """Spans (doc, lo, hi) of the strings that start earlier in the shard, or in the shards before, and what the next shard needs.
 
         Strings whose suffixes share ``span`` bytes or more with their neighbours in the suffix array are equal; the
         first of each group is where it starts first. Strings of a gram that began in the shard before are looked up
-        among that one's by binary search.
+        among that one's by binary search. A text without another one of its gram is in no suffix array: its strings
+        hold the gram at different places, so they all differ, and what starts earlier is the whole text or none of it.
         """
         span = self.span
-        units = np.frombuffer(b"".join(self.texts), np.uint8)
-        length = np.array([len(t) for t in self.texts], np.int64)
+        key, doc, lo = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        number, first = np.array(self.number), np.array(self.first)
+        whole = np.array([len(t) for t in self.texts], np.int64)
+        _, gram, texts = np.unique(key[first], return_inverse=True, return_counts=True)
+        # what a gram that goes on over the shard's edges has in the other shards isn't known here
+        looked = np.flatnonzero((texts[gram] > 1) | (key[first] == key[0]) | (key[first] == key[-1]))
+        known = list(self.texts)
+        units = np.frombuffer(b"".join([known[k] for k in looked.tolist()]), np.uint8)
+        head, length = first[looked], whole[looked]
         edge = np.cumsum(length) - length
         n = length - span + 1
         text = np.repeat(np.arange(len(n)), n)  # of each string that counts
@@ -177,13 +191,11 @@ class Shard:
         first_of = np.empty(len(start), np.int64)
         first_of[index] = np.repeat(np.minimum.reduceat(index, heads), np.diff(np.append(heads, len(index))))
 
-        key, doc, lo = (np.array(x, np.int64) for x in (self.key, self.doc, self.lo))
-        number, first = np.array(self.number), np.array(self.first)
-        own_doc, own_place = doc[first][text], lo[first][text] + inner
+        own_doc, own_place = doc[head][text], lo[head][text] + inner
         ref_doc, ref_place = own_doc[first_of], own_place[first_of]
         windows = np.lib.stride_tricks.sliding_window_view(units, span)
         strings = lambda which: np.ascontiguousarray(windows[start[which]]).view(f"S{span}").ravel()
-        of_key = lambda k: np.flatnonzero(key[first][text] == k)
+        of_key = lambda k: np.flatnonzero(key[head][text] == k)
         if before is not None and before.key == key[0]:
             which = of_key(before.key)
             leads = np.unique(first_of[which])
@@ -212,7 +224,7 @@ class Shard:
         # the rows after it with the same text, at another place: all their strings start in that one
         base = first[number]
         copy = (doc[base] < doc) | ((doc[base] == doc) & (lo[base] < lo))
-        out.append((doc[copy], lo[copy], lo[copy] + length[number[copy]]))
+        out.append((doc[copy], lo[copy], lo[copy] + whole[number[copy]]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
         kinds = (pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)], ["doc", "lo", "hi"]), carried
@@ -224,13 +236,15 @@ def _shards(s: Stretch, shard_bytes: int) -> Callable:
         for batch in batches:
             done, waits = settled_spans(batch)
             yield done
-            for row in zip(*(waits.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
-                shard.add(*row)
-                if shard.size >= shard_bytes or len(shard.key) * 64 >= 16 * shard_bytes:
+            key, doc, lo = (waits.column(i).to_numpy() for i in range(3))
+            texts, at = waits.column(4).to_pylist(), 0
+            while at < len(texts):
+                at += shard.add(key[at:], doc[at:], lo[at:], texts[at:], shard_bytes)
+                if shard.full(shard_bytes):
                     out, carried = shard.match(carried)
                     yield out
                     shard = Shard(s.span)
-        if shard.key:
+        if shard.number:
             yield shard.match(carried)[0]
 
     return run

@@ -619,6 +619,50 @@ def test_hot_passages_are_compared_in_parts():
     assert peak < 140 << 20
 
 
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+@pytest.mark.parametrize("hot", [0, 1])
+def test_matchers_get_no_null_lists(kind, hot):
+    """Spark's Arrow writer walks over the null lists at the end of a batch again for each row: 10,000 of them are 50 million steps."""
+    import pyarrow as pa
+
+    from hexloom.llm import repeats
+
+    s, passage = (repeats.Stretch(100, 20, False) if kind == "bytes" else repeats.Stretch(50, 13, True)), prose(random.Random(4), 120)
+    texts = pa.array([f"{passage} {passage}", passage, None, "short"])
+    owners = repeats.owners(repeats.Units.read(texts, s), s)
+    marks = pa.array([sorted({h | hot for h in owners["h"].tolist()})] * len(texts), pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts, marks], ["doc_id", "hx_text", "hx_marks"])
+    found = list(repeats._contexts(s, 0, 1, 2)([batch]))
+    assert sum(x.num_rows for x in found) > 2
+    assert all(c.null_count == 0 for x in found for c in x.columns if pa.types.is_list(c.type))
+    assert kind == "bytes" or any(len(v) for x in found for v in x.column(5).to_pylist())  # a document that repeats itself
+
+
+def test_texts_alone_of_their_gram_are_in_no_suffix_array(monkeypatch):
+    import pyarrow as pa
+
+    from hexloom.llm import suffix_dedup
+    from hexloom.llm.repeats import Stretch
+
+    sizes, made = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text, key: sizes.append(len(text)) or made(text, key))
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choices("abcdefghij", k=n)).encode()
+    rows = []
+    for key in range(40):
+        text = letters(140)
+        rows += [(key, 2, 500 * key, text), (key, 7, 500 * key, text), (key, 9, 500 * key + 9, text[:110] if key % 4 == 0 else text)]
+    columns = list(zip(*rows, strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], ["key", "doc", "lo", "hi", "text"])
+    spans = lambda size: sorted(r for x in suffix_dedup._shards(Stretch(100, 20, False), size)([batch]) for r in zip(*(c.to_pylist() for c in x.columns), strict=True))
+    want = sorted(span for key in range(40) for span in ((7, 500 * key, 500 * key + 140), (9, 500 * key + 9, 500 * key + (119 if key % 4 == 0 else 149))))
+    assert spans(1 << 20) == want
+    # ten grams of two texts, and the last gram, which may go on in the next shard
+    assert sizes == [10 * 250 + 140]
+    for size in (200, 1000):  # shards that end within a gram
+        assert spans(size) == want
+
+
 def test_stretches_are_compared_whole():
     from hexloom.llm.repeats import alike
 
