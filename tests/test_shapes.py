@@ -260,3 +260,25 @@ def test_equal_points_and_zones_are_compared_once(spark):
     assert sorted((r.id, r.zone_id) for r in rows) == sorted(want) and all((r.lon, r.lat) == places[r.id % 5] and r.note == (None if r.id % 3 else "a") for r in rows)
     lists = shapes.lists_of(points.select("lon", "lat", "id"), ["lon", "lat"], "of", 7).where("lon is not null").select(F.size("of").alias("n")).collect()
     assert sum(r.n for r in lists) == 160 and max(r.n for r in lists) < 40 and len(lists) < 40
+
+
+def test_cells_of_few_edges_are_compared_without_a_lambda(spark, polygons):
+    """Only cells of more edges walk through a lambda for each place; both ways agree on edges and on the middle line, too."""
+    rng = random.Random(11)
+    half = lambda: rng.choice([-0.5, -0.25, 0.0, 0.25, 0.5])
+    ends = lambda: (lambda a, b: (*a, *(a if rng.random() < 0.2 else b)))((half(), half()), (half(), half()))
+    rows = [(half(), half(), rng.random() < 0.5, [ends() for _ in range(rng.randrange(1, shapes.FEW + 1))]) for _ in range(4000)]
+    x = spark.createDataFrame(rows, "a double, b double, centre boolean, edges array<struct<a1:double,b1:double,a2:double,b2:double>>")
+    x = x.select("*", *shapes.few_edges(F.col("edges")))
+    a, b, centre = F.col("a"), F.col("b"), F.col("centre")
+    both = x.select(shapes.holds(a, b, centre, F.col("edges")).alias("one"), shapes.holds_few(a, b, centre).alias("few")).groupBy("one", "few").count().collect()
+    assert {(r.one, r.few) for r in both} == {(True, True), (False, False)}
+    points = spark.createDataFrame([(None if k % 5 == 0 else k, -74 + rng.uniform(-0.03, 0.03), 40.7 + rng.uniform(-0.03, 0.03)) for k in range(300)], "id long, lon double, lat double")
+    zones = spark.createDataFrame(list(enumerate(polygons)), "zone_id long, " + RINGS)
+    found = shapes.point_zones(points, zones, columns=["id"])
+    assert found.columns == ["id", "zone_id"]
+    want = [(r.id, k) for r in points.collect() for k, p in enumerate(polygons) if even_odd(p, r.lon, r.lat)]
+    in_order = lambda pairs: sorted((-1 if i is None else i, k) for i, k in pairs)
+    assert in_order(map(tuple, found.collect())) == in_order(want) and any(i is None for i, _ in want)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "hx_a" in line]
+    assert sorted("lambdafunction" in line for line in joins) == [False, True]
